@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import common as C
-from corpusloom.llm import decontamination, language_id, packing, sharding
+from corpusloom.llm import decontamination, language_id, packing, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,12 +35,28 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(parts).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_within: other rows within Hamming radius 3, for ids divisible by 50, else null."""
+    rows = C.materialize(simhash.fingerprint_edits(C.table(spark, sf_dir, "documents")), "simhash")
+    asked = rows.where(F.col("doc_id") % 50 == 0)
+    counted = rows.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"))
+    pairs = simhash.near(asked, rows, 3)
+    reached = pairs.join(counted.select(F.col("hi").alias("other_hi"), F.col("lo").alias("other_lo"), "n"), ["other_hi", "other_lo"]).groupBy("hi", "lo").agg((F.sum("n") - 1).alias("n_within"))
+    out = rows.join(reached, ["hi", "lo"], "left")
+    like = lambda k: simhash.likeness(F.col("hi"), F.col("lo"), F.col(f"{k}_hi"), F.col(f"{k}_lo"))
+    return out.select(
+        "doc_id", "n_chars", "edited_sha256", simhash.hexadecimal(F.col("hi"), F.col("lo")).alias("fingerprint"), simhash.hexadecimal(F.col("edited_hi"), F.col("edited_lo")).alias("edited_fingerprint"),
+        like("edited").alias("near_edited"), like("next").alias("near_next"), F.when(F.col("doc_id") % 50 == 0, F.col("n_within")).alias("n_within"),
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_language_id": op1_language_id,
         "op4_sharding": op4_sharding,
         "op5_decontamination": op5_decontamination,
         "op6_packing": op6_packing,
+        "op7_simhash": op7_simhash,
     }
 
 
