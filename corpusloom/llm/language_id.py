@@ -77,6 +77,7 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_i
             at = np.nonzero(n)[0]
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["l", "b", "n"])
 
+    C.code_path(spark)
     got = sample.mapInArrow(counts, "l string, b int, n long").groupBy("l", "b").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(sizes)
     n = np.zeros((buckets, len(langs)))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import common as C
-from corpusloom.llm import decontamination, language_id, packing, sharding, simhash
+from corpusloom.llm import decontamination, language_id, packing, quality, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,6 +50,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels")
+    model = quality.fit(docs.where(C.fold(F.col("doc_id"), 3) != 1), labels.where(C.fold(F.col("doc_id"), 3) != 1))
+    out = quality.predict(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return out.select("doc_id", (C.fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_language_id": op1_language_id,
@@ -57,6 +64,7 @@ def queries() -> dict[str, Query]:
         "op5_decontamination": op5_decontamination,
         "op6_packing": op6_packing,
         "op7_simhash": op7_simhash,
+        "op9_quality": op9_quality,
     }
 
 
