@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import common as C
-from corpusloom.llm import decontamination, language_id, packing, quality, sharding, simhash
+from corpusloom.llm import decontamination, html_extract, language_id, packing, quality, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,6 +57,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (C.fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(C.table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_language_id": op1_language_id,
@@ -65,6 +69,7 @@ def queries() -> dict[str, Query]:
         "op6_packing": op6_packing,
         "op7_simhash": op7_simhash,
         "op9_quality": op9_quality,
+        "op10_html_extraction": op10_html_extraction,
     }
 
 
