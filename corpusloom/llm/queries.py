@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import common as C
-from corpusloom.llm import decontamination, html_extract, language_id, packing, quality, sharding, simhash
+from corpusloom.llm import decontamination, html_extract, language_id, maxent_lm, packing, quality, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,6 +61,13 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(C.table(spark, sf_dir, "pages"))
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
+    trained = C.fold(F.col("doc_id"), 5) != 1
+    out = maxent_lm.score(docs, *maxent_lm.fit(docs.where(trained)), trained)
+    return out.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_language_id": op1_language_id,
@@ -68,6 +75,7 @@ def queries() -> dict[str, Query]:
         "op5_decontamination": op5_decontamination,
         "op6_packing": op6_packing,
         "op7_simhash": op7_simhash,
+        "op8_language_model": op8_language_model,
         "op9_quality": op9_quality,
         "op10_html_extraction": op10_html_extraction,
     }
