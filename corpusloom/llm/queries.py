@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import common as C
-from corpusloom.llm import decontamination, html_extract, language_id, maxent_lm, ngram_join, packing, quality, sharding, simhash
+from corpusloom.llm import decontamination, html_extract, language_id, maxent_lm, ngram_join, packing, quality, sharding, simhash, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,11 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar(C.table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.dedup(docs).select("doc_id", "text", F.char_length("text").cast("long").alias("n_chars"), "n_removed", "spans", "owners")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.assign(C.table(spark, sf_dir, "documents"), 40)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -76,6 +81,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_language_id": op1_language_id,
         "op2_ngram_join": op2_ngram_join,
+        "op3_substring_dedup": op3_substring_dedup,
         "op4_sharding": op4_sharding,
         "op5_decontamination": op5_decontamination,
         "op6_packing": op6_packing,
