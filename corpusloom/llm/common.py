@@ -100,3 +100,12 @@ def gapless(df: DataFrame, group: list[str], order: list[str], out: str, buckets
     on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
     joined = numbered.join(starts, on)
     return joined.select(*[c for c in df.columns if c != "_salt"], (F.col("_start") + F.col("_row")).cast("long").alias(out))
+
+
+#: Rows of a one-column table of ids that is broadcast at most (16 bytes each in a join's table); more are shuffled.
+SENT_IDS = 2_000_000
+
+
+def by_ids(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+    """Semi or anti join with a written table of ids, broadcast behind a check of its size."""
+    return df.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, key, how)
