@@ -6,12 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.plans import catalog_retrieval
+from corpusloom.session import code_path
+
 Query = Callable[[SparkSession, str], DataFrame]
 
+CATALOG = catalog_retrieval.CATALOG
+
+
+def _ready(query: Query) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        code_path(spark)
+        return query(spark, sf_dir)
+
+    return run
+
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {k: _ready(q) for k, (q, _) in CATALOG.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: sql for k, (_, sql) in CATALOG.items() if sql}
