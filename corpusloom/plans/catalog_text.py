@@ -8,7 +8,6 @@ from corpusloom.functions import text as X
 from corpusloom.operators import chunker, html_markdown
 from corpusloom.session import table
 
-text = F.col("text")
 
 
 def digest(c):
@@ -25,18 +24,18 @@ PATH = "CASE lang WHEN 'en' THEN 'supreme' WHEN 'de' THEN 'apofaseised/oik' WHEN
 
 
 def doc_min_length(s, d):
-    return table(s, d, "documents").where(X.long_enough(text)).select("doc_id")
+    return table(s, d, "documents").where(X.long_enough(F.col("text"))).select("doc_id")
 
 
 def clean_chunk_text(s, d):
-    return table(s, d, "documents").select("doc_id", *digest(X.clean_noise(text, passes=1)))
+    return table(s, d, "documents").select("doc_id", *digest(X.clean_noise(F.col("text"), passes=1)))
 
 
 CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace(translate(regexp_replace(regexp_replace(translate(text, '*#', ''), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '[\x{80}-\x{9f}]', '', 'g'), chr(160) || chr(8209) || chr(173) || chr(856), ' -'), '(?m)^[-_]{3,}$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' {2,}', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 
 
 def title_extract(s, d):
-    return table(s, d, "documents").select("doc_id", X.title(text).alias("title"))
+    return table(s, d, "documents").select("doc_id", X.title(F.col("text")).alias("title"))
 
 
 LINES = "list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '' AND NOT starts_with(x, '---'))"
@@ -45,34 +44,34 @@ TITLE = f"trim(regexp_replace(regexp_replace(replace(regexp_replace(regexp_repla
 
 
 def cross_refs(s, d):
-    return table(s, d, "documents").select("doc_id", F.array_join(X.cross_refs(text), " ").alias("refs"), X.count_refs(text).cast("long").alias("n"))
+    return table(s, d, "documents").select("doc_id", F.array_join(X.cross_refs(F.col("text")), " ").alias("refs"), X.count_refs(F.col("text")).cast("long").alias("n"))
 
 
 def word_counts(s, d):
-    return table(s, d, "documents").select("doc_id", X.word_count(text).cast("long").alias("words"))
+    return table(s, d, "documents").select("doc_id", X.word_count(F.col("text")).cast("long").alias("words"))
 
 
 def rerank_preview(s, d):
-    return table(s, d, "documents").select("doc_id", *digest(X.rerank_preview(text)))
+    return table(s, d, "documents").select("doc_id", *digest(X.rerank_preview(F.col("text"))))
 
 
 PREVIEW = "text[1:500] || chr(10) || '[...]' || chr(10) || text[1:2000] || CASE WHEN greatest(0, length(text) - 1700) > 500 THEN chr(10) || '[...middle omitted...]' || chr(10) || substr(text, length(text) - 1699, 1500) ELSE '' END"
 
 
 def decision_extract(s, d):
-    return table(s, d, "documents").select("doc_id", *digest(X.decision_text(text, 1000)))
+    return table(s, d, "documents").select("doc_id", *digest(X.decision_text(F.col("text"), 1000)))
 
 
 DECIDED = "CASE WHEN instr(text, chr(10)) > 1 THEN trim(split_part(text, chr(10), 1)) || chr(10) || chr(10) ELSE '' END || text"
 
 
 def vector_ids(s, d):
-    return table(s, d, "documents").select("doc_id", X.vector_id(F.concat(path_of(), F.left(text, F.lit(24))), F.col("doc_id") % 7).alias("vector_id"))
+    return table(s, d, "documents").select("doc_id", X.vector_id(F.concat(path_of(), F.left(F.col("text"), F.lit(24))), F.col("doc_id") % 7).alias("vector_id"))
 
 
 def chunk_header(s, d):
     p = path_of()
-    rows = table(s, d, "documents").select("doc_id", X.chunk_header(X.court(p), X.jurisdiction(F.lit(""), p), X.year_text(p), X.title(text)).alias("header"))
+    rows = table(s, d, "documents").select("doc_id", X.chunk_header(X.court(p), X.jurisdiction(F.lit(""), p), X.year_text(p), X.title(F.col("text"))).alias("header"))
     return rows
 
 
@@ -112,11 +111,11 @@ def strip_sections(s, d):
 
 
 def normalize_markdown(s, d):
-    return table(s, d, "documents").select("doc_id", *digest(X.normalize_markdown(text)))
+    return table(s, d, "documents").select("doc_id", *digest(X.normalize_markdown(F.col("text"))))
 
 
 def copy_lines(s, d):
-    return table(s, d, "documents").select("doc_id", *digest(X.copy_line(text)))
+    return table(s, d, "documents").select("doc_id", *digest(X.copy_line(F.col("text"))))
 
 
 UNESCAPED = "replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')"
