@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusloom.session import code_path
 
@@ -61,6 +62,7 @@ def top_k_batch(chunks: DataFrame, queries: DataFrame, k: int, key: str, vector:
     asked = queries.select(query_key, query_vector).where(F.col(query_vector).isNotNull())
     n = asked.count()
     blocks = max(1, -(-n // QUERY_BLOCK))
+    id_type = to_arrow_type(queries.schema[query_key].dataType)
     kind, id_kind = chunks.schema[key].dataType.simpleString(), queries.schema[query_key].dataType.simpleString()
     found = None
     for b in range(blocks):
@@ -87,7 +89,7 @@ def top_k_batch(chunks: DataFrame, queries: DataFrame, k: int, key: str, vector:
                 else:
                     least = np.full(len(ids), -np.inf)
                 r, c = np.nonzero(scores >= least - 10**-DIGITS)
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in c]), part.column(0).take(pa.array(r)), pa.array(scores[r, c])], [query_key, key, "score"])
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in c], id_type), part.column(0).take(pa.array(r)), pa.array(scores[r, c])], [query_key, key, "score"])
 
         part = chunks.select(key, vector).mapInArrow(run, f"{query_key} {id_kind}, {key} {kind}, score double")
         found = part if found is None else found.unionByName(part)

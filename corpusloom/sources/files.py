@@ -28,7 +28,7 @@ def relative_path(path: Column, root: str) -> Column:
 
 def markdown_corpus(spark: SparkSession, root: str, court: str | None = None, limit: int | None = None) -> DataFrame:
     """doc_id (path below root), text of all .md files; a limit takes the first ones by id."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root)
+    rows = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
     rows = rows.select(relative_path(F.col("_metadata.file_path"), root).alias("doc_id"), F.col("value").alias("text"))
     rows = rows.where(F.contains("doc_id", F.lit(court))) if court else rows
     return rows.orderBy("doc_id").limit(limit) if limit else rows
