@@ -40,8 +40,7 @@ def features(texts: list[str | None], bits: int, orders: tuple[int, ...] = (3, 4
     """For words, their shapes and each order of byte n-grams of texts: buckets, and the text that each belongs to."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     joined = np.frombuffer(b" " + b" ".join(raw) + b" ", np.uint8)
-    owner = np.repeat(np.arange(len(raw)), [len(r) + 1 for r in raw])
-    owner = np.append(owner, max(0, len(raw) - 1))
+    owner = np.concatenate([[-1], np.repeat(np.arange(len(raw)), [len(r) + 1 for r in raw])])
     x = joined.astype(np.uint64)
     shift = np.uint64(64 - bits)
     buckets, owners = [], []
