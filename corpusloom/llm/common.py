@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -30,14 +31,36 @@ def shared_dir(spark: SparkSession) -> str:
     return got.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, top: str | None = None) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back; cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{top or shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Intermediate tables of one operator, deleted once its result is written; `release` lets Spark drop shuffle files that no plan needs any more."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def write(self, df: DataFrame, tag: str) -> DataFrame:
+        return materialize(df, tag, self.path)
+
+    def release(self) -> None:
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self.release()
+
+
 def code_path(spark: SparkSession) -> None:
     """Lets Python workers import this package from where the driver has it (on a cluster without that path, submit it with --py-files)."""
     root = str(Path(__file__).resolve().parents[2])

@@ -8,11 +8,13 @@ candidates. Candidates are decided exactly: for each document, the inverted list
 tokens over its candidates are merged by a heap if short and probed by binary search if
 long (DivideSkip), and those that reach the overlap which the threshold demands are kept.
 
-Large groups of near copies are first contracted along stars (a document and the smallest
-one with the same rarest token); after that only pairs in different components are looked
-at, so a group of m near copies costs about m searches, not m squared, and since linked
-documents may only stop being compared once they are known to be connected, no link that
-joins two components is lost.
+Groups of near copies may be large, and pairs of them needn't be similar enough, so they are
+never listed as pairs. Each representative joins the group of one hub (of its lists, the
+document there that shares most of its own tokens). Groups are searched in blocks of bounded
+size: what links with the hub is connected, what doesn't is searched against all others, and
+only links that join components leave a task. Pairs across groups, which
+are few, are found on the inverted lists. Documents stop being compared only once they are
+known to be connected, so no link that joins two components is lost.
 
 Defined results: a text with fewer words than k is one shingle; null texts and those
 without words have an empty set and link with nothing; rows that share an id are one node;
@@ -27,16 +29,18 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm import common as C
-from corpusloom.llm.components import components
+from corpusloom.llm.components import components, joined
 
 #: Ids that a filter sent to all executors holds at most (8 bytes each); more are joined.
 SENT_IDS = 2_000_000
 #: Candidates of one document that are searched together.
 SALT_ROWS = 256
+#: Tokens in a block of a group; a task holds two blocks.
+BLOCK_TOKENS = 200_000
 SKIP = 0.0085
 
 
@@ -91,19 +95,22 @@ def divide_skip(own: np.ndarray, others: list[np.ndarray], share: tuple[int, int
     longest = len(lists[-1])
     n_long = min(least - 1, len(lists), int(least / (SKIP * np.log2(max(2, longest)) + 1)))
     short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
-    out = []
-    for doc, run in groupby(heapq.merge(*[x.tolist() for x in short])):
+    short = [x.tolist() for x in short]
+    docs, counts = [], []
+    for doc, run in groupby(heapq.merge(*short)):
         n = sum(1 for _ in run)
-        if n < want[doc] - n_long:
-            continue
-        for k, x in enumerate(reversed(long)):
-            if n >= want[doc] or n + n_long - k < want[doc]:
-                break
-            p = np.searchsorted(x, doc)
-            n += int(p < len(x) and x[p] == doc)
-        if n >= want[doc]:
-            out.append(int(doc))
-    return out
+        if n >= want[doc] - n_long:
+            docs.append(doc)
+            counts.append(n)
+    docs, counts = np.array(docs, np.int64), np.array(counts, np.int64)
+    for k, x in enumerate(reversed(long)):
+        alive = counts + n_long - k >= want[docs]
+        docs, counts = docs[alive], counts[alive]
+        if not len(docs):
+            break
+        p = np.minimum(np.searchsorted(x, docs), len(x) - 1)
+        counts = counts + (x[p] == docs)
+    return docs[counts >= want[docs]].tolist()
 
 
 def rare_first(df: DataFrame, k: int, sample_rows: int, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -152,9 +159,9 @@ def sets_with_prefix(df: DataFrame, k: int, share: tuple[int, int], sample_rows:
     return C.map_arrow(df, run, f"doc_id {kind}, n long, digest binary, prefix array<long>")
 
 
-def sets_of(df: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+def sets_of(df: DataFrame, ids: DataFrame, k: int, scratch: C.Scratch) -> DataFrame:
     """id, tokens of the rows named in ids (one column, id)."""
-    ids = C.materialize(ids.distinct(), "wanted")
+    ids = scratch.write(ids.distinct(), "wanted")
     kind = df.schema["doc_id"].dataType.simpleString()
     if ids.count() <= SENT_IDS:
         wanted = np.sort(ids.toArrow().column(0).to_numpy())
@@ -177,19 +184,21 @@ def sets_of(df: DataFrame, ids: DataFrame, k: int) -> DataFrame:
             tokens = [shingles(t, k).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.list_(pa.int64()))], ["id", "tokens"])
 
-    return C.materialize(C.map_arrow(df.where("doc_id is not null"), pick, f"id {kind}, tokens array<long>"), "sets")
+    return scratch.write(C.map_arrow(df.where("doc_id is not null"), pick, f"id {kind}, tokens array<long>"), "sets")
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("x").alias("id")).union(pairs.select("y"))
 
 
-def linked(df: DataFrame, pairs: DataFrame, k: int, share: tuple[int, int]) -> DataFrame:
-    """Those pairs x, y whose sets reach the share, decided by one DivideSkip search for each x and some of its candidates."""
-    pairs = C.materialize(pairs, "candidates")
-    sets = sets_of(df, pairs.select(F.col("x").alias("id")).union(pairs.select("y")), k)
+def linked(sets: DataFrame, pairs: DataFrame, share: tuple[int, int], scratch: C.Scratch) -> DataFrame:
+    """Those pairs x, y whose sets (id, tokens) reach the share, decided by one DivideSkip search for each x and some of its candidates."""
     salts = pairs.groupBy("x").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).alias("_s"))
     dealt = pairs.join(salts, "x").select("x", "y", F.pmod(F.xxhash64("y"), F.col("_s")).alias("salt"))
     theirs = dealt.join(sets.withColumnRenamed("id", "y"), "y").select("x", "salt", "y", "tokens")
-    own = dealt.select("x", "salt").distinct().join(sets.withColumnRenamed("id", "x"), "x").select("x", "salt", F.lit(None).cast(df.schema["doc_id"].dataType).alias("y"), "tokens")
+    own = dealt.select("x", "salt").distinct().join(sets.withColumnRenamed("id", "x"), "x").select("x", "salt", F.lit(None).cast(sets.schema["id"].dataType).alias("y"), "tokens")
     together = theirs.union(own).repartition("x", "salt").sortWithinPartitions("x", "salt", F.asc_nulls_first("y"))
-    kind = df.schema["doc_id"].dataType.simpleString()
+    kind = sets.schema["id"].dataType.simpleString()
 
     def run(batches):
         at, mine = None, []
@@ -208,36 +217,159 @@ def linked(df: DataFrame, pairs: DataFrame, k: int, share: tuple[int, int]) -> D
                     out += [(key[0], ys[others[d]]) for d in divide_skip(own, [sets[i] for i in others], share)]
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], batch.schema.field("x").type), pa.array([o[1] for o in out], batch.schema.field("x").type)], ["x", "y"])
 
-    C.code_path(df.sparkSession)
-    return C.materialize(together.mapInArrow(run, f"x {kind}, y {kind}"), "links")
+    C.code_path(sets.sparkSession)
+    return scratch.write(together.mapInArrow(run, f"x {kind}, y {kind}"), "links")
 
 
 def similar(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, share: tuple[int, int] = (85, 100), sample_rows: int = 4000, most_frequent: int = 65_536) -> DataFrame:
     """doc_id, n_shingles, component_id of each row. The sample only chooses an order of tokens; every row is joined whole."""
     docs = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    rows = C.materialize(sets_with_prefix(docs, k, share, sample_rows, most_frequent), "shingle-sets")
-    classes = C.materialize(rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = rows.where("doc_id is not null and size(prefix) > 0").join(classes.withColumnRenamed("rep", "doc_id"), ["digest", "doc_id"]).select(F.col("doc_id").alias("rep"), "n", "prefix")
-    reps = C.materialize(reps, "representatives")
-    # Stars: each representative and the smallest one that has one of its two rarest tokens.
-    rare = reps.select("rep", F.explode(F.slice("prefix", 1, 2)).alias("token"))
-    hubs = rare.groupBy("token").agg(F.min("rep").alias("hub"), F.max("rep").alias("_top")).where("hub <> _top").select("token", "hub")
-    stars = rare.join(hubs, "token").where("rep <> hub").select(F.col("hub").alias("x"), F.col("rep").alias("y")).distinct()
-    found = linked(docs, stars, k, share)
-    known = components(found, "x", "y")
-    # Lists that hold two components or more, and pairs that meet on enough of them.
-    placed = reps.join(known.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", F.coalesce("component", "rep").alias("component"), "prefix")
-    postings = C.materialize(placed, "placed").select("rep", "n", "component", F.explode("prefix").alias("token"))
-    mixed = postings.groupBy("token").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b").select("token")
-    lists = C.materialize(postings.join(mixed, "token"), "lists")
-    a = lists.select(F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), "token")
-    b = lists.select(F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), F.col("token").alias("_token"))
+    with C.Scratch(df.sparkSession, "ngram-join") as scratch:
+        rows = scratch.write(sets_with_prefix(docs, k, share, sample_rows, most_frequent), "shingle-sets")
+        classes = scratch.write(rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
+        known = search(docs, rows, classes, k, share, scratch)
+        out = rows.select("doc_id", "n", "digest").join(classes, "digest", "left").join(known.withColumnRenamed("node", "rep"), "rep", "left")
+        return C.materialize(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id")), "similar")
+
+
+def search(docs: DataFrame, rows: DataFrame, classes: DataFrame, k: int, share: tuple[int, int], scratch: C.Scratch) -> DataFrame:
+    """node, component of the class representatives that link with another one."""
+    reps = rows.where("doc_id is not null and size(prefix) > 0").join(classes.withColumnRenamed("rep", "doc_id"), ["digest", "doc_id"])
+    postings = reps.select(F.col("doc_id").alias("rep"), F.col("n").cast("int").alias("n"), F.explode("prefix").alias("token"))
+    shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("token")
+    lists = postings.join(shared, "token")
+    # Whoever is on fewer lists than a similar pair must share has no partner.
+    own = F.count(F.lit(1)).over(Window.partitionBy("rep"))
+    lists = scratch.write(lists.withColumn("m", own).where(F.col("m") >= 1 + F.floor(F.col("n") / 50)), "lists")
+    scratch.release()
+    groups = scratch.write(hub_groups(lists, share), "groups")
+    sets = sets_of(docs, groups.select(F.col("rep").alias("id")), k, scratch)
+    known = components(blocked(groups, sets, share, scratch), "x", "y", scratch)
+    scratch.release()
+    met = scratch.write(candidates(lists, groups, known, share), "candidates")
+    across = linked(sets_of(docs, ends(met), k, scratch), met, share, scratch)
+    return joined(known, across, "x", "y", scratch)
+
+
+def hub_groups(lists: DataFrame, part: tuple[int, int]) -> DataFrame:
+    """rep, n, hub, members, tokens: representatives in groups of those that share prefix tokens with one hub.
+
+    A list's hub is its member that shares most of its own prefix (an original among edited
+    copies); each member joins the hub of most of its lists, if these are as many as a similar
+    pair must share; others are in no group.
+    """
+    share = lists.groupBy("rep", "n").agg(F.count(F.lit(1)).alias("_c")).select("rep", (F.col("_c") / prefix_size(F.col("n"), part)).alias("_share"))
+    hubs = lists.select("token", "rep").join(share, "rep").groupBy("token").agg(F.max_by("rep", F.struct("_share", -F.col("rep"))).alias("hub"))
+    votes = lists.select("token", "rep", "n", "m").join(hubs, "token").groupBy("rep", "n", "m", "hub").agg(F.count(F.lit(1)).alias("_v"))
+    first = votes.groupBy("rep", "n", "m").agg(F.max_by("hub", F.struct("_v", -F.col("hub"))).alias("hub"), F.max("_v").alias("_v")).where(F.col("_v") >= 1 + F.floor(F.col("n") / 50))
+    leader = lists.select(F.col("rep").alias("hub"), F.col("n").alias("_n"), F.col("m").alias("_m")).distinct()
+    first = first.join(leader, "hub").where(F.least("m", "_m") >= enough(F.col("n"), F.col("_n"), part))
+    # A hub stands in its own group, wherever its own lists would put it.
+    leaders = first.select(F.col("hub").alias("rep"), F.lit(True).alias("_leads")).distinct()
+    sizes = lists.select("rep", "n").distinct()
+    placed = first.join(leaders, "rep", "left_anti").select("rep", "n", "hub").union(leaders.join(sizes, "rep").select("rep", "n", F.col("rep").alias("hub")))
+    totals = placed.groupBy("hub").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("tokens"))
+    return placed.join(totals.where("members > 1"), "hub")
+
+
+def blocked(groups: DataFrame, sets: DataFrame, share: tuple[int, int], scratch: C.Scratch) -> DataFrame:
+    """x, y: links within groups, as far as they join components.
+
+    A group is cut into blocks of about BLOCK_TOKENS tokens; a task holds two blocks and the hub.
+    """
+    cut = groups.withColumn("_nb", F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int"))
+    last = F.col("_nb") - 1
+    state = cut.where("rep <> hub").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("_nb")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), last)))
+    dealt = state.select("hub", F.least("own", "_o").alias("i"), F.greatest("own", "_o").alias("j"), "own", F.col("rep").alias("id"))
+    hubs = cut.where("rep = hub").withColumn("i", F.explode(F.sequence(F.lit(0), last))).withColumn("j", F.explode(F.sequence(F.col("i"), last)))
+    dealt = dealt.union(hubs.select("hub", "i", "j", F.lit(-1).alias("own"), F.col("rep").alias("id")))
+    rows = dealt.join(sets, "id").select("hub", "i", "j", "own", "id", "tokens").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "own", "id")
+    kind = sets.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        at, held = None, []
+        for batch in batches:
+            hubs, a, b, own, ids = (batch.column(c).to_pylist() for c in range(5))
+            values, offsets = batch.column(5).values.to_numpy().view(np.uint64), batch.column(5).offsets.to_numpy()
+            out = []
+            for r, key in enumerate(zip(hubs, a, b, strict=True)):
+                if key != at:
+                    out += block_links(at, held, share)
+                    at, held = key, []
+                held.append((ids[r], own[r], values[offsets[r] : offsets[r + 1]].copy()))
+            yield pairs_batch(out, batch.schema.field("id").type)
+            kept = batch.schema.field("id").type
+        if held:
+            yield pairs_batch(block_links(at, held, share), kept)
+
+    C.code_path(sets.sparkSession)
+    return scratch.write(rows.mapInArrow(run, f"x {kind}, y {kind}"), "links-within")
+
+
+def pairs_batch(pairs: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], kind), pa.array([p[1] for p in pairs], kind)], ["x", "y"])
+
+
+def block_links(key: tuple | None, rows: list[tuple], share: tuple[int, int]) -> list[tuple]:
+    """Links with the hub (told by the blocks i = j), and links of what doesn't link with it, as far as they join what isn't joined here yet."""
+    if key is None:
+        return []
+    hub, i, j = key
+    parent = {r[0]: r[0] for r in rows}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    members = [r for r in rows if r[1] >= 0]
+    for own in [r for r in rows if r[1] < 0]:
+        for d in divide_skip(own[2], [r[2] for r in members], share):
+            parent[members[d][0]] = hub
+    on = {x for x, p in parent.items() if p == hub and x != hub}
+    out = [(hub, x) for x in sorted(on)] if i == j else []
+    strays = [r for r in members if r[0] not in on]
+    todo = {r[0] for r in strays}
+    for x, own, tokens in strays:
+        todo.discard(x)
+        others = [r for r in members if (r[0] in todo or r[0] in on) and (i == j or r[1] != own) and root(r[0]) != root(x)]
+        for d in divide_skip(tokens, [r[2] for r in others], share):
+            y = others[d][0]
+            if root(x) != root(y):
+                parent[root(x)] = root(y)
+                out.append((x, y))
+    return out
+
+
+def candidates(lists: DataFrame, groups: DataFrame, known: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """x, y: pairs in different groups and components that meet on so many lists that they may reach the share."""
+    rows = lists.join(groups.select("rep", "hub"), "rep", "left").join(known.withColumnRenamed("node", "rep"), "rep", "left")
+    rows = rows.select("rep", "n", "m", "token", F.coalesce("hub", "rep").alias("hub"), F.coalesce("component", "rep").alias("c"))
+    # Tokens that stand in one group or one component alone can't join two of them.
+    mixed = rows.groupBy("token").agg(F.min("hub").alias("_a"), F.max("hub").alias("_b"), F.min("c").alias("_c"), F.max("c").alias("_d")).where("_a <> _b and _c <> _d").select("token")
+    rows = rows.join(mixed, "token")
+    a = rows.select(F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("m").alias("mx"), F.col("hub").alias("gx"), F.col("c").alias("cx"), "token")
+    b = rows.select(F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("m").alias("my"), F.col("hub").alias("gy"), F.col("c").alias("cy"), F.col("token").alias("_token"))
     part, whole = share
-    sized = (F.col("nx") * whole >= F.col("ny") * part) & (F.col("ny") * whole >= F.col("nx") * part)
-    met = a.join(b, (F.col("token") == F.col("_token")) & (F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & sized)
+    nx, ny = F.col("nx"), F.col("ny")
+    least = enough(nx, ny, share)
+    sized = (nx * whole >= ny * part) & (ny * whole >= nx * part) & (F.least("mx", "my") >= least)
+    met = a.join(b, (F.col("token") == F.col("_token")) & (F.col("x") < F.col("y")) & (F.col("gx") != F.col("gy")) & (F.col("cx") != F.col("cy")) & sized)
     met = met.groupBy("x", "y", "nx", "ny").agg(F.count(F.lit(1)).alias("_n"))
-    candidates = met.where(F.col("_n") >= 1 + F.floor(F.least("nx", "ny") / 50)).select("x", "y").distinct()
-    more = linked(docs, candidates, k, share)
-    last = components(found.union(more), "x", "y")
-    out = rows.select("doc_id", "n", "digest").join(classes, "digest", "left").join(last.withColumnRenamed("node", "rep"), "rep", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    return met.where(F.col("_n") >= least).select("x", "y")
+
+
+def prefix_size(n: Column, share: tuple[int, int]) -> Column:
+    """Tokens in the prefix of a set of n, as sets_with_prefix cuts it."""
+    return n - F.ceil(n * share[0] / share[1]) + 1 + F.floor(n / 50)
+
+
+def enough(nx: Column, ny: Column, share: tuple[int, int]) -> Column:
+    """Prefix tokens that sets of nx and ny must share to be similar.
+
+    Of each token that two prefixes don't share, one set hasn't the token; what follows the prefixes may be shared whole.
+    """
+    part, whole = share
+    overlap = F.ceil(F.lit(part) * (nx + ny) / (part + whole))
+    return F.greatest(1 + F.floor(F.least(nx, ny) / 50), overlap - F.greatest(nx - prefix_size(nx, share), ny - prefix_size(ny, share)))
