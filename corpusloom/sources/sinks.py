@@ -56,6 +56,26 @@ def insert_if_absent(existing: DataFrame, new: DataFrame, keys: list[str], order
     return once.join(existing.select(*keys), keys, "left_anti")
 
 
+def absent(df: DataFrame, path: str, keys: list[str]) -> DataFrame:
+    """Rows whose key the table at `path` doesn't hold; all of them while there is none."""
+    held = existing(df.sparkSession, path)
+    return df if held is None else resume(df, held, keys)
+
+
+def existing(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+            return None
+        raise
+
+
+def append_new(df: DataFrame, path: str, keys: list[str], partition_by: list[str] | None = None) -> None:
+    """Appends rows whose key isn't there yet, one a key."""
+    absent(df.dropDuplicates(keys), path, keys).write.mode("append").partitionBy(*(partition_by or [])).parquet(path)
+
+
 def insert_counts(new: DataFrame, inserted: DataFrame) -> DataFrame:
     """inserted, skipped"""
     both = new.agg(F.count(F.lit(1)).alias("n")).crossJoin(inserted.agg(F.count(F.lit(1)).alias("inserted")))  # one row each
