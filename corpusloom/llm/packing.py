@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.llm import common as C
 
@@ -154,4 +155,4 @@ def pack(parts: DataFrame, capacity: int = 2048) -> DataFrame:
         extra = [pa.array(rows[at, 2] + rank - rows[at, 1]), pa.array(rows[at, 3])]
         yield pa.RecordBatch.from_arrays([*(columns[c] for c in names), *extra], [*names, "sequence_id", "offset"])
 
-    return C.map_arrow(ranked, run, parts.schema.add("sequence_id", "long").add("offset", "long"))
+    return C.map_arrow(ranked, run, T.StructType([*parts.schema, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
