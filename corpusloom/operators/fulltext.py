@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import dimensions as D
-from corpusloom.session import small
+from corpusloom.session import small, written
 
 K1, B = 1.2, 0.75
 
@@ -105,10 +105,11 @@ def phrase_match(docs: DataFrame, phrases: DataFrame, query: str = "text", query
 
 
 def phrase_rank(docs: DataFrame, phrases: DataFrame, k: int = 20, query: str = "text", query_key: str = "query_id") -> DataFrame:
-    """Top k phrase matches of questions that pass the gate, scored like tf_rank."""
+    """Top k phrase matches of questions that pass the gate, scored like tf_rank; only documents with a match are scored."""
     gated = phrases.where(phrase_gate(F.col(query)))
-    found = phrase_match(docs, gated, query, query_key)
-    scored = tf_scores(docs, gated, query, query_key).join(found.select(query_key, "doc_id"), [query_key, "doc_id"], "left_semi")
+    found = written(phrase_match(docs, gated, query, query_key).select(query_key, "doc_id"), "phrases")
+    some = docs.join(small(found.select("doc_id").distinct()), "doc_id", "left_semi")
+    scored = tf_scores(some, gated, query, query_key).join(found, [query_key, "doc_id"], "left_semi")
     return _ranked(scored, k, query_key)
 
 

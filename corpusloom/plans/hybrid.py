@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
 from corpusloom.operators import fulltext, fusion, rerank, vector
+from corpusloom.session import written
 
 CHUNKS, DOCUMENTS = 100, 30
 
@@ -33,13 +34,14 @@ def hybrid_search(queries: DataFrame, documents: DataFrame, chunks: DataFrame, s
     A level filters the vector leg alone, unless strict_filters asks for both legs.
     """
     pool = fusion.level_filter(documents, documents_level, level) if strict_filters and level else documents
-    v = vector_leg(chunks, queries, level=level)
-    t = text_leg(fulltext.documents_with_terms(pool), queries, scorer)
+    v = written(vector_leg(chunks, queries, level=level), "vector-leg")
+    t = written(text_leg(fulltext.documents_with_terms(pool), queries, scorer), "text-leg")  # 30 and 100 rows a query
     return fusion.with_bypass(fusion.rrf(v, t), v, t)
 
 
 def answer(queries: DataFrame, documents: DataFrame, found: DataFrame, backend: str | None = None) -> DataFrame:
     """Reranks what was found by the offline scorer; the full text joins only for rows that a search found."""
+    found = written(found, "found")
     texts = found.select("query_id", "doc_id").join(documents.select("doc_id", X.rerank_preview(F.col("text")).alias("preview")), "doc_id")
     scored = texts.join(queries.select("query_id", "text"), "query_id").select("query_id", "doc_id", rerank.scaled(rerank.token_overlap(F.col("text"), F.col("preview"))).alias("score"))
-    return rerank.rerank(found, scored, backend=backend)
+    return rerank.rerank(found, written(scored, "scores"), backend=backend)

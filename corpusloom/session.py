@@ -38,3 +38,10 @@ def work_path(spark: SparkSession, tag: str) -> str:
         top = f"file://{tempfile.mkdtemp(prefix='corpusloom-')}"
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """df as a table in the shared folder, for small results that a plan uses several times."""
+    path = work_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
