@@ -55,18 +55,37 @@ class Scratch:
     def __enter__(self) -> Scratch:
         return self
 
+    def discard(self, tag: str = "") -> None:
+        """Deletes the tables written under a tag, or all."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{tag}-*" if tag else self.path)
+        files = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        for found in files.globStatus(path) or ():
+            files.delete(found.getPath(), True)
+
     def __exit__(self, *_) -> None:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self.discard()
         self.release()
 
 
+#: Python workers live as long as their executor, so memory that a batch needed goes back to the system: few arenas, Arrow
+#: memory from malloc, large blocks mapped on their own.
+WORKER_ENV = {"MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": "16777216", "MALLOC_MMAP_THRESHOLD_": "8388608", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+#: Rows in an Arrow batch; whole texts make Spark's default of 10,000 large.
+BATCH_ROWS = 2000
+
+
 def code_path(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver has it (on a cluster without that path, submit it with --py-files)."""
+    """Prepares Python workers: lets them import this package from where the driver has it (on a cluster without that path, submit it with --py-files) and bounds their memory."""
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
+    for k, v in WORKER_ENV.items():
+        env.setdefault(k, v)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(rows)) > BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:

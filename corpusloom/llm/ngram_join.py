@@ -41,6 +41,8 @@ SENT_IDS = 2_000_000
 SALT_ROWS = 256
 #: Tokens in a block of a group; a task holds two blocks.
 BLOCK_TOKENS = 200_000
+#: Parts, by token, in which postings are looked through.
+SLICES = 4
 SKIP = 0.0085
 
 
@@ -135,9 +137,14 @@ def sets_with_prefix(df: DataFrame, k: int, share: tuple[int, int], sample_rows:
     sent = df.sparkSession.sparkContext.broadcast(rare_first(df, k, sample_rows, most))
 
     def run(batch):
+        texts = batch.column(1).to_pylist()
+        for a, b in C.blocks(texts):
+            yield of_block(batch.column(0).slice(a, b - a), texts[a:b])
+
+    def of_block(ids, texts):
         frequent, counts = sent.value
         n, digests, prefixes = [], [], []
-        for t in batch.column(1).to_pylist():
+        for t in texts:
             own = shingles(t, k)
             n.append(len(own))
             digests.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
@@ -153,7 +160,7 @@ def sets_with_prefix(df: DataFrame, k: int, share: tuple[int, int], sample_rows:
                 at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
                 often = np.where(frequent[at] == own, counts[at], 0)
             prefixes.append(own[np.lexsort((own, often))][:length].view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "n", "digest", "prefix"])
+        return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "n", "digest", "prefix"])
 
     kind = df.schema["doc_id"].dataType.simpleString()
     return C.map_arrow(df, run, f"doc_id {kind}, n long, digest binary, prefix array<long>")
@@ -180,9 +187,10 @@ def sets_of(df: DataFrame, ids: DataFrame, k: int, scratch: C.Scratch) -> DataFr
             yield from build(batch)
 
     def build(batch):
-        if batch.num_rows:
-            tokens = [shingles(t, k).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.list_(pa.int64()))], ["id", "tokens"])
+        texts = batch.column(1).to_pylist()
+        for a, b in C.blocks(texts):
+            tokens = [shingles(t, k).view(np.int64) for t in texts[a:b]]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(tokens, pa.list_(pa.int64()))], ["id", "tokens"])
 
     return scratch.write(C.map_arrow(df.where("doc_id is not null"), pick, f"id {kind}, tokens array<long>"), "sets")
 
@@ -235,14 +243,20 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4,
 def search(docs: DataFrame, rows: DataFrame, classes: DataFrame, k: int, share: tuple[int, int], scratch: C.Scratch) -> DataFrame:
     """node, component of the class representatives that link with another one."""
     reps = rows.where("doc_id is not null and size(prefix) > 0").join(classes.withColumnRenamed("rep", "doc_id"), ["digest", "doc_id"])
-    postings = reps.select(F.col("doc_id").alias("rep"), F.col("n").cast("int").alias("n"), F.explode("prefix").alias("token"))
-    shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("token")
-    lists = postings.join(shared, "token")
+    reps = scratch.write(reps.select(F.col("doc_id").alias("rep"), F.col("n").cast("int").alias("n"), "prefix"), "representatives")
+    lists = None
+    for at in range(SLICES):  # one after the other, so that only a part of the postings is in shuffle files at a time
+        postings = reps.select("rep", "n", F.explode("prefix").alias("token")).where(F.pmod("token", F.lit(SLICES)) == at)
+        shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("token")
+        part = scratch.write(postings.join(shared, "token"), "slice")
+        scratch.release()
+        lists = part if lists is None else lists.union(part)
+    scratch.discard("representatives")
     # Whoever is on fewer lists than a similar pair must share has no partner.
     own = F.count(F.lit(1)).over(Window.partitionBy("rep"))
     lists = scratch.write(lists.withColumn("m", own).where(F.col("m") >= 1 + F.floor(F.col("n") / 50)), "lists")
-    scratch.release()
     groups = scratch.write(hub_groups(lists, share), "groups")
+    scratch.release()  # of the lists' shuffle files, the largest ones; Spark holds on to those of its last query
     sets = sets_of(docs, groups.select(F.col("rep").alias("id")), k, scratch)
     known = components(blocked(groups, sets, share, scratch), "x", "y", scratch)
     scratch.release()
@@ -251,19 +265,19 @@ def search(docs: DataFrame, rows: DataFrame, classes: DataFrame, k: int, share:
     return joined(known, across, "x", "y", scratch)
 
 
-def hub_groups(lists: DataFrame, part: tuple[int, int]) -> DataFrame:
+def hub_groups(lists: DataFrame, share: tuple[int, int]) -> DataFrame:
     """rep, n, hub, members, tokens: representatives in groups of those that share prefix tokens with one hub.
 
     A list's hub is its member that shares most of its own prefix (an original among edited
     copies); each member joins the hub of most of its lists, if these are as many as a similar
     pair must share; others are in no group.
     """
-    share = lists.groupBy("rep", "n").agg(F.count(F.lit(1)).alias("_c")).select("rep", (F.col("_c") / prefix_size(F.col("n"), part)).alias("_share"))
-    hubs = lists.select("token", "rep").join(share, "rep").groupBy("token").agg(F.max_by("rep", F.struct("_share", -F.col("rep"))).alias("hub"))
+    common = lists.groupBy("rep", "n").agg(F.count(F.lit(1)).alias("_c")).select("rep", (F.col("_c") / prefix_size(F.col("n"), share)).alias("_share"))
+    hubs = lists.select("token", "rep").join(common, "rep").groupBy("token").agg(F.max_by("rep", F.struct("_share", -F.col("rep"))).alias("hub"))
     votes = lists.select("token", "rep", "n", "m").join(hubs, "token").groupBy("rep", "n", "m", "hub").agg(F.count(F.lit(1)).alias("_v"))
     first = votes.groupBy("rep", "n", "m").agg(F.max_by("hub", F.struct("_v", -F.col("hub"))).alias("hub"), F.max("_v").alias("_v")).where(F.col("_v") >= 1 + F.floor(F.col("n") / 50))
     leader = lists.select(F.col("rep").alias("hub"), F.col("n").alias("_n"), F.col("m").alias("_m")).distinct()
-    first = first.join(leader, "hub").where(F.least("m", "_m") >= enough(F.col("n"), F.col("_n"), part))
+    first = first.join(leader, "hub").where(F.least("m", "_m") >= enough(F.col("n"), F.col("_n"), share))
     # A hub stands in its own group, wherever its own lists would put it.
     leaders = first.select(F.col("hub").alias("rep"), F.lit(True).alias("_leads")).distinct()
     sizes = lists.select("rep", "n").distinct()
