@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Characters that a block of texts handed to numpy holds at most; a single longer text is a block of its own.
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -29,7 +29,7 @@ from corpusloom.llm import common as C
 
 #: A-Z to lower case, other ASCII that is no digit or letter to a space; bytes of other characters stay.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-BATCH_CHARS = 1 << 21
+BATCH_CHARS = 1 << 20
 
 
 def words(text: str | None) -> list[bytes]:
