@@ -477,6 +477,41 @@ def test_lm_edges(edges, empty):
     assert maxent_lm.score(empty.select("doc_id", "text"), *fitted, F.lit(True)).count() == 0
 
 
+def test_lm_learns_tokens_outside_the_first_classes(spark):
+    """Pairs of words, all of them rarer than the tokens that fill the first classes, are predicted from their context."""
+    rng = random.Random(9)
+    common = [f"f{i}" for i in range(maxent_lm.VOCABULARY + 100)]
+    pairs = [(f"a{i}", f"b{i}") for i in range(300)]
+    texts = [" ".join(w for _ in range(20) for w in (*rng.choice(pairs), *rng.sample(common, 6))) for _ in range(1500)]
+    model, counts = maxent_lm.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    exact = Counter(w for t in texts for w in maxent_lm.tokens(t))
+    assert all(counts[i] == exact[w] for w, i in model.index.items()) and set(model.index) == set(exact)
+    assert all(model.index[w.encode()] >= maxent_lm.VOCABULARY for p in pairs for w in p)
+    asked = [(i, f"{pairs[i][0]} {pairs[i][1]}") for i in range(300)] + [(300 + i, f"{pairs[i][0]} {pairs[(i + 1) % 300][1]}") for i in range(300)]
+    rows = maxent_lm.score(spark.createDataFrame([(i, t) for i, t in asked], "doc_id long, text string"), model, counts, F.lit(False)).collect()
+    score = {r.doc_id: r.score for r in rows}
+    assert np.mean([score[i] - score[300 + i] for i in range(300)]) > 0.2
+
+
+def test_lm_tail_is_a_distribution():
+    counts = [(f"w{i}".encode(), 4000 - i) for i in range(3000)] + [(maxent_lm.END, 50)]
+    depth = maxent_lm.depth_for(len(counts))
+    leaf = maxent_lm.leaf_of(maxent_lm.token_hash([w for w, _ in counts]), depth)
+    n = maxent_lm.BRANCHES**depth
+    model = maxent_lm.fresh(counts, 2, (np.bincount(leaf, [k for _, k in counts], n), np.bincount(leaf, minlength=n)))
+    maxent_lm.learn(model, [" ".join(f"w{i * 7 % 3000}" for i in range(500))], [np.zeros(2 * maxent_lm.ROWS, np.float32) for _ in model.weights], np.zeros(maxent_lm.FREQUENT, np.int64), 0.15)
+    total, leaves = 0.0, set()
+    for w, k in counts:
+        data = maxent_lm.encode([f"w3 {w.decode()}" if w else "w3"], model.index)
+        p, at = np.exp(maxent_lm.log_prob(model, data)[1]), data.leaves(model)[1]
+        total += p if at < 0 else p * (k + 0.5) / 10 ** model.leaf_total[at]
+        if at >= 0 and at not in leaves:  # each leaf leaves half a count to unknown tokens
+            leaves.add(at)
+            total += p * 0.5 / 10 ** model.leaf_total[at]
+    assert len(leaves) > 0.5 * n and depth > 1
+    assert total == pytest.approx(1, abs=0.05 if len(leaves) < n else 1e-4)
+
+
 # ---- 9
 
 
