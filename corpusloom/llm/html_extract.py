@@ -9,7 +9,8 @@ element says about itself (article, nav, class "ad", a list of links) enters as
 blocks of branches with low importance are removed.
 
 Defined results: null or empty html gives an empty text; pages without a host form one
-site; a node seen on one page only has importance 1; repeated rows are pages of their own;
+site; a node seen on one page only has importance 1; repeated rows each have their result,
+but pages of a host with equal blocks count once in its tree;
 a tag that the end of the page cuts off is no text.
 """
 
@@ -195,13 +196,15 @@ def style_tree(rows: DataFrame) -> DataFrame:
     content is 1 less the mean, over the node's distinct contents, of log(pages with it) / log(pages);
     presentation is the entropy, to the base of the number of pages, of the forms in which it stands.
     """
-    blocks = rows.select("_row", "host", F.explode("blocks").alias("b"))
-    both = blocks.select("_row", "host", F.explode(F.array_distinct(F.array("b.leaf", "b.branch"))).alias("node"), F.xxhash64("b.text").alias("feature")).distinct()
+    # Copies of a page say nothing about a template, so a page is what its blocks are.
+    pages = rows.select(F.xxhash64("blocks").alias("_page"), "host", "blocks", "looks")
+    blocks = pages.select("_page", "host", F.explode("blocks").alias("b"))
+    both = blocks.select("_page", "host", F.explode(F.array_distinct(F.array("b.leaf", "b.branch"))).alias("node"), F.xxhash64("b.text").alias("feature")).distinct()
     contents = both.groupBy("host", "node", "feature").agg(F.count(F.lit(1)).alias("n")).groupBy("host", "node").agg(F.avg(F.log("n")).alias("recurs"))
-    pages = both.select("_row", "host", "node").distinct().groupBy("host", "node").agg(F.count(F.lit(1)).alias("pages"))
-    looks = rows.select("host", F.explode("looks").alias("x")).groupBy("host", "x.node", "x.look").agg(F.count(F.lit(1)).alias("n"))
+    stands = both.select("_page", "host", "node").distinct().groupBy("host", "node").agg(F.count(F.lit(1)).alias("pages"))
+    looks = pages.select("_page", "host", F.explode("looks").alias("x")).distinct().groupBy("host", "x.node", "x.look").agg(F.count(F.lit(1)).alias("n"))
     looks = looks.groupBy("host", "node").agg((F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")).alias("entropy"), F.sum("n").alias("m"))
-    tree = pages.join(contents, ["host", "node"]).join(looks, ["host", "node"], "left")
+    tree = stands.join(contents, ["host", "node"]).join(looks, ["host", "node"], "left")
     scaled = lambda x, n: F.when(F.col(n) <= 1, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), x / F.log(n))))
     return tree.select("host", "node", "pages", scaled(F.coalesce(F.col("entropy"), F.lit(0.0)), "m").alias("presentation"), F.when(F.col("pages") <= 1, 1.0).otherwise(1 - F.least(F.lit(1.0), F.col("recurs") / F.log("pages"))).alias("content"))
 

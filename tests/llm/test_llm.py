@@ -566,6 +566,12 @@ def test_style_tree_drops_templates(spark):
     assert got[99].startswith("Welcome") and "Story 99" in got[99]  # one page tells nothing about its site
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    copies = [(i, "http://c.org", "<body><p>The same text on every copy</p></body>") for i in range(3)] + [(i, None, "<p>No address</p>") for i in (10, 11)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(copies, "page_id int, url string, html string")).collect()}
+    assert got == {0: "The same text on every copy", 1: "The same text on every copy", 2: "The same text on every copy", 10: "No address", 11: "No address"}
+
+
 def test_extraction_query(spark, sf):
     import html
     import re
