@@ -6,7 +6,10 @@ on how many pages it stands, how its presentation (the sequence of child element
 and on how many pages each of its contents recurs. Entropy over pages gives a node's
 importance: contents that recur everywhere and fixed presentation are template. What an
 element says about itself (article, nav, class "ad", a list of links) enters as a prior;
-blocks of branches with low importance are removed.
+blocks with low importance are removed. Entropy overrules the prior both ways: what recurs
+on all pages of a host goes even in an article, and a long block that differs from page to
+page stays in a wrapper with a marked class or beside the article. Tag rules alone decide
+on nav, footer, aside and forms, and on short blocks or lists of links outside an article.
 
 Defined results: null or empty html gives an empty text; pages without a host form one
 site; a node seen on one page only has importance 1; repeated rows each have their result,
@@ -33,6 +36,8 @@ SILENT = frozenset("script style noscript template svg math iframe object canvas
 NOISE = frozenset("nav footer aside form menu dialog fieldset".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CONTAINERS = frozenset("body main article section div nav footer header aside form table ul ol dl menu dialog".split())
+#: In an article, classes of these (say, page-header) mark nothing.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words of a class, id or role that mark what is no article text.
 NOISE_WORDS = frozenset(
     "ad ads advert adverts advertisement adbox adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside widget footer foot header masthead topbar "
@@ -42,8 +47,13 @@ NOISE_WORDS = frozenset(
 #: An element that starts closes an open one of these names, within the nearest container.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-ARTICLE, NEUTRAL, NOISY = 2, 1, 0
+#: MARKED: a class, id or role marks it; MARKED_ARTICLE: an article in such a wrapper.
+MARKED_ARTICLE, MARKED, ARTICLE, NEUTRAL, NOISY = 4, 3, 2, 1, 0
 GAMMA = 0.5
+#: Weights of the prior against entropy, and of a leaf's entropy against its branch's.
+PRIOR, LEAF = 0.35, 0.8
+#: Characters from which a marked block may be an article's text; pages that a leaf of an article must stand on to be a template.
+LONG, TEMPLATE_PAGES = 200, 5
 #: Places of style trees that are sent to all executors at most; beyond that, blocks are joined with them.
 SENT_PLACES = 200_000
 
@@ -102,12 +112,12 @@ class PageParser(HTMLParser):
         words = {w for v in marks for w in re.split(r"[^a-z]+", v.lower())}
         hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs)
         kind = top.kind
-        if name in NOISE or hidden or words & NOISE_WORDS and name not in ("body", "html", "article", "main"):
-            kind = NOISY
-        elif name == "header" and kind != ARTICLE:
+        if name in NOISE or hidden or name == "header" and kind not in (ARTICLE, MARKED_ARTICLE):
             kind = NOISY
+        elif words & NOISE_WORDS and name not in ("body", "html", "article", "main") and not (name in HEADINGS and kind in (ARTICLE, MARKED_ARTICLE)):
+            kind = MARKED if kind != NOISY else NOISY
         elif name in ("article", "main") and kind != NOISY:
-            kind = ARTICLE
+            kind = ARTICLE if kind not in (MARKED, MARKED_ARTICLE) else MARKED_ARTICLE
         key = xxhash.xxh3_64_intdigest(f"{name}.{classes}", top.key) >> 1
         self.stack.append(Element(name, key, kind, top.silent or name in SILENT, key if name in CONTAINERS else top.branch, top.links or name == "a"))
         if name not in INLINE:
@@ -150,13 +160,18 @@ class PageParser(HTMLParser):
         self.flush()
         while len(self.stack) > 1:
             self.close_top()
-        if any(b[2] == ARTICLE for b in self.blocks):
-            self.blocks = [(a, b, k if k != NEUTRAL else -1, t, x) for a, b, k, t, x in self.blocks]
+        kinds = {b[2] for b in self.blocks}
+        # An article in a marked wrapper is the page's article if there is no other.
+        means = {MARKED_ARTICLE: MARKED if ARTICLE in kinds else ARTICLE}
+        if kinds & {ARTICLE, MARKED_ARTICLE}:
+            means[NEUTRAL] = MARKED
+        blocks = ((a, b, means.get(k, k), t, x) for a, b, k, t, x in self.blocks)
+        self.blocks = [(a, b, NOISY if k == MARKED and (x or len(t) < LONG) else k, t, x) for a, b, k, t, x in blocks]
         return self.blocks, list(dict.fromkeys(self.looks))
 
 
 def parse(html: str | None):
-    """Blocks (leaf, branch, kind, text, links) and containers' presentations of one page; kind -1: outside the page's article."""
+    """Blocks (leaf, branch, kind, text, links) and containers' presentations of one page; what is outside the page's article counts as marked."""
     return PageParser().finish(html) if html else ([], [])
 
 
@@ -209,11 +224,13 @@ def style_tree(rows: DataFrame) -> DataFrame:
     return tree.select("host", "node", "pages", scaled(F.coalesce(F.col("entropy"), F.lit(0.0)), "m").alias("presentation"), F.when(F.col("pages") <= 1, 1.0).otherwise(1 - F.least(F.lit(1.0), F.col("recurs") / F.log("pages"))).alias("content"))
 
 
-def importance(leaf_content, branch_presentation, branch_content, kind, links):
+def importance(leaf_content, leaf_pages, branch_presentation, branch_content, kind, links):
     """Composite importance of a block's place: entropy of its leaf and branch, with what the element says of itself as a prior."""
-    entropy = (F.coalesce(leaf_content, F.lit(1.0)) + GAMMA * F.coalesce(branch_content, F.lit(1.0)) + (1 - GAMMA) * F.coalesce(branch_presentation, F.lit(1.0))) / 2
-    prior = F.when(kind == ARTICLE, 1.0).when(kind == NOISY, 0.0).when(kind == -1, 0.15).when(links, 0.2).otherwise(0.5)
-    return 0.6 * prior + 0.4 * entropy
+    leaf = F.when((kind == ARTICLE) & (leaf_pages < TEMPLATE_PAGES), 1.0).otherwise(F.coalesce(leaf_content, F.lit(1.0)))
+    branch = GAMMA * F.coalesce(branch_content, F.lit(1.0)) + (1 - GAMMA) * F.coalesce(branch_presentation, F.lit(1.0))
+    # A prior below -0.43 removes, whatever the entropy.
+    prior = F.when(kind == ARTICLE, 1.0).when(kind == NOISY, -0.5).when(kind == MARKED, 0.3).when(links, -0.3).otherwise(0.5)
+    return PRIOR * prior + (1 - PRIOR) * (LEAF * leaf + (1 - LEAF) * branch)
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", threshold: float = 0.5) -> DataFrame:
@@ -223,10 +240,10 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     blocks = rows.select("_row", "page_id", "url", "host", F.posexplode_outer("blocks").alias("pos", "b")).select("_row", "page_id", "url", "host", "pos", "b.*")
     place = ["host", "leaf", "branch", "kind", "links"]
     places = blocks.where("leaf is not null").select(*place).distinct()
-    leaf = tree.select("host", F.col("node").alias("leaf"), F.col("content").alias("_leaf"))
+    leaf = tree.select("host", F.col("node").alias("leaf"), F.col("content").alias("_leaf"), F.col("pages").alias("_pages"))
     branch = tree.select("host", F.col("node").alias("branch"), F.col("content").alias("_content"), F.col("presentation").alias("_look"))
     judged = places.join(leaf, ["host", "leaf"], "left").join(branch, ["host", "branch"], "left")
-    kept = judged.select(*place, (importance(F.col("_leaf"), F.col("_look"), F.col("_content"), F.col("kind"), F.col("links")) >= threshold).alias("keep"))
+    kept = judged.select(*place, (importance(F.col("_leaf"), F.col("_pages"), F.col("_look"), F.col("_content"), F.col("kind"), F.col("links")) >= threshold).alias("keep"))
     kept = C.materialize(kept.where("keep").drop("keep"), "kept-places")
     if kept.count() <= SENT_PLACES:
         return filtered(rows, {tuple(r) for r in kept.collect()})

@@ -572,6 +572,17 @@ def test_copies_of_a_page_are_no_template(spark):
     assert got == {0: "The same text on every copy", 1: "The same text on every copy", 2: "The same text on every copy", 10: "No address", 11: "No address"}
 
 
+def test_entropy_overrules_what_elements_say(spark):
+    """What recurs in articles goes; long text of its own stays in marked wrappers, and so does an article in one."""
+    own = lambda i: " ".join(f"word{i * 50 + j}" for j in range(50))
+    page = lambda i: f"<body><nav><a href=/{i}>Link {i}</a></nav><article><p>{own(i)}</p><p class=tease>Read our terms</p></article><div class=sidebar><p>{own(i + 100)}</p><p class=x>By {i}</p></div></body>"
+    rows = [(i, "http://a.org", page(i)) for i in range(20)]
+    rows += [(100 + i, "http://b.org", f"<body><div class='content no-sidebar'><article><h1 class=page-header>T{i}</h1><p>Short {i}</p></article></div><footer>Foot {i}</footer></body>") for i in range(20)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert all(got[i] == f"{own(i)} {own(i + 100)}" for i in range(20))
+    assert all(got[100 + i] == f"T{i} Short {i}" for i in range(20))
+
+
 def test_extraction_query(spark, sf):
     import html
     import re
