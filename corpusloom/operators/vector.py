@@ -132,10 +132,29 @@ def cells(chunks: DataFrame, key: str, lists: int, vector: str = "embedding", sa
     return model.transform(points).select(key, vector, F.col("prediction").alias("cell")), centres
 
 
-def top_k_cells(index: DataFrame, centres: np.ndarray, queries: DataFrame, k: int, probes: int, key: str, vector: str = "embedding", query_key: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
-    """Top k among the chunks of each query's nearest cells: queries meet chunks by cell, an equi-join."""
-    order = F.array(*[F.struct(-dot(F.col(query_vector), F.array(*[F.lit(float(x)) for x in c])), F.lit(i)) for i, c in enumerate(centres)])
-    near = queries.select(query_key, query_vector, F.explode(F.slice(F.array_sort(order), 1, probes)).alias("_c")).select(query_key, query_vector, F.col("_c.col2").alias("cell"))
-    found = near.join(index, "cell").select(query_key, key, F.round(cosine(F.col(vector), F.col(query_vector)), DIGITS).alias("score"))
+def cell_distance(query_vector: Column, centres: np.ndarray, each) -> Column:
+    """An array of each(cell, cosine of the query vector with the cell's centre)."""
+    return F.array(*[each(i, dot(query_vector, F.array(*[F.lit(float(x)) for x in c])) / F.greatest(norm(query_vector), F.lit(1e-300))) for i, c in enumerate(centres)])
+
+
+def top_k_cells(index: DataFrame, centres: np.ndarray, queries: DataFrame, k: int, probes: int, key: str, vector: str = "embedding", query_key: str = "query_id", query_vector: str = "query_vector", exact: bool = False) -> DataFrame:
+    """Top k among the chunks of each query's nearest cells: queries meet chunks by cell, an equi-join.
+
+    With `exact`, a query then meets each other cell that may hold a better chunk than its k-th: by the triangle inequality of
+    angles, no chunk of a cell is nearer than the angle to the cell's centre less the cell's widest angle.
+    """
     ranked = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
-    return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+    top = lambda found: found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+    meet = lambda near: near.join(index, "cell").select(query_key, key, F.round(cosine(F.col(vector), F.col(query_vector)), DIGITS).alias("score"))
+    order = cell_distance(F.col(query_vector), centres, lambda i, c: F.struct((-c).alias("away"), F.lit(i).alias("cell")))
+    placed = queries.select(query_key, query_vector, F.posexplode(F.array_sort(order)).alias("_place", "_c")).select(query_key, query_vector, "_place", "_c.cell", (-F.col("_c.away")).alias("_cosine"))
+    first = top(meet(placed.where(F.col("_place") < probes).select(query_key, query_vector, "cell")))
+    if not exact:
+        return first
+    own = F.element_at(F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centres]), F.col("cell") + 1)
+    angle = lambda c: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c)))
+    widest = index.groupBy("cell").agg(F.max(angle(cosine(F.col(vector), own))).alias("_widest"))
+    kth = first.groupBy(query_key).agg(F.max(F.when(F.col("rank") == k, F.col("score"))).alias("_kth"))
+    nearest = F.cos(F.greatest(F.lit(0.0), angle(F.col("_cosine")) - F.col("_widest")))
+    rest = placed.where(F.col("_place") >= probes).join(widest, "cell").join(kth, query_key, "left").where(F.col("_kth").isNull() | (nearest >= F.col("_kth") - 1e-6))
+    return top(first.drop("rank").unionByName(meet(rest.select(query_key, query_vector, "cell"))))

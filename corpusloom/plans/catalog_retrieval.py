@@ -108,7 +108,7 @@ def vec_truncate_dims(s, d):
 
 def vec_ivf_topk(s, d):
     index, centres = vector.cells(table(s, d, "embeddings"), "vec_id", 16)
-    return vector.top_k_cells(index, centres, vectors_asked(s, d), 10, 4, "vec_id")
+    return vector.top_k_cells(index, centres, vectors_asked(s, d), 10, 4, "vec_id", exact=True)
 
 
 def terms_df(s, d):

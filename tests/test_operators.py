@@ -117,6 +117,15 @@ def test_cells_recall(spark):
     assert len(near & exact) >= 0.9 * len(exact)
 
 
+def test_cells_query_finds_all(spark, sf):
+    """The registered index query against exact search, over the whole table."""
+    from corpusloom.plans import catalog_retrieval as R
+
+    near = {(r.query_id, r.vec_id): r.score for r in R.vec_ivf_topk(spark, sf).collect()}
+    exact = {(r.query_id, r.vec_id): r.score for r in vector.top_k_batch(R.table(spark, sf, "embeddings"), R.vectors_asked(spark, sf), 10, "vec_id").collect()}
+    assert len(near) == len(exact) and len(near.keys() & exact.keys()) >= 0.99 * len(exact)
+
+
 def test_fulltext(spark):
     docs = fulltext.documents_with_terms(frame(spark, "doc_id int, text string", (1, "Νόμος 216(Ι)/2012 και άρθρο"), (2, "άρθρο νόμος"), (3, None), (4, "")))
     queries = frame(spark, "query_id int, text string", (1, "νόμος 216(Ι)/2012"), (2, "και το"), (3, ")( x"), (4, ""))
