@@ -141,7 +141,10 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
     kind = sample.schema["_k"].dataType.simpleString()
     got = C.map_arrow(sample.select("_k", "_t", "_l"), run, f"k {kind}, l int, at array<int>, w array<float>").toArrow().sort_by("k")
     rows_ = [(at.values.to_numpy(), w.values.to_numpy()) for at, w in zip(got.column("at"), got.column("w"), strict=True)]
-    return train(rows_, np.array(got.column("l").to_pylist()), bits)
+    model = train(rows_, np.array(got.column("l").to_pylist()), bits)
+    # Labels are sampled at their own rates; the log odds of the rates give back the shares that the labels have.
+    odds = float(np.log(share.get(0, 1.0) / share.get(1, 1.0))) if len(share) == 2 else 0.0
+    return QualityModel(model.weight, model.bias + odds, model.empty + odds)
 
 
 def score_texts(model: QualityModel, texts: list[str | None]) -> np.ndarray:

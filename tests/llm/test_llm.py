@@ -534,6 +534,15 @@ def test_quality(spark, edges, empty):
     assert quality.score_texts(model, texts) == pytest.approx([quality.score_texts(model, [t])[0] for t in texts], abs=1e-6)
 
 
+def test_quality_keeps_the_shares_of_labels(spark):
+    """A balanced sample of unbalanced labels scores empty texts by the true share."""
+    frame = spark.createDataFrame([(i, f"text {i % 7} of {i % 11}") for i in range(2000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 != 0)) for i in range(2000)], "doc_id long, quality int")
+    for most in (4000, 200):
+        model = quality.fit(frame, labels, max_rows=most)
+        assert quality.score_texts(model, [None])[0] == pytest.approx(0.9, abs=0.03)
+
+
 # ---- 10
 
 BODY = "<article><h1>Title &amp; more</h1><p>First <b>bold</b>\n  text.<br>Second&nbsp;line.</p><p>Third <a href=x>link</a>.</p><ul><li>one<li>two</ul>"
