@@ -69,5 +69,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
+        before = len(C.WRITTEN)
         docs = C.materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        C.clear(spark, before, keep=("/pipeline-",))  # what the stage wrote on its way
     return STAGES[-1][1](spark, docs, sf_dir)

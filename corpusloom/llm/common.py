@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 from pathlib import Path
 
 import numpy as np
@@ -22,23 +26,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@cache
+def local_dir() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='corpusloom-')}"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, local runs take a temporary one and clusters raise."""
     got = spark.conf.get("spark.checkpoint.dir", None)
-    if not got:
-        got = f"file://{tempfile.mkdtemp(prefix='corpusloom-')}"
-        spark.conf.set("spark.checkpoint.dir", got)
-    return got.rstrip("/")
+    if not got and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (got or local_dir()).rstrip("/")
+
+
+#: Intermediate tables written and not yet deleted, in order.
+WRITTEN: list[str] = []
 
 
 def materialize(df: DataFrame, tag: str, top: str | None = None) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back; cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{top or shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, pattern: str) -> None:
+    """Deletes what a path or pattern names, by Hadoop's file systems."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in files.globStatus(path) or ():
+        files.delete(found.getPath(), True)
+
+
+def clear(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Deletes the intermediate tables written since a length of WRITTEN, but those whose paths contain a name in `keep`. Results that read them must have been consumed."""
+    for path in WRITTEN[since:]:
+        if not any(k in path for k in keep):
+            delete(spark, path)
+            WRITTEN.remove(path)
+
+
+@atexit.register
+def clear_at_end() -> None:
+    spark = SparkSession.getActiveSession()
+    if WRITTEN and spark and spark.sparkContext._jsc:
+        with contextlib.suppress(Exception):  # the JVM may have ended first
+            clear(spark)
+
+
 class Scratch:
     """Intermediate tables of one operator, deleted once its result is written; `release` lets Spark drop shuffle files that no plan needs any more."""
 
@@ -57,11 +94,9 @@ class Scratch:
 
     def discard(self, tag: str = "") -> None:
         """Deletes the tables written under a tag, or all."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{tag}-*" if tag else self.path)
-        files = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        for found in files.globStatus(path) or ():
-            files.delete(found.getPath(), True)
+        start = f"{self.path}/{tag}-" if tag else self.path
+        delete(self.spark, f"{start}*" if tag else start)
+        WRITTEN[:] = [p for p in WRITTEN if not p.startswith(start)]
 
     def __exit__(self, *_) -> None:
         self.discard()
@@ -71,8 +106,8 @@ class Scratch:
 #: Python workers live as long as their executor, so memory that a batch needed goes back to the system: few arenas, Arrow
 #: memory from malloc, large blocks mapped on their own.
 WORKER_ENV = {"MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": "16777216", "MALLOC_MMAP_THRESHOLD_": "8388608", "ARROW_DEFAULT_MEMORY_POOL": "system"}
-#: Rows in an Arrow batch; whole texts make Spark's default of 10,000 large.
-BATCH_ROWS = 2000
+#: Rows and bytes in an Arrow batch at most; whole texts make Spark's default of 10,000 rows large.
+BATCH_ROWS, BATCH_BYTES = 2000, 32 << 20
 
 
 def code_path(spark: SparkSession) -> None:
@@ -86,6 +121,9 @@ def code_path(spark: SparkSession) -> None:
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(rows)) > BATCH_ROWS:
         spark.conf.set(rows, str(BATCH_ROWS))
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.match(r"\d+", spark.conf.get(size))[0]) > BATCH_BYTES and spark.conf.get(size)[-1] in "0123456789b":
+        spark.conf.set(size, str(BATCH_BYTES))
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -26,13 +26,16 @@ UNDETERMINED = "und"
 @dataclass
 class LanguageModel:
     langs: list[str]
-    #: buckets x languages, natural logarithms
+    #: buckets x languages, natural logarithms; a last row of zeros for places that count nothing
     log_prob: np.ndarray
     log_prior: np.ndarray
 
 
 def ngrams(texts: list[str | None], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the 1- to 3-grams of lower-cased texts, three for each place, and each text's first place."""
+    """Buckets of the 1- to 3-grams of lower-cased texts, three for each place, and each text's first place.
+
+    A text's last n-grams read on into two spaces of its own; the places of these spaces hold the bucket 1 << bits, which counts nothing.
+    """
     raw = "".join(f"{(t or '').lower()}  " for t in texts).encode("utf-32-le", "surrogatepass")
     c = np.frombuffer(raw, np.uint32).astype(np.uint64)
     lengths = np.fromiter((len((t or "").lower()) + 2 for t in texts), np.int64, len(texts))
@@ -45,6 +48,7 @@ def ngrams(texts: list[str | None], bits: int) -> tuple[np.ndarray, np.ndarray]:
     out = np.empty((len(c), 3), np.int32)
     for k, x in enumerate((h, two, three)):
         out[:, k] = ((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> shift
+    out[starts[1:] - 1] = out[starts[1:] - 2] = 1 << bits
     return out, starts
 
 
@@ -52,13 +56,13 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
-def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", bits: int = 15, rows_per_lang: int = 4000, alpha: float = 0.1) -> LanguageModel:
-    """Learns from a hash sample of about `rows_per_lang` labelled rows of each language (the documented bound of this fit)."""
+def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", bits: int = 15, rows_per_lang: int = 4000, alpha: float = 0.1, most_langs: int = 256) -> LanguageModel:
+    """Learns from a hash sample of about `rows_per_lang` labelled rows of each language, of the `most_langs` most frequent ones (the documented bounds of this fit)."""
     spark = df.sparkSession
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where("l is not null and t is not null")
-    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(most_langs).collect()}
     if not sizes:
-        return LanguageModel([], np.zeros((1 << bits, 0), np.float32), np.zeros(0))
+        return LanguageModel([], np.zeros(((1 << bits) + 1, 0), np.float32), np.zeros(0))
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, rows_per_lang / n)))])
     place = F.pmod(F.xxhash64("k", F.lit("language sample")), F.lit(1 << 20)) / F.lit(float(1 << 20))
     sample = rows.where(place < share[F.col("l")]).select("t", "l")
@@ -71,7 +75,7 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_i
             for a, b in C.blocks(texts):
                 grams, starts = ngrams(texts[a:b], bits)
                 for i in range(b - a):
-                    own = np.bincount(grams[starts[i] : starts[i + 1]].ravel(), minlength=buckets)
+                    own = np.bincount(grams[starts[i] : starts[i + 1]].ravel(), minlength=buckets + 1)[:buckets]
                     held[langs[a + i]] = held[langs[a + i]] + own if langs[a + i] in held else own
         for name, n in held.items():
             at = np.nonzero(n)[0]
@@ -86,7 +90,7 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_i
     n[got.column("b").to_numpy(), cols] = got.column("n").to_numpy()
     log_prob = np.log(n + alpha) - np.log(n.sum(0) + alpha * buckets)
     total = sum(sizes.values())
-    return LanguageModel(langs, log_prob.astype(np.float32), np.log([sizes[k] / total for k in langs]))
+    return LanguageModel(langs, np.vstack([log_prob, np.zeros(len(langs))]).astype(np.float32), np.log([sizes[k] / total for k in langs]))
 
 
 def score_texts(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], np.ndarray]:

@@ -15,7 +15,9 @@ gives no rows; repeated rows are packed one by one.
 from __future__ import annotations
 
 import json
+import re
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,9 @@ from pyspark.sql import types as T
 
 from corpusloom.llm import common as C
 
-_LOADED: dict[str, object] = {}
+_LOADED: dict[str, Callable[[str], list[int]]] = {}
+#: From this many white-space characters in a row on, the quicker library's backtracking may overflow its stack.
+LONG_SPACE = 1000
 
 
 def default_tokenizer() -> str:
@@ -34,11 +38,15 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encoder(path: str):
-    """The byte-level BPE of a tokenizers JSON file, run by the quicker library that gives the same ids; special strings are ordinary text."""
+def encoder(path: str) -> Callable[[str], list[int]]:
+    """Ids of a text by the byte-level BPE of a tokenizers JSON file.
+
+    A quicker library that gives the same ids runs it, but for texts that hold an added token or very long white space.
+    """
     if path not in _LOADED:
         import public_tokenizers
         import tiktoken
+        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
@@ -47,7 +55,14 @@ def encoder(path: str):
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         back = {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
         ranks = {bytes(back[c] for c in word): i for word, i in model["model"]["vocab"].items() if word not in special}
-        _LOADED[path] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        quick = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        exact = Tokenizer.from_file(path)
+        rare = re.compile("|".join([*map(re.escape, sorted(special)), rf"\s{{{LONG_SPACE}}}"]))
+
+        def encode(text: str) -> list[int]:
+            return exact.encode(text, add_special_tokens=False).ids if rare.search(text) else quick.encode_ordinary(text)
+
+        _LOADED[path] = encode
     return _LOADED[path]
 
 
@@ -59,7 +74,7 @@ def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def run(batch):
-        encode, texts = encoder(path).encode_ordinary, batch.column(1).to_pylist()
+        encode, texts = encoder(path), batch.column(1).to_pylist()
         for a, b in C.blocks(texts):
             rows, cols, ids_out = [], [[], [], [], []], []
             for i in range(a, b):

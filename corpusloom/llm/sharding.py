@@ -1,72 +1,92 @@
 """Sharding: minimax contiguous partition of ordered atomic groups.
 
-Equal texts form one atomic group. Groups stand in order of falling size; as equal sizes
-are neighbours, the ordered sequence is fully given by its size histogram, which has at
-most sqrt(2 x total bytes) entries and is all that the driver sees. The smallest feasible
-capacity is found by binary search, each candidate checked greedily on the histogram;
-then the cuts are made there. A group as large as an even share gets a shard of its own
-and the rest is solved again, so that one hot group doesn't leave other shards empty.
+Equal texts form one atomic group. Groups above a small share of a shard, of which there are
+few whatever the input, are units of their own; the others are joined by hash into small
+units, so the driver sees a bounded number of unit sizes. Units are ordered so that small
+ones stand behind large ones (each next unit by falling size goes to the least filled of as
+many lanes as there are shards, and the lanes stand one after the other). The smallest feasible
+capacity over this order is found by binary search, each candidate checked greedily; then the
+cuts are made there, each shard's capacity being the smallest with which the rest still fits.
 
 Defined results: a null text counts as empty, but its group isn't that of the empty text;
-an empty table gives no rows; repeated rows are rows of one group.
+an empty table gives no rows; repeated rows are rows of one group; a group larger than an
+even share has its shard for itself, and the others share the rest evenly.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import common as C
 
+#: Groups above 1 / LARGE of an even share are units of their own (LARGE x shards at most); the others are joined by hash to UNITS x shards units.
+LARGE, UNITS = 200, 1000
+
+
+def lanes(sizes: np.ndarray, shards: int) -> np.ndarray:
+    """The order of units: by lane, and by falling size within a lane."""
+    filled, lane = [(0, k) for k in range(shards)], np.zeros(len(sizes), np.int64)
+    falling = np.argsort(-sizes, kind="stable")
+    for i in falling.tolist():
+        held, k = heapq.heappop(filled)
+        lane[i] = k
+        heapq.heappush(filled, (held + int(sizes[i]), k))
+    return falling[np.argsort(lane[falling], kind="stable")]
+
 
-def fits(sizes: np.ndarray, before: np.ndarray, ends: np.ndarray, start: int, capacity: int, shards: int) -> list[int] | None:
-    """Prefix sums at which greedy filling from `start` cuts, or None if `shards` don't hold all."""
-    cuts, at, total = [], start, int(ends[-1])
+def cuts_within(ends: np.ndarray, start: int, capacity: int, shards: int) -> list[int] | None:
+    """Where greedy filling from unit `start` cuts (the unit after each shard's last), or None if `shards` don't hold all; ends: sums up to each unit."""
+    out, at = [], start
     for _ in range(shards):
-        reach = at + capacity
-        if reach >= total:
-            return [*cuts, total]
-        k = int(np.searchsorted(ends, reach, "right"))  # the class that isn't whole within reach
-        at = int(before[k]) + (reach - int(before[k])) // int(sizes[k]) * int(sizes[k]) if reach > before[k] else int(before[k])
-        if at <= (cuts[-1] if cuts else start):
-            return None
-        cuts.append(at)
+        at = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + capacity, "right"))
+        out.append(at)
+        if at >= len(ends):
+            return out
     return None
 
 
-def cut_points(histogram: list[tuple[int, int]], shards: int) -> list[tuple[int, int]]:
-    """From (group size, groups) the last place of each shard but the last: (class index from the largest size, groups of it in this shard or before).
-
-    Each shard's capacity is the smallest with which the shards left hold the groups left.
-    """
-    histogram = sorted(histogram, reverse=True)
-    if not histogram:
-        return []
-    sizes = np.array([s for s, _ in histogram], np.int64)
-    counts = np.array([n for _, n in histogram], np.int64)
-    ends = np.cumsum(sizes * counts)
-    before = ends - sizes * counts
-    total, start, out = int(ends[-1]), 0, []
-    for left in range(shards, 1, -1):
-        if start >= total:
+def partition(sizes: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each of these ordered units: contiguous, with the smallest largest sum, and likewise for what each shard leaves to the ones behind it."""
+    out, ends, start = np.zeros(len(sizes), np.int64), np.cumsum(sizes), 0
+    for k in range(shards):
+        if start >= len(sizes):
             break
-        first = int(sizes[np.searchsorted(ends, start, "right")])
-        low, high = max(first, -(-(total - start) // left)), max(first, -(-(total - start) // left) + first)
+        left, total, largest = shards - k, int(ends[-1] - (ends[start - 1] if start else 0)), int(sizes[start:].max())
+        low = max(largest, -(-total // left))
+        high = low + largest
         while low < high:
             middle = (low + high) // 2
-            if fits(sizes, before, ends, start, middle, left) is None:
+            if cuts_within(ends, start, middle, left) is None:
                 low = middle + 1
             else:
                 high = middle
-        start = fits(sizes, before, ends, start, low, left)[0]
-        k = min(int(np.searchsorted(ends, start, "left")), len(sizes) - 1)
-        out.append((k, (start - int(before[k])) // int(sizes[k])))
+        end = cuts_within(ends, start, low, left)[0]
+        out[start:end] = k
+        start = end
+    return out
+
+
+def place(sizes: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each unit. Units larger than an even share of what is left have a shard each; the rest is ordered and cut."""
+    out, falling, alone, total = np.zeros(len(sizes), np.int64), np.argsort(-sizes, kind="stable"), 0, int(sizes.sum())
+    while alone < min(shards - 1, len(sizes)) and int(sizes[falling[alone]]) * (shards - alone) > total:
+        out[falling[alone]] = alone
+        total -= int(sizes[falling[alone]])
+        alone += 1
+    rest = falling[alone:]
+    if len(rest):
+        order = rest[lanes(sizes[rest], shards - alone)]
+        out[order] = alone + partition(sizes[order], shards - alone)
     return out
 
 
 def assign(df: DataFrame, shards: int, key: str = "doc_id", text: str = "text", overhead: int = 16) -> DataFrame:
     """key, size, text_crc32, shard and slot (gapless from 0 in its shard) of each row; sizes are UTF-8 bytes plus `overhead`."""
+    spark = df.sparkSession
     content = F.coalesce(F.col(text), F.lit(""))
     rows = df.select(
         F.col(key).alias("doc_id"),
@@ -76,19 +96,16 @@ def assign(df: DataFrame, shards: int, key: str = "doc_id", text: str = "text",
     )
     rows = C.materialize(rows, "shard-rows")
     groups = C.materialize(rows.groupBy("content").agg(F.sum("size").alias("bytes")), "shard-groups")
-    histogram = [(r["bytes"], r["n"]) for r in groups.groupBy("bytes").agg(F.count(F.lit(1)).alias("n")).collect()]
-    cuts = cut_points(histogram, shards)
-    order = sorted((s for s, _ in histogram), reverse=True)
-    # Sizes within which a cut falls need a rank; for all others the size alone tells the shard.
-    inside = sorted({order[k] for k, _ in cuts})
-    ranked = C.gapless(groups.where(F.col("bytes").isin(inside)) if inside else groups.limit(0), ["bytes"], ["content"], "rank", 256, F.xxhash64("content"))
-    rest = groups.where(~F.col("bytes").isin(inside)) if inside else groups
-    placed = ranked.unionByName(rest.withColumn("rank", F.lit(0).cast("long")))
-    shard = F.lit(0)
-    for k, n in cuts:
-        shard = shard + F.when((F.col("bytes") < order[k]) | ((F.col("bytes") == order[k]) & (F.col("rank") >= n)), 1).otherwise(0)
-    placed = placed.select("content", shard.cast("int").alias("shard"))
+    total = groups.agg(F.sum("bytes")).first()[0] or 0
+    large = F.col("bytes") > total // (LARGE * shards)
+    # Large groups go by their content, the others by a hash of it.
+    unit = F.when(large, F.col("content")).otherwise(F.pmod(F.xxhash64("content"), F.lit(UNITS * shards)).cast("string").cast("binary"))
+    groups = groups.select("content", "bytes", unit.alias("unit"))
+    units = sorted((bytes(r["unit"]), r["bytes"]) for r in groups.groupBy("unit").agg(F.sum("bytes").alias("bytes")).collect())
+    shard = place(np.array([n for _, n in units], np.int64), shards)
+    told = spark.createDataFrame([(bytearray(u), int(k)) for (u, _), k in zip(units, shard, strict=True)], "unit binary, shard int")
+    placed = groups.join(F.broadcast(told), "unit").select("content", "shard")  # at most (LARGE + UNITS) x shards rows
     rows = rows.join(placed, "content")
     rows = C.materialize(rows.select("doc_id", "size", "text_crc32", "shard"), "shard-placed")
-    buckets = max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return C.gapless(rows, ["shard"], ["doc_id", "text_crc32"], "slot", buckets, F.xxhash64("doc_id", "text_crc32"))

@@ -13,9 +13,11 @@ with equal ids are ordered by text.
 
 from __future__ import annotations
 
+import json
+import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm import common as C
@@ -25,7 +27,6 @@ BITS = 128
 #: Terms that one row of packed counters takes; below 2^15, so that no counter overflows.
 TERMS_A_ROW = 30_000
 LANES = 0x0001000100010001
-CELLS = 16_384
 
 
 def terms(df: DataFrame, text: str, out: str, shingle: int = SHINGLE) -> DataFrame:
@@ -69,24 +70,33 @@ def likeness(hi: Column, lo: Column, other_hi: Column, other_lo: Column) -> Colu
     return 1 - distance(hi, lo, other_hi, other_lo) / F.lit(float(BITS))
 
 
-def ordered_buckets(df: DataFrame, key: str, rows_a_bucket: int = 64, most: int = 50_000) -> DataFrame:
-    """Adds `bucket`, rising with the key: near-equal runs of a fixed number of equal-width cells, so no order over all rows in one task is needed."""
-    spark = df.sparkSession
-    value = F.col(key).cast("double")
-    low, high = df.agg(F.min(value), F.max(value)).first()
-    if low is None:
-        return df.withColumn("bucket", F.lit(0))
-    width = max((high - low) / CELLS, 1e-9)
-    cell = F.coalesce(F.least(F.floor((value - low) / width).cast("int"), F.lit(CELLS - 1)), F.lit(-1))
-    counts = sorted(df.groupBy(cell.alias("c")).agg(F.count(F.lit(1)).alias("n")).collect())
-    total = sum(r["n"] for r in counts)
-    target = max(rows_a_bucket, -(-total // most))
-    at, rows = 0, []
-    for r in counts:
-        rows.append(f"({r['c']}, {at // target})")
-        at += r["n"]
-    cells = spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(_cell, bucket)")  # CELLS + 1 rows at most
-    return df.withColumn("_cell", cell).join(F.broadcast(cells), "_cell").drop("_cell")
+def told(spark: SparkSession, values: list, kind: str) -> Column:
+    """A constant array or struct out of plain values, of a DDL type."""
+    return F.from_json(F.lit(json.dumps(values, default=str)), kind)
+
+
+def ordered_buckets(df: DataFrame, key: str, rows_a_bucket: int = 64, most: int = 16_384, sample_rows: int = 131_072) -> DataFrame:
+    """Adds `bucket`, rising with the key, so that no order over all rows in one task is needed.
+
+    Buckets end at quantiles of a sample of at most about `sample_rows` keys of any type, which decides how rows are
+    dealt and nothing else. Null keys are in the first bucket.
+    """
+    spark, kind = df.sparkSession, df.schema[key].dataType.simpleString()
+    total = df.count()
+    place = F.pmod(F.xxhash64(key, F.lit("bucket sample")), F.lit(1 << 30))
+    sample = df.where(place < int((1 << 30) * min(1.0, sample_rows / max(1, total)))).where(F.col(key).isNotNull()).select(key)
+    keys = [r[0] for r in sample.orderBy(key).collect()]
+    buckets = min(most, total // rows_a_bucket, len(keys) // 4) + 1
+    ends = list(dict.fromkeys(keys[len(keys) * b // buckets] for b in range(1, buckets)))
+    # Two steps, each over about the root of the number of ends.
+    width = max(1, math.isqrt(len(ends)))
+    runs = [ends[a : a + width] for a in range(0, len(ends), width)]
+    tops, inside = told(spark, [r[0] for r in runs], f"array<{kind}>"), told(spark, [r[1:] for r in runs], f"array<array<{kind}>>")
+    upto = lambda ends: F.size(F.filter(ends, lambda e: e <= F.col(key)))
+    run = F.col("_run")
+    found = df.withColumn("_run", F.coalesce(upto(tops), F.lit(0)))
+    bucket = F.when(run > 0, (run - 1) * width + 1 + upto(F.get(inside, run - 1))).otherwise(0)
+    return found.withColumn("bucket", bucket.cast("int")).drop("_run")
 
 
 def edit_next(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -98,13 +108,12 @@ def edit_next(df: DataFrame, key: str, text: str) -> DataFrame:
     tops = sorted((r["bucket"], r["top"]) for r in docs.groupBy("bucket").agg(F.max("doc_id").alias("top")).collect())
     extra = None
     if tops:
-        spark = df.sparkSession
         above = {b: tops[(i + 1) % len(tops)][0] for i, (b, _) in enumerate(tops)}
-        rows = ", ".join(f"({b}, {'NULL' if top is None else top}, {above[b]})" for b, top in tops)
-        edge = spark.sql(f"SELECT CAST(b AS INT) AS b, CAST(top AS {df.schema[key].dataType.simpleString()}) AS top, CAST(above AS INT) AS above FROM VALUES {rows} AS t(b, top, above)")  # one row a bucket
+        rows = told(df.sparkSession, [{"b": b, "top": top, "above": above[b]} for b, top in tops], f"array<struct<b:int,top:{df.schema[key].dataType.simpleString()},above:int>>")
+        edge = df.sparkSession.range(1).select(F.inline(rows))  # one row a bucket
         last = docs.join(F.broadcast(edge), (F.col("bucket") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("top")))
-        last = last.withColumn("_k", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("text")))).where("_k = 1")
-        extra = last.select("doc_id", "text", F.col("above").alias("bucket"), F.lit(True).alias("extra"))
+        last = last.groupBy("b", "top", "above").agg(F.max("text").alias("text"))
+        extra = last.select(F.col("top").alias("doc_id"), "text", F.col("above").alias("bucket"), F.lit(True).alias("extra"))
     both = docs.select("doc_id", "text", "bucket", F.lit(False).alias("extra"))
     both = both.unionByName(extra) if extra is not None else both
     order = Window.partitionBy("bucket").orderBy(F.desc("extra"), F.asc_nulls_first("doc_id"), "text")

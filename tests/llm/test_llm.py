@@ -57,6 +57,17 @@ def test_language_edges(spark, edges, empty):
     assert {r.lang_pred for r in blank.collect()} == {"und"}
 
 
+def test_language_is_a_function_of_the_text(spark, docs):
+    """Neighbours in a batch and the number of partitions change nothing."""
+    model = language_id.fit(docs)
+    texts = ["ok go", "zug", "que", "la", "the", "", None, "a", *[r.text for r in docs.select("text").limit(60).collect()]]
+    names, scores = language_id.score_texts(model, texts)
+    alone = [language_id.score_texts(model, [t]) for t in texts]
+    assert names == [n for (n,), _ in alone] and scores.tolist() == [s[0] for _, s in alone]
+    rows = [{(r.doc_id, r.lang_pred, r.score) for r in language_id.predict(docs.repartition(n), language_id.fit(docs.repartition(n)), keep=["doc_id"]).collect()} for n in (1, 64)]
+    assert rows[0] == rows[1]
+
+
 def test_language_held_out(spark, sf, docs):
     got = queries.op1_language_id(spark, sf).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert sum(r.lang == r.lang_pred for r in got) >= 0.97 * len(got)
@@ -208,21 +219,22 @@ def test_cuts_against_brute_force():
         return next(c for c in range(max(sizes), sum(sizes) + 1) if fits(c))
 
     rng = random.Random(4)
-    for _ in range(60):
-        sizes = sorted((rng.choice([1, 2, 3, 5, 8, 40]) for _ in range(rng.randint(1, 30))), reverse=True)
+    for _ in range(100):
+        sizes = np.array([rng.choice([1, 2, 3, 5, 8, 40]) for _ in range(rng.randint(1, 30))])
         shards = rng.randint(1, 8)
-        cuts = sharding.cut_points(list(Counter(sizes).items()), shards)
-        order = sorted(set(sizes), reverse=True)
-        rank, shard = Counter(), []
-        for s in sizes:
-            k = order.index(s)
-            shard.append(sum(k > c or k == c and rank[s] >= n for c, n in cuts))
-            rank[s] += 1
-        sums = Counter()
-        for s, x in zip(sizes, shard, strict=True):
-            sums[x] += s
-        assert shard == sorted(shard) and max(shard) < shards
-        assert max(sums.values()) == least(sizes, shards)
+        shard = sharding.partition(sizes, shards).tolist()
+        sums = np.bincount(shard, sizes)
+        assert shard == sorted(shard) and max(shard) < shards and max(sums) == least(sizes.tolist(), shards)
+        order = sharding.lanes(sizes, shards)
+        assert sorted(order.tolist()) == list(range(len(sizes)))
+        placed = np.bincount(sharding.place(sizes, shards), sizes, shards)
+        assert placed.sum() == sizes.sum() and max(placed) <= sizes.sum() / shards + max(sizes)
+
+
+def test_one_hot_group_has_a_shard():
+    sizes = np.array([5000, *[7] * 2000, *range(1, 60)])
+    sums = np.bincount(sharding.place(sizes, 10), sizes, 10)
+    assert max(sums) == 5000 and max(np.delete(sums, sums.argmax())) - min(sums) <= 60
 
 
 def test_sharding_edges(edges, empty):
@@ -248,6 +260,12 @@ def test_sharding_query(spark, sf, docs):
     assert all(len(s) == 1 for s in shards.values()) and len(rows) == len(text)
 
 
+def test_shards_are_even(spark, sf):
+    docs = spark.read.parquet(sf.replace("sf0.001", "sf0.01") + "/documents.parquet")
+    sums = [r["n"] for r in sharding.assign(docs, 40).groupBy("shard").agg(F.sum("size").alias("n")).collect()]
+    assert len(sums) == 40 and max(sums) - min(sums) <= 0.02 * sum(sums) / 40
+
+
 # ---- 5
 
 
@@ -302,10 +320,10 @@ def test_tokenizer_parity(docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.default_tokenizer())
-    t.encode_special_tokens = True
-    texts = [*texts_of(docs).values(), "", " ", "a  b\n\n\tc", "<|endoftext|>", "日本語 𝔘 ñ\x00\x7f", "it's we'll I'D", "é" * 50, "\r\n  x"]
-    enc = packing.encoder(packing.default_tokenizer())
-    assert [enc.encode_ordinary(x) for x in texts] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    texts = [*texts_of(docs).values(), "", " ", "a  b\n\n\tc", "<|endoftext|>", "x <|endoftext|>\n<|endoftext|", "日本語 𝔘 ñ\x00\x7f", "it's we'll I'D", "é" * 50, "\r\n  x"]
+    texts += [" " * 1_000_000, "w" * 1_000_000, "a" + "\n \u00a0\t" * 100_000 + "b", " " * (packing.LONG_SPACE - 1) + "x"]
+    encode = packing.encoder(packing.default_tokenizer())
+    assert all(encode(x) == e.ids for x, e in zip(texts, t.encode_batch(texts, add_special_tokens=False), strict=True))
 
 
 def check_packing(rows, capacity):
@@ -333,7 +351,7 @@ def test_packing_edges(edges, empty):
     for i, t, *_ in EDGES:
         if i != 3:
             got = [x for r in whole[i] for x in r.ids]
-            assert got == [*enc.encode_ordinary(t or ""), 0] and all(r.length == 2048 for r in whole[i][1:])
+            assert got == [*enc(t or ""), 0] and all(r.length == 2048 for r in whole[i][1:])
             assert [r.start for r in whole[i]] == list(np.cumsum([0, *(r.length for r in whole[i])])[:-1])
     assert len(whole[3]) == 2
     assert packing.pack(C.materialize(packing.pieces(empty), "pieces")).count() == 0
@@ -384,6 +402,22 @@ def test_simhash_edges(edges, empty, spark):
     assert (one.next_hi, one.next_lo) == (one.hi, one.lo)
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_buckets_of_any_keys(spark, kind):
+    """One far key, text keys with quotes, ties and nulls: buckets stay even and in order, and edits take the next text."""
+    rng = random.Random(3)
+    keys = [*range(3000), 1 << 60, 5, 5] if kind == "long" else [f"id'{i}\\\"" for i in range(3000)] + ["zz", "zz"]
+    rows = [(k, f"text {rng.random()} of some words {i}") for i, k in enumerate(keys)] + [(None, "none")]
+    frame = spark.createDataFrame(rows, f"doc_id {kind}, text string")
+    got = simhash.ordered_buckets(frame, "doc_id").groupBy("bucket").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("n")).orderBy("bucket").collect()
+    assert len(got) > 20 and max(r.n for r in got) < 300 and all(x.b < y.a for x, y in zip(got, got[1:], strict=False))
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] if r[0] is not None else 0, r[1]), reverse=True)
+    want = Counter()
+    for k, (i, t) in enumerate(order):
+        n, nxt = len(t) // 3, order[(k + 1) % len(order)][1]
+        want[i, hashlib.sha256((t[: len(t) - n] + nxt[:n]).encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.edited_sha256) for r in simhash.fingerprint_edits(frame).select("doc_id", "edited_sha256").collect()) == want
+
 def test_simhash_votes(spark):
     text = " ".join(f"w{i % 50}" for i in range(70))
     frame = spark.createDataFrame([(1, text)], "k int, t string")
