@@ -72,9 +72,9 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
-    trained = C.fold(F.col("doc_id"), 5) != 1
-    out = maxent_lm.score(docs, *maxent_lm.fit(docs.where(trained)), trained)
-    return out.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    held_out = C.fold(F.col("doc_id"), 5) == 1
+    out = maxent_lm.score(docs.withColumn("held_out", held_out), *maxent_lm.fit(docs.where(~held_out)), keep=["doc_id", "held_out"])
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def queries() -> dict[str, Query]:

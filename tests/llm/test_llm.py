@@ -486,66 +486,96 @@ def test_lm_query(spark, sf, docs):
 
 
 def test_lm_is_a_distribution():
-    rng = random.Random(8)
-    words = [f"w{i}".encode() for i in range(1500)]
-    model = maxent_lm.fresh([(w, 2000 - i) for i, w in enumerate(words)] + [(maxent_lm.END, 50)])
-    seen = (np.zeros(maxent_lm.ROWS, np.float32), np.zeros(maxent_lm.ROWS, np.float32))
-    texts = [" ".join(w.decode() for w in rng.choices(words, k=50)) for _ in range(50)]
-    maxent_lm.learn(model, texts, seen, np.zeros(maxent_lm.FREQUENT, np.int64), 0.15)
-    inside = [w for w, i in model.index.items() if i < maxent_lm.VOCABULARY and w != maxent_lm.END]
-    total = 0.0
-    for w in [*inside, b"outside"]:
-        data = maxent_lm.encode([f"w3 w7 {w.decode()}"], model.index)
-        total += np.exp(maxent_lm.log_prob(model, data)[2])
-    end = maxent_lm.encode(["w3 w7"], model.index)
-    assert total + np.exp(maxent_lm.log_prob(model, end)[2]) == pytest.approx(1, abs=1e-4)
+    """Slots add up to 1, and so do the tokens of a tail slot with the half count that it leaves to unknown ones."""
+    counts = [(f"w{i}".encode(), 9000 - i) for i in range(8000)] + [(maxent_lm.END, 50)]
+    model = maxent_lm.fresh(counts, sum(n for _, n in counts), len(counts))
+    sums = [[np.zeros(w.shape, np.float32) for w in model.weights] for _ in range(2)]
+    texts = [" ".join(f"w{i * 7 % 8000}" for i in range(k, k + 500)) for k in range(20)]
+    maxent_lm.observe(model, texts, sums[0])
+    maxent_lm.step(model, sums[0], maxent_lm.at_start(model, sums[0]), 0.5)
+    maxent_lm.expect(model, texts, sums[1])
+    maxent_lm.step(model, *sums, 0.3)
+    assert all(np.abs(w).max() > 0.1 for w in model.weights) and model.own < 8000
+    total, slots = 0.0, set()
+    for w, k in counts:
+        data = maxent_lm.encode([f"w3 {w.decode()}" if w else "w3"], model.index)
+        p, at = np.exp(maxent_lm.log_prob(model, data)[1]), data.slots(model)[1] - model.own
+        total += p if at < 0 else p * (k + 0.5) / 10 ** model.slot_total[at]
+        if at >= 0 and at not in slots:
+            slots.add(at)
+            total += p * 0.5 / 10 ** model.slot_total[at]
+    assert len(slots) == model.tail * maxent_lm.SLOTS and total == pytest.approx(1, abs=1e-3)
+
+
+def test_lm_gradient_is_the_derivative():
+    """Observed less expected counts are the derivative of the log likelihood by each weight."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(150)], range(1, 151), k=300)) for _ in range(10)]
+    counts = Counter(w for t in texts for w in maxent_lm.tokens(t))
+    model = maxent_lm.fresh(list(counts.items()), sum(counts.values()), len(counts))
+    observed, expected = ([np.zeros(w.shape, np.float32) for w in model.weights] for _ in range(2))
+    maxent_lm.observe(model, texts, observed)
+    maxent_lm.step(model, observed, maxent_lm.at_start(model, observed), 0.5)
+    maxent_lm.expect(model, texts, expected)
+    data = maxent_lm.encode(texts, model.index)
+    for m, (row, choice) in ((m, at) for m in (0, 1) for at in rng.sample(np.argwhere(observed[m] > 1).tolist(), 5)):
+        held, ends = model.weights[m][row, choice], []
+        for d in (-0.05, 0.05):
+            model.weights[m][row, choice] = held + d
+            ends.append(maxent_lm.log_prob(model, data).sum())
+        model.weights[m][row, choice] = held
+        assert (ends[1] - ends[0]) / 0.1 == pytest.approx(observed[m][row, choice] - expected[m][row, choice], abs=0.05)
 
 
 def test_lm_edges(edges, empty):
     fitted = maxent_lm.fit(edges.select("doc_id", "text"))
-    rows = maxent_lm.score(edges.select("doc_id", "text"), *fitted, F.lit(True)).collect()
+    rows = maxent_lm.score(edges.select("doc_id", "text"), *fitted).collect()
     assert len(rows) == len(EDGES) and all(np.isfinite(r.score) and r.score <= 0 for r in rows)
     assert {r.n_tokens for r in rows if r.doc_id in (1, 2, 6)} == {1}
-    none = maxent_lm.score(edges.select("doc_id", "text"), *maxent_lm.fit(empty.select("doc_id", "text")), F.lit(False)).collect()
+    none = maxent_lm.score(edges.select("doc_id", "text"), *maxent_lm.fit(empty.select("doc_id", "text"))).collect()
     assert all(r.n_known == 0 and r.train_tokens == 0 and np.isfinite(r.score) and abs(r.base_score) < 1e-6 for r in none)
-    assert maxent_lm.score(empty.select("doc_id", "text"), *fitted, F.lit(True)).count() == 0
+    assert maxent_lm.score(empty.select("doc_id", "text"), *fitted).count() == 0
 
 
-def test_lm_learns_tokens_outside_the_first_classes(spark):
-    """Pairs of words, all of them rarer than the tokens that fill the first classes, are predicted from their context."""
+def test_lm_scores_other_tables(spark, sf, docs):
+    """A table without the training rows scores by their counts."""
+    train = docs.where("doc_id % 2 = 0").select("doc_id", "text")
+    counts = Counter(w for t in texts_of(train).values() for w in maxent_lm.tokens(t))
+    n, v = sum(counts.values()), len(counts)
+    other = docs.where("doc_id % 2 = 1").select("doc_id", "text")
+    text = texts_of(other)
+    for r in maxent_lm.score(other, *maxent_lm.fit(train)).collect():
+        own = maxent_lm.tokens(text[r.doc_id])
+        assert (r.n_known, r.train_tokens) == (sum(counts[w] > 0 for w in own), n) and np.isfinite(r.score)
+        assert r.base_score == pytest.approx(sum(np.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in own))
+
+
+def test_lm_gains_alike_however_rows_are_dealt(spark, docs):
+    train, held = (docs.where(F.pmod("doc_id", F.lit(5)) == 1 if h else F.pmod("doc_id", F.lit(5)) != 1).select("doc_id", "text") for h in (False, True))
+    gains = []
+    for n in (1, 8, 64):
+        fitted = maxent_lm.fit(train.repartition(n))
+        r = maxent_lm.score(held, *fitted).agg(F.sum(F.col("score") - F.col("base_score")) / F.sum("n_tokens")).first()
+        gains.append(r[0])
+    assert min(gains) > 0.02 and max(gains) - min(gains) < 0.001
+
+
+def test_lm_learns_tokens_outside_the_head(spark):
+    """Pairs of words, all of them rarer than the tokens that fill the head, are predicted from their context."""
     rng = random.Random(9)
-    common = [f"f{i}" for i in range(maxent_lm.VOCABULARY + 100)]
+    common = [f"f{i}" for i in range(maxent_lm.HEAD * maxent_lm.SLOTS + 100)]
     pairs = [(f"a{i}", f"b{i}") for i in range(300)]
-    texts = [" ".join(w for _ in range(20) for w in (*rng.choice(pairs), *rng.sample(common, 6))) for _ in range(1500)]
-    model, counts = maxent_lm.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    texts = [" ".join(w for _ in range(20) for w in (*rng.choice(pairs), *rng.sample(common, 25))) for _ in range(1500)]
+    model, rare = maxent_lm.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     exact = Counter(w for t in texts for w in maxent_lm.tokens(t))
-    assert all(counts[i] == exact[w] for w, i in model.index.items()) and set(model.index) == set(exact)
-    assert all(model.index[w.encode()] >= maxent_lm.VOCABULARY for p in pairs for w in p)
+    assert all(model.counts[i] == exact[w] for w, i in model.index.items()) and set(model.index) == set(exact) and rare.count() == 0
+    assert sum(model.index[w.encode()] >= model.own for p in pairs for w in p) > 500
     asked = [(i, f"{pairs[i][0]} {pairs[i][1]}") for i in range(300)] + [(300 + i, f"{pairs[i][0]} {pairs[(i + 1) % 300][1]}") for i in range(300)]
-    rows = maxent_lm.score(spark.createDataFrame([(i, t) for i, t in asked], "doc_id long, text string"), model, counts, F.lit(False)).collect()
+    rows = maxent_lm.score(spark.createDataFrame([(i, t) for i, t in asked], "doc_id long, text string"), model, rare).collect()
     score = {r.doc_id: r.score for r in rows}
     assert np.mean([score[i] - score[300 + i] for i in range(300)]) > 0.2
 
 
-def test_lm_tail_is_a_distribution():
-    counts = [(f"w{i}".encode(), 4000 - i) for i in range(3000)] + [(maxent_lm.END, 50)]
-    depth = maxent_lm.depth_for(len(counts))
-    leaf = maxent_lm.leaf_of(maxent_lm.token_hash([w for w, _ in counts]), depth)
-    n = maxent_lm.BRANCHES**depth
-    model = maxent_lm.fresh(counts, 2, (np.bincount(leaf, [k for _, k in counts], n), np.bincount(leaf, minlength=n)))
-    maxent_lm.learn(model, [" ".join(f"w{i * 7 % 3000}" for i in range(500))], [np.zeros(2 * maxent_lm.ROWS, np.float32) for _ in model.weights], np.zeros(maxent_lm.FREQUENT, np.int64), 0.15)
-    total, leaves = 0.0, set()
-    for w, k in counts:
-        data = maxent_lm.encode([f"w3 {w.decode()}" if w else "w3"], model.index)
-        p, at = np.exp(maxent_lm.log_prob(model, data)[1]), data.leaves(model)[1]
-        total += p if at < 0 else p * (k + 0.5) / 10 ** model.leaf_total[at]
-        if at >= 0 and at not in leaves:  # each leaf leaves half a count to unknown tokens
-            leaves.add(at)
-            total += p * 0.5 / 10 ** model.leaf_total[at]
-    assert len(leaves) > 0.5 * n and depth > 1
-    assert total == pytest.approx(1, abs=0.05 if len(leaves) < n else 1e-4)
-
-
 # ---- 9
 
 
