@@ -1,16 +1,20 @@
 """Substring deduplication by content-defined chunking.
 
-A gear rolling hash over the bytes cuts texts where its top bits are 0, so cuts depend on
-the last 16 bytes alone and text inserted before a passage doesn't shift the chunks in it.
-Chunks are grouped by digest; the first document (by id) with a chunk owns it. Chunks that
-another document shares with the same owner at the same distance form a candidate passage,
-which is compared byte by byte with the owner's text, extended beyond the chunks on both
-sides, trimmed to whole words and removed if it has `min_words` words or more. The owner
-keeps its text, so every passage stays once.
+A gear rolling hash over the bytes cuts texts where it is smaller than all its neighbours
+within RADIUS places, so a cut depends on some 60 bytes around it, text inserted before a
+passage doesn't shift the chunks in it, and chunks are longer than RADIUS bytes. Chunks are
+grouped by digest; a chunk that an earlier document (by id) has points to the first document
+with it and to the one just before in a bounded run of its holders. A passage's inner
+chunks are all such chunks, one beside the other; runs of them that are too short, with what
+stands around them, are no passages. The chunks of a run that point to one document at the same
+distance form a candidate, which is compared byte by byte with that document's text, extended
+on both sides, trimmed to whole words and removed if it has `min_words` words or more. The
+earlier document's text is its text before any removal, so every passage stays once.
 
 Defined results: null texts stay null; passages that repeat only within a document (or
-among rows that share an id) stay; rows without id stay as they are and own nothing; whole
-copies of an earlier document end up empty.
+among rows that share an id) stay; rows without id stay as they are and are no earlier documents;
+whole copies of an earlier document end up empty. Among documents with a passage in common
+the smallest id keeps it.
 """
 
 from __future__ import annotations
@@ -18,120 +22,242 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm import common as C
 
-#: A cut where this many top bits of the 16-bit hash are 0: chunks of 32 bytes on average.
-CUT_BITS = 5
+#: A cut is where the hash is smallest within so many places: chunks of twice as many bytes and one on average.
+RADIUS = 20
 LONGEST = 256
-#: Chunks below this many bytes recur by chance and aren't looked up.
-SHORTEST = 24
-#: Bytes beyond the first and last common chunk in which a passage is looked for.
-REACH = 512
+#: Chunks beside a run that a passage may reach into: cuts near its ends depend on the text around it.
+BESIDE = 3
+#: Bytes by which a candidate is extended at first, and by how much more each time what it reaches isn't known to repeat.
+REACH, MORE = 512, 16
+#: Holders of a digest that are in one run, each pointing to the one before.
+HOLDERS = 4096
 GEAR = C.mix64(np.arange(1, 257, dtype=np.uint64)).astype(np.uint16)
-WINDOW = 16
 
 
-def cuts(data: np.ndarray) -> np.ndarray:
-    """Places after which a chunk ends, by the gear hash h = (h << 1) + GEAR[byte] over 16 bits, for all places at once."""
+def gear(data: np.ndarray) -> np.ndarray:
+    """The gear hash h = (h << 1) + GEAR[byte] over 16 bits, for all places at once."""
     h = GEAR[data]
     for k in (1, 2, 4, 8):
         h[k:] = h[k:] + (h[:-k] << np.uint16(k))
-    return np.flatnonzero(h >> np.uint16(16 - CUT_BITS) == 0) + 1
+    return h
 
 
-def chunks(text: bytes) -> list[tuple[int, int]]:
-    """[start, end) of the chunks, which together are the text."""
-    if not text:
-        return []
-    at = cuts(np.frombuffer(text, np.uint8))
-    edges = np.unique(np.concatenate([[0], at, [len(text)]]))
+def least_around(h: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest value among the `radius` places before each one, and among those behind it."""
+    n, width = len(h), 1
+    low = np.concatenate([h, np.full(radius, np.iinfo(h.dtype).max, h.dtype)])  # low[i]: the least of [i, i + width)
+    while 2 * width <= radius:
+        low[:-width] = np.minimum(low[:-width], low[width:])
+        width *= 2
+    low[: n + radius - (radius - width)] = np.minimum(low[: n + radius - (radius - width)], low[radius - width :]) if radius > width else low[: n + radius]
+    behind = low[1 : n + 1]
+    before = np.full(n, np.iinfo(h.dtype).max, h.dtype)
+    before[radius:] = low[: max(0, n - radius)]
+    if n:
+        before[1:radius] = np.minimum.accumulate(h)[: max(0, min(n, radius) - 1)]
+    return before, behind
+
+
+def cuts(data: np.ndarray) -> np.ndarray:
+    """Places after which a chunk ends."""
+    h = gear(data)
+    before, behind = least_around(h, RADIUS)
+    return np.flatnonzero((h < before) & (h <= behind)) + 1
+
+
+def edges_of(data: np.ndarray) -> np.ndarray:
+    """Where chunks begin and the last one ends."""
+    edges = np.unique(np.concatenate([[0], cuts(data), [len(data)]]))
     wide = np.flatnonzero(np.diff(edges) > LONGEST)
     if len(wide):
         more = [np.arange(edges[i] + LONGEST, edges[i + 1], LONGEST) for i in wide]
         edges = np.unique(np.concatenate([edges, *more]))
-    return list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+    return edges
+
+
+def chunks(text: bytes) -> list[tuple[int, int]]:
+    """[start, end) of the chunks, which together are the text."""
+    edges = edges_of(np.frombuffer(text, np.uint8)).tolist() if text else []
+    return list(zip(edges[:-1], edges[1:], strict=True)) if edges else []
+
+
+def word_starts(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which bytes are white space, and how many words begin before each place."""
+    space = (data == 32) | ((data >= 9) & (data <= 13))
+    starts = ~space
+    starts[1:] &= space[:-1]
+    return space, np.concatenate([[0], np.cumsum(starts)])
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """digest, doc_id, start, length of each chunk long enough; `first` is the id at a digest's first place in the document, else null."""
+    """digest, doc_id, start, length, words and beside (words that begin in the BESIDE chunks on the left and on the right) of each chunk."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batch):
         texts = batch.column(1).to_pylist()
         for a, b in C.blocks(texts):
-            rows, digests, starts, lengths, firsts = [], [], [], [], []
+            digests, rows, cols = [], [], [[], [], [], [], []]
             for i in range(a, b):
                 if not texts[i]:
                     continue
                 raw = texts[i].encode("utf-8", "surrogatepass")
-                seen = set()
-                for s, e in chunks(raw):
-                    if e - s >= SHORTEST:
-                        d = xxhash.xxh3_64_intdigest(raw[s:e])
-                        rows.append(i)
-                        digests.append(d)
-                        starts.append(s)
-                        lengths.append(e - s)
-                        firsts.append(d not in seen)
-                        seen.add(d)
-            ids = batch.column(0).take(pa.array(rows, pa.int64()))
-            first = pa.compute.if_else(pa.array(firsts, pa.bool_()), ids, pa.scalar(None, ids.type))
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(digests, np.uint64).view(np.int64)), ids, pa.array(starts, pa.int64()), pa.array(lengths, pa.int32()), first], ["digest", "doc_id", "start", "length", "first"])
-
-    return C.map_arrow(docs.where("doc_id is not null"), run, f"digest long, doc_id {kind}, start long, length int, first {kind}")
-
-
-def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, owner, start, end, delta: stretches from the first to the last chunk shared with an owner whose text stands `delta` bytes before."""
-    found = occurrences(docs)
-    owners = found.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("_top"), F.min_by("start", "first").alias("_start")).where("owner <> _top")
-    shared = found.select("digest", "doc_id", "start", "length").join(owners.select("digest", "owner", "_start"), "digest").where("doc_id <> owner")
-    lines = shared.groupBy("doc_id", "owner", (F.col("start") - F.col("_start")).alias("delta")).agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("end"), F.sum("length").alias("bytes"), F.count(F.lit(1)).alias("n"))
-    # One short chunk in common is chance, unless the two documents share more elsewhere.
-    enough = F.max((F.col("n") > 1) | (F.col("bytes") >= 2 * SHORTEST)).over(Window.partitionBy("doc_id", "owner"))
-    return lines.withColumn("_enough", enough).where("_enough").select("doc_id", "owner", "start", "end", "delta")
-
-
-def slices(docs: DataFrame, runs: DataFrame) -> DataFrame:
-    """owner, a, b, begin, slice: the owner's bytes around its stretch [a, b), from byte `begin` on."""
-    wanted = C.materialize(runs.select("owner", (F.col("start") - F.col("delta")).alias("a"), (F.col("end") - F.col("delta")).alias("b")).distinct(), "stretches")
-    ids = C.materialize(wanted.select(F.col("owner").alias("doc_id")).distinct(), "owners")
-    held = C.by_ids(docs, ids, "doc_id", "left_semi").select(F.col("doc_id").alias("owner"), F.encode("text", "UTF-8").alias("_bytes"))
-    begin = F.greatest(F.lit(0).cast("long"), F.col("a") - REACH)
-    cut = F.substring("_bytes", (begin + 1).cast("int"), (F.col("b") + REACH - begin).cast("int"))
-    return wanted.join(held, "owner").select("owner", "a", "b", begin.alias("begin"), cut.alias("slice"))
-
-
-def repeated(raw: bytes, runs: list[dict], min_words: int) -> tuple[list[tuple[int, int]], list]:
-    """Byte stretches of raw to remove, and their owners."""
-    data = np.frombuffer(raw, np.uint8)
-    space = np.isin(data, (9, 10, 11, 12, 13, 32))
-    word_start = ~space & np.concatenate([[True], space[:-1]])
-    words = np.concatenate([[0], np.cumsum(word_start)])
-    marks, owners = np.zeros(len(raw) + 1, np.int32), []
-    for r in runs:
-        begin = r["begin"] + r["delta"]
-        theirs = np.frombuffer(r["slice"], np.uint8)
-        a, b = max(0, begin), min(len(raw), begin + len(theirs))
-        if a >= b:
+                data = np.frombuffer(raw, np.uint8)
+                edges = edges_of(data)
+                _, words = word_starts(data)
+                at, n = words[edges], len(edges) - 1
+                places = edges.tolist()
+                digests.extend(xxhash.xxh3_64_intdigest(raw[s:e]) for s, e in zip(places[:-1], places[1:], strict=True))
+                every = np.arange(n)
+                left = at[:-1] - at[np.maximum(every - BESIDE, 0)]
+                right = at[np.minimum(every + 1 + BESIDE, n)] - at[1:]
+                rows.append(np.full(n, i))
+                for c, x in zip(cols, (edges[:-1], np.diff(edges), np.diff(at), left, right), strict=True):
+                    c.append(x)
+            if rows:
+                ids = batch.column(0).take(pa.array(np.concatenate(rows)))
+                start, *small = (np.concatenate(c) for c in cols)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(digests, np.uint64).view(np.int64)), ids, pa.array(start.astype(np.int64)), *(pa.array(x.astype(np.int16)) for x in small)], names)
+
+    names = ["digest", "doc_id", "start", "length", "words", "left", "right"]
+    return C.map_arrow(docs.where("doc_id is not null"), run, f"digest long, doc_id {kind}, start long, length short, words short, left short, right short")
+
+
+def pointed(found: DataFrame) -> DataFrame:
+    """Occurrences whose digest an earlier document has, with `to`: the first such document and the one just before in a run of holders, and the places there."""
+    holders = found.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("_first"), F.max("doc_id").alias("_top"), F.count(F.lit(1)).alias("_n")).where("_first.doc_id <> _top")
+    shared = found.join(holders.select(F.col("digest").alias("_digest"), "_first", "_n"), F.col("digest") == F.col("_digest")).drop("_digest")
+    # A digest with many holders has several runs of them, so that none is one task's.
+    shared = shared.withColumn("_run", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("_n") / HOLDERS)))
+    order = Window.partitionBy("digest", "_run").orderBy("doc_id", "start")
+    before = F.struct(F.lag("doc_id").over(order).alias("owner"), F.lag("start").over(order).alias("there"))
+    shared = shared.withColumn("_before", before).withColumn("_new", F.col("_before.owner").isNull() | (F.col("_before.owner") != F.col("doc_id")))
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    # All of a document's chunks with one digest point where its first one does.
+    to = F.last(F.when(F.col("_new"), F.col("_before")), ignorenulls=True).over(upto)
+    shared = shared.withColumn("_to", to)
+    first = F.struct(F.col("_first.doc_id").alias("owner"), F.col("_first.start").alias("there"))
+    both = F.array_distinct(F.filter(F.array(first, F.col("_to")), lambda x: x["owner"] != F.col("doc_id")))
+    return shared.withColumn("to", both).where(F.size("to") > 0).select("doc_id", "start", "length", "words", "left", "right", "to")
+
+
+def candidates(found: DataFrame, min_words: int) -> DataFrame:
+    """doc_id, owner, delta, start, end: stretches from the first to the last chunk of a run that point to one document whose text stands `delta` bytes before, and the run's low and high end, beyond which nothing repeats."""
+    ordered = Window.partitionBy("doc_id").orderBy("start")
+    # Rows that share an id may have chunks at the same place.
+    last = F.max(F.col("start") + F.col("length")).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    rows = pointed(found).withColumn("_gap", (last.isNull() | (F.col("start") > last)).cast("int"))
+    rows = rows.withColumn("run", F.sum("_gap").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = Window.partitionBy("doc_id", "run")
+    words = F.sum("words").over(whole) + F.max("left").over(whole) + F.max("right").over(whole) + 1
+    rows = rows.withColumn("_words", words).where(F.col("_words") >= min_words)
+    reach = BESIDE * LONGEST
+    rows = rows.withColumn("low", F.min("start").over(whole) - reach).withColumn("high", F.max(F.col("start") + F.col("length")).over(whole) + reach)
+    rows = rows.withColumn("to", F.explode("to")).select("*", F.col("to.owner").alias("owner"), (F.col("start") - F.col("to.there")).alias("delta"))
+    lines = rows.groupBy("doc_id", "run", "low", "high", "owner", "delta")
+    return lines.agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("end")).drop("run")
+
+
+def stretches(raw: bytes, theirs: bytes, begin: int, min_words: int, words: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int]]:
+    """[s, e) of raw, whole words, `min_words` or more, equal to `theirs`, which stands at `begin` in raw's places."""
+    data, other = np.frombuffer(raw, np.uint8), np.frombuffer(theirs, np.uint8)
+    a, b = max(0, begin), min(len(raw), begin + len(other))
+    if a >= b:
+        return []
+    space, before = words
+    same = data[a:b] == other[a - begin : b - begin]
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], same.view(np.int8), [0]]))) + a
+    out = []
+    for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+        if before[e] - before[s] + 1 < min_words:
             continue
-        same = data[a:b] == theirs[a - begin : b - begin]
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], same.view(np.int8), [0]]))) + a
-        for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-            while s < e and s > 0 and not space[s - 1] and not space[s]:
-                s += 1  # a word that began before isn't whole
-            while e > s and e < len(raw) and not space[e - 1] and not space[e]:
-                e -= 1
-            if words[e] - words[s] >= min_words:
-                marks[s] += 1
-                marks[e] -= 1
-                owners.append(r["owner"])
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], (np.cumsum(marks) > 0).view(np.int8), [0]])))
-    return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)), sorted(set(owners))
+        while s < e and s > 0 and not space[s - 1] and not space[s]:
+            s += 1  # a word that began before isn't whole
+        while e > s and e < len(raw) and not space[e - 1] and not space[e]:
+            e -= 1
+        if before[e] - before[s] >= min_words:
+            out.append((s, e))
+    return out
+
+
+def compared(docs: DataFrame, lines: DataFrame, reach: int, min_words: int) -> DataFrame:
+    """doc_id, row, owner, s, e of passages; and, with s null, the lines whose equal stretch goes on beyond `reach` (as delta, start, end, low, high)."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    span = lambda c, side: F.greatest(F.lit(0).cast("long"), (F.greatest if side < 0 else F.least)(F.col(c) + side * reach, F.col("low" if side < 0 else "high")) - F.col("delta"))
+    lines = lines.withColumn("a", span("start", -1)).withColumn("b", span("end", 1))
+    wanted = C.materialize(lines.select(F.col("owner").alias("_owner"), F.col("a").alias("_a"), F.col("b").alias("_b")).distinct(), "stretches")
+    ids = C.materialize(wanted.select(F.col("_owner").alias("doc_id")).distinct(), "owners")
+    held = C.by_ids(docs, ids, "doc_id", "left_semi").select(F.col("doc_id").alias("_id"), F.encode("text", "UTF-8").alias("_bytes"))
+    # Rows that share an id: any of their texts.
+    slices = wanted.join(held, F.col("_owner") == F.col("_id")).select("_owner", "_a", "_b", F.substring("_bytes", (F.col("_a") + 1).cast("int"), (F.col("_b") - F.col("_a")).cast("int")).alias("slice"))
+    full = lines.join(slices, (F.col("owner") == F.col("_owner")) & (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b"))).select("doc_id", "owner", "delta", "start", "end", "low", "high", "a", "slice")
+    mine = C.materialize(lines.select("doc_id").distinct(), "touched")
+    own = C.by_ids(docs, mine, "doc_id", "left_semi").select("doc_id", F.encode("text", "UTF-8").alias("slice"))
+    empty = [F.lit(None).cast(full.schema[c].dataType).alias(c) for c in ("owner", "delta", "start", "end", "low", "high", "a")]
+    both = own.select("doc_id", *empty, "slice").union(full).repartition("doc_id").sortWithinPartitions("doc_id", F.asc_nulls_first("a"), "delta", "owner")
+    names = ["doc_id", "owner", "delta", "start", "end", "low", "high", "s", "e"]
+
+    def run(batches):
+        at, texts = None, []
+        for batch in batches:
+            ids, theirs = batch.column(0).to_pylist(), batch.column(8)
+            values = list(zip(*(batch.column(i).to_pylist() for i in range(2, 8)), strict=True))
+            rows, marks = [], []
+            for r, (i, value) in enumerate(zip(ids, values, strict=True)):
+                if i != at:
+                    at, texts = i, []
+                if value[-1] is None:
+                    raw = theirs[r].as_py() or b""
+                    texts.append((raw, word_starts(np.frombuffer(raw, np.uint8))))
+                    continue
+                delta, start, end, low, high, a = value
+                piece = theirs[r].as_py()
+                begin = a + delta
+                more = False
+                for raw, words in texts:
+                    for s, e in stretches(raw, piece, begin, min_words, words):
+                        rows.append(r)
+                        marks.append((s, e))
+                    stop = begin + len(piece)
+                    first, last = max(begin, 0), min(stop, len(raw))
+                    more |= low < first - 1 and first < len(raw) and piece[first - begin : first - begin + reach // 2] == raw[first : first + reach // 2]
+                    more |= high > last and last < len(raw) and last > first and piece[max(0, last - begin - reach // 2) : last - begin] == raw[max(last - reach // 2, first) : last]
+                if more:
+                    rows.append(r)
+                    marks.append((None, None))
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in range(7)), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64())], names)
+
+    C.code_path(docs.sparkSession)
+    return C.materialize(both.mapInArrow(run, f"doc_id {kind}, owner {kind}, delta long, start long, end long, low long, high long, s long, e long"), "passages")
+
+
+def passages(docs: DataFrame, min_words: int) -> DataFrame:
+    """doc_id, owner, s, e (bytes) of stretches that an earlier document has."""
+    found = C.materialize(occurrences(docs), "chunks")
+    lines = C.materialize(candidates(found, min_words), "candidates")
+    docs, reach, out = docs.where("doc_id is not null"), REACH, None
+    while True:
+        rows = compared(docs, lines, reach, min_words)
+        marks = rows.where("s is not null").select("doc_id", "owner", "s", "e")
+        out = marks if out is None else out.union(marks)
+        # What goes on beyond a slice is looked at again, unless a passage known by now covers it on both ends.
+        spans = out.groupBy("doc_id").agg(F.collect_set(F.struct("s", "e")).alias("_spans")).withColumnRenamed("doc_id", "_id")
+        open_ = rows.where("s is null").select("doc_id", "owner", "delta", "start", "end", "low", "high")
+        left, right = F.col("start") - reach, F.col("end") + reach
+        covered = lambda place: F.exists("_spans", lambda x: (x["s"] < place) & (x["e"] > place))
+        again = open_.join(spans, open_["doc_id"] == spans["_id"], "left")
+        known = lambda place, inside: ~inside | F.coalesce(covered(place), F.lit(False))
+        again = again.where(~(known(left, left > F.col("low")) & known(right, right < F.col("high")))).select(*open_.columns)
+        lines = C.materialize(again, "candidates")
+        if lines.isEmpty():
+            return out
+        reach *= MORE
 
 
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 40) -> DataFrame:
@@ -141,22 +267,28 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int
     df = df.select(*keep)
     docs = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    runs = C.materialize(candidates(docs), "repeats")
-    cut = slices(docs.where("doc_id is not null"), runs)
-    full = runs.select("doc_id", "owner", (F.col("start") - F.col("delta")).alias("a"), (F.col("end") - F.col("delta")).alias("b"), "delta").join(cut, ["owner", "a", "b"])
-    grouped = full.groupBy("doc_id").agg(F.collect_list(F.struct("owner", "delta", "begin", "slice")).alias("_runs")).withColumnRenamed("doc_id", "_id")
-    ids = C.materialize(runs.select(F.col("doc_id").alias(key)).distinct(), "touched")
+    marks = passages(docs, min_words).groupBy("doc_id", "s", "e").agg(F.min("owner").alias("owner"))
+    grouped = C.materialize(marks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("s", "e", "owner"))).alias("_marks")).withColumnRenamed("doc_id", "_id"), "marks")
     added = T.StructType.fromDDL(f"n_removed long, spans array<struct<start:long,end:long>>, owners array<{kind}>")
     schema = T.StructType([*df.schema, *added])
+    ids = grouped.select(F.col("_id").alias(key))
     inside = C.by_ids(df, ids, key, "left_semi")
-    inside = inside.join(grouped, inside[key] == grouped["_id"]).select(*keep, "_runs")
+    inside = inside.join(grouped, inside[key] == grouped["_id"]).select(*keep, "_marks")
     at = keep.index(text)
 
     def run(batch):
         texts, spans_of, owners_of, removed = [], [], [], []
-        for t, own in zip(batch.column(at).to_pylist(), batch.column(len(keep)).to_pylist(), strict=True):
+        for t, marks in zip(batch.column(at).to_pylist(), batch.column(len(keep)).to_pylist(), strict=True):
             raw = (t or "").encode("utf-8", "surrogatepass")
-            spans, owners = repeated(raw, own, min_words)
+            spans, owners = [], set()
+            for m in marks:
+                if m["e"] > len(raw):  # of another row that shares the id
+                    continue
+                owners.add(m["owner"])
+                if spans and m["s"] <= spans[-1][1]:
+                    spans[-1][1] = max(spans[-1][1], m["e"])
+                else:
+                    spans.append([m["s"], m["e"]])
             lead = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
             left, last = [], 0
             for s, e in spans:
@@ -164,7 +296,7 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int
                 last = e
             texts.append(b"".join([*left, raw[last:]]).decode("utf-8", "surrogatepass") if spans else t)
             spans_of.append([{"start": int(lead[s]), "end": int(lead[e])} for s, e in spans])
-            owners_of.append(owners)
+            owners_of.append(sorted(owners))
             removed.append(sum(x["end"] - x["start"] for x in spans_of[-1]))
         columns = list(batch.columns[: len(keep)])
         columns[at] = pa.array(texts, columns[at].type)
@@ -173,6 +305,6 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int
         yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int64()), pa.array(spans_of, span), pa.array(owners_of, pa.list_(id_type))], [*keep, *new])
 
     changed = C.map_arrow(inside, run, schema)
-    empty = [F.lit(0).cast("long").alias("n_removed"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"), F.array().cast(f"array<{kind}>").alias("owners")]
+    empty: list[Column] = [F.lit(0).cast("long").alias("n_removed"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"), F.array().cast(f"array<{kind}>").alias("owners")]
     same = C.by_ids(df, ids, key, "left_anti").select(*keep, *empty)
     return same.unionByName(changed)
