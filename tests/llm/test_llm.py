@@ -384,8 +384,10 @@ def test_decontamination(spark, edges, empty):
         rows.append((i, " ".join(parts)))
     bench = spark.createDataFrame(items, "item_id string, text string")
     frame = spark.createDataFrame(rows, "doc_id long, text string")
+    index = decontamination.build_index(frame, "text", ["doc_id"])
+    assert sum(len(r.docs) for r in index.collect()) == 60  # a stored index serves several searches
     for block_words in (1_000_000, 20):  # in one block and in many
-        for r in decontamination.match(frame, bench, block_words=block_words).collect():
+        for r in decontamination.search(index, bench, block_words=block_words).collect():
             n, hit, found = brute_hits(rows[r.doc_id][1], items)
             assert (r.n_words, r.n_hit, set(r.items)) == (n, hit, found)
             assert sum(s.end - s.start for s in r.spans) == hit
@@ -402,6 +404,20 @@ def test_proximity(spark):
     assert got == {1: (["a"], [(0, 5)]), 2: ([], []), 3: (["b"], [(0, 2)]), 4: ([], [])}
 
 
+def test_near_against_brute_force():
+    rng = random.Random(15)
+    for _ in range(40):
+        texts = [" ".join(rng.choices("abcdefg", [1, 2, 3, 4, 9, 9, 9], k=rng.randint(0, 60))) for _ in range(4)]
+        segment, asked, span = decontamination.Segment.of_texts(texts), rng.sample("abcd", rng.randint(1, 3)), rng.randint(2, 9)
+        items = decontamination.build_items([("x", " ".join(asked))], 13)
+        got = segment.hits(items, span)
+        for d, t in enumerate(texts):
+            w = t.split()
+            want = {k for a in range(len(w)) for b in range(a + 1, min(len(w), a + span) + 1) if set(asked) <= set(w[a:b]) and not set(asked) <= set(w[a + 1 : b]) and not set(asked) <= set(w[a : b - 1]) for k in range(a, b)}
+            spans = got.get(d, (set(), []))[1]
+            assert {k for a, b in spans for k in range(a, b)} == want
+
+
 # ---- 6
 
 
