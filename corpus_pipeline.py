@@ -43,9 +43,11 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that benchmark passages contaminate."""
-    found = decontamination.match(docs.select(*COLUMNS), C.table(spark, sf_dir, "benchmark"))
-    return found.where(~decontamination.contaminated()).select(*COLUMNS)
+    """Drops documents that benchmark passages contaminate, which their text alone decides."""
+    docs = docs.select(*COLUMNS).withColumn("_digest", F.md5("text"))
+    found = decontamination.match(docs.select("_digest", "text"), C.table(spark, sf_dir, "benchmark"), keep=["_digest"])
+    others = C.materialize(found.where(decontamination.contaminated()).select("_digest").distinct(), "contaminated")
+    return C.by_ids(docs, others, "_digest", "left_anti").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
