@@ -185,18 +185,18 @@ def stretches(raw: bytes, theirs: bytes, begin: int, min_words: int, words: tupl
     return out
 
 
-def compared(docs: DataFrame, lines: DataFrame, reach: int, min_words: int) -> DataFrame:
+def compared(docs: DataFrame, lines: DataFrame, reach: int, min_words: int, scratch: C.Scratch) -> DataFrame:
     """doc_id, row, owner, s, e of passages; and, with s null, the lines whose equal stretch goes on beyond `reach` (as delta, start, end, low, high)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     span = lambda c, side: F.greatest(F.lit(0).cast("long"), (F.greatest if side < 0 else F.least)(F.col(c) + side * reach, F.col("low" if side < 0 else "high")) - F.col("delta"))
     lines = lines.withColumn("a", span("start", -1)).withColumn("b", span("end", 1))
-    wanted = C.materialize(lines.select(F.col("owner").alias("_owner"), F.col("a").alias("_a"), F.col("b").alias("_b")).distinct(), "stretches")
-    ids = C.materialize(wanted.select(F.col("_owner").alias("doc_id")).distinct(), "owners")
+    wanted = scratch.write(lines.select(F.col("owner").alias("_owner"), F.col("a").alias("_a"), F.col("b").alias("_b")).distinct(), "stretches")
+    ids = scratch.write(wanted.select(F.col("_owner").alias("doc_id")).distinct(), "owners")
     held = C.by_ids(docs, ids, "doc_id", "left_semi").select(F.col("doc_id").alias("_id"), F.encode("text", "UTF-8").alias("_bytes"))
     # Rows that share an id: any of their texts.
     slices = wanted.join(held, F.col("_owner") == F.col("_id")).select("_owner", "_a", "_b", F.substring("_bytes", (F.col("_a") + 1).cast("int"), (F.col("_b") - F.col("_a")).cast("int")).alias("slice"))
     full = lines.join(slices, (F.col("owner") == F.col("_owner")) & (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b"))).select("doc_id", "owner", "delta", "start", "end", "low", "high", "a", "slice")
-    mine = C.materialize(lines.select("doc_id").distinct(), "touched")
+    mine = scratch.write(lines.select("doc_id").distinct(), "touched")
     own = C.by_ids(docs, mine, "doc_id", "left_semi").select("doc_id", F.encode("text", "UTF-8").alias("slice"))
     empty = [F.lit(None).cast(full.schema[c].dataType).alias(c) for c in ("owner", "delta", "start", "end", "low", "high", "a")]
     both = own.select("doc_id", *empty, "slice").union(full).repartition("doc_id").sortWithinPartitions("doc_id", F.asc_nulls_first("a"), "delta", "owner")
@@ -234,16 +234,17 @@ def compared(docs: DataFrame, lines: DataFrame, reach: int, min_words: int) -> D
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in range(7)), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64())], names)
 
     C.code_path(docs.sparkSession)
-    return C.materialize(both.mapInArrow(run, f"doc_id {kind}, owner {kind}, delta long, start long, end long, low long, high long, s long, e long"), "passages")
+    return scratch.write(both.mapInArrow(run, f"doc_id {kind}, owner {kind}, delta long, start long, end long, low long, high long, s long, e long"), "passages")
 
 
-def passages(docs: DataFrame, min_words: int) -> DataFrame:
+def passages(docs: DataFrame, min_words: int, scratch: C.Scratch) -> DataFrame:
     """doc_id, owner, s, e (bytes) of stretches that an earlier document has."""
-    found = C.materialize(occurrences(docs), "chunks")
-    lines = C.materialize(candidates(found, min_words), "candidates")
+    lines = scratch.write(candidates(scratch.write(occurrences(docs), "chunks"), min_words), "candidates")
+    scratch.discard("chunks")
+    scratch.release()  # of the chunks' shuffle files
     docs, reach, out = docs.where("doc_id is not null"), REACH, None
     while True:
-        rows = compared(docs, lines, reach, min_words)
+        rows = compared(docs, lines, reach, min_words, scratch)
         marks = rows.where("s is not null").select("doc_id", "owner", "s", "e")
         out = marks if out is None else out.union(marks)
         # What goes on beyond a slice is looked at again, unless a passage known by now covers it on both ends.
@@ -254,7 +255,7 @@ def passages(docs: DataFrame, min_words: int) -> DataFrame:
         again = open_.join(spans, open_["doc_id"] == spans["_id"], "left")
         known = lambda place, inside: ~inside | F.coalesce(covered(place), F.lit(False))
         again = again.where(~(known(left, left > F.col("low")) & known(right, right < F.col("high")))).select(*open_.columns)
-        lines = C.materialize(again, "candidates")
+        lines = scratch.write(again, "candidates")
         if lines.isEmpty():
             return out
         reach *= MORE
@@ -267,8 +268,9 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int
     df = df.select(*keep)
     docs = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    marks = passages(docs, min_words).groupBy("doc_id", "s", "e").agg(F.min("owner").alias("owner"))
-    grouped = C.materialize(marks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("s", "e", "owner"))).alias("_marks")).withColumnRenamed("doc_id", "_id"), "marks")
+    with C.Scratch(df.sparkSession, "substring-dedup") as scratch:
+        marks = passages(docs, min_words, scratch).groupBy("doc_id", "s", "e").agg(F.min("owner").alias("owner"))
+        grouped = C.materialize(marks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("s", "e", "owner"))).alias("_marks")).withColumnRenamed("doc_id", "_id"), "marks")
     added = T.StructType.fromDDL(f"n_removed long, spans array<struct<start:long,end:long>>, owners array<{kind}>")
     schema = T.StructType([*df.schema, *added])
     ids = grouped.select(F.col("_id").alias(key))
