@@ -49,8 +49,11 @@ def positions(docs: DataFrame) -> DataFrame:
 
 
 def term_frequency(docs: DataFrame) -> DataFrame:
-    """term, df, cf"""
-    return postings(docs).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    """term, df, cf; one shuffle, as each document's sorted terms tell which are its first ones."""
+    ordered = docs.select(F.array_sort("terms").alias("_t"))
+    marked = F.transform("_t", lambda t, k: F.struct(t.alias("term"), ((k == 0) | (F.get(F.col("_t"), k - 1) != t)).cast("long").alias("first")))
+    rows = ordered.select(F.inline(marked))
+    return rows.groupBy("term").agg(F.sum("first").alias("df"), F.count(F.lit(1)).alias("cf"))
 
 
 def matches(docs: DataFrame, queries: DataFrame, query: str = "text", query_key: str = "query_id") -> DataFrame:
@@ -81,7 +84,7 @@ def tf_rank(docs: DataFrame, queries: DataFrame, k: int = 100, query: str = "tex
 
 def bm25_rank(docs: DataFrame, queries: DataFrame, k: int = 100, query: str = "text", query_key: str = "query_id") -> DataFrame:
     """Top k by Okapi BM25 (k1 1.2, b 0.75)."""
-    rows = matches(docs, queries, query, query_key)
+    rows = written(matches(docs, queries, query, query_key), "matched")
     n, average = docs.agg(F.count(F.lit(1)), F.avg(F.size("terms"))).first()
     df = rows.select("term", "doc_id").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -93,15 +96,21 @@ def bm25_rank(docs: DataFrame, queries: DataFrame, k: int = 100, query: str = "t
 def phrase_match(docs: DataFrame, phrases: DataFrame, query: str = "text", query_key: str = "query_id") -> DataFrame:
     """query_id, doc_id, occurrences: documents that hold all terms of a phrase one after the other.
 
-    A positional index join: each place of a phrase term gives the place where the phrase would
-    start; starts that all terms agree on are matches.
+    Only the places of each phrase's rarest term in the corpus are looked at; the terms around
+    them are compared in place. Phrases of which the corpus lacks a term drop out before.
     """
-    asked = phrases.select(query_key, analyze(F.col(query)).alias("terms")).where(F.size("terms") > 0)
-    words = asked.select(query_key, F.size("terms").alias("n"), F.posexplode("terms").alias("off", "term"))
+    asked = phrases.select(query_key, analyze(F.col(query)).alias("_phrase")).where(F.size("_phrase") > 0)
+    words = written(asked.select(query_key, "_phrase", F.posexplode("_phrase").alias("off", "term")), "phrase-terms")
     terms = small(words.select("term").distinct())
-    places = positions(docs).join(terms, "term", "left_semi")
-    starts = places.join(small(words), "term").groupBy(query_key, "doc_id", "n", (F.col("pos") - F.col("off")).alias("start")).agg(F.count(F.lit(1)).alias("hits"))
-    return starts.where(F.col("hits") == F.col("n")).groupBy(query_key, "doc_id").agg(F.count(F.lit(1)).alias("occurrences"))
+    held = docs.select(F.explode("terms").alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = words.join(held, "term", "left").groupBy(query_key, "_phrase").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "term", "off")).alias("_a"))
+    anchors = written(rarest.where("_a.n > 0").select(query_key, "_phrase", F.col("_a.term").alias("term"), F.col("_a.off").alias("off")), "anchors")
+    starts = positions(docs).join(small(anchors.select(query_key, "term", "off")), "term").select(query_key, "doc_id", (F.col("pos") - F.col("off")).alias("start")).where("start >= 0")
+    starts = written(starts, "phrase-starts")
+    there = docs.join(small(starts.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "terms")
+    found = starts.join(there, "doc_id").join(small(anchors.select(query_key, "_phrase")), query_key)
+    found = found.where(F.slice("terms", F.col("start") + 1, F.size("_phrase")) == F.col("_phrase"))
+    return found.groupBy(query_key, "doc_id").agg(F.count(F.lit(1)).alias("occurrences"))
 
 
 def phrase_rank(docs: DataFrame, phrases: DataFrame, k: int = 20, query: str = "text", query_key: str = "query_id") -> DataFrame:

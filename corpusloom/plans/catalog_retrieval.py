@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import dimensions as D
 from corpusloom.operators import fulltext, fusion, rerank, vector
 from corpusloom.plans import hybrid
-from corpusloom.session import table
+from corpusloom.session import table, written
 
 # ---- shared inputs: vectors whose id is divisible by 50 ask; the benchmark item of a fiftieth of that id is their text
 
@@ -31,7 +31,8 @@ def items(spark, d):
 
 
 def docs(spark, d):
-    return fulltext.documents_with_terms(table(spark, d, "documents"))
+    """Documents with their terms stored, as the document table has them."""
+    return written(fulltext.documents_with_terms(table(spark, d, "documents")), "terms")
 
 
 LEVELS = ["supreme", "appeal", "foreign", "other"]

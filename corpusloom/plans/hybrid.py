@@ -35,7 +35,8 @@ def hybrid_search(queries: DataFrame, documents: DataFrame, chunks: DataFrame, s
     """
     pool = fusion.level_filter(documents, documents_level, level) if strict_filters and level else documents
     v = written(vector_leg(chunks, queries, level=level), "vector-leg")
-    t = written(text_leg(fulltext.documents_with_terms(pool), queries, scorer), "text-leg")  # 30 and 100 rows a query
+    terms = pool.select("doc_id", "terms") if "terms" in pool.columns else written(fulltext.documents_with_terms(pool), "terms")
+    t = written(text_leg(terms, queries, scorer), "text-leg")  # 30 and 100 rows a query
     return fusion.with_bypass(fusion.rrf(v, t), v, t)
 
 
