@@ -4,15 +4,15 @@ A document's set holds hashes of its distinct k-word shingles; documents with th
 form a class, and only class representatives are compared. Two sets that are similar enough
 share at least T tokens among the first ones of any fixed order of all tokens (rare ones
 first here), so representatives that meet on fewer tokens of these inverted lists are no
-candidates. Candidates are decided exactly: for each document, the inverted lists of its
-tokens over its candidates are merged by a heap if short and probed by binary search if
-long (DivideSkip), and those that reach the overlap which the threshold demands are kept.
+candidates. Candidates are decided exactly: inverted lists are built over them, and of the lists
+of a document's tokens the short ones are merged by a heap and the long ones probed by binary
+search for what is left (DivideSkip); what reaches the overlap that the threshold demands is kept.
 
 Groups of near copies may be large, and pairs of them needn't be similar enough, so they are
 never listed as pairs. Each representative joins the group of one hub (of its lists, the
-document there that shares most of its own tokens). Groups are searched in blocks of bounded
-size: what links with the hub is connected, what doesn't is searched against all others, and
-only links that join components leave a task. Pairs across groups, which
+document there that shares most of its own tokens). The hub is searched against its group;
+what links with it is connected, and what doesn't is searched against all others, in blocks of
+bounded size, from which only links that join components leave. Pairs across groups, which
 are few, are found on the inverted lists. Documents stop being compared only once they are
 known to be connected, so no link that joins two components is lost.
 
@@ -44,6 +44,10 @@ BLOCK_TOKENS = 200_000
 #: Parts, by token, in which postings are looked through.
 SLICES = 4
 SKIP = 0.0085
+#: An overlap that no set reaches.
+NEVER = 1 << 40
+#: One row in so many gives the order of tokens, but at least `sample_rows` of them.
+SAMPLED = 100
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -76,48 +80,66 @@ def prefix_extra(n: int) -> int:
     return 1 + n // 50
 
 
+class InvertedLists:
+    """For each token, which of some sets hold it."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        order = np.argsort(flat, kind="stable")  # within a token the sets stay in order
+        flat = flat[order]
+        self.sets = np.repeat(np.arange(len(sets)), self.sizes)[order]
+        first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
+        self.tokens, self.start = flat[first], np.append(first, len(flat))
+
+    def search(self, own: np.ndarray, share: tuple[int, int], alive: np.ndarray | None = None) -> list[int]:
+        """Which sets (of those alive) reach the share with `own`: short lists are merged by a heap, long ones probed for what is left (DivideSkip)."""
+        if not len(own) or not len(self.tokens):
+            return []
+        want = -(-share[0] * (len(own) + self.sizes) // (share[0] + share[1]))
+        able = want <= np.minimum(len(own), self.sizes)
+        able &= alive if alive is not None else True
+        if not able.any():
+            return []
+        want = np.where(able, want, NEVER)
+        at = np.minimum(np.searchsorted(self.tokens, own), len(self.tokens) - 1)
+        at = at[self.tokens[at] == own]
+        least = max(1, int(want.min()))
+        if len(at) < least:
+            return []
+        length = self.start[at + 1] - self.start[at]
+        at = at[np.argsort(length, kind="stable")]
+        longest = int(length.max())
+        n_long = min(least - 1, len(at), int(least / (SKIP * np.log2(max(2, longest)) + 1)))
+        lists = [self.sets[a:b] for a, b in zip(self.start[at].tolist(), self.start[at + 1].tolist(), strict=True)]
+        short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
+        docs, counts = [], []
+        enough = (want - n_long).tolist()
+        for doc, run in groupby(heapq.merge(*(x.tolist() for x in short))):
+            n = sum(1 for _ in run)
+            if n >= enough[doc]:
+                docs.append(doc)
+                counts.append(n)
+        docs, counts = np.array(docs, np.int64), np.array(counts, np.int64)
+        for k, x in enumerate(reversed(long)):
+            left = counts + n_long - k >= want[docs]
+            docs, counts = docs[left], counts[left]
+            if not len(docs):
+                break
+            found = np.minimum(np.searchsorted(x, docs), len(x) - 1)
+            counts = counts + (x[found] == docs)
+        return docs[counts >= want[docs]].tolist()
+
+
 def divide_skip(own: np.ndarray, others: list[np.ndarray], share: tuple[int, int]) -> list[int]:
     """Which of the other sets reach the share with `own`."""
-    if not others or not len(own):
-        return []
-    sizes = np.array([len(o) for o in others])
-    want = np.array([needed(share, len(own), n) for n in sizes.tolist()])
-    flat = np.concatenate(others)
-    which = np.repeat(np.arange(len(others)), sizes)
-    at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
-    hit = own[at] == flat
-    token, which = at[hit], which[hit]
-    order = np.argsort(token, kind="stable")  # within a token the documents stay in order
-    token, which = token[order], which[order]
-    start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
-    lists = sorted(np.split(which, start[1:]), key=len) if len(token) else []
-    least = max(1, int(want.min()))
-    if len(lists) < least:
-        return []
-    longest = len(lists[-1])
-    n_long = min(least - 1, len(lists), int(least / (SKIP * np.log2(max(2, longest)) + 1)))
-    short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
-    short = [x.tolist() for x in short]
-    docs, counts = [], []
-    for doc, run in groupby(heapq.merge(*short)):
-        n = sum(1 for _ in run)
-        if n >= want[doc] - n_long:
-            docs.append(doc)
-            counts.append(n)
-    docs, counts = np.array(docs, np.int64), np.array(counts, np.int64)
-    for k, x in enumerate(reversed(long)):
-        alive = counts + n_long - k >= want[docs]
-        docs, counts = docs[alive], counts[alive]
-        if not len(docs):
-            break
-        p = np.minimum(np.searchsorted(x, docs), len(x) - 1)
-        counts = counts + (x[p] == docs)
-    return docs[counts >= want[docs]].tolist()
+    return InvertedLists(others).search(own, share)
 
 
 def rare_first(df: DataFrame, k: int, sample_rows: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens that a bounded sample finds frequent, sorted, and their counts. The order of tokens affects speed alone."""
+    """Tokens that a sample finds frequent, sorted, and their counts, the `most` frequent ones. The order of tokens affects speed alone."""
     rows = df.count()
+    sample_rows = max(sample_rows, rows // SAMPLED)
     place = F.pmod(F.xxhash64("doc_id", F.lit("shingle sample")), F.lit(1 << 30))
     sample = df.where(place < int((1 << 30) * min(1.0, sample_rows / max(1, rows))))
 
@@ -126,7 +148,7 @@ def rare_first(df: DataFrame, k: int, sample_rows: int, most: int) -> tuple[np.n
         got, n = np.unique(np.concatenate(sets), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(got.view(np.int64)), pa.array(n)], ["token", "n"])
 
-    top = C.map_arrow(sample, run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= max(4, sample_rows // 1000)).orderBy(F.desc("n"), "token").limit(most).toArrow()
+    top = C.map_arrow(sample, run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n >= 4").orderBy(F.desc("n"), "token").limit(most).toArrow()
     tokens, n = top.column("token").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(tokens)
     return tokens[order], n[order]
@@ -255,7 +277,7 @@ def search(docs: DataFrame, rows: DataFrame, classes: DataFrame, k: int, share:
     # Whoever is on fewer lists than a similar pair must share has no partner.
     own = F.count(F.lit(1)).over(Window.partitionBy("rep"))
     lists = scratch.write(lists.withColumn("m", own).where(F.col("m") >= 1 + F.floor(F.col("n") / 50)), "lists")
-    groups = scratch.write(hub_groups(lists, share), "groups")
+    groups = scratch.write(hub_groups(lists, share, scratch), "groups")
     scratch.release()  # of the lists' shuffle files, the largest ones; Spark holds on to those of its last query
     sets = sets_of(docs, groups.select(F.col("rep").alias("id")), k, scratch)
     known = components(blocked(groups, sets, share, scratch), "x", "y", scratch)
@@ -265,7 +287,7 @@ def search(docs: DataFrame, rows: DataFrame, classes: DataFrame, k: int, share:
     return joined(known, across, "x", "y", scratch)
 
 
-def hub_groups(lists: DataFrame, share: tuple[int, int]) -> DataFrame:
+def hub_groups(lists: DataFrame, share: tuple[int, int], scratch: C.Scratch) -> DataFrame:
     """rep, n, hub, members, tokens: representatives in groups of those that share prefix tokens with one hub.
 
     A list's hub is its member that shares most of its own prefix (an original among edited
@@ -273,15 +295,16 @@ def hub_groups(lists: DataFrame, share: tuple[int, int]) -> DataFrame:
     pair must share; others are in no group.
     """
     common = lists.groupBy("rep", "n").agg(F.count(F.lit(1)).alias("_c")).select("rep", (F.col("_c") / prefix_size(F.col("n"), share)).alias("_share"))
-    hubs = lists.select("token", "rep").join(common, "rep").groupBy("token").agg(F.max_by("rep", F.struct("_share", -F.col("rep"))).alias("hub"))
+    hubs = lists.select("token", "rep").join(common, "rep").groupBy("token").agg(F.min_by("rep", F.struct(-F.col("_share"), "rep")).alias("hub"))
     votes = lists.select("token", "rep", "n", "m").join(hubs, "token").groupBy("rep", "n", "m", "hub").agg(F.count(F.lit(1)).alias("_v"))
-    first = votes.groupBy("rep", "n", "m").agg(F.max_by("hub", F.struct("_v", -F.col("hub"))).alias("hub"), F.max("_v").alias("_v")).where(F.col("_v") >= 1 + F.floor(F.col("n") / 50))
+    first = votes.groupBy("rep", "n", "m").agg(F.min_by("hub", F.struct(-F.col("_v"), "hub")).alias("hub"), F.max("_v").alias("_v")).where(F.col("_v") >= 1 + F.floor(F.col("n") / 50))
     leader = lists.select(F.col("rep").alias("hub"), F.col("n").alias("_n"), F.col("m").alias("_m")).distinct()
     first = first.join(leader, "hub").where(F.least("m", "_m") >= enough(F.col("n"), F.col("_n"), share))
     # A hub stands in its own group, wherever its own lists would put it.
     leaders = first.select(F.col("hub").alias("rep"), F.lit(True).alias("_leads")).distinct()
     sizes = lists.select("rep", "n").distinct()
     placed = first.join(leaders, "rep", "left_anti").select("rep", "n", "hub").union(leaders.join(sizes, "rep").select("rep", "n", F.col("rep").alias("hub")))
+    placed = scratch.write(placed, "placed")  # so that sizes are added up in map tasks first
     totals = placed.groupBy("hub").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("tokens"))
     return placed.join(totals.where("members > 1"), "hub")
 
@@ -289,35 +312,41 @@ def hub_groups(lists: DataFrame, share: tuple[int, int]) -> DataFrame:
 def blocked(groups: DataFrame, sets: DataFrame, share: tuple[int, int], scratch: C.Scratch) -> DataFrame:
     """x, y: links within groups, as far as they join components.
 
-    A group is cut into blocks of about BLOCK_TOKENS tokens; a task holds two blocks and the hub.
+    Members are searched for by their hub first. Only strays, which don't link with it, are searched
+    for among all: strays and the others are cut into blocks of about BLOCK_TOKENS tokens, and a
+    task holds one block of strays and one other.
     """
-    cut = groups.withColumn("_nb", F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int"))
-    last = F.col("_nb") - 1
-    state = cut.where("rep <> hub").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("_nb")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), last)))
-    dealt = state.select("hub", F.least("own", "_o").alias("i"), F.greatest("own", "_o").alias("j"), "own", F.col("rep").alias("id"))
-    hubs = cut.where("rep = hub").withColumn("i", F.explode(F.sequence(F.lit(0), last))).withColumn("j", F.explode(F.sequence(F.col("i"), last)))
-    dealt = dealt.union(hubs.select("hub", "i", "j", F.lit(-1).alias("own"), F.col("rep").alias("id")))
-    rows = dealt.join(sets, "id").select("hub", "i", "j", "own", "id", "tokens").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "own", "id")
+    direct = linked(sets, groups.where("rep <> hub").select(F.col("hub").alias("x"), F.col("rep").alias("y")), share, scratch)
+    members = groups.where("rep <> hub").join(direct.select(F.col("y").alias("rep"), F.lit(False).alias("_s")), "rep", "left")
+    members = scratch.write(members.select("rep", "n", "hub", F.coalesce("_s", F.lit(True)).alias("stray")), "members")
+    blocks = lambda stray: F.ceil(F.sum(F.when(F.col("stray") == stray, F.col("n")).otherwise(0)) / BLOCK_TOKENS).cast("int")
+    totals = members.groupBy("hub").agg(blocks(True).alias("_sb"), blocks(False).alias("_lb"))
+    h, sb, lb = F.xxhash64("rep"), F.col("_sb"), F.col("_lb")
+    own = F.when(F.col("stray"), F.pmod(h, F.greatest(sb, F.lit(1)))).otherwise(sb + F.pmod(h, F.greatest(lb, F.lit(1)))).cast("int")
+    to = F.when(F.col("stray"), F.sequence(F.lit(0), sb + lb - 1)).otherwise(F.sequence(F.lit(0), sb - 1))
+    state = members.join(totals.where("_sb > 0"), "hub").withColumn("own", own).withColumn("_o", F.explode(to))
+    dealt = state.select("hub", F.least("own", "_o").alias("i"), F.greatest("own", "_o").alias("j"), "own", "stray", F.col("rep").alias("id"))
+    rows = dealt.join(sets, "id").select("hub", "i", "j", "own", "stray", "id", "tokens").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "own", "id")
     kind = sets.schema["id"].dataType.simpleString()
 
     def run(batches):
         at, held = None, []
         for batch in batches:
-            hubs, a, b, own, ids = (batch.column(c).to_pylist() for c in range(5))
-            values, offsets = batch.column(5).values.to_numpy().view(np.uint64), batch.column(5).offsets.to_numpy()
+            hubs, a, b, own, stray, ids = (batch.column(c).to_pylist() for c in range(6))
+            values, offsets = batch.column(6).values.to_numpy().view(np.uint64), batch.column(6).offsets.to_numpy()
             out = []
             for r, key in enumerate(zip(hubs, a, b, strict=True)):
                 if key != at:
                     out += block_links(at, held, share)
                     at, held = key, []
-                held.append((ids[r], own[r], values[offsets[r] : offsets[r + 1]].copy()))
+                held.append((ids[r], own[r], stray[r], values[offsets[r] : offsets[r + 1]].copy()))
             yield pairs_batch(out, batch.schema.field("id").type)
             kept = batch.schema.field("id").type
         if held:
             yield pairs_batch(block_links(at, held, share), kept)
 
     C.code_path(sets.sparkSession)
-    return scratch.write(rows.mapInArrow(run, f"x {kind}, y {kind}"), "links-within")
+    return direct.union(scratch.write(rows.mapInArrow(run, f"x {kind}, y {kind}"), "links-within"))
 
 
 def pairs_batch(pairs: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
@@ -325,11 +354,13 @@ def pairs_batch(pairs: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
 
 
 def block_links(key: tuple | None, rows: list[tuple], share: tuple[int, int]) -> list[tuple]:
-    """Links with the hub (told by the blocks i = j), and links of what doesn't link with it, as far as they join what isn't joined here yet."""
+    """Links of the strays of block i with what is in block j, as far as they join what isn't joined here yet. Rows: id, block, whether a stray, tokens."""
     if key is None:
         return []
-    hub, i, j = key
-    parent = {r[0]: r[0] for r in rows}
+    _, i, j = key
+    # What links with the hub is one component.
+    parent = [r if row[2] else -1 for r, row in enumerate(rows)] + [len(rows)]
+    parent = [len(rows) if p < 0 else p for p in parent]
 
     def root(x):
         while parent[x] != x:
@@ -337,22 +368,18 @@ def block_links(key: tuple | None, rows: list[tuple], share: tuple[int, int]) ->
             x = parent[x]
         return x
 
-    members = [r for r in rows if r[1] >= 0]
-    for own in [r for r in rows if r[1] < 0]:
-        for d in divide_skip(own[2], [r[2] for r in members], share):
-            parent[members[d][0]] = hub
-    on = {x for x, p in parent.items() if p == hub and x != hub}
-    out = [(hub, x) for x in sorted(on)] if i == j else []
-    strays = [r for r in members if r[0] not in on]
-    todo = {r[0] for r in strays}
-    for x, own, tokens in strays:
-        todo.discard(x)
-        others = [r for r in members if (r[0] in todo or r[0] in on) and (i == j or r[1] != own) and root(r[0]) != root(x)]
-        for d in divide_skip(tokens, [r[2] for r in others], share):
-            y = others[d][0]
+    index, out = InvertedLists([r[3] for r in rows]), []
+    block = np.array([r[1] for r in rows])
+    for x, row in enumerate(rows):
+        if row[1] != i or not row[2]:
+            continue
+        alive = (block == j) & (np.arange(len(rows)) > x if i == j else True)
+        mine = root(x)
+        alive &= np.array([root(y) != mine for y in range(len(rows))])
+        for y in index.search(row[3], share, alive):
             if root(x) != root(y):
                 parent[root(x)] = root(y)
-                out.append((x, y))
+                out.append((row[0], rows[y][0]))
     return out
 
 

@@ -133,6 +133,15 @@ def test_join_blocks(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_join_text_ids(spark):
+    rng = random.Random(17)
+    words = [f"w{i}" for i in range(500)]
+    bases = [rng.choices(words, k=60) for _ in range(4)]
+    rows = [(f"id{i:03d}", " ".join(w if rng.random() > 0.01 else rng.choice(words) for w in bases[i % 4])) for i in range(80)]
+    want, _ = brute_components(rows, 4, (85, 100))
+    assert {r.doc_id: r.component_id for r in ngram_join.similar(spark.createDataFrame(rows, "doc_id string, text string")).collect()} == want
+
+
 def test_join_edges(edges, empty):
     rows = ngram_join.similar(edges).collect()
     assert len(rows) == len(EDGES)
