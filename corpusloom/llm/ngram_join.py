@@ -37,6 +37,8 @@ from corpusloom.llm.components import components, joined
 
 #: Ids that a filter sent to all executors holds at most (8 bytes each); more are joined.
 SENT_IDS = 2_000_000
+#: Rows of a few ids and numbers that are broadcast at most (about 100 bytes each).
+SENT_ROWS = 500_000
 #: Candidates of one document that are searched together.
 SALT_ROWS = 256
 #: Tokens in a block of a group; a task holds two blocks.
@@ -221,11 +223,16 @@ def ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("x").alias("id")).union(pairs.select("y"))
 
 
+def with_sets(rows: DataFrame, sets: DataFrame, key: str) -> DataFrame:
+    """Written rows of ids and numbers joined with their sets; the rows are broadcast behind a check of their count."""
+    return (F.broadcast(rows) if rows.count() <= SENT_ROWS else rows).join(sets, key)
+
+
 def linked(sets: DataFrame, pairs: DataFrame, share: tuple[int, int], scratch: C.Scratch) -> DataFrame:
     """Those pairs x, y whose sets (id, tokens) reach the share, decided by one DivideSkip search for each x and some of its candidates."""
     salts = pairs.groupBy("x").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).alias("_s"))
-    dealt = pairs.join(salts, "x").select("x", "y", F.pmod(F.xxhash64("y"), F.col("_s")).alias("salt"))
-    theirs = dealt.join(sets.withColumnRenamed("id", "y"), "y").select("x", "salt", "y", "tokens")
+    dealt = scratch.write(pairs.join(salts, "x").select("x", "y", F.pmod(F.xxhash64("y"), F.col("_s")).alias("salt")), "dealt")
+    theirs = with_sets(dealt, sets.withColumnRenamed("id", "y"), "y").select("x", "salt", "y", "tokens")
     own = dealt.select("x", "salt").distinct().join(sets.withColumnRenamed("id", "x"), "x").select("x", "salt", F.lit(None).cast(sets.schema["id"].dataType).alias("y"), "tokens")
     together = theirs.union(own).repartition("x", "salt").sortWithinPartitions("x", "salt", F.asc_nulls_first("y"))
     kind = sets.schema["id"].dataType.simpleString()
@@ -300,6 +307,7 @@ def hub_groups(lists: DataFrame, share: tuple[int, int], scratch: C.Scratch) ->
     first = votes.groupBy("rep", "n", "m").agg(F.min_by("hub", F.struct(-F.col("_v"), "hub")).alias("hub"), F.max("_v").alias("_v")).where(F.col("_v") >= 1 + F.floor(F.col("n") / 50))
     leader = lists.select(F.col("rep").alias("hub"), F.col("n").alias("_n"), F.col("m").alias("_m")).distinct()
     first = first.join(leader, "hub").where(F.least("m", "_m") >= enough(F.col("n"), F.col("_n"), share))
+    first = scratch.write(first, "first")
     # A hub stands in its own group, wherever its own lists would put it.
     leaders = first.select(F.col("hub").alias("rep"), F.lit(True).alias("_leads")).distinct()
     sizes = lists.select("rep", "n").distinct()
@@ -326,7 +334,7 @@ def blocked(groups: DataFrame, sets: DataFrame, share: tuple[int, int], scratch:
     to = F.when(F.col("stray"), F.sequence(F.lit(0), sb + lb - 1)).otherwise(F.sequence(F.lit(0), sb - 1))
     state = members.join(totals.where("_sb > 0"), "hub").withColumn("own", own).withColumn("_o", F.explode(to))
     dealt = state.select("hub", F.least("own", "_o").alias("i"), F.greatest("own", "_o").alias("j"), "own", "stray", F.col("rep").alias("id"))
-    rows = dealt.join(sets, "id").select("hub", "i", "j", "own", "stray", "id", "tokens").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "own", "id")
+    rows = with_sets(scratch.write(dealt, "dealt"), sets, "id").select("hub", "i", "j", "own", "stray", "id", "tokens").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "own", "id")
     kind = sets.schema["id"].dataType.simpleString()
 
     def run(batches):
