@@ -20,6 +20,8 @@ a tag that the end of the page cuts off is no text.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from html.parser import HTMLParser
 from urllib.parse import urlsplit
 
@@ -59,10 +61,13 @@ SENT_PLACES = 200_000
 
 
 class Element:
-    __slots__ = ("branch", "children", "key", "kind", "name", "silent", "links")
+    """An open element. container: place in the stack of the nearest container (or the bottom); block: nearest element that isn't inline; both may be the element itself."""
 
-    def __init__(self, name: str, key: int, kind: int, silent: bool, branch: int, links: bool):
+    __slots__ = ("block", "branch", "children", "container", "key", "kind", "name", "silent", "links")
+
+    def __init__(self, name: str, key: int, kind: int, silent: bool, branch: int, links: bool, container: int, block: "Element | None"):
         self.name, self.key, self.kind, self.silent, self.branch, self.links, self.children = name, key, kind, silent, branch, links, []
+        self.container, self.block = container, block or self
 
 
 class PageParser(HTMLParser):
@@ -70,7 +75,9 @@ class PageParser(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack = [Element("", 0, NEUTRAL, False, 0, False)]
+        self.stack = [Element("", 0, NEUTRAL, False, 0, False, 0, None)]
+        #: places in the stack of the open elements of each name, so that no tag walks the stack
+        self.open: defaultdict[str, list[int]] = defaultdict(list)
         self.blocks: list[tuple[int, int, int, str, bool]] = []
         self.looks: list[tuple[int, int]] = []
         self.parts: list[str] = []
@@ -87,23 +94,23 @@ class PageParser(HTMLParser):
 
     def close_top(self) -> None:
         e = self.stack.pop()
+        self.open[e.name].pop()
         if e.name in CONTAINERS:
             self.looks.append((e.key, xxhash.xxh3_64_intdigest(" ".join(e.children)) >> 1))
 
     def handle_starttag(self, name, attrs):
         if name not in INLINE:
             self.flush() if name != "br" else self.parts.append(" ")
-        top = self.stack[-1]
         if name in VOID:
             return
-        ended = CLOSES.get(name, {"p"} if name in ENDS_P else ())
-        for i in range(len(self.stack) - 1, 0, -1):
-            own = self.stack[i].name
-            if own in ended:
-                while len(self.stack) > i:
+        # Elements that end here are closed down to the nearest container.
+        floor = self.stack[-1].container
+        for own in CLOSES.get(name, ("p",) if name in ENDS_P else ()):
+            within = bisect_right(self.open[own], floor)
+            if within < len(self.open[own]):
+                lowest = self.open[own][within]
+                while len(self.stack) > lowest:
                     self.close_top()
-            elif own in CONTAINERS and own not in ended:
-                break
         top = self.stack[-1]
         if len(top.children) < 64 and (not top.children or top.children[-1] != name):
             top.children.append(name)
@@ -119,29 +126,29 @@ class PageParser(HTMLParser):
         elif name in ("article", "main") and kind != NOISY:
             kind = ARTICLE if kind not in (MARKED, MARKED_ARTICLE) else MARKED_ARTICLE
         key = xxhash.xxh3_64_intdigest(f"{name}.{classes}", top.key) >> 1
-        self.stack.append(Element(name, key, kind, top.silent or name in SILENT, key if name in CONTAINERS else top.branch, top.links or name == "a"))
+        place, contains = len(self.stack), name in CONTAINERS
+        self.stack.append(Element(name, key, kind, top.silent or name in SILENT, key if contains else top.branch, top.links or name == "a", place if contains else top.container, top.block if name in INLINE else None))
+        self.open[name].append(place)
         if name not in INLINE:
             self.owner = self.stack[-1]
 
     def handle_endtag(self, name):
         if name not in INLINE:
             self.flush()
-        for i in range(len(self.stack) - 1, 0, -1):
-            own = self.stack[i].name
-            if own == name:
-                while len(self.stack) > i:
-                    self.close_top()
-                break
-            if own in CONTAINERS and name not in CONTAINERS and name not in ("html", "body"):
-                break  # a stray end tag doesn't close what stands around the container
+        places = self.open[name]
+        # A stray end tag doesn't close what stands around the container.
+        if places and (name in CONTAINERS or name in ("html", "body") or places[-1] > self.stack[-1].container):
+            lowest = places[-1]
+            while len(self.stack) > lowest:
+                self.close_top()
         if name not in INLINE:
-            self.owner = next(e for e in reversed(self.stack) if e.name not in INLINE)
+            self.owner = self.stack[-1].block
 
     def handle_data(self, data):
         top = self.stack[-1]
         if not top.silent:
             if not self.parts:
-                self.owner = next(e for e in reversed(self.stack) if e.name not in INLINE)
+                self.owner = top.block
                 # A marked inline element (say, span class="ad") speaks for its own text.
                 if top.kind != self.owner.kind:
                     self.owner = top

@@ -770,6 +770,59 @@ def test_entropy_overrules_what_elements_say(spark):
     assert all(got[100 + i] == f"T{i} Short {i}" for i in range(20))
 
 
+def brute_importance(pages):
+    """content and presentation of each node of one site, by counting over distinct pages."""
+    seen = {}
+    for h in pages:
+        blocks, looks = html_extract.parse(h)
+        seen.setdefault(tuple(blocks), (blocks, looks))
+    texts, forms = defaultdict(set), defaultdict(list)
+    for k, (blocks, looks) in enumerate(seen.values()):
+        for leaf, branch, _, text, _ in blocks:
+            texts[leaf].add((k, text))
+            texts[branch].add((k, text))
+        for node, look in looks:
+            forms[node].append(look)
+    out = {}
+    for node, own in texts.items():
+        m = len({k for k, _ in own})
+        shares = [sum(1 for _, t in own if t == x) for x in {t for _, t in own}]
+        content = 1.0 if m <= 1 else 1 - min(1.0, np.mean(np.log(shares)) / np.log(m))
+        n = len(forms[node])
+        counts = np.array(list(Counter(forms[node]).values()) or [1])
+        entropy = float(-(counts / counts.sum() * np.log(counts / counts.sum())).sum())
+        out[node] = (m, content, 0.0 if not n else 1.0 if n == 1 else min(1.0, entropy / np.log(n)))
+    return out
+
+
+def test_style_tree_against_brute_force(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    sites = defaultdict(list)
+    for r in pages:
+        sites[html_extract.host(r.url)].append(r.html)
+    sites["own.org"] = [f"<body><div class=a><p>Same</p></div><div class={'b' if i % 2 else 'a'}><p>Text {i % 3}</p><ul><li>x</li></ul></div></body>" for i in range(12)]
+    rows = [(i, f"http://{h}/", t) for h, own in sites.items() for i, t in enumerate(own)]
+    frame = spark.createDataFrame(rows, "page_id int, url string, html string")
+    tree = html_extract.style_tree(html_extract.parsed(frame, "page_id", "url", "html")).collect()
+    want = {(h, node): x for h, own in sites.items() for node, x in brute_importance(own).items()}
+    assert {(r.host, r.node) for r in tree} == set(want)
+    for r in tree:
+        m, content, presentation = want[r.host, r.node]
+        assert r.pages == m and r.content == pytest.approx(content) and r.presentation == pytest.approx(presentation, abs=1e-9)
+
+
+def test_deep_nesting_takes_linear_time(spark):
+    import time
+
+    n = 100_000
+    pages = ["<body>" + "<span>x " * n, "<body>" + "<div>" * n + "deep" + "</div>" * n, "<b>" * n + "text" + "</i>" * n, "<ul>" + "<li>item " * n, "<p>" + "<em><p>" * n]
+    for h in pages:
+        began = time.time()
+        html_extract.parse(h)
+        assert time.time() - began < 10
+    assert [b[3] for b in html_extract.parse(pages[1])[0]] == ["deep"]
+
+
 def test_extraction_query(spark, sf):
     import html
     import re
