@@ -39,9 +39,7 @@ from corpusloom.llm.components import components, joined
 SENT_IDS = 2_000_000
 #: Rows of a few ids and numbers that are broadcast at most (about 100 bytes each).
 SENT_ROWS = 500_000
-#: Candidates of one document that are searched together.
-SALT_ROWS = 256
-#: Tokens in a block of a group; a task holds two blocks.
+#: Tokens in a block: of a document's candidates that are searched together, or of a group, of which a task holds two blocks.
 BLOCK_TOKENS = 200_000
 #: Parts, by token, in which postings are looked through.
 SLICES = 4
@@ -229,8 +227,8 @@ def with_sets(rows: DataFrame, sets: DataFrame, key: str) -> DataFrame:
 
 
 def linked(sets: DataFrame, pairs: DataFrame, share: tuple[int, int], scratch: C.Scratch) -> DataFrame:
-    """Those pairs x, y whose sets (id, tokens) reach the share, decided by one DivideSkip search for each x and some of its candidates."""
-    salts = pairs.groupBy("x").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).alias("_s"))
+    """Those pairs x, y (n: tokens of y) whose sets (id, tokens) reach the share, decided by one DivideSkip search for each x and a block of its candidates."""
+    salts = pairs.groupBy("x").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("_s"))
     dealt = scratch.write(pairs.join(salts, "x").select("x", "y", F.pmod(F.xxhash64("y"), F.col("_s")).alias("salt")), "dealt")
     theirs = with_sets(dealt, sets.withColumnRenamed("id", "y"), "y").select("x", "salt", "y", "tokens")
     own = dealt.select("x", "salt").distinct().join(sets.withColumnRenamed("id", "x"), "x").select("x", "salt", F.lit(None).cast(sets.schema["id"].dataType).alias("y"), "tokens")
@@ -324,7 +322,7 @@ def blocked(groups: DataFrame, sets: DataFrame, share: tuple[int, int], scratch:
     for among all: strays and the others are cut into blocks of about BLOCK_TOKENS tokens, and a
     task holds one block of strays and one other.
     """
-    direct = linked(sets, groups.where("rep <> hub").select(F.col("hub").alias("x"), F.col("rep").alias("y")), share, scratch)
+    direct = linked(sets, groups.where("rep <> hub").select(F.col("hub").alias("x"), F.col("rep").alias("y"), "n"), share, scratch)
     members = groups.where("rep <> hub").join(direct.select(F.col("y").alias("rep"), F.lit(False).alias("_s")), "rep", "left")
     members = scratch.write(members.select("rep", "n", "hub", F.coalesce("_s", F.lit(True)).alias("stray")), "members")
     blocks = lambda stray: F.ceil(F.sum(F.when(F.col("stray") == stray, F.col("n")).otherwise(0)) / BLOCK_TOKENS).cast("int")
@@ -392,7 +390,7 @@ def block_links(key: tuple | None, rows: list[tuple], share: tuple[int, int]) ->
 
 
 def candidates(lists: DataFrame, groups: DataFrame, known: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """x, y: pairs in different groups and components that meet on so many lists that they may reach the share."""
+    """x, y, n (tokens of y): pairs in different groups and components that meet on so many lists that they may reach the share."""
     rows = lists.join(groups.select("rep", "hub"), "rep", "left").join(known.withColumnRenamed("node", "rep"), "rep", "left")
     rows = rows.select("rep", "n", "m", "token", F.coalesce("hub", "rep").alias("hub"), F.coalesce("component", "rep").alias("c"))
     # Tokens that stand in one group or one component alone can't join two of them.
@@ -406,7 +404,7 @@ def candidates(lists: DataFrame, groups: DataFrame, known: DataFrame, share: tup
     sized = (nx * whole >= ny * part) & (ny * whole >= nx * part) & (F.least("mx", "my") >= least)
     met = a.join(b, (F.col("token") == F.col("_token")) & (F.col("x") < F.col("y")) & (F.col("gx") != F.col("gy")) & (F.col("cx") != F.col("cy")) & sized)
     met = met.groupBy("x", "y", "nx", "ny").agg(F.count(F.lit(1)).alias("_n"))
-    return met.where(F.col("_n") >= least).select("x", "y")
+    return met.where(F.col("_n") >= least).select("x", "y", F.col("ny").alias("n"))
 
 
 def prefix_size(n: Column, share: tuple[int, int]) -> Column:
