@@ -361,24 +361,21 @@ def spoken_focus(query: Column) -> Column:
     return F.when(F.char_length(c) < 15, py_strip(query)).otherwise(c)
 
 
-# Wording that a summary's focus leaves out. Courts are made of the words that may stand before and after them.
-_BEFORE = r"(?:στ[οα]|του|τ(?:ης|ων))"
-_SUPREME_BEFORE = r"(?:στ[οα]|του|τ(?:ης|ων)|ενώπιον(?:\s+του)?|από\s+τ[οα])"
-_ABOUT = r"(?:σχετικ[άέ]\s+(?:με|με\s+τ[οηα]ν?))?\s*"
+# Wording that a summary's focus leaves out, in order: times, courts, instructions, quantities.
 FOCUS_RULES = [
     (r"κατά τη[νη]?\s+τελευταί[αη]\s+(?:πενταετία|δεκαετία|τριετία|διετία)", " "),
-    (r"τ(?:α|ης|ων)\s+τελευταί(?:α|ες|ων)\s+\d+\s+(?:χρόνι[αω]|ετ[ηών]|μήν(?:ες|ών))", " "),
+    (r"τ(?:α|ης|ων)\s+τελευταί(?:α|ες|ων|ων)\s+\d+\s+(?:χρόνι[αω]|ετ[ηών]|μήν(?:ες|ών))", " "),
     (r"(?:μετά|από|πριν)\s+(?:το|τ[ηο]ν?)\s+(?:έτος\s+)?\d{4}", " "),
     (r"(?:μεταξύ|από)\s+\d{4}\s+(?:και|έως|μέχρι|ως)\s+\d{4}", " "),
     (r"πρόσφατ(?:ες|α|ων|η)\s*", " "),
     (r"τ(?:ης|ων)\s+τελευταί(?:ας|ων)\s+(?:πενταετίας|δεκαετίας|τριετίας|διετίας|περιόδου)", " "),
-    (_SUPREME_BEFORE + r"\s+(?:Ανώτατ[οα]|Ανωτάτου)\s+(?:Συνταγματικ[οό](?:ύ)?\s+)?Δικαστήρι[οα](?:ύ)?", " "),
-    (_SUPREME_BEFORE + r"\s+Εφετεί[οα](?:ύ)?", " "),
+    (r"(?:στ[οα]|του|τ(?:ης|ων)|ενώπιον(?:\s+του)?|από\s+τ[οα])\s+(?:Ανώτατ[οα]|Ανωτάτου)\s+(?:Συνταγματικ[οό](?:ύ)?\s+)?Δικαστήρι[οα](?:ύ)?", " "),
+    (r"(?:στ[οα]|του|τ(?:ης|ων)|ενώπιον(?:\s+του)?|από\s+τ[οα])\s+Εφετεί[οα](?:ύ)?", " "),
     (r"(?:σε|στ[αο]|τ(?:ων|α))\s+(?:πρωτ[οό]δικ[αο]|Επαρχιακ[αάό])\s+[Δδ]ικαστήρι[αο](?:ύ)?", " "),
-    (_BEFORE + r"\s+[Δδ]ιοικητικ[οό](?:ύ)?\s+[Δδ]ικαστήρι[οα](?:ύ)?", " "),
-    (_BEFORE + r"\s+Οικογενειακ[οό](?:ύ)?\s+[Δδ]ικαστήρι[οα](?:ύ)?", " "),
-    (r"^(?:Βρες|Αναζήτησε|Ψάξε|Δείξε|Εντόπισε)(?:\s+μου)?\s+(?:αποφάσεις|υποθέσεις|δικαστικές\s+αποφάσεις)?\s*" + _ABOUT, ""),
-    (r"^(?:Θέλω|Χρειάζομαι)\s+(?:να\s+(?:βρω|δω|αναζητήσω))?\s*(?:αποφάσεις|υποθέσεις)?\s*" + _ABOUT, ""),
+    (r"(?:στ[οα]|του|τ(?:ης|ων))\s+[Δδ]ιοικητικ[οό](?:ύ)?\s+[Δδ]ικαστήρι[οα](?:ύ)?", " "),
+    (r"(?:στ[οα]|του|τ(?:ης|ων))\s+Οικογενειακ[οό](?:ύ)?\s+[Δδ]ικαστήρι[οα](?:ύ)?", " "),
+    (r"^(?:Βρες|Αναζήτησε|Ψάξε|Δείξε|Εντόπισε)(?:\s+μου)?\s+(?:αποφάσεις|υποθέσεις|δικαστικές\s+αποφάσεις)?\s*(?:σχετικ[άέ]\s+(?:με|με\s+τ[οηα]ν?))?\s*", ""),
+    (r"^(?:Θέλω|Χρειάζομαι)\s+(?:να\s+(?:βρω|δω|αναζητήσω))?\s*(?:αποφάσεις|υποθέσεις)?\s*(?:σχετικ[άέ]\s+(?:με|με\s+τ[οηα]ν?))?\s*", ""),
     (r"^(?:Ποιες|Ποια)\s+(?:αποφάσεις|υποθέσεις)\s+(?:αφορούν|σχετίζονται\s+με)\s*", ""),
     (r"τ(?:ις|α|ους?)\s+\d+\s+(?:πιο|πλέον)\s+(?:σημαντικ[έά]ς?|σχετικ[έά]ς?)\s*", " "),
     (r"τ(?:α|ις)\s+(?:πρώτ[αες]|κύρι[αες])\s+\d+\s*", " "),

@@ -11,9 +11,10 @@ from corpusloom.session import small, written
 K1, B = 1.2, 0.75
 
 
-def analyze(text: Column, stop_words: list[str] | None = None) -> Column:
-    """Lower-cased runs of letters and digits without stop words, in order; no stemming. Null gives an empty list."""
-    stop = F.array(*[F.lit(w) for w in (D.STOP_WORDS if stop_words is None else stop_words)])
+def analyze(text: Column, stop_words: list[str] | None = None, dictionary: list[str] | None = None) -> Column:
+    """Lower-cased runs of letters and digits without stop words, in order; no stemming. ASCII terms of the dictionary stay even as stop words. Null gives an empty list."""
+    known = {w.lower() for w in (D.DICTIONARY if dictionary is None else dictionary) if w.isascii()}
+    stop = F.array(*[F.lit(w) for w in (D.STOP_WORDS if stop_words is None else stop_words) if w not in known]).cast("array<string>")
     words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
     return F.filter(words, lambda w: (w != "") & ~F.array_contains(stop, w))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable, Iterator
 
@@ -15,8 +16,22 @@ from corpusloom.session import code_path
 Embed = Callable[[list[str]], list[list[float]]]
 
 
+class RateLimited(Exception):
+    """A provider's answer that its budget of tokens is used up until `reset` (say, 1m30s or 250ms) has passed."""
+
+    def __init__(self, reset: str = "1s"):
+        super().__init__(f"rate limited for {reset}")
+        self.reset = reset
+
+
+def reset_after(reset: str) -> float:
+    """Seconds of a reset header."""
+    units = {"ms": 0.001, "s": 1.0, "m": 60.0, "h": 3600.0}
+    return sum(float(n) * units[u] for n, u in re.findall(r"([\d.]+)(ms|s|m|h)", reset))
+
+
 def embedded(df: DataFrame, make: Callable[[], Embed], text: str = "text", out: str = "embedding", batch: int = 100, tries: int = 5, pause: float = 0.0) -> DataFrame:
-    """Adds a vector to each row. A task makes its provider once and asks for `batch` texts at a time; failures are tried again after 1, 2, 4 ... seconds. Null texts get null."""
+    """Adds a vector to each row. A task makes its provider once and asks for `batch` texts at a time; failures of the network or the service are tried again after 1, 2, 4 ... seconds, used up budgets once they are reset. Null texts get null."""
     code_path(df.sparkSession)
     at = df.columns.index(text)
     schema = T.StructType([*[f for f in df.schema if f.name != out], T.StructField(out, T.ArrayType(T.FloatType()))])
@@ -25,10 +40,10 @@ def embedded(df: DataFrame, make: Callable[[], Embed], text: str = "text", out:
         for k in range(tries):
             try:
                 return embed(texts)
-            except OSError:
+            except (OSError, RuntimeError, TimeoutError, RateLimited) as e:
                 if k == tries - 1:
                     raise
-                time.sleep(2.0**k)
+                time.sleep(reset_after(e.reset) if isinstance(e, RateLimited) else 2.0**k)
         return []
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

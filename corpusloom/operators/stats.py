@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
+from corpusloom.sources.sinks import numbered
 
 
 def extraction_stats(parsed: DataFrame, court: str = "court", fmt: str = "fmt") -> DataFrame:
@@ -92,7 +93,17 @@ def cited_most(edges: DataFrame, top: int = 100) -> DataFrame:
     return edges.groupBy("dst").agg(F.count(F.lit(1)).alias("citations")).orderBy(F.desc("citations"), "dst").limit(top)
 
 
-def sampled(df: DataFrame, order: str, step: int) -> DataFrame:
-    """Every step-th row of each thousand-row run of the order (a sampling operator)."""
-    w = Window.partitionBy(F.floor(F.col(order) / 1000)).orderBy(order)
-    return df.withColumn("_r", F.row_number().over(w)).where((F.col("_r") - 1) % step == 0).drop("_r")
+def sampled(df: DataFrame, order: str | list[str], size: int) -> DataFrame:
+    """About `size` rows spread over the whole order (a sampling operator): every n-th one from the first on, n being the rows over `size`, 1 at least."""
+    step = max(1, df.count() // max(1, size))
+    return numbered(df, [order] if isinstance(order, str) else order, "_i").where(F.col("_i") % step == 0).drop("_i")
+
+
+def expected_found(expected: DataFrame, found: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Expected documents that were found, each once."""
+    return expected.select(doc).distinct().join(found.select(doc), doc, "left_semi")
+
+
+def summary_counters(log: DataFrame, query_key: str = "query_id") -> DataFrame:
+    """Summaries, tokens in and out by query."""
+    return log.groupBy(query_key).agg(F.count(F.lit(1)).alias("summaries"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"))

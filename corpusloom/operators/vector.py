@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from corpusloom.functions import text as X
 from corpusloom.session import code_path
 
 #: Query vectors that are scored against a batch of rows at once.
@@ -106,6 +107,19 @@ def best_of_document(scored: DataFrame, doc: str, chunk: str, query_key: str = "
     return scored.groupBy(*keys).agg(F.max("score").alias("score"), F.max_by(chunk, best).alias(chunk), F.count(F.lit(1)).alias("chunk_count"))
 
 
+def best_of_prefix(scored: DataFrame, vector_id: str, top: int | None = None, query_key: str = "query_id") -> DataFrame:
+    """Each id prefix's best vector (its representative) for each query, best first; `top` keeps so many a query (5 and 30 in the older interfaces)."""
+    keys = [query_key] if query_key in scored.columns else []
+    rows = scored.withColumn("prefix", X.vector_id_prefix(F.col(vector_id)))
+    best = rows.groupBy(*keys, "prefix").agg(F.max("score").alias("score"), F.min_by(vector_id, F.struct(-F.col("score"), F.col(vector_id))).alias(vector_id))
+    if top is None:
+        return best
+    if not keys:
+        return best.orderBy(F.desc("score"), "prefix").limit(top)
+    order = Window.partitionBy(query_key).orderBy(F.desc("score"), "prefix")
+    return best.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
+
+
 def members_of_document(scored: DataFrame, doc: str, chunk: str, query_key: str = "query_id") -> DataFrame:
     """Documents with their chunks found, best first."""
     keys = [query_key, doc] if query_key in scored.columns else [doc]

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
+from functools import cache
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,12 +36,18 @@ def code_path(spark: SparkSession) -> None:
 
 
 def work_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir; temporary where unset)."""
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir. Where that is unset, local runs take a temporary one and clusters raise."""
     top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = f"file://{tempfile.mkdtemp(prefix='corpusloom-')}"
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    if not top and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(top or local_dir()).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+@cache
+def local_dir() -> str:
+    top = tempfile.mkdtemp(prefix="corpusloom-")
+    atexit.register(shutil.rmtree, top, ignore_errors=True)
+    return f"file://{top}"
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:

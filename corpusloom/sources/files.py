@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -126,6 +128,33 @@ def pipe_index(spark: SparkSession, path: str, base_url: str) -> DataFrame:
     return rows.select(X.gateway_url(F.col("file_path"), base_url).alias("url"), "file_path", "title", F.lit("aad").alias("court"), X.year_crawler(F.col("_p")).alias("year"), "date")
 
 
+def pipe_skipped(spark: SparkSession, path: str) -> DataFrame:
+    """path, skipped: lines of pipe-delimited indexes with text but without two fields or a first one; comments and blank lines don't count."""
+    code_path(spark)
+    raw = spark.read.format("binaryFile").load(path).select("path", decoder(CSV_ENCODINGS)(F.col("content")).alias("_t"))
+    line = X.py_strip(F.col("line"))
+    parts = F.split(line, r"\|")
+    lines = raw.select("path", F.explode(F.split("_t", r"\r\n|\r|\n")).alias("line"))
+    bad = ~F.col("line").startswith("#") & (line != "") & ((F.size(parts) < 2) | (X.py_strip(F.get(parts, 0)) == ""))
+    return lines.groupBy("path").agg(F.count_if(bad).alias("skipped"))
+
+
+def paged_export(spark: SparkSession, fetch: Callable[[int, int], list[dict]], total: int, schema: str, page: int = 1000, limit: int | None = None) -> DataFrame:
+    """A vector store's records, read by offset and limit: pages are dealt over tasks, each of which asks for its own. `total` is the store's count."""
+    code_path(spark)
+    total = min(total, limit) if limit is not None else total
+    starts = spark.range(0, total, page, max(1, min(200, -(-total // page))))
+    names = [f.name for f in spark.createDataFrame([], schema).schema]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for start in frame["id"].tolist():
+                rows = fetch(int(start), int(min(page, total - start)))
+                yield pd.DataFrame([[r.get(n) for n in names] for r in rows], columns=names)
+
+    return starts.mapInPandas(run, schema)
+
+
 def index_entries(spark: SparkSession, path: str) -> DataFrame:
     """Entries of nested JSON index files, with the file and the year they are filed under."""
     rows = spark.read.schema(INDEX_SCHEMA).option("multiLine", True).json(path)

@@ -63,25 +63,31 @@ def totals(stream: DataFrame, session: str = "user_id") -> DataFrame:
     return stream.groupBy(session).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"))
 
 
-def all_arrived(stream: DataFrame, session: str = "user_id") -> DataFrame:
-    """A session's row once as many summaries as announced have arrived: (session, kind: expected or summary, n or doc).
+def all_arrived(stream: DataFrame, session: str = "user_id", idle_ms: int = 86_400_000) -> DataFrame:
+    """A session's row once summaries of as many documents as announced have arrived: (session, kind: expected or summary, n, doc_id).
 
-    State is kept per session; several announcements: the last holds.
+    State is kept per session; several announcements: the last holds; a document's summary that is sent again counts once.
+    A session that hears nothing for `idle_ms` is forgotten.
     """
 
     def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        expected, seen, told = state.get if state.exists else (-1, 0, False)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        expected, seen, told = state.get if state.exists else (-1, [], False)
+        docs = set(seen)
         for b in batches:
             announced = b.loc[b["kind"] == "expected", "n"]
             expected = int(announced.iloc[-1]) if len(announced) else expected
-            seen += int((b["kind"] == "summary").sum())
-        done = 0 < expected <= seen
-        state.update((expected, seen, told or done))
+            docs |= {str(x) for x in b.loc[b["kind"] == "summary", "doc_id"]}
+        done = 0 < expected <= len(docs)
+        state.update((expected, sorted(docs), told or done))
+        state.setTimeoutDuration(idle_ms)
         if done and not told:
-            yield pd.DataFrame({session: [key[0]], "expected": [expected], "summarized": [seen]})
+            yield pd.DataFrame({session: [key[0]], "expected": [expected], "summarized": [len(docs)]})
 
     kind = stream.schema[session].dataType.simpleString()
-    return stream.groupBy(session).applyInPandasWithState(run, f"{session} {kind}, expected long, summarized long", "expected long, seen long, told boolean", "append", "NoTimeout")
+    return stream.groupBy(session).applyInPandasWithState(run, f"{session} {kind}, expected long, summarized long", "expected long, seen array<string>, told boolean", "append", "ProcessingTimeTimeout")
 
 
 def run_once(stream: DataFrame, name: str, mode: str, checkpoint: str | None = None) -> DataFrame:
@@ -103,6 +109,37 @@ def upsert_batches(stream: DataFrame, path: str, keys: list[str], version: str,
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def compact(spark: SparkSession, path: str, keys: list[str], version: str) -> None:
+    """Writes the last row of each key as one epoch (the highest there is) and deletes the older ones; run it while no batch is written."""
+    table = spark.read.parquet(path)
+    top = table.agg(F.max("epoch")).first()[0]
+    from corpusloom.session import written
+
+    held = written(latest(table, keys, version).drop("epoch"), "compacted")
+    held.write.mode("overwrite").parquet(f"{path}/epoch={top}")
+    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in files.listStatus(base):
+        name = found.getPath().getName()
+        if name.startswith("epoch=") and name != f"epoch={top}":
+            files.delete(found.getPath(), True)
+
+
+def keep_alive(events: DataFrame, every: int = 5, session: str = "user_id") -> DataFrame:
+    """A progress event for each full batch of `every` events of a session: session, batch, done, ts of the batch's last event."""
+    order = Window.partitionBy(session).orderBy("ts", "event_id")
+    rows = events.withColumn("done", F.row_number().over(order)).where(F.col("done") % every == 0)
+    return rows.select(session, (F.col("done") / every).cast("long").alias("batch"), F.col("done").cast("long").alias("done"), "ts")
+
+
+def answered(asked: DataFrame, answers: DataFrame, within: str = "30 minutes", late: str = "10 minutes", session: str = "user_id") -> DataFrame:
+    """Pairs of a session's events and their answers within a time: a join of two streams (or tables) whose state the watermarks bound."""
+    a = asked.withWatermark("ts", late).select(F.col(session), F.col("event_id").alias("asked_id"), F.col("ts").alias("asked_ts"))
+    b = answers.withWatermark("ts", late).select(F.col(session).alias("_s"), F.col("event_id").alias("answer_id"), F.col("ts").alias("answer_ts"))
+    on = (F.col(session) == F.col("_s")) & (F.col("answer_ts") >= F.col("asked_ts")) & (F.col("answer_ts") <= F.col("asked_ts") + F.expr(f"INTERVAL {within}"))
+    return a.join(b, on).select(session, "asked_id", "answer_id", (F.unix_timestamp("answer_ts") - F.unix_timestamp("asked_ts")).alias("after_s"))
+
+
 def latest(table: DataFrame, keys: list[str], version: str) -> DataFrame:
     last = Window.partitionBy(*keys).orderBy(F.desc(version), F.desc("epoch"))
     return table.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r")
