@@ -8,6 +8,7 @@ from corpusloom.functions import dimensions as D
 from corpusloom.functions import text as X
 from corpusloom.operators import rerank, stats
 from corpusloom.plans.catalog_retrieval import JUDGED, judged
+from corpusloom.plans.catalog_text import DECISIONS, decisions
 from corpusloom.session import table, work_path
 from corpusloom.sources import sinks
 from corpusloom.streaming import events as E
@@ -68,7 +69,7 @@ def stream_windows(s, d):
 
 
 def parsed(s, d):
-    return table(s, d, "documents").select("doc_id", F.col("source").alias("court"), F.col("lang").alias("fmt"), X.word_count(F.col("text")).alias("words"), F.char_length("text").alias("chars"), X.count_refs(F.col("text")).alias("refs"))
+    return decisions(s, d).select("doc_id", F.col("source").alias("court"), F.col("lang").alias("fmt"), X.word_count(F.col("text")).alias("words"), F.char_length("text").alias("chars"), X.count_refs(F.col("text")).alias("refs"))
 
 
 def stats_by_court_format(s, d):
@@ -92,7 +93,7 @@ def index_stats(s, d):
 
 
 def request_packing(s, d):
-    got = sinks.request_packing(table(s, d, "documents").select(F.col("doc_id").alias("idx"), F.left("text", F.lit(2000)).alias("text")), "model", 1536)
+    got = sinks.request_packing(table(s, d, "documents").select(F.col("doc_id").alias("idx"), "text"), "model", 1536)
     return got.select(n("batch"), "custom_id", n("inputs"))
 
 
@@ -108,13 +109,13 @@ def upsert_latest(s, d):
 
 
 def resume_anti(s, d):
-    done = table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    done = table(s, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return sinks.resume(table(s, d, "customer").select("c_custkey"), done, ["c_custkey"])
 
 
 def required_minus_existing(s, d):
     need = table(s, d, "nation").select(F.col("n_nationkey").alias("k"))
-    return need.subtract(table(s, d, "supplier").select(F.col("s_nationkey").alias("k")))
+    return sinks.missing(need, table(s, d, "supplier").where("s_acctbal < 0").select(F.col("s_nationkey").alias("k")))
 
 
 def documents_table(s, d):
@@ -205,7 +206,7 @@ CATALOG = {
     "stream_dedup": (stream_dedup, "SELECT DISTINCT user_id, event_type FROM events"),
     "stream_totals": (stream_totals, "SELECT user_id, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY user_id"),
     "stream_windows": (stream_windows, "SELECT epoch(date_trunc('hour', ts))::BIGINT AS start_s, event_type, count(*) AS n FROM events GROUP BY ALL"),
-    "stats_by_court_format": (stats_by_court_format, f"SELECT source AS court, lang AS fmt, count(*) AS documents, sum({WORDS})::BIGINT AS words, sum(length(text))::BIGINT AS chars, 0::BIGINT AS refs, (sum({WORDS}) // count(*))::BIGINT AS avg_words FROM documents GROUP BY GROUPING SETS ((source), (lang), ())"),
+    "stats_by_court_format": (stats_by_court_format, f"SELECT source AS court, lang AS fmt, count(*) AS documents, sum({WORDS})::BIGINT AS words, sum(length(text))::BIGINT AS chars, sum(len(regexp_extract_all(text, '\\]\\([^)]*\\.md\\)')))::BIGINT AS refs, (sum({WORDS}) // count(*))::BIGINT AS avg_words FROM {DECISIONS} GROUP BY GROUPING SETS ((source), (lang), ())"),
     "group_by_year_list": (
         group_by_year_list,
         "WITH e AS (SELECT o_orderstatus AS court, CASE WHEN o_orderkey % 9 = 0 THEN 'unknown' ELSE year(o_orderdate)::VARCHAR END AS year, '/x/' || o_orderkey || '.html' AS p FROM orders) SELECT court, (sum(count(*)) OVER (PARTITION BY court))::BIGINT AS total, year, count(*) AS n, md5(string_agg(p, ',' ORDER BY p)) AS paths FROM e GROUP BY court, year",
@@ -214,8 +215,8 @@ CATALOG = {
     "request_packing": (request_packing, "SELECT b AS batch, 'b' || b || '-r' || (q * 100) || '-s' || (b * 50000 + q * 100) AS custom_id, n AS inputs FROM (SELECT doc_id // 50000 AS b, (doc_id % 50000) // 100 AS q, count(*) AS n FROM documents GROUP BY ALL)"),
     "insert_if_absent": (insert_if_absent, "SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_quantity, l_returnflag) AS k FROM lineitem) l WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM lineitem r WHERE r.l_returnflag = 'R' AND r.l_orderkey = l.l_orderkey AND r.l_linenumber = l.l_linenumber)"),
     "upsert_latest": (upsert_latest, "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS r FROM orders) WHERE r = 1"),
-    "resume_anti": (resume_anti, "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
-    "required_minus_existing": (required_minus_existing, "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier"),
+    "resume_anti": (resume_anti, "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')"),
+    "required_minus_existing": (required_minus_existing, "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal < 0"),
     "documents_table": (documents_table, f"SELECT doc_id::VARCHAR AS doc_id, md5(translate(text, chr(9) || chr(13), ' ')) AS md5, {TERMS} AS terms FROM documents WHERE length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) >= 50"),
     "numbered_rows": (numbered_rows, "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS idx FROM orders"),
     "court_years": (court_years, f"WITH c(court_id, base, pattern, a, z) AS (VALUES {YEARS}) SELECT court_id, y::INT AS year, 'https://example.org' || base || CASE pattern WHEN 'index_{{year}}' THEN 'index_' || y || '.html' ELSE y || '/index.html' END AS url FROM (SELECT *, unnest(range(a, z + 1)) AS y FROM c)"),

@@ -40,10 +40,15 @@ def analyze_table(spark: SparkSession, name: str, columns: list[str] | None = No
     spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS" + (f" FOR COLUMNS {', '.join(columns)}" if columns else ""))
 
 
+def missing(required: DataFrame, existing: DataFrame) -> DataFrame:
+    """Required rows that don't exist, each once."""
+    return required.subtract(existing)
+
+
 def missing_indexes(spark: SparkSession, required: list[str], existing: list[str]) -> DataFrame:
     """Required ones that don't exist."""
     names = lambda x: spark.createDataFrame([(v,) for v in x], "name string")
-    return names(required).subtract(names(existing))
+    return missing(names(required), names(existing))
 
 
 # ---- keyed writes
