@@ -221,15 +221,20 @@ def ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("x").alias("id")).union(pairs.select("y"))
 
 
+def sent(rows: DataFrame) -> DataFrame:
+    """Written rows of ids and numbers, broadcast behind a check of their count. Beyond it they are joined by a shuffle of what was written, which adaptive execution splits at hot keys."""
+    return F.broadcast(rows) if rows.count() <= SENT_ROWS else rows
+
+
 def with_sets(rows: DataFrame, sets: DataFrame, key: str) -> DataFrame:
-    """Written rows of ids and numbers joined with their sets; the rows are broadcast behind a check of their count."""
-    return (F.broadcast(rows) if rows.count() <= SENT_ROWS else rows).join(sets, key)
+    """Written rows of ids and numbers joined with their sets."""
+    return sent(rows).join(sets, key)
 
 
 def linked(sets: DataFrame, pairs: DataFrame, share: tuple[int, int], scratch: C.Scratch) -> DataFrame:
     """Those pairs x, y (n: tokens of y) whose sets (id, tokens) reach the share, decided by one DivideSkip search for each x and a block of its candidates."""
-    salts = pairs.groupBy("x").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("_s"))
-    dealt = scratch.write(pairs.join(salts, "x").select("x", "y", F.pmod(F.xxhash64("y"), F.col("_s")).alias("salt")), "dealt")
+    salts = scratch.write(pairs.groupBy("x").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("_s")), "salts")
+    dealt = scratch.write(pairs.join(sent(salts), "x").select("x", "y", F.pmod(F.xxhash64("y"), F.col("_s")).alias("salt")), "dealt")
     theirs = with_sets(dealt, sets.withColumnRenamed("id", "y"), "y").select("x", "salt", "y", "tokens")
     own = dealt.select("x", "salt").distinct().join(sets.withColumnRenamed("id", "x"), "x").select("x", "salt", F.lit(None).cast(sets.schema["id"].dataType).alias("y"), "tokens")
     together = theirs.union(own).repartition("x", "salt").sortWithinPartitions("x", "salt", F.asc_nulls_first("y"))
@@ -303,16 +308,18 @@ def hub_groups(lists: DataFrame, share: tuple[int, int], scratch: C.Scratch) ->
     hubs = lists.select("token", "rep").join(common, "rep").groupBy("token").agg(F.min_by("rep", F.struct(-F.col("_share"), "rep")).alias("hub"))
     votes = lists.select("token", "rep", "n", "m").join(hubs, "token").groupBy("rep", "n", "m", "hub").agg(F.count(F.lit(1)).alias("_v"))
     first = votes.groupBy("rep", "n", "m").agg(F.min_by("hub", F.struct(-F.col("_v"), "hub")).alias("hub"), F.max("_v").alias("_v")).where(F.col("_v") >= 1 + F.floor(F.col("n") / 50))
-    leader = lists.select(F.col("rep").alias("hub"), F.col("n").alias("_n"), F.col("m").alias("_m")).distinct()
-    first = first.join(leader, "hub").where(F.least("m", "_m") >= enough(F.col("n"), F.col("_n"), share))
     first = scratch.write(first, "first")
+    hubs = first.select(F.col("hub").alias("rep")).distinct()
+    leader = lists.join(hubs, "rep", "left_semi").select(F.col("rep").alias("hub"), F.col("n").alias("_n"), F.col("m").alias("_m")).distinct()
+    first = first.join(sent(scratch.write(leader, "leaders")), "hub").where(F.least("m", "_m") >= enough(F.col("n"), F.col("_n"), share))
+    first = scratch.write(first, "near")
     # A hub stands in its own group, wherever its own lists would put it.
     leaders = first.select(F.col("hub").alias("rep"), F.lit(True).alias("_leads")).distinct()
     sizes = lists.select("rep", "n").distinct()
     placed = first.join(leaders, "rep", "left_anti").select("rep", "n", "hub").union(leaders.join(sizes, "rep").select("rep", "n", F.col("rep").alias("hub")))
     placed = scratch.write(placed, "placed")  # so that sizes are added up in map tasks first
-    totals = placed.groupBy("hub").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("tokens"))
-    return placed.join(totals.where("members > 1"), "hub")
+    totals = placed.groupBy("hub").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("tokens")).where("members > 1")
+    return placed.join(sent(scratch.write(totals, "totals")), "hub")
 
 
 def blocked(groups: DataFrame, sets: DataFrame, share: tuple[int, int], scratch: C.Scratch) -> DataFrame:
@@ -326,11 +333,11 @@ def blocked(groups: DataFrame, sets: DataFrame, share: tuple[int, int], scratch:
     members = groups.where("rep <> hub").join(direct.select(F.col("y").alias("rep"), F.lit(False).alias("_s")), "rep", "left")
     members = scratch.write(members.select("rep", "n", "hub", F.coalesce("_s", F.lit(True)).alias("stray")), "members")
     blocks = lambda stray: F.ceil(F.sum(F.when(F.col("stray") == stray, F.col("n")).otherwise(0)) / BLOCK_TOKENS).cast("int")
-    totals = members.groupBy("hub").agg(blocks(True).alias("_sb"), blocks(False).alias("_lb"))
+    totals = scratch.write(members.groupBy("hub").agg(blocks(True).alias("_sb"), blocks(False).alias("_lb")).where("_sb > 0"), "strays")
     h, sb, lb = F.xxhash64("rep"), F.col("_sb"), F.col("_lb")
     own = F.when(F.col("stray"), F.pmod(h, F.greatest(sb, F.lit(1)))).otherwise(sb + F.pmod(h, F.greatest(lb, F.lit(1)))).cast("int")
     to = F.when(F.col("stray"), F.sequence(F.lit(0), sb + lb - 1)).otherwise(F.sequence(F.lit(0), sb - 1))
-    state = members.join(totals.where("_sb > 0"), "hub").withColumn("own", own).withColumn("_o", F.explode(to))
+    state = members.join(sent(totals), "hub").withColumn("own", own).withColumn("_o", F.explode(to))
     dealt = state.select("hub", F.least("own", "_o").alias("i"), F.greatest("own", "_o").alias("j"), "own", "stray", F.col("rep").alias("id"))
     rows = with_sets(scratch.write(dealt, "dealt"), sets, "id").select("hub", "i", "j", "own", "stray", "id", "tokens").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "own", "id")
     kind = sets.schema["id"].dataType.simpleString()
