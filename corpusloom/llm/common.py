@@ -189,3 +189,23 @@ SENT_IDS = 2_000_000
 def by_ids(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
     """Semi or anti join with a written table of ids, broadcast behind a check of its size."""
     return df.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, key, how)
+
+
+#: Partition totals that one window of `starts` adds up.
+FAN = 1024
+
+
+def starts(totals: DataFrame, part: str, n: str, out: str) -> DataFrame:
+    """part and the sum of n over all partitions before it: sums within groups of FAN partitions, then over the groups' sums."""
+    rows = totals.select(F.col(part), F.col(n).alias("_n"), F.floor(F.col(part) / FAN).alias("_g"))
+    groups = rows.groupBy("_g").agg(F.sum("_n").alias("_s"))
+    before = Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.select("_g", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_base"))
+    within = Window.partitionBy("_g").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_in", F.coalesce(F.sum("_n").over(within), F.lit(0)))
+    return rows.join(groups, "_g").select(part, (F.col("_base") + F.col("_in")).cast("long").alias(out))
+
+
+def with_starts(rows: DataFrame, start: DataFrame, part: str) -> DataFrame:
+    """Joins the written starts of partitions, one row each: broadcast behind a check of their count."""
+    return rows.join(F.broadcast(start) if start.count() <= SENT_IDS else start, part)

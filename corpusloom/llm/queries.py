@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import common as C
-from corpusloom.llm import decontamination, html_extract, language_id, maxent_lm, ngram_join, packing, quality, sharding, simhash, substring_dedup
+from corpusloom.llm import concatenation, decontamination, html_extract, language_id, maxent_lm, ngram_join, oracles, packing, quality, resampling, sharding, simhash, spelling, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,6 +77,20 @@ def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(C.table(spark, sf_dir, "documents"), drop_one_in=199)
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = C.materialize(concatenation.tokenized(C.table(spark, sf_dir, "documents")), "tokens")
+    return concatenation.pieces(stored, 1024).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resampling.resample(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_language_id": op1_language_id,
@@ -89,8 +103,11 @@ def queries() -> dict[str, Query]:
         "op8_language_model": op8_language_model,
         "op9_quality": op9_quality,
         "op10_html_extraction": op10_html_extraction,
+        "op11_spelling": op11_spelling,
+        "op12_packing": op12_packing,
+        "op13_resampling": op13_resampling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
