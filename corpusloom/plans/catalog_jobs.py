@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from corpusloom.functions import dimensions as D
@@ -12,6 +14,7 @@ from corpusloom.plans.catalog_text import DECISIONS, decisions
 from corpusloom.session import table, work_path
 from corpusloom.sources import sinks
 from corpusloom.streaming import events as E
+from corpusloom.streaming import gate
 
 n = lambda c: F.col(c).cast("long").alias(c)
 i = lambda c: F.col(c).cast("int").alias(c)
@@ -65,6 +68,32 @@ def stream_windows(s, d):
     return got.select(F.unix_timestamp("start").alias("start_s"), "event_type", n("n"))
 
 
+def announced(events):
+    """Sign-ups announce one to four summaries, other events are summaries of seven documents."""
+    kind = F.when(F.col("event_type") == "signup", "expected").otherwise("summary")
+    return events.select("user_id", "event_id", "ts", kind.alias("kind"), (F.col("event_id") % 4 + 1).alias("n"), (F.col("event_id") % 7).alias("doc_id"))
+
+
+def stream_gate(s, d):
+    """The event log as a stream; sessions end after six hours."""
+    events = announced(E.read_stream(s, d, "events.parquet"))
+    got = E.run_once(gate.all_arrived(events, idle=timedelta(hours=6)), "stream_gate", "append", work_path(s, "stream-gate"))
+    return got.select("user_id", F.unix_micros("began").alias("began"), F.unix_micros("at").alias("at"), "expected", "summarized", "complete")
+
+
+GATE = """WITH ev AS (SELECT user_id, event_id, ts, CASE WHEN event_type = 'signup' THEN event_id % 4 + 1 END AS n, CASE WHEN event_type <> 'signup' THEN event_id % 7 END AS doc FROM events),
+paused AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM ev),
+island AS (SELECT *, sum(CASE WHEN ts > prev + INTERVAL 6 HOURS THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM paused),
+once AS (SELECT *, CASE WHEN doc IS NOT NULL AND row_number() OVER (PARTITION BY user_id, k, doc ORDER BY ts, event_id) = 1 THEN 1 ELSE 0 END AS new FROM island),
+run AS (SELECT user_id, k, ts, event_id, last_value(n IGNORE NULLS) OVER w AS expected, sum(new) OVER w AS summarized, min(ts) OVER (PARTITION BY user_id, k) AS began FROM once
+  WINDOW w AS (PARTITION BY user_id, k ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+met AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, k ORDER BY ts, event_id) AS r FROM run WHERE expected <= summarized) WHERE r = 1),
+last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, k ORDER BY ts DESC, event_id DESC) AS r, max(k) OVER (PARTITION BY user_id) AS top FROM run) WHERE r = 1),
+unmet AS (SELECT last.* FROM last ANTI JOIN met USING (user_id, k) WHERE expected IS NOT NULL AND (k < top OR ts + INTERVAL 6 HOURS <= (SELECT max(ts) - INTERVAL 10 MINUTES FROM events)))
+SELECT user_id, epoch_us(began) AS began, epoch_us(ts) AS at, expected::BIGINT AS expected, summarized::BIGINT AS summarized, true AS complete FROM met
+UNION ALL SELECT user_id, epoch_us(began), epoch_us(ts), expected::BIGINT, summarized::BIGINT, false FROM unmet"""
+
+
 # ---- jobs
 
 
@@ -205,6 +234,7 @@ CATALOG = {
     "session_windows_batch": (session_windows_batch, SESSIONS),
     "stream_dedup": (stream_dedup, "SELECT DISTINCT user_id, event_type FROM events"),
     "stream_totals": (stream_totals, "SELECT user_id, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY user_id"),
+    "stream_gate": (stream_gate, GATE),
     "stream_windows": (stream_windows, "SELECT epoch(date_trunc('hour', ts))::BIGINT AS start_s, event_type, count(*) AS n FROM events GROUP BY ALL"),
     "stats_by_court_format": (stats_by_court_format, f"SELECT source AS court, lang AS fmt, count(*) AS documents, sum({WORDS})::BIGINT AS words, sum(length(text))::BIGINT AS chars, sum(len(regexp_extract_all(text, '\\]\\([^)]*\\.md\\)')))::BIGINT AS refs, (sum({WORDS}) // count(*))::BIGINT AS avg_words FROM {DECISIONS} GROUP BY GROUPING SETS ((source), (lang), ())"),
     "group_by_year_list": (

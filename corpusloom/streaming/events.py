@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -63,33 +60,6 @@ def totals(stream: DataFrame, session: str = "user_id") -> DataFrame:
     return stream.groupBy(session).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"))
 
 
-def all_arrived(stream: DataFrame, session: str = "user_id", idle_ms: int = 86_400_000) -> DataFrame:
-    """A session's row once summaries of as many documents as announced have arrived: (session, kind: expected or summary, n, doc_id).
-
-    State is kept per session; several announcements: the last holds; a document's summary that is sent again counts once.
-    A session that hears nothing for `idle_ms` is forgotten.
-    """
-
-    def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        expected, seen, told = state.get if state.exists else (-1, [], False)
-        docs = set(seen)
-        for b in batches:
-            announced = b.loc[b["kind"] == "expected", "n"]
-            expected = int(announced.iloc[-1]) if len(announced) else expected
-            docs |= {str(x) for x in b.loc[b["kind"] == "summary", "doc_id"]}
-        done = 0 < expected <= len(docs)
-        state.update((expected, sorted(docs), told or done))
-        state.setTimeoutDuration(idle_ms)
-        if done and not told:
-            yield pd.DataFrame({session: [key[0]], "expected": [expected], "summarized": [len(docs)]})
-
-    kind = stream.schema[session].dataType.simpleString()
-    return stream.groupBy(session).applyInPandasWithState(run, f"{session} {kind}, expected long, summarized long", "expected long, seen array<string>, told boolean", "append", "ProcessingTimeTimeout")
-
-
 def run_once(stream: DataFrame, name: str, mode: str, checkpoint: str | None = None) -> DataFrame:
     """Runs a stream over what is there and returns the result table; for tests and small backfills (the result is in the driver's memory)."""
     writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)

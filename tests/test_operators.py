@@ -351,12 +351,6 @@ def stream_of(spark, df, tmp_path):
     return spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
 
 
-def test_gate(spark, tmp_path):
-    rows = frame(spark, "user_id int, kind string, n long, doc_id string", (1, "expected", 2, None), (1, "summary", None, "a"), (1, "summary", None, "b"), (2, "expected", 2, None), (2, "summary", None, "a"), (2, "summary", None, "a"))
-    got = E.run_once(E.all_arrived(stream_of(spark, rows, tmp_path)), "gate_test", "append", work_path(spark, "gate"))
-    assert [tuple(r) for r in got.collect()] == [(1, 2, 2)]
-
-
 def test_stream_upsert(spark, tmp_path):
     rows = frame(spark, "k int, v int, t int", (1, 1, 1), (1, 2, 2), (2, 3, 1))
     stream = stream_of(spark, rows, tmp_path)
