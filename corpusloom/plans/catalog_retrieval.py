@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import dimensions as D
-from corpusloom.operators import fulltext, fusion, rerank, vector
+from corpusloom.operators import fulltext, fusion, postings, rerank, vector
 from corpusloom.plans import hybrid
-from corpusloom.session import table, written
+from corpusloom.session import table, work_path, written
 
 # ---- shared inputs: vectors whose id is divisible by 50 ask; the benchmark item of a fiftieth of that id is their text
 
@@ -129,6 +129,30 @@ def phrase_match(s, d):
     return fulltext.phrase_match(docs(s, d), items(s, d)).select("query_id", "doc_id")
 
 
+def stored(s, d):
+    """An index of stored postings: nine tenths of the documents, and the others appended."""
+    path, rows = work_path(s, "index"), docs(s, d)
+    postings.build(rows.where("doc_id % 10 <> 3"), path, buckets=8, spread=2)
+    postings.append(rows.where("doc_id % 10 = 3"), path, spread=2)
+    return postings.Index(s, path)
+
+
+def stored_or_rank(s, d):
+    return stored(s, d).top(items(s, d)).select("query_id", "doc_id", "score", i("rank"))
+
+
+def stored_bm25_rank(s, d):
+    return stored(s, d).top(items(s, d), scorer="bm25").select("query_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+def stored_phrase_match(s, d):
+    return stored(s, d).phrases(items(s, d)).select("query_id", "doc_id")
+
+
+def stored_text_leg(s, d):
+    return hybrid.text_leg(stored(s, d), items(s, d)).select("query_id", "doc_id", "score", i("rank"))
+
+
 def phrase_gate(s, d):
     return table(s, d, "conversations").select("conv_id", "turn", fulltext.phrase_gate(F.col("text")).alias("gate"))
 
@@ -256,6 +280,7 @@ CATALOG = {
         SELECT query_id, doc_id, round(score, 6) AS score FROM ({RANKED.format('sc')}) WHERE rank <= 100""",
     ),
     "phrase_match": (phrase_match, f"WITH {DOCS}, {PHRASE} SELECT query_id, doc_id FROM ph"),
+    **{name: (query, None) for name, query in (("stored_or_rank", stored_or_rank), ("stored_bm25_rank", stored_bm25_rank), ("stored_phrase_match", stored_phrase_match), ("stored_text_leg", stored_text_leg))},
     "phrase_gate": (phrase_gate, f"SELECT conv_id, turn, {GATE.format('text')} AS gate FROM conversations"),
     "query_tokens": (query_tokens, f"SELECT item_id, array_to_string({TOKENS.format('text')}, '|') AS tokens FROM benchmark"),
     "phrase_or_merge": (phrase_or_merge, f"WITH {LEG} SELECT query_id, doc_id, score, rank::INT AS rank FROM txt"),
@@ -277,3 +302,6 @@ CATALOG = {
         SELECT query_id::INT AS query_id, doc_id, place::INT AS place, CASE WHEN place > 10 THEN '- [' || rating || '] ' || lang || ', ' || year || ' — Document ID: ' || doc_id || ' — ' || engagement END AS brief FROM p""",
     ),
 }
+#: Stored postings give the rows that a scan of all documents gives.
+SAME = {"stored_or_rank": "or_match_rank", "stored_bm25_rank": "bm25_rank", "stored_phrase_match": "phrase_match", "stored_text_leg": "phrase_or_merge"}
+CATALOG |= {name: (CATALOG[name][0], CATALOG[other][1]) for name, other in SAME.items()}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
 from corpusloom.operators import fulltext, fusion, rerank, vector
+from corpusloom.operators.postings import Index
 from corpusloom.session import written
 
 CHUNKS, DOCUMENTS = 100, 30
@@ -22,8 +23,10 @@ def vector_leg(chunks: DataFrame, queries: DataFrame, chunk: str = "chunk_id", d
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= DOCUMENTS).select("query_id", doc, "score", "rank")
 
 
-def text_leg(docs: DataFrame, queries: DataFrame, scorer: str = "tf") -> DataFrame:
-    """query_id, doc_id, score, rank: phrase and OR matches merged, top 100. scorer: tf or bm25."""
+def text_leg(docs: DataFrame | Index, queries: DataFrame, scorer: str = "tf") -> DataFrame:
+    """query_id, doc_id, score, rank: phrase and OR matches merged, top 100, from documents with terms or from stored postings. scorer: tf or bm25."""
+    if isinstance(docs, Index):
+        return fulltext.phrase_or_merge(docs.top_phrases(queries), docs.top(queries, scorer=scorer))
     either = fulltext.tf_rank(docs, queries) if scorer == "tf" else fulltext.bm25_rank(docs, queries)
     return fulltext.phrase_or_merge(fulltext.phrase_rank(docs, queries), either)
 

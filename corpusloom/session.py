@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import re
 import shutil
@@ -50,8 +51,29 @@ def local_dir() -> str:
     return f"file://{top}"
 
 
+#: Intermediate tables written and not yet deleted.
+WRITTEN: list[str] = []
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a table in the shared folder, for small results that a plan uses several times."""
+    """df as a table in the shared folder, for results that a plan uses several times; deleted when the driver ends, or by `clear`."""
     path = work_path(df.sparkSession, tag)
+    WRITTEN.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the intermediate tables written since a length of WRITTEN; results that read them must have been consumed."""
+    for path in WRITTEN[since:]:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        WRITTEN.remove(path)
+
+
+@atexit.register
+def clear_at_end() -> None:
+    spark = SparkSession.getActiveSession()
+    if WRITTEN and spark and spark.sparkContext._jsc:
+        with contextlib.suppress(Exception):  # the JVM may have ended first
+            clear(spark)
