@@ -1,18 +1,25 @@
-"""Vector search: exact top-k for one or many queries, grouping by document, thresholds, and a cell-pruned mode."""
+"""Vector search: exact top-k for one or many queries, grouping by document, thresholds."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusloom.functions import text as X
-from corpusloom.session import code_path
+from corpusloom.session import code_path, written
 
 #: Query vectors that are scored against a batch of rows at once.
 QUERY_BLOCK = 256
+#: Bytes of query vectors that one scan answers.
+BLOCK_BYTES = 64 << 20
+#: Parts that a question's finds are ranked in before they are ranked together.
+MERGE_PARTS = 64
 #: Scores are rounded to so many digits, so that sums in another order rank alike.
 DIGITS = 9
 
@@ -51,53 +58,93 @@ def top_k(chunks: DataFrame, query: list[float], k: int, key: str, vector: str =
     return chunks.withColumn("score", F.round(cosine(F.col(vector), q), DIGITS)).orderBy(F.desc("score"), key).limit(k)
 
 
-def top_k_batch(chunks: DataFrame, queries: DataFrame, k: int, key: str, vector: str = "embedding", query_key: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
-    """query_id, key, score, rank of the k best chunks for each query.
+def matrix(batch: pa.RecordBatch, column: int, dims: int) -> tuple[pa.RecordBatch | None, np.ndarray | None]:
+    """The rows of a batch whose vectors have so many dimensions, and these as doubles."""
+    lengths = batch.column(column).value_lengths().fill_null(0).to_numpy()
+    fit = np.flatnonzero(lengths == dims)
+    if not len(fit):
+        return None, None
+    part = batch if len(fit) == batch.num_rows else batch.take(pa.array(fit))
+    return part, part.column(column).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(fit), -1)
+
+
+def query_blocks(queries: DataFrame, query_key: str, query_vector: str, dims: int | None = None) -> Iterator[tuple[list, np.ndarray]]:
+    """Ids and unit vectors of questions, in blocks of BLOCK_BYTES at most; vectors that are null, or not of `dims`, are left out."""
+    asked = queries.select(query_key, query_vector).where(F.col(query_vector).isNotNull() & (F.lit(True) if dims is None else F.size(query_vector) == dims))
+    n, size = asked.agg(F.count(F.lit(1)), F.max(F.size(query_vector))).first()
+    blocks = max(1, -(-n * 8 * (size or 1) // BLOCK_BYTES))
+    for b in range(blocks):
+        rows = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == b)).collect()
+        if rows:
+            q = np.array([r[1] for r in rows], np.float64)
+            yield [r[0] for r in rows], q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
 
-    Queries go out in blocks of QUERY_BLOCK vectors; each batch of chunks is multiplied with a
-    block and only its best k a query leave the task, so neither a pair table nor all scores exist.
-    Rows whose vector is null or of another length score nothing.
+
+def scored(chunks: DataFrame, ids: list, q: np.ndarray, k: int, key: str, query_key: str, id_type, probed: dict[int, np.ndarray] | None = None) -> DataFrame:
+    """query_key, key, score of what may be among the k best of each question, from chunks (key, vector, and with `probed`, which says what questions probe a cell, cell).
+
+    One scan for a whole block of questions: each batch of chunks is multiplied with QUERY_BLOCK
+    of them at a time, and only what reaches the k-th best that the task has seen leaves it.
     """
     spark = chunks.sparkSession
     code_path(spark)
-    asked = queries.select(query_key, query_vector).where(F.col(query_vector).isNotNull())
-    n = asked.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    id_type = to_arrow_type(queries.schema[query_key].dataType)
-    kind, id_kind = chunks.schema[key].dataType.simpleString(), queries.schema[query_key].dataType.simpleString()
-    found = None
-    for b in range(blocks):
-        rows = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == b)).collect()
-        if not rows:
-            continue
-        ids, q = [r[0] for r in rows], np.array([r[1] for r in rows], np.float64)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        sent = spark.sparkContext.broadcast((ids, q))
-
-        def run(batches, sent=sent):
-            ids, q = sent.value
-            for batch in batches:
-                lengths = batch.column(1).value_lengths().fill_null(0).to_numpy()
-                fit = np.flatnonzero(lengths == q.shape[1])
-                if not len(fit):
-                    continue
-                part = batch.take(pa.array(fit))
-                x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(fit), -1)
-                scores = (x @ q.T) / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                if len(fit) > k:
-                    # Everything that ties with the k-th stays, so that ties are cut by key later.
-                    least = np.partition(scores, len(fit) - k, axis=0)[len(fit) - k]
-                else:
-                    least = np.full(len(ids), -np.inf)
-                r, c = np.nonzero(scores >= least - 10**-DIGITS)
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in c], id_type), part.column(0).take(pa.array(r)), pa.array(scores[r, c])], [query_key, key, "score"])
-
-        part = chunks.select(key, vector).mapInArrow(run, f"{query_key} {id_kind}, {key} {kind}, score double")
+    sent = spark.sparkContext.broadcast((ids, q, probed))
+    arrow_type = to_arrow_type(id_type)
+
+    def run(batches):
+        ids, q, probed = sent.value
+        least = np.full(len(ids), -np.inf)
+        everyone = np.arange(len(ids))
+        for batch in batches:
+            part, x = matrix(batch, 1, q.shape[1])
+            if part is None:
+                continue
+            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+            groups = [(np.arange(len(x)), everyone)]
+            if probed is not None:
+                cell = part.column(2).to_numpy()
+                groups = [(np.flatnonzero(cell == c), probed[c]) for c in np.unique(cell).tolist()]
+            for own, asked in groups:
+                for a in range(0, len(asked), QUERY_BLOCK):
+                    some = asked[a : a + QUERY_BLOCK]
+                    scores = x[own] @ q[some].T
+                    if len(own) >= k:
+                        # Everything that ties with the k-th stays, so that ties are cut by key later.
+                        least[some] = np.maximum(least[some], np.partition(scores, len(own) - k, axis=0)[len(own) - k])
+                    r, c = np.nonzero(scores >= least[some] - 10**-DIGITS)
+                    if len(r):
+                        yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in some[c]], arrow_type), part.column(0).take(pa.array(own[r])), pa.array(scores[r, c])], [query_key, key, "score"])
+
+    schema = T.StructType([T.StructField(query_key, id_type), T.StructField(key, chunks.schema[key].dataType), T.StructField("score", T.DoubleType())])
+    return chunks.mapInArrow(run, schema)
+
+
+def top(found: DataFrame, k: int, key: str, query_key: str = "query_id") -> DataFrame:
+    """The k best of each question with their rank, merged in two steps, so that no task gets all that a question found in many tasks."""
+    found = found.withColumn("score", F.round("score", DIGITS))
+    order = [F.desc("score"), F.col(key)]
+    some = Window.partitionBy(query_key, F.pmod(F.xxhash64(key), F.lit(MERGE_PARTS))).orderBy(*order)
+    found = found.withColumn("_r", F.row_number().over(some)).where(F.col("_r") <= k).drop("_r")
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy(query_key).orderBy(*order))).where(F.col("rank") <= k)
+
+
+def written_top(found: DataFrame, k: int, key: str, query_key: str = "query_id") -> DataFrame:
+    return written(top(found, k, key, query_key), "vector-top")
+
+
+def top_k_batch(chunks: DataFrame, queries: DataFrame, k: int, key: str, vector: str = "embedding", query_key: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
+    """query_id, key, score, rank of the k best chunks for each query.
+
+    One scan of the chunks for each BLOCK_BYTES of query vectors; neither a pair table nor all
+    scores exist. Rows whose vector is null or of another length than the queries' score nothing.
+    """
+    id_type, found = queries.schema[query_key].dataType, None
+    for ids, q in query_blocks(queries, query_key, query_vector):
+        part = scored(chunks.select(key, vector), ids, q, k, key, query_key, id_type)
         found = part if found is None else found.unionByName(part)
     if found is None:
-        found = spark.createDataFrame([], f"{query_key} {id_kind}, {key} {kind}, score double")
-    order = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
-    return found.withColumn("score", F.round("score", DIGITS)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        found = chunks.sparkSession.createDataFrame([], T.StructType([T.StructField(query_key, id_type), T.StructField(key, chunks.schema[key].dataType), T.StructField("score", T.DoubleType())]))
+    return top(found, k, key, query_key)
 
 
 def best_of_document(scored: DataFrame, doc: str, chunk: str, query_key: str = "query_id") -> DataFrame:
@@ -120,55 +167,25 @@ def best_of_prefix(scored: DataFrame, vector_id: str, top: int | None = None, qu
     return best.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
 
 
-def members_of_document(scored: DataFrame, doc: str, chunk: str, query_key: str = "query_id") -> DataFrame:
-    """Documents with their chunks found, best first."""
+def members_of_document(scored: DataFrame, doc: str, chunk: str, query_key: str = "query_id", most: int = 1000) -> DataFrame:
+    """Documents with their best chunks found, best first (ties by chunk), and the number of all: score, chunk_count, members.
+
+    `most` members at most are kept, ranked in two steps by a salt, so that a document with any number of hits takes
+    bounded memory; members_cut tells where there were more.
+    """
     keys = [query_key, doc] if query_key in scored.columns else [doc]
-    return scored.groupBy(*keys).agg(F.max("score").alias("score"), F.sort_array(F.collect_list(F.struct("score", chunk)), asc=False).alias("members"))
+    order = [F.desc("score"), F.col(chunk)]
+    salt = F.pmod(F.xxhash64(chunk), F.lit(MERGE_PARTS))
+    some = Window.partitionBy(*keys, salt).orderBy(*order)
+    best = scored.withColumn("_r", F.row_number().over(some)).where(F.col("_r") <= most)
+    best = best.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_r") <= most)
+    listed = best.groupBy(*keys).agg(F.max("score").alias("score"), F.sort_array(F.collect_list(F.struct("_r", "score", chunk))).alias("_m"))
+    counts = scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("chunk_count"))
+    members = F.transform("_m", lambda m: F.struct(m["score"].alias("score"), m[chunk].alias(chunk)))
+    return listed.join(counts, keys).select(*keys, "score", "chunk_count", members.alias("members"), (F.col("chunk_count") > most).alias("members_cut"))
 
 
 def adaptive_threshold(scored: DataFrame, least: float = 0.42, share: float = 0.75, query_key: str = "query_id") -> DataFrame:
     """Rows that reach both a fixed score and a share of their query's best one."""
     of_query = Window.partitionBy(query_key)
     return scored.withColumn("best", F.max("score").over(of_query)).where(F.col("score") >= F.greatest(F.lit(least), F.col("best") * share)).drop("best")
-
-
-def cells(chunks: DataFrame, key: str, lists: int, vector: str = "embedding", sample_rows: int = 100_000, seed: int = 1):
-    """An inverted-file index: chunks with their cell, and the cell centres (unit length), learned by k-means on at most about `sample_rows` rows."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    points = chunks.select(key, vector, array_to_vector(F.transform(F.col(vector), lambda x: x.cast("double"))).alias("features"))
-    n = points.count()
-    sample = points if n <= sample_rows else points.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int((1 << 20) * sample_rows / n))
-    model = KMeans(k=min(lists, max(2, n)), distanceMeasure="cosine", seed=seed, maxIter=10).fit(sample)
-    centres = np.array(model.clusterCenters())
-    centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-300)
-    return model.transform(points).select(key, vector, F.col("prediction").alias("cell")), centres
-
-
-def cell_distance(query_vector: Column, centres: np.ndarray, each) -> Column:
-    """An array of each(cell, cosine of the query vector with the cell's centre)."""
-    return F.array(*[each(i, dot(query_vector, F.array(*[F.lit(float(x)) for x in c])) / F.greatest(norm(query_vector), F.lit(1e-300))) for i, c in enumerate(centres)])
-
-
-def top_k_cells(index: DataFrame, centres: np.ndarray, queries: DataFrame, k: int, probes: int, key: str, vector: str = "embedding", query_key: str = "query_id", query_vector: str = "query_vector", exact: bool = False) -> DataFrame:
-    """Top k among the chunks of each query's nearest cells: queries meet chunks by cell, an equi-join.
-
-    With `exact`, a query then meets each other cell that may hold a better chunk than its k-th: by the triangle inequality of
-    angles, no chunk of a cell is nearer than the angle to the cell's centre less the cell's widest angle.
-    """
-    ranked = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
-    top = lambda found: found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
-    meet = lambda near: near.join(index, "cell").select(query_key, key, F.round(cosine(F.col(vector), F.col(query_vector)), DIGITS).alias("score"))
-    order = cell_distance(F.col(query_vector), centres, lambda i, c: F.struct((-c).alias("away"), F.lit(i).alias("cell")))
-    placed = queries.select(query_key, query_vector, F.posexplode(F.array_sort(order)).alias("_place", "_c")).select(query_key, query_vector, "_place", "_c.cell", (-F.col("_c.away")).alias("_cosine"))
-    first = top(meet(placed.where(F.col("_place") < probes).select(query_key, query_vector, "cell")))
-    if not exact:
-        return first
-    own = F.element_at(F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centres]), F.col("cell") + 1)
-    angle = lambda c: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c)))
-    widest = index.groupBy("cell").agg(F.max(angle(cosine(F.col(vector), own))).alias("_widest"))
-    kth = first.groupBy(query_key).agg(F.max(F.when(F.col("rank") == k, F.col("score"))).alias("_kth"))
-    nearest = F.cos(F.greatest(F.lit(0.0), angle(F.col("_cosine")) - F.col("_widest")))
-    rest = placed.where(F.col("_place") >= probes).join(widest, "cell").join(kth, query_key, "left").where(F.col("_kth").isNull() | (nearest >= F.col("_kth") - 1e-6))
-    return top(first.drop("rank").unionByName(meet(rest.select(query_key, query_vector, "cell"))))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import dimensions as D
-from corpusloom.operators import fulltext, fusion, postings, rerank, vector
+from corpusloom.operators import fulltext, fusion, postings, rerank, vector, vector_index
 from corpusloom.plans import hybrid
 from corpusloom.session import table, work_path, written
 
@@ -108,8 +108,18 @@ def vec_truncate_dims(s, d):
 
 
 def vec_ivf_topk(s, d):
-    index, centres = vector.cells(table(s, d, "embeddings"), "vec_id", 16)
-    return vector.top_k_cells(index, centres, vectors_asked(s, d), 10, 4, "vec_id", exact=True)
+    """A stored index of all vectors, a tenth of them appended."""
+    path, rows = work_path(s, "cells"), table(s, d, "embeddings")
+    vector_index.build(rows.where("vec_id % 10 <> 3"), path, "vec_id", 16)
+    vector_index.append(rows.where("vec_id % 10 = 3"), path, "vec_id")
+    return vector_index.search(s, path, vectors_asked(s, d), 10, 4, exact=True).select("query_id", "vec_id", "score", i("rank"))
+
+
+def vec_members(s, d):
+    e = table(s, d, "embeddings")
+    found = vector.top_k_batch(e, vectors_asked(s, d), 100, "vec_id").join(e.select("vec_id", "label"), "vec_id")
+    got = vector.members_of_document(found, "label", "vec_id", most=5)
+    return got.select("query_id", i("label"), "score", n("chunk_count"), F.array_join(F.transform("members", lambda m: m["vec_id"].cast("string")), ",").alias("members"), "members_cut")
 
 
 def terms_df(s, d):
@@ -269,7 +279,8 @@ CATALOG = {
     "vec_adaptive_threshold": (vec_adaptive_threshold, f"WITH {TOP}, g AS (SELECT query_id, label::INT AS label, max(score) AS score FROM top WHERE rank <= 100 GROUP BY ALL) SELECT query_id, label, score FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM g) WHERE score >= greatest(0.42, best * 0.75)"),
     "vec_score_pct": (vec_score_pct, f"WITH {TOP} SELECT query_id, vec_id, round(greatest(0, (1 - (1 - score)) * 100), 1) AS score_pct FROM top WHERE rank <= 10"),
     "vec_truncate_dims": (vec_truncate_dims, "SELECT vec_id, 16::INT AS dims, round(sqrt(list_dot_product(embedding[1:16]::DOUBLE[], embedding[1:16]::DOUBLE[])), 9) AS norm FROM embeddings"),
-    "vec_ivf_topk": (vec_ivf_topk, None),
+    "vec_ivf_topk": (vec_ivf_topk, f"WITH {TOP} SELECT query_id, vec_id, score, rank::INT AS rank FROM top WHERE rank <= 10"),
+    "vec_members": (vec_members, f"WITH {TOP} SELECT query_id, label::INT AS label, max(score) AS score, count(*) AS chunk_count, array_to_string(list(vec_id ORDER BY rank)[1:5], ',') AS members, count(*) > 5 AS members_cut FROM top WHERE rank <= 100 GROUP BY query_id, label"),
     "terms_df": (terms_df, f"WITH {DOCS}, {POST} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM post GROUP BY term"),
     "or_match_rank": (or_match_rank, f"WITH {DOCS}, {ITEM_TERMS}, {POST}, {TF} SELECT query_id, doc_id, score, rank::INT AS rank FROM ({RANKED.format('tf')}) WHERE rank <= 100"),
     "bm25_rank": (

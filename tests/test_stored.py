@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import fulltext, postings
+from corpusloom.operators import fulltext, postings, vector, vector_index
 from corpusloom.sources import versions
 
 KIND = "doc_id long, text string"
@@ -115,3 +116,76 @@ def test_refresh_survives_a_failure(spark, tmp_path):
     assert versions.read(spark, base).count() == 5 and held.count() == 3  # a reader of the version before may end
     versions.refresh(spark, base, lambda path: spark.range(6).write.parquet(path))
     assert len([x for x in versions.children(spark, base) if x.startswith("v-")]) == 2
+
+
+# ---- cells
+
+VECTORS = "vec_id long, embedding array<float>"
+
+
+def around(rng, centre, n, spread=0.3):
+    return [(np.array(centre) + rng.normal(0, spread, len(centre))).astype(float).tolist() for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def clouds(spark):
+    """Eight clouds, one of which holds a third of all vectors; vectors that are null, zero or of another length; copies."""
+    rng = np.random.default_rng(7)
+    points = [p for c in range(8) for p in around(rng, np.eye(8)[c] * 3, 400 if c == 2 else 100)]
+    rows = [*enumerate(points), (5000, None), (5001, []), (5002, [1.0]), (5003, [0.0] * 8), *[(6000 + k, points[0]) for k in range(30)]]
+    return spark.createDataFrame(rows, VECTORS).repartition(5).persist()
+
+
+def tops(df):
+    return sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in df.collect())
+
+
+@pytest.fixture(scope="module")
+def asking(clouds):
+    return clouds.where("vec_id % 40 = 0 or vec_id in (5000, 5002)").selectExpr("vec_id as query_id", "embedding as query_vector")
+
+
+def test_stored_cells(spark, clouds, asking, tmp_path):
+    base = f"file://{tmp_path}/cells"
+    vector_index.build(clouds.where("vec_id % 3 > 0"), base, "vec_id", 8)
+    vector_index.append(clouds.where("vec_id % 3 = 0"), base, "vec_id")
+    vector_index.append(clouds.where("vec_id = 5000"), base, "vec_id")
+    want = tops(vector.top_k_batch(clouds.where("size(embedding) = 8"), asking.where("size(query_vector) = 8"), 7, "vec_id"))
+    assert tops(vector_index.search(spark, base, asking, 7, 1, exact=True)) == want
+    near = {r[::2] for r in tops(vector_index.search(spark, base, asking, 7, 2))}
+    assert len(near & {r[::2] for r in want}) >= 0.9 * len(want)
+    assert tops(vector_index.search(spark, base, asking, 5000, 1, exact=True)) == tops(vector.top_k_batch(clouds.where("size(embedding) = 8"), asking.where("size(query_vector) = 8"), 5000, "vec_id"))
+    assert vector_index.search(spark, base, asking.limit(0), 7).count() == 0
+
+
+def test_cells_that_drift_are_learned_anew(spark, clouds, asking, tmp_path):
+    base = f"file://{tmp_path}/cells"
+    vector_index.build(clouds.where("vec_id < 800"), base, "vec_id", 6)
+    assert not vector_index.rebuild(spark, base, 6)
+    rng = np.random.default_rng(8)
+    away = spark.createDataFrame([(9000 + k, p) for k, p in enumerate(around(rng, [-3.0] * 8, 3000, 0.2))], VECTORS)
+    vector_index.append(away, base, "vec_id")
+    before = versions.current(spark, base)
+    assert vector_index.drifted(before) and vector_index.rebuild(spark, base, 8)
+    after = versions.current(spark, base)
+    assert after["cells"] != before["cells"] and after["fit"] > vector_index._fit(before) and before["cells"] not in versions.children(spark, base)
+    both = clouds.where("vec_id < 800").unionByName(away)
+    some = asking.where("size(query_vector) = 8")
+    assert tops(vector_index.search(spark, base, some, 5, 1, exact=True)) == tops(vector.top_k_batch(both, some, 5, "vec_id"))
+
+
+def test_cells_of_nothing(spark, clouds, asking, tmp_path):
+    with pytest.raises(ValueError, match="no vectors"):
+        vector_index.build(clouds.where("vec_id in (5000, 5001)"), f"file://{tmp_path}/none", "vec_id", 4)
+
+
+def test_one_scan_answers_thousands_of_questions(spark, clouds):
+    rng = np.random.default_rng(9)
+    many = spark.createDataFrame([(k, p) for k, p in enumerate(around(rng, [0.0] * 8, 5000, 1.0))], "query_id long, query_vector array<float>")
+    found = vector.top_k_batch(clouds, many, 3, "vec_id")
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    got = {(r.query_id, r["rank"]): r.score for r in found.collect()}
+    x = np.array([r.embedding for r in clouds.where("size(embedding) = 8").collect()], np.float64)
+    q = np.array([r.query_vector for r in many.orderBy("query_id").collect()], np.float64)
+    best = np.sort((q / np.linalg.norm(q, axis=1, keepdims=True)) @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T, axis=1)[:, ::-1]
+    assert len(got) == 15_000 and all(abs(got[i, r + 1] - best[i, r]) < 1e-8 for i in range(5000) for r in range(3))
