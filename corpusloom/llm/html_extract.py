@@ -1,15 +1,16 @@
 """Main text of web pages by site style trees.
 
 Pages are parsed into text blocks, each with the style node that holds it and the branch
-(nearest container) above. The DOMs of a host are merged by counting, for each style node,
-on how many pages it stands, how its presentation (the sequence of child elements) varies
-and on how many pages each of its contents recurs. Entropy over pages gives a node's
-importance: contents that recur everywhere and fixed presentation are template. What an
-element says about itself (article, nav, class "ad", a list of links) enters as a prior;
-blocks with low importance are removed. Entropy overrules the prior both ways: what recurs
-on all pages of a host goes even in an article, and a long block that differs from page to
-page stays in a wrapper with a marked class or beside the article. Tag rules alone decide
-on nav, footer, aside and forms, and on short blocks or lists of links outside an article.
+(nearest container) above. What elements say of themselves comes first: blocks of an article stay;
+navigation, headers, footers, asides, forms, hidden elements and what a class, id or role
+marks go, and so does what stands beside a page's article. All other blocks are neutral (pages
+without an article have nothing else), and on these the site style tree decides.
+
+The DOMs of a host are merged by counting, for each style node, on how many pages it
+stands, how its presentation (the sequence of child elements) varies and on how many pages
+each of its contents recurs. A block's importance falls with the pages that have the same
+text at its node, with the node's other contents that recur, and with the fixed
+presentation of its branch; a list of links needs more than a paragraph. Blocks of low importance are removed.
 
 Defined results: null or empty html gives an empty text; pages without a host form one
 site; a node seen on one page only has importance 1; repeated rows each have their result,
@@ -49,24 +50,26 @@ NOISE_WORDS = frozenset(
 #: An element that starts closes an open one of these names, within the nearest container.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+#: Words before a marking one in a class that deny it, as in no-sidebar; and a marking word that says nothing within an article.
+DENIES, OWN_PART = frozenset("no has with without".split()), "header"
 #: MARKED: a class, id or role marks it; MARKED_ARTICLE: an article in such a wrapper.
 MARKED_ARTICLE, MARKED, ARTICLE, NEUTRAL, NOISY = 4, 3, 2, 1, 0
-GAMMA = 0.5
-#: Weights of the prior against entropy, and of a leaf's entropy against its branch's.
-PRIOR, LEAF = 0.35, 0.8
-#: Characters from which a marked block may be an article's text; pages that a leaf of an article must stand on to be a template.
-LONG, TEMPLATE_PAGES = 200, 5
-#: Places of style trees that are sent to all executors at most; beyond that, blocks are joined with them.
+#: Weights of a branch's contents against its presentation, of the prior against entropy, of a block's place against its branch, and of its own text against the other contents of its leaf.
+GAMMA, PRIOR, LEAF, OWN = 0.5, 0.35, 0.8, 0.7
+#: What a paragraph and a list of links say of themselves.
+PRIORS = (0.5, -0.3)
+#: Judged places and recurring texts that are sent to all executors at most; beyond that, blocks are joined with them.
 SENT_PLACES = 200_000
 
 
 class Element:
     """An open element. container: place in the stack of the nearest container (or the bottom); block: nearest element that isn't inline; both may be the element itself."""
 
-    __slots__ = ("block", "branch", "children", "container", "key", "kind", "name", "silent", "links")
+    __slots__ = ("block", "branch", "container", "key", "kind", "last", "look", "name", "silent", "links")
 
     def __init__(self, name: str, key: int, kind: int, silent: bool, branch: int, links: bool, container: int, block: "Element | None"):
-        self.name, self.key, self.kind, self.silent, self.branch, self.links, self.children = name, key, kind, silent, branch, links, []
+        self.name, self.key, self.kind, self.silent, self.branch, self.links = name, key, kind, silent, branch, links
+        self.last, self.look = "", 0  # the last child's name, and a hash of the sequence of children
         self.container, self.block = container, block or self
 
 
@@ -96,7 +99,7 @@ class PageParser(HTMLParser):
         e = self.stack.pop()
         self.open[e.name].pop()
         if e.name in CONTAINERS:
-            self.looks.append((e.key, xxhash.xxh3_64_intdigest(" ".join(e.children)) >> 1))
+            self.looks.append((e.key, e.look))
 
     def handle_starttag(self, name, attrs):
         if name not in INLINE:
@@ -112,16 +115,19 @@ class PageParser(HTMLParser):
                 while len(self.stack) > lowest:
                     self.close_top()
         top = self.stack[-1]
-        if len(top.children) < 64 and (not top.children or top.children[-1] != name):
-            top.children.append(name)
+        if top.last != name:
+            top.last, top.look = name, xxhash.xxh3_64_intdigest(name, top.look) >> 1
         marks = [v for k, v in attrs if k in ("class", "id", "role") and v]
         classes = " ".join(sorted(next((v for k, v in attrs if k == "class" and v), "").split()))
-        words = {w for v in marks for w in re.split(r"[^a-z]+", v.lower())}
+        names = [re.split(r"[^a-z]+", token) for v in marks for token in v.lower().split()]
+        words = {w for token in names if not DENIES & set(token) for w in token} & NOISE_WORDS
+        if top.kind in (ARTICLE, MARKED_ARTICLE):
+            words.discard(OWN_PART)
         hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs)
         kind = top.kind
         if name in NOISE or hidden or name == "header" and kind not in (ARTICLE, MARKED_ARTICLE):
             kind = NOISY
-        elif words & NOISE_WORDS and name not in ("body", "html", "article", "main") and not (name in HEADINGS and kind in (ARTICLE, MARKED_ARTICLE)):
+        elif words and name not in ("body", "html", "article", "main") and not (name in HEADINGS and kind in (ARTICLE, MARKED_ARTICLE)):
             kind = MARKED if kind != NOISY else NOISY
         elif name in ("article", "main") and kind != NOISY:
             kind = ARTICLE if kind not in (MARKED, MARKED_ARTICLE) else MARKED_ARTICLE
@@ -168,17 +174,16 @@ class PageParser(HTMLParser):
         while len(self.stack) > 1:
             self.close_top()
         kinds = {b[2] for b in self.blocks}
-        # An article in a marked wrapper is the page's article if there is no other.
-        means = {MARKED_ARTICLE: MARKED if ARTICLE in kinds else ARTICLE}
+        # An article in a marked wrapper is the page's article if there is no other; beside an article nothing stays.
+        means = {MARKED: NOISY, MARKED_ARTICLE: NOISY if ARTICLE in kinds else ARTICLE}
         if kinds & {ARTICLE, MARKED_ARTICLE}:
-            means[NEUTRAL] = MARKED
-        blocks = ((a, b, means.get(k, k), t, x) for a, b, k, t, x in self.blocks)
-        self.blocks = [(a, b, NOISY if k == MARKED and (x or len(t) < LONG) else k, t, x) for a, b, k, t, x in blocks]
+            means[NEUTRAL] = NOISY
+        self.blocks = [(a, b, means.get(k, k), t, x) for a, b, k, t, x in self.blocks]
         return self.blocks, list(dict.fromkeys(self.looks))
 
 
 def parse(html: str | None):
-    """Blocks (leaf, branch, kind, text, links) and containers' presentations of one page; what is outside the page's article counts as marked."""
+    """Blocks (leaf, branch, kind: ARTICLE, NEUTRAL or NOISY, text, links) and containers' presentations of one page."""
     return PageParser().finish(html) if html else ([], [])
 
 
@@ -231,44 +236,60 @@ def style_tree(rows: DataFrame) -> DataFrame:
     return tree.select("host", "node", "pages", scaled(F.coalesce(F.col("entropy"), F.lit(0.0)), "m").alias("presentation"), F.when(F.col("pages") <= 1, 1.0).otherwise(1 - F.least(F.lit(1.0), F.col("recurs") / F.log("pages"))).alias("content"))
 
 
-def importance(leaf_content, leaf_pages, branch_presentation, branch_content, kind, links):
-    """Composite importance of a block's place: entropy of its leaf and branch, with what the element says of itself as a prior."""
-    leaf = F.when((kind == ARTICLE) & (leaf_pages < TEMPLATE_PAGES), 1.0).otherwise(F.coalesce(leaf_content, F.lit(1.0)))
-    branch = GAMMA * F.coalesce(branch_content, F.lit(1.0)) + (1 - GAMMA) * F.coalesce(branch_presentation, F.lit(1.0))
-    # A prior below -0.43 removes, whatever the entropy.
-    prior = F.when(kind == ARTICLE, 1.0).when(kind == NOISY, -0.5).when(kind == MARKED, 0.3).when(links, -0.3).otherwise(0.5)
-    return PRIOR * prior + (1 - PRIOR) * (LEAF * leaf + (1 - LEAF) * branch)
+def importance(own, leaf, presentation, content, links):
+    """Importance of a neutral block: of its own text, its leaf's contents, and its branch's presentation and contents, each 0 to 1, with a prior."""
+    branch = GAMMA * content + (1 - GAMMA) * presentation
+    return PRIOR * links + (1 - PRIOR) * (LEAF * (OWN * own + (1 - OWN) * leaf) + (1 - LEAF) * branch)
+
+
+def judged(rows: DataFrame, tree: DataFrame, threshold: float) -> DataFrame:
+    """host, leaf, branch, links, feature (hash of the text) of neutral blocks whose text recurs on a host, with feature null for all others at that place; keep."""
+    blocks = rows.select(F.xxhash64("blocks").alias("_page"), "host", F.explode(F.filter("blocks", lambda b: b["kind"] == NEUTRAL)).alias("b")).select("_page", "host", "b.leaf", "b.branch", "b.links", F.xxhash64("b.text").alias("feature"))
+    place = ["host", "leaf", "branch", "links"]
+    one = blocks.distinct()
+    recurs = one.select("_page", "host", "leaf", "feature").distinct().groupBy("host", "leaf", "feature").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    several = one.select(*place, "feature").distinct().join(recurs, ["host", "leaf", "feature"]).select(*place, "feature", "n")
+    asked = one.select(*place, F.lit(None).cast("long").alias("feature"), F.lit(1).cast("long").alias("n")).distinct().unionByName(several)
+    leaf = tree.select("host", F.col("node").alias("leaf"), F.col("content").alias("_leaf"), F.col("pages").alias("_pages"))
+    branch = tree.select("host", F.col("node").alias("branch"), F.col("content").alias("_content"), F.col("presentation").alias("_look"))
+    known = asked.join(leaf, ["host", "leaf"]).join(branch, ["host", "branch"])
+    own = F.when(F.col("_pages") <= 1, 1.0).otherwise(1 - F.log("n") / F.log("_pages"))
+    links = F.when(F.col("links"), PRIORS[1]).otherwise(PRIORS[0])
+    return known.select(*place, "feature", (importance(own, F.col("_leaf"), F.col("_look"), F.col("_content"), links) >= threshold).alias("keep"))
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", threshold: float = 0.5) -> DataFrame:
     """page_id, url, text and n_chars of each page."""
     rows = parsed(pages, key, url, html)
-    tree = style_tree(rows)
+    told = C.materialize(judged(rows, style_tree(rows), threshold), "judged-places")
+    if told.count() <= SENT_PLACES:
+        return filtered(rows, {tuple(r)[:5]: r["keep"] for r in told.collect()})
     blocks = rows.select("_row", "page_id", "url", "host", F.posexplode_outer("blocks").alias("pos", "b")).select("_row", "page_id", "url", "host", "pos", "b.*")
-    place = ["host", "leaf", "branch", "kind", "links"]
-    places = blocks.where("leaf is not null").select(*place).distinct()
-    leaf = tree.select("host", F.col("node").alias("leaf"), F.col("content").alias("_leaf"), F.col("pages").alias("_pages"))
-    branch = tree.select("host", F.col("node").alias("branch"), F.col("content").alias("_content"), F.col("presentation").alias("_look"))
-    judged = places.join(leaf, ["host", "leaf"], "left").join(branch, ["host", "branch"], "left")
-    kept = judged.select(*place, (importance(F.col("_leaf"), F.col("_pages"), F.col("_look"), F.col("_content"), F.col("kind"), F.col("links")) >= threshold).alias("keep"))
-    kept = C.materialize(kept.where("keep").drop("keep"), "kept-places")
-    if kept.count() <= SENT_PLACES:
-        return filtered(rows, {tuple(r) for r in kept.collect()})
-    told = blocks.join(kept.withColumn("keep", F.lit(True)), place, "left")
-    texts = told.groupBy("_row", "page_id", "url").agg(F.sort_array(F.collect_list(F.when(F.col("keep"), F.struct("pos", "text")))).alias("parts"))
+    place = ["host", "leaf", "branch", "links"]
+    usual = told.where("feature IS NULL").select(*place, F.col("keep").alias("_usual"))
+    own = told.where("feature IS NOT NULL").select(*place, "feature", F.col("keep").alias("_own"))
+    blocks = blocks.withColumn("feature", F.xxhash64("text")).join(usual, place, "left").join(own, [*place, "feature"], "left")
+    keep = (F.col("kind") == ARTICLE) | ((F.col("kind") == NEUTRAL) & F.coalesce("_own", "_usual"))
+    texts = blocks.groupBy("_row", "page_id", "url").agg(F.sort_array(F.collect_list(F.when(keep, F.struct("pos", "text")))).alias("parts"))
     text = F.array_join(F.transform("parts", lambda p: p["text"]), " ")
     return texts.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
-def filtered(rows: DataFrame, kept: set[tuple]) -> DataFrame:
-    """The texts of parsed pages from the places kept, without dealing blocks out and back."""
-    sent = rows.sparkSession.sparkContext.broadcast(kept)
-    inner = rows.select("page_id", "url", "host", "blocks")
+def filtered(rows: DataFrame, told: dict[tuple, bool]) -> DataFrame:
+    """The texts of parsed pages by what was told of neutral places, without dealing blocks out and back."""
+    sent = rows.sparkSession.sparkContext.broadcast(told)
+    hashed = F.transform("blocks", lambda b: F.when(b["kind"] == NEUTRAL, F.xxhash64(b["text"])))
+    inner = rows.select("page_id", "url", "host", "blocks", hashed.alias("features"))
 
     def run(batch):
-        kept, texts = sent.value, []
-        for site, blocks in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            texts.append(" ".join(b["text"] for b in blocks if (site, b["leaf"], b["branch"], b["kind"], b["links"]) in kept))
+        told, texts = sent.value, []
+        for site, blocks, features in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            own = []
+            for b, feature in zip(blocks, features, strict=True):
+                place = (site, b["leaf"], b["branch"], b["links"])
+                if b["kind"] == ARTICLE or (b["kind"] == NEUTRAL and told.get((*place, feature), told.get((*place, None)))):
+                    own.append(b["text"])
+            texts.append(" ".join(own))
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return C.map_arrow(inner, run, f"page_id {inner.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
