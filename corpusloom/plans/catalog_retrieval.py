@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import dimensions as D
 from corpusloom.operators import fulltext, fusion, postings, rerank, vector, vector_index
-from corpusloom.plans import hybrid
+from corpusloom.plans import agent, chat, hybrid
 from corpusloom.session import table, work_path, written
 
 # ---- shared inputs: vectors whose id is divisible by 50 ask; the benchmark item of a fiftieth of that id is their text
@@ -199,6 +199,25 @@ def hybrid_answer(s, d):
     return hybrid.answer(q, documents, found)
 
 
+def _conversed(s, d):
+    documents = table(s, d, "documents").select("doc_id", F.left("text", F.lit(80)).alias("title"), F.col("source").alias("court"), F.lit(None).cast("int").alias("year"), "text")
+    return documents, chat.hybrid_searches(documents, stored(s, d))
+
+
+def chat_sources(s, d):
+    """All items as questions: themselves, then what the offline model calls for; each document once a question."""
+    documents, search = _conversed(s, d)
+    _, sources = chat.converse(items(s, d), documents, search, agent.keyword_model)
+    return sources.select("query_id", "doc_id", i("step"), i("rank"), F.round("score", 9).alias("score"))
+
+
+def chat_events(s, d):
+    """The whole run for all items, as the number of events of each kind."""
+    documents, search = _conversed(s, d)
+    told = chat.answer(items(s, d), documents, search, agent.keyword_model)["events"]
+    return told.groupBy("query_id", "event").agg(F.count(F.lit(1)).alias("n"))
+
+
 def cross_query_dedup(s, d):
     """Five items in a row are one session's searches."""
     found = fulltext.tf_rank(docs(s, d), items(s, d), 20).withColumn("session", F.floor(F.col("query_id") / 5)).withColumn("step", F.col("query_id") % 5)
@@ -316,3 +335,11 @@ CATALOG = {
 #: Stored postings give the rows that a scan of all documents gives.
 SAME = {"stored_or_rank": "or_match_rank", "stored_bm25_rank": "bm25_rank", "stored_phrase_match": "phrase_match", "stored_text_leg": "phrase_or_merge"}
 CATALOG |= {name: (CATALOG[name][0], CATALOG[other][1]) for name, other in SAME.items()}
+#: Questions as the offline model asks them: the item, and its four longest words.
+ASKS = """words AS (SELECT item_id, w, row_number() OVER (PARTITION BY item_id ORDER BY length(w) DESC, w) AS r FROM (SELECT DISTINCT item_id, unnest(regexp_split_to_array(lower(trim(text)), '\\s+')) AS w FROM benchmark) WHERE w <> ''),
+asks AS (SELECT item_id * 2 AS item_id, text FROM benchmark WHERE length(trim(text)) > 2 UNION ALL SELECT item_id * 2 + 1, string_agg(w, ' ' ORDER BY r) FROM words WHERE r <= 4 GROUP BY item_id)"""
+CHAT = f"""WITH {ASKS}, {", ".join([DOCS, ITEM_TERMS, POST, TF, PHRASE, MERGED]).replace("benchmark", "asks")},
+top AS (SELECT query_id // 2 AS query_id, query_id % 2 AS step, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, doc_id) AS rank, rank AS text_rank FROM txt),
+best AS (SELECT * FROM top WHERE rank <= 30)
+SELECT query_id::BIGINT AS query_id, doc_id, step::INT AS step, rank::INT AS rank, round(1.0::DOUBLE / (60 + text_rank), 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY step, rank) AS r FROM best) WHERE r = 1"""
+CATALOG |= {"chat_sources": (chat_sources, CHAT), "chat_events": (chat_events, None)}
