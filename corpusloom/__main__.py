@@ -8,8 +8,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import models, stats
-from corpusloom.plans import hybrid, ingest
-from corpusloom.sources import files
+from corpusloom.operators.postings import Index
+from corpusloom.plans import agent, chat, hybrid, ingest
+from corpusloom.sources import files, versions
 
 
 def main(args: list[str] | None = None) -> None:
@@ -28,6 +29,10 @@ def main(args: list[str] | None = None) -> None:
     three.add_argument("query", nargs="+")
     three.add_argument("--scorer", choices=("tf", "bm25"), default="tf")
     three.add_argument("--level")
+    three.add_argument("--rounds", type=int, help="ask as whole questions: this many rounds of searches by the offline model, rerank and summaries")
+    more = commands.add_parser("extend", help="add documents of a Markdown folder that the tables don't have")
+    more.add_argument("corpus")
+    more.add_argument("tables")
     four = commands.add_parser("stats", help="documents by court level")
     four.add_argument("tables")
     a = parser.parse_args(args)
@@ -40,11 +45,18 @@ def main(args: list[str] | None = None) -> None:
     elif a.command == "search":
         queries = spark.createDataFrame(list(enumerate(a.query)), "query_id int, text string")
         queries = models.embedded(queries, models.hashed_provider, out="query_vector")
-        chunks = models.embedded(spark.read.parquet(f"{a.tables}/chunks").withColumn("chunk_id", F.concat_ws("::", "doc_id", "chunk_index")), models.hashed_provider)
-        documents = spark.read.parquet(f"{a.tables}/documents").withColumnRenamed("content", "text")
-        hybrid.hybrid_search(queries, documents, chunks, a.scorer, a.level).orderBy("query_id", "rank").show(100, False)
+        chunks = models.embedded(versions.read(spark, f"{a.tables}/chunks").withColumn("chunk_id", F.concat_ws("::", "doc_id", "chunk_index")), models.hashed_provider)
+        documents, index = versions.read(spark, f"{a.tables}/documents").withColumnRenamed("content", "text"), Index(spark, f"{a.tables}/postings")
+        if a.rounds:
+            search = chat.hybrid_searches(documents, index, chunks, models.hashed_provider, a.scorer)
+            told = chat.answer(queries.select("query_id", "text"), documents, search, agent.keyword_model, rounds=a.rounds)
+            told["events"].orderBy("query_id", "seq").show(1000, False)
+        else:
+            hybrid.hybrid_search(queries, documents, chunks, a.scorer, a.level, index=index).orderBy("query_id", "rank").show(100, False)
+    elif a.command == "extend":
+        print(ingest.extend(spark, files.markdown_corpus(spark, a.corpus), a.tables))
     else:
-        stats.distribution(spark.read.parquet(f"{a.tables}/documents"), "court_level").show()
+        stats.distribution(versions.read(spark, f"{a.tables}/documents"), "court_level").show()
 
 
 if __name__ == "__main__":

@@ -11,14 +11,18 @@ from pyspark.sql import functions as F
 from corpusloom.sources import files, sinks
 
 FAILED = ("failed", "expired", "cancelled")
+#: A batch that is being handed over.
+SUBMITTING = "submitting"
 STATES = "batch long, job string, status string, output_file_id string, collected boolean"
 
 
 class Client(Protocol):
-    """A batch service. `requests` is a folder of JSON lines; `fetch` writes a finished job's JSON lines below a folder."""
+    """A batch service. `requests` is a folder of JSON lines; `find` tells the job that a folder was submitted as, None if it wasn't; `fetch` writes a finished job's JSON lines below a folder."""
 
     def submit(self, requests: str) -> str: ...
 
+    def find(self, requests: str) -> str | None: ...
+
     def status(self, job: str) -> tuple[str, str | None]: ...
 
     def fetch(self, output: str, folder: str) -> None: ...
@@ -52,9 +56,12 @@ def finished(batches: DataFrame) -> bool:
 # ---- steps; the state (a small record for each batch of 50,000 inputs) is written after every change
 
 
-def prepare(chunks: DataFrame, folder: str, model: str, dims: int) -> dict:
-    """Writes the metadata log (meta) and the requests by batch (requests) and starts a fresh state."""
+def prepare(chunks: DataFrame, folder: str, model: str, dims: int, anew: bool = False) -> dict:
+    """Writes the metadata log (meta) and the requests by batch (requests) and starts a fresh state. A folder whose jobs still run is left alone, unless `anew` gives them up."""
     spark = chunks.sparkSession
+    held = sinks.load_state(spark, state_path(folder))["batches"]
+    if any(b["status"] and b["status"] not in ("completed", *FAILED) for b in held) and not anew:
+        raise RuntimeError(f"jobs of {folder} still run")
     chunks.write.mode("overwrite").json(f"{folder}/meta")
     packed = sinks.request_packing(chunks, model, dims)
     packed.select("batch", "request").withColumnRenamed("request", "value").repartition("batch").write.mode("overwrite").partitionBy("batch").text(f"{folder}/requests")
@@ -78,13 +85,19 @@ def table(spark: SparkSession, state: dict) -> DataFrame:
 
 
 def submit(spark: SparkSession, folder: str, client: Client) -> dict:
-    """Submits what has no running or finished job; the state is saved after each job, so nothing is submitted twice."""
-    state = sinks.load_state(spark, state_path(folder))
+    """Submits what has no running or finished job. That a batch is about to be submitted is saved first, and its job after; a run that ended in between asks the service whether it got the batch, so nothing is submitted twice."""
+    state = sinks.load_state(spark, state_path(folder), required=True)
     todo = {r["batch"] for r in to_submit(table(spark, state)).collect()}
     for b in state["batches"]:
         if b["batch"] in todo:
-            b |= {"job": client.submit(f"{folder}/requests/batch={b['batch']}"), "status": "submitted", "output_file_id": None, "collected": False}
-            sinks.save_state(spark, state_path(folder), state | {"phase": state["phase"]})
+            requests = f"{folder}/requests/batch={b['batch']}"
+            job = client.find(requests) if b["status"] == SUBMITTING else None
+            if job is None:
+                b |= {"job": None, "status": SUBMITTING, "output_file_id": None, "collected": False}
+                sinks.save_state(spark, state_path(folder), state)
+                job = client.submit(requests)
+            b |= {"job": job, "status": "submitted"}
+            sinks.save_state(spark, state_path(folder), state)
     return advance(spark, folder, state, "submitted")
 
 
@@ -99,7 +112,7 @@ def advance(spark: SparkSession, folder: str, state: dict, phase: str) -> dict:
 
 def poll(spark: SparkSession, folder: str, client: Client) -> dict:
     """Asks for the status of jobs that run."""
-    state = sinks.load_state(spark, state_path(folder))
+    state = sinks.load_state(spark, state_path(folder), required=True)
     jobs = {r["batch"] for r in running(table(spark, state)).collect()}
     for b in state["batches"]:
         if b["batch"] in jobs:
@@ -110,7 +123,7 @@ def poll(spark: SparkSession, folder: str, client: Client) -> dict:
 
 def collect(spark: SparkSession, folder: str, client: Client) -> dict:
     """Fetches finished outputs that aren't there yet; the state is saved after each."""
-    state = advance(spark, folder, sinks.load_state(spark, state_path(folder)), "collecting")
+    state = advance(spark, folder, sinks.load_state(spark, state_path(folder), required=True), "collecting")
     ready = {r["batch"] for r in to_collect(table(spark, state)).collect()}
     for b in state["batches"]:
         if b["batch"] in ready:
@@ -121,16 +134,16 @@ def collect(spark: SparkSession, folder: str, client: Client) -> dict:
 
 
 def run(spark: SparkSession, folder: str, client: Client, pause: float = 60.0, polls: int = 2000) -> dict:
-    """Submits, waits and collects until all batches are done; failed jobs are submitted anew. A run that was stopped goes on where it was."""
-    state = sinks.load_state(spark, state_path(folder))
+    """Submits, waits and collects until all batches are done; failed jobs are submitted anew. A run that was stopped goes on where it was; one that isn't done after so many polls raises."""
+    state = sinks.load_state(spark, state_path(folder), required=True)
     for _ in range(polls):
         submit(spark, folder, client)
         poll(spark, folder, client)
         state = collect(spark, folder, client)
         if state["phase"] == "done":
-            break
+            return state
         time.sleep(pause)
-    return state
+    raise TimeoutError(f"{status(state)} after {polls} polls")
 
 
 def embedded_chunks(spark: SparkSession, folder: str, dims: int = 2000) -> DataFrame:

@@ -31,13 +31,17 @@ def text_leg(docs: DataFrame | Index, queries: DataFrame, scorer: str = "tf") ->
     return fulltext.phrase_or_merge(fulltext.phrase_rank(docs, queries), either)
 
 
-def hybrid_search(queries: DataFrame, documents: DataFrame, chunks: DataFrame, scorer: str = "tf", level: str | None = None, strict_filters: bool = False, documents_level: str = "court_level") -> DataFrame:
+def hybrid_search(queries: DataFrame, documents: DataFrame, chunks: DataFrame, scorer: str = "tf", level: str | None = None, strict_filters: bool = False, documents_level: str = "court_level", index: Index | None = None) -> DataFrame:
     """Fused results of each query (query_id, text, query_vector), 30 at most, with score_kind.
 
-    A level filters the vector leg alone, unless strict_filters asks for both legs.
+    A level filters the vector leg alone, unless strict_filters asks for both legs. The text leg
+    reads stored postings, if an index is given and no filter applies to that leg.
     """
     pool = fusion.level_filter(documents, documents_level, level) if strict_filters and level else documents
     v = written(vector_leg(chunks, queries, level=level), "vector-leg")
+    if index is not None and pool is documents:
+        t = written(text_leg(index, queries, scorer), "text-leg")
+        return fusion.with_bypass(fusion.rrf(v, t), v, t)
     terms = pool.select("doc_id", "terms") if "terms" in pool.columns else written(fulltext.documents_with_terms(pool), "terms")
     t = written(text_leg(terms, queries, scorer), "text-leg")  # 30 and 100 rows a query
     return fusion.with_bypass(fusion.rrf(v, t), v, t)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import dimensions as D
 from corpusloom.functions import text as X
-from corpusloom.operators import chunker, fulltext, html_markdown
-from corpusloom.sources import fetch, files, sinks
+from corpusloom.operators import chunker, html_markdown, postings
+from corpusloom.session import written
+from corpusloom.sources import fetch, files, sinks, versions
 
 
 def crawl(spark: SparkSession, court_id: str, base_url: str, **options) -> DataFrame:
@@ -35,11 +36,25 @@ def parse(spark: SparkSession, raw: str, out: str, markers: list[str] | None = N
     return rows.drop("markdown")
 
 
-def build(spark: SparkSession, corpus: DataFrame, out: str) -> dict[str, str]:
-    """Documents, chunks and positional postings of a corpus (doc_id, text), each replaced as a whole; returns their paths."""
-    paths = {k: f"{out}/{k}" for k in ("documents", "chunks", "postings")}
-    sinks.refresh(sinks.documents_table(corpus), paths["documents"], ["court_level"], ["year", "doc_id"])
-    sinks.refresh(chunker.chunk_documents(corpus), paths["chunks"], ["court_level"], ["year", "doc_id"])
-    documents = spark.read.parquet(paths["documents"])
-    sinks.refresh(fulltext.positions(documents.select("doc_id", "terms")), paths["postings"], None, ["term", "doc_id", "pos"])
+def build(spark: SparkSession, corpus: DataFrame, out: str, buckets: int = postings.BUCKETS) -> dict[str, str]:
+    """Documents, chunks and stored postings of a corpus (doc_id, text), each replaced as a whole once the new one stands; returns where they are."""
+    paths = {
+        "documents": sinks.replaced(sinks.documents_table(corpus), f"{out}/documents", ["court_level"], ["year", "doc_id"]),
+        "chunks": sinks.replaced(chunker.chunk_documents(corpus), f"{out}/chunks", ["court_level"], ["year", "doc_id"]),
+        "postings": f"{out}/postings",
+    }
+    postings.build(spark.read.parquet(paths["documents"]).select("doc_id", "terms"), paths["postings"], buckets)
     return paths
+
+
+def extend(spark: SparkSession, corpus: DataFrame, out: str) -> int:
+    """Adds documents that the tables don't have, their chunks and postings; returns how many."""
+    documents = sinks.absent(sinks.documents_table(corpus), versions.path_of(spark, f"{out}/documents"), ["doc_id"])
+    documents = written(documents, "new-documents")
+    n = documents.count()
+    if n:
+        texts = documents.select("doc_id", F.col("content").alias("text"))
+        for name, rows in (("documents", documents), ("chunks", chunker.chunk_documents(texts))):
+            rows.sortWithinPartitions("year", "doc_id").write.mode("append").partitionBy("court_level").parquet(versions.path_of(spark, f"{out}/{name}"))
+        postings.append(documents.select("doc_id", "terms"), f"{out}/postings")
+    return n

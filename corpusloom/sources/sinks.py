@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
 from corpusloom.operators.fulltext import analyze, documents_with_terms, positions
+from corpusloom.sources import versions
 
 INPUTS_A_REQUEST, INPUTS_A_BATCH = 100, 50_000
 PHASES = ["init", "prepared", "submitted", "collecting", "done"]
@@ -31,6 +30,18 @@ def refresh(df: DataFrame, path: str, partition_by: list[str] | None = None, sor
     df.write.mode("overwrite").partitionBy(*(partition_by or [])).parquet(path)
 
 
+def replaced(df: DataFrame, base: str, partition_by: list[str] | None = None, sort_by: list[str] | None = None) -> str:
+    """Like refresh, but beside the live version, which goes on until the new one is whole (`versions.read` reads it). Returns where the new one is."""
+    return versions.refresh(df.sparkSession, base, lambda path: refresh(df, path, partition_by, sort_by))
+
+
+def load_chunks(chunks: DataFrame, base: str, dims: int = 2000, digits: int = 8) -> str:
+    """Full refresh of the table of chunks: vectors cut to `dims` and rounded as bulk loaders write them, one row an id; chunks without a vector go. A load that fails leaves the old table."""
+    cut = F.transform(F.slice("embedding", 1, dims), lambda x: F.round(x.cast("double"), digits).cast("float"))
+    rows = chunks.where(F.size("embedding") > 0).withColumn("embedding", cut).withColumn("id", X.vector_id(F.col("doc_id"), F.col("chunk_index")))
+    return replaced(rows.dropDuplicates(["id"]), base, ["court_level"], ["year", "doc_id"])
+
+
 def postings_table(docs: DataFrame, name: str, buckets: int = 64) -> None:
     """Saves positions bucketed by term, so that joins on terms read them without a shuffle."""
     positions(documents_with_terms(docs)).write.mode("overwrite").bucketBy(buckets, "term").sortBy("term", "doc_id").saveAsTable(name)
@@ -179,23 +190,20 @@ def download_stats(results: DataFrame) -> DataFrame:
 # ---- job state: a small JSON record with guarded phases
 
 
-def load_state(spark: SparkSession, path: str) -> dict:
-    """The last state written, or a fresh one."""
-    try:
-        rows = spark.read.text(path).collect()
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        rows = []
-    return json.loads(rows[0][0]) if rows else {"phase": "init", "batches": []}
+def load_state(spark: SparkSession, path: str, required: bool = False) -> dict:
+    """The last state written, or a fresh one; with `required` a missing state is an error, as a lost one must not pass for a run that has nothing to do."""
+    state = versions.current(spark, path)
+    if state is None and required:
+        raise FileNotFoundError(f"no state in {path}: prepare the run, or restore what was lost")
+    return state or {"phase": "init", "batches": []}
 
 
 def save_state(spark: SparkSession, path: str, state: dict) -> None:
-    """Writes the state; a phase may stay, move one step on, or start over."""
+    """Replaces the state in one step; a phase may stay, move one step on, or start over."""
     old, new = load_state(spark, path)["phase"], state["phase"]
     if new not in PHASES or PHASES.index(new) not in (0, PHASES.index(old), PHASES.index(old) + 1):
         raise ValueError(f"phase can't go from {old} to {new}")
-    spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    versions.publish(spark, path, state)
 
 
 def uncollected(batches: DataFrame) -> DataFrame:

@@ -51,11 +51,17 @@ def test_parse_build_search(spark, tmp_path, capsys):
     assert parsed.count() == 4
     paths = ingest.build(spark, parsed.select("doc_id", "text"), str(tmp_path / "t"))
     assert spark.read.parquet(paths["documents"]).count() == 4
-    assert spark.read.parquet(paths["postings"]).where("term = 'αμέλεια'").count() == 90
+    assert spark.read.parquet(paths["postings"]).where("term = 'αμέλεια'").select(F.sum(F.aggregate("tf", F.lit(0), lambda s, x: s + x))).first()[0] == 90
     main(["search", str(tmp_path / "t"), "αμέλεια θέμα2"])
     assert "supreme/2023/2.md" in capsys.readouterr().out
+    main(["search", str(tmp_path / "t"), "--rounds", "2", "αμέλεια θέμα2"])
+    assert "summaries" in capsys.readouterr().out
     main(["stats", str(tmp_path / "t")])
     assert "supreme" in capsys.readouterr().out
+    more = parsed.select("doc_id", "text").unionByName(spark.createDataFrame([("supreme/2024/9.md", "# Νέα\n" + "μοναδικό κείμενο " * 20)], "doc_id string, text string"))
+    assert ingest.extend(spark, more, str(tmp_path / "t")) == 1 and ingest.extend(spark, more, str(tmp_path / "t")) == 0
+    main(["search", str(tmp_path / "t"), "μοναδικό"])
+    assert "supreme/2024/9.md" in capsys.readouterr().out
 
 
 def test_models(spark):
