@@ -14,7 +14,7 @@ from corpusloom.plans.catalog_text import DECISIONS, decisions
 from corpusloom.session import table, work_path
 from corpusloom.sources import sinks
 from corpusloom.streaming import events as E
-from corpusloom.streaming import gate
+from corpusloom.streaming import event_sink, gate
 
 n = lambda c: F.col(c).cast("long").alias(c)
 i = lambda c: F.col(c).cast("int").alias(c)
@@ -81,6 +81,26 @@ def stream_gate(s, d):
     return got.select("user_id", F.unix_micros("began").alias("began"), F.unix_micros("at").alias("at"), "expected", "summarized", "complete")
 
 
+def stream_event_log(s, d):
+    """The event log as a stream into the durable sink, and read back in order."""
+    path = work_path(s, "event-log")
+    told = E.read_stream(s, d, "events.parquet").select("user_id", "event_id", "ts", F.col("event_type").alias("event"), F.to_json(F.struct("value")).alias("data"))
+    event_sink.write_events(told, path, work_path(s, "event-log-state")).awaitTermination()
+    got = event_sink.in_order(event_sink.read_events(s, path, "user_id long, event_id long, event string, data string"))
+    return got.select("user_id", "event_id", i("seq"), F.md5(sinks.event_text(F.col("event"), F.lit("x"))).alias("md5"))
+
+
+def keep_alive(s, d):
+    return E.keep_alive(log(s, d)).select("user_id", n("batch"), n("done"), F.unix_micros("ts").alias("ts"))
+
+
+def answered(s, d):
+    """Errors answered by a purchase within two hours."""
+    events = log(s, d)
+    got = E.answered(events.where("event_type = 'error'"), events.where("event_type = 'purchase'"), "2 hours")
+    return got.select("user_id", "asked_id", "answer_id", n("after_s"))
+
+
 GATE = """WITH ev AS (SELECT user_id, event_id, ts, CASE WHEN event_type = 'signup' THEN event_id % 4 + 1 END AS n, CASE WHEN event_type <> 'signup' THEN event_id % 7 END AS doc FROM events),
 paused AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM ev),
 island AS (SELECT *, sum(CASE WHEN ts > prev + INTERVAL 6 HOURS THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM paused),
@@ -235,6 +255,9 @@ CATALOG = {
     "stream_dedup": (stream_dedup, "SELECT DISTINCT user_id, event_type FROM events"),
     "stream_totals": (stream_totals, "SELECT user_id, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY user_id"),
     "stream_gate": (stream_gate, GATE),
+    "stream_event_log": (stream_event_log, "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INT AS seq, md5('event: ' || event_type || chr(10) || 'data: x' || chr(10) || chr(10)) AS md5 FROM events"),
+    "keep_alive": (keep_alive, "SELECT user_id, done // 5 AS batch, done, ts FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS done, epoch_us(ts) AS ts FROM events) WHERE done % 5 = 0"),
+    "answered": (answered, "SELECT a.user_id, a.event_id AS asked_id, b.event_id AS answer_id, (floor(epoch(b.ts)) - floor(epoch(a.ts)))::BIGINT AS after_s FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'error' AND b.event_type = 'purchase' AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 2 HOURS"),
     "stream_windows": (stream_windows, "SELECT epoch(date_trunc('hour', ts))::BIGINT AS start_s, event_type, count(*) AS n FROM events GROUP BY ALL"),
     "stats_by_court_format": (stats_by_court_format, f"SELECT source AS court, lang AS fmt, count(*) AS documents, sum({WORDS})::BIGINT AS words, sum(length(text))::BIGINT AS chars, sum(len(regexp_extract_all(text, '\\]\\([^)]*\\.md\\)')))::BIGINT AS refs, (sum({WORDS}) // count(*))::BIGINT AS avg_words FROM {DECISIONS} GROUP BY GROUPING SETS ((source), (lang), ())"),
     "group_by_year_list": (
