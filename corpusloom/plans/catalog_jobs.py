@@ -12,7 +12,7 @@ from corpusloom.operators import rerank, stats
 from corpusloom.plans.catalog_retrieval import JUDGED, judged
 from corpusloom.plans.catalog_text import DECISIONS, decisions
 from corpusloom.session import table, work_path
-from corpusloom.sources import sinks
+from corpusloom.sources import file_index, merge_log, sinks
 from corpusloom.streaming import events as E
 from corpusloom.streaming import event_sink, gate
 
@@ -90,6 +90,23 @@ def stream_event_log(s, d):
     return got.select("user_id", "event_id", i("seq"), F.md5(sinks.event_text(F.col("event"), F.lit("x"))).alias("md5"))
 
 
+def merge_log_latest(s, d):
+    """Line items by order as updates in six batches, the later ship date winning; merged by levels."""
+    rows, path = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", F.concat_ws("#", F.date_format("l_shipdate", "yyyyMMdd"), F.format_string("%02d#%012d", "l_linenumber", "l_partkey")).alias("v")), work_path(s, "merge-log")
+    for epoch in range(6):
+        merge_log.apply(rows.where(F.col("l_linenumber") % 6 == epoch), path, ["l_orderkey"], "v", epoch)
+        merge_log.compact(s, path, ["l_orderkey"], "v")
+    return merge_log.read(s, path, ["l_orderkey"], "v").select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+def indexed_lookup(s, d):
+    """Documents of a few ids, from the files that the index names."""
+    top = work_path(s, "lookup")
+    table(s, d, "documents").repartition(16, "doc_id").write.parquet(f"{top}/table")
+    file_index.build(s, f"{top}/table", f"{top}/index", ["doc_id"])
+    return file_index.lookup(s, f"{top}/table", f"{top}/index", "doc_id", [0, 7, 77, 777, -1]).select("doc_id", "n_chars")
+
+
 def keep_alive(s, d):
     return E.keep_alive(log(s, d)).select("user_id", n("batch"), n("done"), F.unix_micros("ts").alias("ts"))
 
@@ -255,6 +272,8 @@ CATALOG = {
     "stream_dedup": (stream_dedup, "SELECT DISTINCT user_id, event_type FROM events"),
     "stream_totals": (stream_totals, "SELECT user_id, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY user_id"),
     "stream_gate": (stream_gate, GATE),
+    "merge_log_latest": (merge_log_latest, "SELECT l_orderkey, l_linenumber, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY CAST(l_shipdate AS DATE) DESC, l_linenumber DESC, l_partkey DESC) AS r FROM lineitem) WHERE r = 1"),
+    "indexed_lookup": (indexed_lookup, "SELECT doc_id, n_chars FROM documents WHERE doc_id IN (0, 7, 77, 777, -1)"),
     "stream_event_log": (stream_event_log, "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INT AS seq, md5('event: ' || event_type || chr(10) || 'data: x' || chr(10) || chr(10)) AS md5 FROM events"),
     "keep_alive": (keep_alive, "SELECT user_id, done // 5 AS batch, done, ts FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS done, epoch_us(ts) AS ts FROM events) WHERE done % 5 = 0"),
     "answered": (answered, "SELECT a.user_id, a.event_id AS asked_id, b.event_id AS answer_id, (floor(epoch(b.ts)) - floor(epoch(a.ts)))::BIGINT AS after_s FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'error' AND b.event_type = 'purchase' AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 2 HOURS"),

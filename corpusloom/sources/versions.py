@@ -6,6 +6,7 @@ import json
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 RECORD = "_current.json"
@@ -21,29 +22,52 @@ def _files(spark: SparkSession, path: str):
 
 def current(spark: SparkSession, base: str) -> dict | None:
     """The record of a folder, None if nothing was published there."""
-    files, path = _files(spark, base), _path(spark, f"{base}/{RECORD}")
-    if not files.exists(path):
+    if not _files(spark, base).exists(_path(spark, f"{base}/{RECORD}")):
         return None
-    stream = files.open(path)
+    return json.loads(text(spark, f"{base}/{RECORD}"))
+
+
+def text(spark: SparkSession, path: str) -> str:
+    stream = _files(spark, path).open(_path(spark, path))
     try:
-        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
     finally:
         stream.close()
 
 
 def publish(spark: SparkSession, base: str, record: dict) -> None:
     """Makes a record the folder's one, by a rename that replaces the old one in one step (as HDFS and local file systems do it). Readers see the old or the new one."""
-    jvm, files = spark.sparkContext._jvm, _files(spark, base)
-    draft, target = _path(spark, f"{base}/_draft-{uuid.uuid4().hex}"), _path(spark, f"{base}/{RECORD}")
+    _put(spark, f"{base}/{RECORD}", json.dumps(record), ["OVERWRITE"])
+
+
+def create(spark: SparkSession, path: str, content: str) -> bool:
+    """Makes a file that isn't there yet; False if it is, also where another writer comes first."""
+    try:
+        _put(spark, path, content, [])
+    except Py4JJavaError as e:
+        if "AlreadyExists" in str(e.java_exception):
+            return False
+        raise
+    return True
+
+
+def _put(spark: SparkSession, target: str, content: str, options: list[str]) -> None:
+    """Writes a draft beside the target and renames it there in one step."""
+    jvm, files = spark.sparkContext._jvm, _files(spark, target)
+    draft = _path(spark, f"{target.rpartition('/')[0]}/_draft-{uuid.uuid4().hex}")
     stream = files.create(draft, True)
     try:
-        stream.write(bytearray(json.dumps(record).encode()))
+        stream.write(bytearray(content.encode()))
     finally:
         stream.close()
-    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    given = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, len(options))
+    for k, name in enumerate(options):
+        given[k] = getattr(jvm.org.apache.hadoop.fs.Options.Rename, name)
     context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
-    context.rename(files.makeQualified(draft), files.makeQualified(target), options)
+    try:
+        context.rename(files.makeQualified(draft), files.makeQualified(_path(spark, target)), given)
+    finally:
+        files.delete(draft, False)
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -68,33 +68,6 @@ def run_once(stream: DataFrame, name: str, mode: str, checkpoint: str | None = N
     return stream.sparkSession.table(name)
 
 
-def upsert_batches(stream: DataFrame, path: str, keys: list[str], version: str, checkpoint: str):
-    """A keyed table that each micro-batch updates, last write wins; batches are written beside each other and read back by `latest`."""
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        last = Window.partitionBy(*keys).orderBy(F.desc(version))
-        once = batch.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r")
-        once.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")  # a batch run again replaces its own files
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def compact(spark: SparkSession, path: str, keys: list[str], version: str) -> None:
-    """Writes the last row of each key as one epoch (the highest there is) and deletes the older ones; run it while no batch is written."""
-    table = spark.read.parquet(path)
-    top = table.agg(F.max("epoch")).first()[0]
-    from corpusloom.session import written
-
-    held = written(latest(table, keys, version).drop("epoch"), "compacted")
-    held.write.mode("overwrite").parquet(f"{path}/epoch={top}")
-    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for found in files.listStatus(base):
-        name = found.getPath().getName()
-        if name.startswith("epoch=") and name != f"epoch={top}":
-            files.delete(found.getPath(), True)
-
-
 def keep_alive(events: DataFrame, every: int = 5, session: str = "user_id") -> DataFrame:
     """A progress event for each full batch of `every` events of a session: session, batch, done, ts of the batch's last event."""
     order = Window.partitionBy(session).orderBy("ts", "event_id")
@@ -108,8 +81,3 @@ def answered(asked: DataFrame, answers: DataFrame, within: str = "30 minutes", l
     b = answers.withWatermark("ts", late).select(F.col(session).alias("_s"), F.col("event_id").alias("answer_id"), F.col("ts").alias("answer_ts"))
     on = (F.col(session) == F.col("_s")) & (F.col("answer_ts") >= F.col("asked_ts")) & (F.col("answer_ts") <= F.col("asked_ts") + F.expr(f"INTERVAL {within}"))
     return a.join(b, on).select(session, "asked_id", "answer_id", (F.unix_timestamp("answer_ts") - F.unix_timestamp("asked_ts")).alias("after_s"))
-
-
-def latest(table: DataFrame, keys: list[str], version: str) -> DataFrame:
-    last = Window.partitionBy(*keys).orderBy(F.desc(version), F.desc("epoch"))
-    return table.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r")

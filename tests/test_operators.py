@@ -340,14 +340,6 @@ def stream_of(spark, df, tmp_path):
     return spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
 
 
-def test_stream_upsert(spark, tmp_path):
-    rows = frame(spark, "k int, v int, t int", (1, 1, 1), (1, 2, 2), (2, 3, 1))
-    stream = stream_of(spark, rows, tmp_path)
-    E.upsert_batches(stream, str(tmp_path / "out"), ["k"], "t", work_path(spark, "up")).awaitTermination()
-    got = E.latest(spark.read.parquet(str(tmp_path / "out")), ["k"], "t").orderBy("k").collect()
-    assert [(r.k, r.v) for r in got] == [(1, 2), (2, 3)]
-
-
 def test_stream_windows(spark, sf):
     got = E.run_once(E.windows(E.read_stream(spark, sf, "events.parquet"), "1 hour", "30 minutes"), "slide_test", "complete", work_path(spark, "slide"))
     assert got.agg(F.sum("n")).first()[0] == 2 * spark.read.parquet(f"{sf}/events.parquet").count()

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import fulltext, postings, vector, vector_index
-from corpusloom.sources import versions
+from corpusloom.sources import file_index, merge_log, versions
 
 KIND = "doc_id long, text string"
 
@@ -189,3 +189,79 @@ def test_one_scan_answers_thousands_of_questions(spark, clouds):
     q = np.array([r.query_vector for r in many.orderBy("query_id").collect()], np.float64)
     best = np.sort((q / np.linalg.norm(q, axis=1, keepdims=True)) @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T, axis=1)[:, ::-1]
     assert len(got) == 15_000 and all(abs(got[i, r + 1] - best[i, r]) < 1e-8 for i in range(5000) for r in range(3))
+
+
+# ---- merges and file indexes
+
+
+def updates(spark, epoch, rows):
+    return spark.createDataFrame([(k, v, t) for k, v, t in rows], "k long, v string, t long").withColumn("extra", F.lit(epoch))
+
+
+def state_of(spark, base):
+    return {r.k: (r.v, r.t) for r in merge_log.read(spark, base, ["k"], "t").collect()}
+
+
+def test_log_of_merges(spark, tmp_path):
+    """Many batches of the same keys: the last version wins, reads meet few runs, batches applied again change nothing."""
+    base, rng, want = f"file://{tmp_path}/log", random.Random(3), {}
+    assert merge_log.read(spark, base, ["k"], "t") is None
+    for epoch in range(18):
+        rows = [(k, f"e{epoch}", rng.randrange(6)) for k in {rng.randrange(12) for _ in range(6)}]
+        assert merge_log.apply(updates(spark, epoch, rows), base, ["k"], "t", epoch)
+        for k, v, t in rows:
+            if k not in want or t >= want[k][1]:
+                want[k] = (v, t)
+        merge_log.compact(spark, base, ["k"], "t")
+    assert state_of(spark, base) == want
+    runs = merge_log.record(spark, base)[1]["runs"]
+    assert sorted(r["level"] for r in runs) == [0, 0, 2]
+    assert not merge_log.apply(updates(spark, 17, [(1, "again", 99)]), base, ["k"], "t", 17) and state_of(spark, base) == want
+    merge_log.compact(spark, base, ["k"], "t")
+    assert len(versions.children(spark, f"{base}/runs")) == 3 and len(versions.children(spark, f"{base}/records")) <= 2 * merge_log.KEEP_RECORDS + 2
+
+
+def test_merge_beside_a_writer(spark, tmp_path, monkeypatch):
+    """A batch that comes in while runs are merged is kept, and so are readers' files."""
+    base = f"file://{tmp_path}/log"
+    for epoch in range(4):
+        merge_log.apply(updates(spark, epoch, [(1, f"e{epoch}", epoch), (10 + epoch, "x", 0)]), base, ["k"], "t", epoch)
+    reader = merge_log.read(spark, base, ["k"], "t")
+    held, merged = merge_log.commit, []
+
+    def late(spark, base, change):
+        if not merged:
+            merged.append(1)
+            merge_log.apply(updates(spark, 4, [(1, "late", 9)]), base, ["k"], "t", 4)
+        return held(spark, base, change)
+
+    monkeypatch.setattr(merge_log, "commit", late)
+    assert merge_log.compact(spark, base, ["k"], "t") == 1
+    assert state_of(spark, base) == {1: ("late", 9), **{10 + e: ("x", 0) for e in range(4)}}
+    assert {r.k: r.v for r in reader.collect()}[1] == "e3"
+    assert sorted(r["level"] for r in merge_log.record(spark, base)[1]["runs"]) == [0, 1]
+
+
+def test_upsert_stream(spark, tmp_path):
+    source, base = tmp_path / "in", f"file://{tmp_path}/log"
+    for epoch in range(5):
+        updates(spark, epoch, [(epoch % 2, f"e{epoch}", epoch), (7, f"e{epoch}", 1)]).coalesce(1).write.parquet(f"{source}/{epoch}")
+    stream = spark.readStream.schema("k long, v string, t long, extra int").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(source))
+    merge_log.upsert_stream(stream, base, ["k"], "t", str(tmp_path / "state")).awaitTermination()
+    assert state_of(spark, base) == {0: ("e4", 4), 1: ("e3", 3), 7: ("e4", 1)}
+    assert len(merge_log.record(spark, base)[1]["runs"]) == 2
+
+
+def test_lookup_reads_the_files_that_hold_a_value(spark, tmp_path):
+    table, base = f"file://{tmp_path}/table", f"file://{tmp_path}/index"
+    ids = [*[f"doc/{k:05d}" for k in range(4000)], None]
+    rows = spark.createDataFrame([(x, k, k % 3) for k, x in enumerate(ids)], "doc_id string, n long, level int")
+    rows.repartition(24, F.xxhash64("doc_id")).write.partitionBy("level").parquet(table)
+    file_index.build(spark, table, base, ["doc_id", "n"])
+    every = len(spark.read.parquet(table).inputFiles())
+    found = file_index.lookup(spark, table, base, "doc_id", ["doc/00777"])
+    assert [(r.n, r.level) for r in found.collect()] == [(777, 0)] and len(found.inputFiles()) <= 4 < every
+    assert {r.doc_id for r in file_index.lookup(spark, table, base, "n", [5, 3999, 123456]).collect()} == {"doc/00005", "doc/03999"}
+    assert file_index.lookup(spark, table, base, "doc_id", ["doc/x", "zzz"]).count() == 0
+    hits = [len(file_index.files_with(spark, base, "doc_id", [f"doc/{k:05d}"])) for k in range(0, 4000, 400)]
+    assert sum(hits) <= 4 * len(hits) and min(hits) >= 1
