@@ -2,11 +2,10 @@
 
 Equal texts form one atomic group. Groups above a small share of a shard, of which there are
 few whatever the input, are units of their own; the others are joined by hash into small
-units, so the driver sees a bounded number of unit sizes. Units are ordered so that small
-ones stand behind large ones (each next unit by falling size goes to the least filled of as
-many lanes as there are shards, and the lanes stand one after the other). The smallest feasible
-capacity over this order is found by binary search, each candidate checked greedily; then the
-cuts are made there, each shard's capacity being the smallest with which the rest still fits.
+units, so the driver sees a bounded number of unit sizes. Small units stand in the order of
+their hashes; large ones are spread among them, so that none is likely to lie where a cut has to be.
+The smallest feasible capacity over this order is found by binary search, each candidate
+checked greedily; then the cuts are made there, each shard's capacity being the smallest with which the rest still fits.
 
 Defined results: a null text counts as empty, but its group isn't that of the empty text;
 an empty table gives no rows; repeated rows are rows of one group; a group larger than an
@@ -27,15 +26,24 @@ from corpusloom.llm import common as C
 LARGE, UNITS = 200, 1000
 
 
-def lanes(sizes: np.ndarray, shards: int) -> np.ndarray:
-    """The order of units: by lane, and by falling size within a lane."""
-    filled, lane = [(0, k) for k in range(shards)], np.zeros(len(sizes), np.int64)
-    falling = np.argsort(-sizes, kind="stable")
+def ordered(sizes: np.ndarray, shards: int) -> np.ndarray:
+    """The order of units. Small ones stay as they are given. Large ones go where an even share would begin, the largest first to where the fewest bytes stand."""
+    share = sizes.sum() / shards
+    large, small = np.flatnonzero(sizes * LARGE > share), np.flatnonzero(sizes * LARGE <= share)
+    filled, begins = [(0, k) for k in range(shards)], np.zeros(len(large), np.int64)
+    falling = np.argsort(-sizes[large], kind="stable")
     for i in falling.tolist():
         held, k = heapq.heappop(filled)
-        lane[i] = k
-        heapq.heappush(filled, (held + int(sizes[i]), k))
-    return falling[np.argsort(lane[falling], kind="stable")]
+        begins[i] = k
+        heapq.heappush(filled, (held + int(sizes[large[i]]), k))
+    free = np.zeros(shards)
+    for held, k in filled:
+        free[k] = max(0.0, share - held)
+    # A small unit stands in the stretch where its middle comes to lie when the stretches' free bytes are filled in order.
+    middle = np.cumsum(sizes[small]) - sizes[small] / 2
+    stretch = np.minimum(np.searchsorted(np.cumsum(free), middle, "right"), shards - 1)
+    both = np.concatenate([large[falling], small])
+    return both[np.argsort(np.concatenate([begins[falling], stretch]), kind="stable")]
 
 
 def cuts_within(ends: np.ndarray, start: int, capacity: int, shards: int) -> list[int] | None:
@@ -79,7 +87,8 @@ def place(sizes: np.ndarray, shards: int) -> np.ndarray:
         alone += 1
     rest = falling[alone:]
     if len(rest):
-        order = rest[lanes(sizes[rest], shards - alone)]
+        rest = np.sort(rest)
+        order = rest[ordered(sizes[rest], shards - alone)]
         out[order] = alone + partition(sizes[order], shards - alone)
     return out
 

@@ -323,12 +323,29 @@ def test_cuts_against_brute_force():
         shard = sharding.partition(sizes, shards).tolist()
         sums = np.bincount(shard, sizes)
         assert shard == sorted(shard) and max(shard) < shards and max(sums) == least(sizes.tolist(), shards)
-        order = sharding.lanes(sizes, shards)
+        order = sharding.ordered(sizes, shards)
         assert sorted(order.tolist()) == list(range(len(sizes)))
         placed = np.bincount(sharding.place(sizes, shards), sizes, shards)
         assert placed.sum() == sizes.sum() and max(placed) <= sizes.sum() / shards + max(sizes)
 
 
+@pytest.mark.parametrize("kind", ["lognormal", "uniform", "pareto"])
+def test_cuts_decide_over_many_units(kind):
+    """Units in the order of their hashes: the largest sum is the smallest that this order allows, below that of filling each shard to its even share, and shards are even."""
+    rng, shards = np.random.default_rng(11), 40
+    sizes = {"lognormal": rng.lognormal(7, 1, 40_000), "uniform": rng.uniform(1, 5000, 40_000), "pareto": (rng.pareto(2.5, 40_000) + 1) * 500}[kind].astype(np.int64)
+    order = sharding.ordered(sizes, shards)
+    own = sizes[order]
+    cut = sharding.partition(own, shards)
+    sums = np.bincount(cut, own, shards)
+    ends = np.cumsum(own)
+    assert sharding.cuts_within(ends, 0, int(sums.max()), shards) and sharding.cuts_within(ends, 0, int(sums.max()) - 1, shards) is None
+    filled = np.minimum((ends - own) // -(-own.sum() // shards), shards - 1)  # a new shard where an even share is full
+    assert (filled != cut).any() and sums.max() < np.bincount(filled, own, shards).max() and sums.max() - sums.min() <= 0.02 * own.sum() / shards
+    small = sizes[order] * sharding.LARGE <= sizes.sum() / shards
+    assert small.mean() > 0.8 and (np.diff(order[small]) > 0).mean() > 0.99  # nearly all stand as given
+
+
 def test_one_hot_group_has_a_shard():
     sizes = np.array([5000, *[7] * 2000, *range(1, 60)])
     sums = np.bincount(sharding.place(sizes, 10), sizes, 10)
