@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.plans import catalog_jobs, catalog_retrieval, catalog_text
+from corpusloom.plans import catalog_jobs, catalog_more, catalog_retrieval, catalog_text
 from corpusloom.session import code_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-CATALOG = catalog_retrieval.CATALOG | catalog_text.CATALOG | catalog_jobs.CATALOG
+CATALOG = catalog_retrieval.CATALOG | catalog_text.CATALOG | catalog_jobs.CATALOG | catalog_more.CATALOG
 
 
 def _ready(query: Query) -> Query:
