@@ -4,7 +4,8 @@ A gear rolling hash over the bytes cuts texts where it is smaller than all its n
 within RADIUS places, so a cut depends on some 60 bytes around it, text inserted before a
 passage doesn't shift the chunks in it, and chunks are longer than RADIUS bytes. Chunks are
 grouped by digest; a chunk that an earlier document (by id) has points to the first document
-with it and to the one just before in a bounded run of its holders. A passage's inner
+with it, to the one just before in a bounded run of its holders, and to the first ones that have
+it with the next one to five chunks. A passage's inner
 chunks are all such chunks, one beside the other; runs of them that are too short, with what
 stands around them, are no passages. The chunks of a run that point to one document at the same
 distance form a candidate, which is compared byte by byte with that document's text, extended
@@ -37,6 +38,10 @@ BESIDE = 3
 REACH, MORE = 512, 16
 #: Holders of a digest that are in one run, each pointing to the one before.
 HOLDERS = 4096
+#: Chunks in a row that point to the first document with all of them, so that a passage whose parts stand in other documents finds one with the whole.
+WINDOW = 6
+#: Rows (a key, an owner and a place) of such documents that are broadcast at most; more are shuffled.
+SENT_WINDOWS = 500_000
 GEAR = C.mix64(np.arange(1, 257, dtype=np.uint64)).astype(np.uint16)
 
 
@@ -128,12 +133,37 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return C.map_arrow(docs.where("doc_id is not null"), run, f"digest long, doc_id {kind}, start long, length short, words short, left short, right short")
 
 
-def pointed(found: DataFrame) -> DataFrame:
-    """Occurrences whose digest an earlier document has, with `to`: the first such document and the one just before in a run of holders, and the places there."""
-    holders = found.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("_first"), F.max("doc_id").alias("_top"), F.count(F.lit(1)).alias("_n")).where("_first.doc_id <> _top")
-    shared = found.join(holders.select(F.col("digest").alias("_digest"), "_first", "_n"), F.col("digest") == F.col("_digest")).drop("_digest")
+def shared_runs(found: DataFrame, min_words: int) -> DataFrame:
+    """Chunks that another document has too, in runs of neighbours long enough for a passage.
+
+    Adds run, its low and high end (beyond which nothing repeats), the first holder of the digest, the number
+    of holders, and `keys`: digests of the 2 to WINDOW chunks that begin here.
+    """
+    holders = found.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("_first"), F.max("doc_id").alias("_top"), F.count(F.lit(1)).alias("n")).where("_first.doc_id <> _top")
+    rows = found.join(holders.select(F.col("digest").alias("_digest"), "_first", "n"), F.col("digest") == F.col("_digest"))
+    rows = rows.select(*found.columns, F.col("_first.doc_id").alias("owner"), F.col("_first.start").alias("there"), "n")
+    ordered = Window.partitionBy("doc_id").orderBy("start")
+    # Rows that share an id may have chunks at the same place.
+    last = F.max(F.col("start") + F.col("length")).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_gap", (last.isNull() | (F.col("start") > last)).cast("int"))
+    rows = rows.withColumn("run", F.sum("_gap").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = Window.partitionBy("doc_id", "run")
+    words = F.sum("words").over(whole) + F.max("left").over(whole) + F.max("right").over(whole) + 1
+    rows = rows.withColumn("_words", words).where(F.col("_words") >= min_words)
+    reach = BESIDE * LONGEST
+    rows = rows.withColumn("low", F.min("start").over(whole) - reach).withColumn("high", F.max(F.col("start") + F.col("length")).over(whole) + reach)
+    inside = whole.orderBy("start")
+    ahead = [F.col("digest"), *(F.lead("digest", k).over(inside) for k in range(1, WINDOW))]
+    # Words of the k chunks from here; where those are a passage already, longer windows tell nothing more.
+    held = [F.sum("words").over(inside.rowsBetween(0, k - 1)) for k in range(1, WINDOW)]
+    keys = F.array_compact(F.array(*(F.when(ahead[k].isNotNull() & (held[k - 1] < min_words), F.xxhash64(*ahead[: k + 1])) for k in range(1, WINDOW))))
+    return rows.select("digest", "doc_id", "start", "length", "run", "low", "high", "owner", "there", "n", keys.alias("keys"))
+
+
+def pointed(shared: DataFrame) -> DataFrame:
+    """Occurrences with `to`: the first document with the digest and the one just before in a run of holders, and the places there."""
     # A digest with many holders has several runs of them, so that none is one task's.
-    shared = shared.withColumn("_run", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("_n") / HOLDERS)))
+    shared = shared.drop("keys").withColumn("_run", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / HOLDERS)))
     order = Window.partitionBy("digest", "_run").orderBy("doc_id", "start")
     before = F.struct(F.lag("doc_id").over(order).alias("owner"), F.lag("start").over(order).alias("there"))
     shared = shared.withColumn("_before", before).withColumn("_new", F.col("_before.owner").isNull() | (F.col("_before.owner") != F.col("doc_id")))
@@ -141,26 +171,32 @@ def pointed(found: DataFrame) -> DataFrame:
     # All of a document's chunks with one digest point where its first one does.
     to = F.last(F.when(F.col("_new"), F.col("_before")), ignorenulls=True).over(upto)
     shared = shared.withColumn("_to", to)
-    first = F.struct(F.col("_first.doc_id").alias("owner"), F.col("_first.start").alias("there"))
-    both = F.array_distinct(F.filter(F.array(first, F.col("_to")), lambda x: x["owner"] != F.col("doc_id")))
-    return shared.withColumn("to", both).where(F.size("to") > 0).select("doc_id", "start", "length", "words", "left", "right", "to")
+    both = F.array_distinct(F.filter(F.array(F.struct("owner", "there"), F.col("_to")), lambda x: x["owner"] != F.col("doc_id")))
+    return shared.select("doc_id", "run", "low", "high", "start", "length", F.explode(both).alias("to")).select("doc_id", "run", "low", "high", "start", "length", "to.owner", "to.there")
+
+
+def pointed_windows(shared: DataFrame, scratch: C.Scratch) -> DataFrame:
+    """Occurrences and the first document with the same 2 to WINDOW chunks in a row, where that isn't the first one with the chunk itself."""
+    is_first = (F.col("doc_id") == F.col("owner")) & (F.col("start") == F.col("there"))
+    each = shared.select(F.explode("keys").alias("key"), "doc_id", "start", is_first.alias("_is_first"))
+    firsts = each.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("_first"), F.max("doc_id").alias("_top"), F.bool_or("_is_first").alias("_known"))
+    firsts = firsts.where("not _known and _first.doc_id <> _top").select(F.col("key").alias("_key"), F.col("_first.doc_id").alias("owner"), F.col("_first.start").alias("there"))
+    firsts = scratch.write(firsts, "windows")
+    if firsts.count() <= SENT_WINDOWS:
+        firsts = F.broadcast(firsts)
+    rows = shared.select(F.explode("keys").alias("key"), "doc_id", "run", "low", "high", "start", "length").join(firsts, F.col("key") == F.col("_key"))
+    return rows.where("owner <> doc_id").select("doc_id", "run", "low", "high", "start", "length", "owner", "there")
 
 
-def candidates(found: DataFrame, min_words: int) -> DataFrame:
+def candidates(found: DataFrame, min_words: int, scratch: C.Scratch) -> DataFrame:
     """doc_id, owner, delta, start, end: stretches from the first to the last chunk of a run that point to one document whose text stands `delta` bytes before, and the run's low and high end, beyond which nothing repeats."""
-    ordered = Window.partitionBy("doc_id").orderBy("start")
-    # Rows that share an id may have chunks at the same place.
-    last = F.max(F.col("start") + F.col("length")).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
-    rows = pointed(found).withColumn("_gap", (last.isNull() | (F.col("start") > last)).cast("int"))
-    rows = rows.withColumn("run", F.sum("_gap").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = Window.partitionBy("doc_id", "run")
-    words = F.sum("words").over(whole) + F.max("left").over(whole) + F.max("right").over(whole) + 1
-    rows = rows.withColumn("_words", words).where(F.col("_words") >= min_words)
-    reach = BESIDE * LONGEST
-    rows = rows.withColumn("low", F.min("start").over(whole) - reach).withColumn("high", F.max(F.col("start") + F.col("length")).over(whole) + reach)
-    rows = rows.withColumn("to", F.explode("to")).select("*", F.col("to.owner").alias("owner"), (F.col("start") - F.col("to.there")).alias("delta"))
-    lines = rows.groupBy("doc_id", "run", "low", "high", "owner", "delta")
-    return lines.agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("end")).drop("run")
+    shared = scratch.write(shared_runs(found, min_words), "shared")
+    scratch.discard("chunks")
+    scratch.release()  # of the chunks' shuffle files
+    rows = pointed(shared).union(pointed_windows(shared, scratch))
+    lines = rows.groupBy("doc_id", "run", "low", "high", "owner", (F.col("start") - F.col("there")).alias("delta"))
+    lines = lines.agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("end")).drop("run")
+    return lines.select("doc_id", "low", "high", "owner", "delta", "start", "end")
 
 
 def stretches(raw: bytes, theirs: bytes, begin: int, min_words: int, words: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int]]:
@@ -239,9 +275,9 @@ def compared(docs: DataFrame, lines: DataFrame, reach: int, min_words: int, scra
 
 def passages(docs: DataFrame, min_words: int, scratch: C.Scratch) -> DataFrame:
     """doc_id, owner, s, e (bytes) of stretches that an earlier document has."""
-    lines = scratch.write(candidates(scratch.write(occurrences(docs), "chunks"), min_words), "candidates")
-    scratch.discard("chunks")
-    scratch.release()  # of the chunks' shuffle files
+    lines = scratch.write(candidates(scratch.write(occurrences(docs), "chunks"), min_words, scratch), "candidates")
+    scratch.discard("shared")
+    scratch.release()
     docs, reach, out = docs.where("doc_id is not null"), REACH, None
     while True:
         rows = compared(docs, lines, reach, min_words, scratch)

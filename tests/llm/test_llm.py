@@ -273,6 +273,22 @@ def test_dedup_of_halves_with_two_owners(spark):
     assert all(got[4 * k + i] == dict(rows)[4 * k + i] for k in range(200) for i in range(3))
 
 
+def test_dedup_with_partial_holders_between(spark):
+    """54 words stand whole in documents 2 and 5; words 1 to 39 and 16 to 54 stand in 0 and 1, and again in 3 and 4, so every chunk's first and last holder has a part only."""
+    rng = random.Random(15)
+    many = lambda n: ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(n)]
+    around = lambda part: " ".join(many(20) + part + many(20))
+    rows, asked = [], []
+    for k in range(200):
+        p = many(54)
+        for i, part in enumerate((p[:39], p[15:], p, p[:39], p[15:], p)):
+            rows.append((6 * k + i, around(part)))
+        asked.append((6 * k + 5, " ".join(p)))
+    got = {r.doc_id: r for r in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(p not in got[i].text for i, p in asked) >= 196
+    assert all(got[6 * k + i].n_removed == 0 for k in range(200) for i in range(3))
+
+
 def test_dedup_of_many_and_long_repeats(spark, monkeypatch):
     """A passage that many documents hold, one repeated many times in a document, long passages found by slices of their own, and text of one word."""
     monkeypatch.setattr(substring_dedup, "REACH", 32)
