@@ -12,7 +12,7 @@ from corpusloom.operators import rerank, stats
 from corpusloom.plans.catalog_retrieval import JUDGED, judged
 from corpusloom.plans.catalog_text import DECISIONS, decisions
 from corpusloom.session import table, work_path
-from corpusloom.sources import file_index, merge_log, sinks
+from corpusloom.sources import file_index, index_writer, line_index, merge_log, sinks
 from corpusloom.streaming import events as E
 from corpusloom.streaming import event_sink, gate
 
@@ -153,6 +153,25 @@ def group_by_year_list(s, d):
     return got.select("court", n("total"), "year", F.size("e").cast("long").alias("n"), F.md5(F.array_join(F.transform("e", lambda x: x["file_path"]), ",")).alias("paths"))
 
 
+def index_files(s, d):
+    """Indexes written as one JSON file a court, and their lines read back."""
+    path = work_path(s, "index-files")
+    index_writer.write(entries(s, d), path, "now")
+    got = index_writer.read(s, path)
+    return got.select("file", "court", "year", "file_path", "title")
+
+
+def log_lines(s, d):
+    """The middle third of a log of all documents' lengths, found by the positions of lines."""
+    path = work_path(s, "log")
+    table(s, d, "documents").orderBy("doc_id").select(F.to_json(F.struct("doc_id", F.char_length("text").alias("n_chars")))).write.text(path)
+    index_path = work_path(s, "log-index")
+    line_index.build(s, path).write.parquet(index_path)
+    index = s.read.parquet(index_path)
+    total = line_index.total(index)
+    return line_index.records(index, total // 3, 2 * total // 3, "doc_id long, n_chars long")
+
+
 def index_stats(s, d):
     got = stats.index_stats(entries(s, d).where("year <> ''"))
     return got.select("court", n("entries"), "first_year", "last_year")
@@ -283,6 +302,8 @@ CATALOG = {
         group_by_year_list,
         "WITH e AS (SELECT o_orderstatus AS court, CASE WHEN o_orderkey % 9 = 0 THEN 'unknown' ELSE year(o_orderdate)::VARCHAR END AS year, '/x/' || o_orderkey || '.html' AS p FROM orders) SELECT court, (sum(count(*)) OVER (PARTITION BY court))::BIGINT AS total, year, count(*) AS n, md5(string_agg(p, ',' ORDER BY p)) AS paths FROM e GROUP BY court, year",
     ),
+    "index_files": (index_files, "SELECT o_orderstatus || '.json' AS file, o_orderstatus AS court, CASE WHEN o_orderkey % 9 = 0 THEN '' ELSE year(o_orderdate)::VARCHAR END AS year, '/x/' || o_orderkey || '.html' AS file_path, o_orderpriority AS title FROM orders"),
+    "log_lines": (log_lines, "SELECT * FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS idx, doc_id::BIGINT AS doc_id, length(text) AS n_chars FROM documents) WHERE idx >= (SELECT count(*) // 3 FROM documents) AND idx < (SELECT 2 * count(*) // 3 FROM documents)"),
     "index_stats": (index_stats, "SELECT o_orderstatus AS court, count(*) AS entries, min(year(o_orderdate))::VARCHAR AS first_year, max(year(o_orderdate))::VARCHAR AS last_year FROM orders WHERE o_orderkey % 9 <> 0 GROUP BY ROLLUP (o_orderstatus)"),
     "request_packing": (request_packing, "SELECT b AS batch, 'b' || b || '-r' || (q * 100) || '-s' || (b * 50000 + q * 100) AS custom_id, n AS inputs FROM (SELECT doc_id // 50000 AS b, (doc_id % 50000) // 100 AS q, count(*) AS n FROM documents GROUP BY ALL)"),
     "insert_if_absent": (insert_if_absent, "SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_quantity, l_returnflag) AS k FROM lineitem) l WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM lineitem r WHERE r.l_returnflag = 'R' AND r.l_orderkey = l.l_orderkey AND r.l_linenumber = l.l_linenumber)"),

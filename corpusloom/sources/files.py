@@ -169,7 +169,7 @@ def distinct_paths(entries: DataFrame) -> DataFrame:
 
 
 def chunk_log(spark: SparkSession, path: str, start: int | None = None, end: int | None = None) -> DataFrame:
-    """The chunk metadata log, or its rows start <= idx < end."""
+    """The chunk metadata log, or its rows start <= idx < end by the stored idx; `line_index.records` reads a range by the lines' places alone."""
     rows = spark.read.schema(META_SCHEMA).json(path)
     rows = rows.where(F.col("idx") >= start) if start is not None else rows
     return rows.where(F.col("idx") < end) if end is not None else rows

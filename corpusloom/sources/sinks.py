@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
 from corpusloom.operators.fulltext import analyze, documents_with_terms, positions
-from corpusloom.sources import versions
+from corpusloom.sources import index_writer, versions
 
 INPUTS_A_REQUEST, INPUTS_A_BATCH = 100, 50_000
 PHASES = ["init", "prepared", "submitted", "collecting", "done"]
@@ -165,7 +165,8 @@ def by_year(entries: DataFrame, key: str = "court") -> DataFrame:
 
 
 def write_index(entries: DataFrame, path: str, scraped_at: str, key: str = "court") -> None:
-    by_year(entries, key).withColumn("scraped_at", F.lit(scraped_at)).write.mode("overwrite").json(path)
+    """Indexes as nested JSON, <court>.json for each court, written as sorted streams."""
+    index_writer.write(entries, path, scraped_at, key)
 
 
 def event_text(event: Column, data: Column) -> Column:
