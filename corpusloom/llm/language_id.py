@@ -11,6 +11,7 @@ with equal ids are scored one by one; columns besides the id and the text are ig
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from corpusloom.llm import common as C
 
 UNDETERMINED = "und"
+#: Buckets times languages of a model at most (32 MB as floats), and places times languages that scoring holds.
+CELLS, DENSE = 1 << 23, 1 << 24
 
 
 @dataclass
@@ -31,15 +34,20 @@ class LanguageModel:
     log_prior: np.ndarray
 
 
-def ngrams(texts: list[str | None], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the 1- to 3-grams of lower-cased texts, three for each place, and each text's first place.
+def pieces(text: str | None, limit: int) -> list[str]:
+    """The lower-cased text and two spaces, in pieces of at most `limit` places; the last two characters of a piece are only read on into."""
+    whole = f"{(text or '').lower()}  "
+    return [whole[a : a + limit + 2] for a in range(0, max(1, len(whole) - 2), limit)]
 
-    A text's last n-grams read on into two spaces of its own; the places of these spaces hold the bucket 1 << bits, which counts nothing.
+
+def ngrams(parts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the 1- to 3-grams of pieces, three for each place, and each piece's first place.
+
+    The last two places of a piece hold the bucket 1 << bits, which counts nothing.
     """
-    raw = "".join(f"{(t or '').lower()}  " for t in texts).encode("utf-32-le", "surrogatepass")
+    raw = "".join(parts).encode("utf-32-le", "surrogatepass")
     c = np.frombuffer(raw, np.uint32).astype(np.uint64)
-    lengths = np.fromiter((len((t or "").lower()) + 2 for t in texts), np.int64, len(texts))
-    starts = np.concatenate([[0], np.cumsum(lengths)])
+    starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])
     c1, c2 = np.concatenate([c[1:], c[:1]]), np.concatenate([c[2:], c[:2]])
     shift = np.uint64(64 - bits)
     h = c * np.uint64(0x9E3779B97F4A7C15)
@@ -52,31 +60,42 @@ def ngrams(texts: list[str | None], bits: int) -> tuple[np.ndarray, np.ndarray]:
     return out, starts
 
 
+def in_blocks(texts: list[str | None], bits: int, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Buckets, starts of pieces and the text of each piece, for blocks of pieces with at most `limit` places together; a longer text comes in several."""
+    for a, b in C.blocks(texts, limit):
+        if b - a > 1 or len(texts[a] or "") <= limit:
+            parts = [f"{(t or '').lower()}  " for t in texts[a:b]]
+            yield *ngrams(parts, bits), np.arange(a, b)
+        else:
+            for part in pieces(texts[a], limit):
+                yield *ngrams([part], bits), np.array([a])
+
+
 def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
-def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", bits: int = 15, rows_per_lang: int = 4000, alpha: float = 0.1, most_langs: int = 256) -> LanguageModel:
-    """Learns from a hash sample of about `rows_per_lang` labelled rows of each language, of the `most_langs` most frequent ones (the documented bounds of this fit)."""
+def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", bits: int = 15, rows_per_lang: int = 4000, alpha: float = 0.1) -> LanguageModel:
+    """Learns from a hash sample of about `rows_per_lang` labelled rows of each language (the documented bound of this fit). No language is left out: with more than CELLS >> bits of them, n-grams share fewer buckets."""
     spark = df.sparkSession
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where("l is not null and t is not null")
-    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(most_langs).collect()}
+    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return LanguageModel([], np.zeros(((1 << bits) + 1, 0), np.float32), np.zeros(0))
-    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, rows_per_lang / n)))])
+    bits = max(1, min(bits, (CELLS // len(sizes)).bit_length() - 1))
+    share = F.broadcast(spark.createDataFrame([(k, min(1.0, rows_per_lang / n)) for k, n in sizes.items()], "_l string, _share double"))  # a row a language
     place = F.pmod(F.xxhash64("k", F.lit("language sample")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = rows.where(place < share[F.col("l")]).select("t", "l")
+    sample = rows.join(share, F.col("l") == F.col("_l")).where(place < F.col("_share")).select("t", "l")
     buckets = 1 << bits
 
     def counts(batches):
         held: dict[str, np.ndarray] = {}
         for batch in batches:
             texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in C.blocks(texts):
-                grams, starts = ngrams(texts[a:b], bits)
-                for i in range(b - a):
+            for grams, starts, of in in_blocks(texts, bits, C.BLOCK_CHARS):
+                for i, at in enumerate(of.tolist()):
                     own = np.bincount(grams[starts[i] : starts[i + 1]].ravel(), minlength=buckets + 1)[:buckets]
-                    held[langs[a + i]] = held[langs[a + i]] + own if langs[a + i] in held else own
+                    held[langs[at]] = held[langs[at]] + own if langs[at] in held else own
         for name, n in held.items():
             at = np.nonzero(n)[0]
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["l", "b", "n"])
@@ -99,18 +118,20 @@ def score_texts(model: LanguageModel, texts: list[str | None]) -> tuple[list[str
     if not model.langs:
         return names, scores
     bits = model.log_prob.shape[0].bit_length() - 1
-    for a, b in C.blocks(texts):
-        grams, starts = ngrams(texts[a:b], bits)
+    total = np.zeros((len(texts), len(model.langs)))
+    # Places times languages are dense for a moment.
+    for grams, starts, of in in_blocks(texts, bits, max(1, min(C.BLOCK_CHARS, DENSE // len(model.langs)))):
         at = np.zeros((len(grams), len(model.langs)), np.float32)
         for k in range(3):
             at += model.log_prob[grams[:, k]]
-        total = np.add.reduceat(at, starts[:-1], axis=0, dtype=np.float64) + model.log_prior
-        best = total.argmax(1)
-        total -= total.max(1, keepdims=True)
-        post = 1 / np.exp(total).sum(1)
-        for i in range(b - a):
-            if has_letter(texts[a + i]):
-                names[a + i], scores[a + i] = model.langs[best[i]], post[i]
+        total[of] += np.add.reduceat(at, starts[:-1], axis=0, dtype=np.float64)
+    total += model.log_prior
+    best = total.argmax(1)
+    total -= total.max(1, keepdims=True)
+    post = 1 / np.exp(total).sum(1)
+    for i, text in enumerate(texts):
+        if has_letter(text):
+            names[i], scores[i] = model.langs[best[i]], post[i]
     return names, scores
 
 

@@ -68,6 +68,26 @@ def test_language_is_a_function_of_the_text(spark, docs):
     assert rows[0] == rows[1]
 
 
+def test_language_of_long_texts_and_of_many_languages(spark, docs, monkeypatch):
+    """A text in pieces has the n-grams of the whole; no language is left out however many there are."""
+    model = language_id.fit(docs)
+    long = " ".join(r.text for r in docs.where("text is not null").select("text").limit(40).collect()) + " ΟΔΟΣ"
+    whole, _ = language_id.ngrams([f"{long.lower()}  "], 15)
+    parts = np.concatenate([language_id.ngrams([p], 15)[0][:-2] for p in language_id.pieces(long, 101)])
+    assert (parts == whole[:-2]).all()
+    names, scores = language_id.score_texts(model, ["the", long, None])
+    monkeypatch.setattr(C, "BLOCK_CHARS", 97)
+    again, near = language_id.score_texts(model, ["the", long, None])
+    assert again == names and np.allclose(scores, near, atol=1e-6)
+    assert (language_id.fit(docs).log_prob == model.log_prob).all()
+    said = spark.range(600).selectExpr("id AS doc_id", "concat('l', id) AS lang")
+    said = said.withColumn("text", F.translate(F.concat_ws(" ", *(F.md5(F.concat(F.lit(k), F.col("doc_id").cast("string"))) for k in "abcd")), "0123456789", "ghijklmnop"))
+    many = language_id.fit(said)
+    assert len(many.langs) == 600 and many.log_prob.size <= language_id.CELLS + 600
+    got = language_id.predict(said, many).collect()
+    assert sum(r.lang_pred == r.lang for r in got) >= 590
+
+
 def test_language_held_out(spark, sf, docs):
     got = queries.op1_language_id(spark, sf).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert sum(r.lang == r.lang_pred for r in got) >= 0.97 * len(got)
