@@ -35,7 +35,38 @@ roots AS (SELECT c.word, c.at AS root FROM chains c JOIN formed f ON f.word = c.
 SELECT word, form, root, n, n_near, form_n FROM formed JOIN roots USING (word)
 """
 
+SPACED = r"[^\x20\x09-\x0D]+"
+NGRAM_JOIN = f"""
+WITH RECURSIVE docs AS (SELECT doc_id, row_number() OVER () AS r, coalesce(regexp_extract_all({LOWER.format("text")}, '{SPACED}'), []) AS words FROM documents),
+shingles AS (
+  SELECT DISTINCT r, array_to_string(words[i:i + 3], ' ') AS s
+  FROM (SELECT r, words, unnest(range(1, greatest(len(words) - 3, 1) + 1)) AS i FROM docs WHERE len(words) > 0)),
+sizes AS (SELECT r, count(*) AS n FROM shingles GROUP BY r),
+shared AS (SELECT a.r AS a, b.r AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.r < b.r GROUP BY a.r, b.r),
+links AS (SELECT a, b FROM shared s JOIN sizes x ON x.r = a JOIN sizes y ON y.r = b WHERE 100 * s.n >= 85 * (x.n + y.n - s.n)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT r AS a, r AS b FROM docs UNION SELECT reach.a, edges.b FROM reach JOIN edges ON edges.a = reach.b),
+least_id AS (SELECT a AS r, min(d.doc_id) AS component_id FROM reach JOIN docs d ON d.r = b GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM docs LEFT JOIN sizes USING (r) JOIN least_id USING (r)
+"""
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+DECONTAMINATION = f"""
+WITH docs AS (SELECT doc_id, row_number() OVER () AS r, coalesce(regexp_extract_all({LOWER.format("text")}, '{WORD}'), []) AS words FROM documents),
+items AS (SELECT item_id, coalesce(regexp_extract_all({LOWER.format("text")}, '{WORD}'), []) AS words FROM benchmark),
+item_windows AS (
+  SELECT DISTINCT item_id, k, array_to_string(words[i:i + k - 1], ' ') AS w
+  FROM (SELECT item_id, words, least(len(words), 13) AS k, unnest(range(1, greatest(len(words) - 12, 1) + 1)) AS i FROM items WHERE len(words) > 0)),
+lengths AS (SELECT DISTINCT k FROM item_windows),
+doc_windows AS (SELECT r, k, i, array_to_string(words[i:i + k - 1], ' ') AS w FROM (SELECT r, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM docs, lengths WHERE len(words) >= k)),
+found AS (SELECT r, i, d.k, item_id FROM doc_windows d JOIN item_windows t ON d.w = t.w AND d.k = t.k),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS p FROM (SELECT DISTINCT r, i, k FROM found)) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT r, item_id FROM found) GROUP BY r)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM docs LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
+"""
+
 RESAMPLING = f"""
 WITH {CRC_TABLE},
 docs AS (SELECT doc_id, row_number() OVER () AS r, coalesce(regexp_extract_all({LOWER.format("text")}, '{WORD}'), []) AS words FROM documents),
@@ -55,4 +86,4 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY s
 SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank FROM placed
 """
 
-SQL = {"op11_spelling": SPELLING, "op13_resampling": RESAMPLING}
+SQL = {"op2_ngram_join": NGRAM_JOIN, "op5_decontamination": DECONTAMINATION, "op11_spelling": SPELLING, "op13_resampling": RESAMPLING}
