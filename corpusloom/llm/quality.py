@@ -5,13 +5,16 @@ softmax layer on it gives the label's probability, all trained by numpy stochast
 descent on a bounded hash sample of labelled rows. At scoring time the output layer is
 folded into the vectors (it is linear in them), so each feature adds two numbers.
 
-Defined results: null and empty texts, which have no features, get the label's share in
-the sample; without labelled rows every score is 0.5. A score of 0.5 or more predicts 1.
-Labels repeated for an id are averaged and rounded half up.
+Defined results: texts without features (null, empty, one white space) get the label's
+share; without labelled rows every score is 0.5. A score of 0.5 or more predicts 1.
+Labels repeated for an id are averaged and rounded half up; rows equal in id and text are
+one row to learn from. Texts are read in pieces of half a million characters, whose
+features are those of the whole text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +29,13 @@ SPACES[[9, 10, 11, 12, 13, 32]] = True
 #: 0 lower case, 1 upper case, 2 digit, 3 other ASCII, 4 beyond ASCII
 CLASSES = np.array([4 if b > 127 else 0 if 97 <= b <= 122 else 1 if 65 <= b <= 90 else 2 if 48 <= b <= 57 else 3 for b in range(256)], np.uint8)
 
+#: Orders of the character n-grams; the last one of a text ends in a space.
+ORDERS = (3, 4)
+MOST_ORDER = max(ORDERS)
+#: A longer run without white space is cut into words of so many characters.
+WORD_CHARS = 1024
+POWERS = np.cumprod(np.concatenate([[1], np.full(WORD_CHARS - 1, 0x5851F42D4C957F2D)]).astype(np.uint64))
+
 
 @dataclass
 class QualityModel:
@@ -36,54 +46,79 @@ class QualityModel:
     empty: float
 
 
-def features(texts: list[str | None], bits: int, orders: tuple[int, ...] = (3, 4)) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For words, their shapes and each order of byte n-grams of texts: buckets, and the text that each belongs to."""
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    joined = np.frombuffer(b" " + b" ".join(raw) + b" ", np.uint8)
-    owner = np.concatenate([[-1], np.repeat(np.arange(len(raw)), [len(r) + 1 for r in raw])])
-    x = joined.astype(np.uint64)
+def pieces(text: str, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of about `size` characters that cut no word: they end at white space, or where a longer run is cut into words anyhow."""
+    size, a = max(1, size // WORD_CHARS) * WORD_CHARS, 0
+    while len(text) - a > size:
+        b = 1 + max(text.rfind(c, a, a + size) for c in "\t\n\x0b\x0c\r ")
+        b = b if b > a else a + size
+        yield a, b
+        a = b
+    if text:
+        yield a, len(text)
+
+
+def parts(texts: Iterable) -> Iterator[list[tuple[int, str, str]]]:
+    """Blocks of (place of the text, piece, what follows it), so that a long text needs no more memory than others."""
+    held, n = [], 0
+    for i, t in enumerate(texts):
+        t = (t.as_py() if isinstance(t, pa.Scalar) else t) or ""
+        for a, b in pieces(t, C.BLOCK_CHARS):
+            held.append((i, t[a:b], (t[b : b + MOST_ORDER - 1] + " ")[: MOST_ORDER - 1]))
+            n += b - a
+            if n >= C.BLOCK_CHARS:
+                yield held
+                held, n = [], 0
+    if held:
+        yield held
+
+
+def features(block: list[tuple[int, str, str]], bits: int, before: tuple[int, int] = (-1, 0)) -> tuple[list[tuple[np.ndarray, np.ndarray]], tuple[int, int]]:
+    """For character n-grams, words and their shapes: buckets, and the text that each belongs to. Then the last word, as (text, hash), which the next block takes as `before`."""
+    chars = np.frombuffer("".join(x for _, piece, tail in block for x in (piece, tail)).encode("utf-32-le", "surrogatepass"), np.uint32)
+    of = np.repeat(np.arange(len(block)), [len(piece) + len(tail) for _, piece, tail in block])
+    inside = np.repeat(np.tile([True, False], len(block)), [len(x) for _, piece, tail in block for x in (piece, tail)])
+    owner = np.array([i for i, _, _ in block])[of]
+    x, low = chars.astype(np.uint64), np.minimum(chars, 255)
     shift = np.uint64(64 - bits)
-    buckets, owners = [], []
+    found = []
+    put = lambda values, owners: found.append(((C.mix64(values) >> shift).astype(np.int32), owners))
     h = np.zeros(len(x), np.uint64)
-    for n in range(1, max(orders) + 1):
+    for n in range(1, min(MOST_ORDER, len(x)) + 1):
         m = len(x) - n + 1
-        if m <= 0:
-            break
         h = h[:m] * np.uint64(0x100000001B3) + x[n - 1 :] + np.uint64(1)
-        if n in orders:
-            same = owner[:m] == owner[n - 1 :]
-            buckets.append((C.mix64(h + np.uint64(n << 40))[same] >> shift).astype(np.int32))
-            owners.append(owner[:m][same])
+        if n in ORDERS:
+            same = inside[:m] & (of[:m] == of[n - 1 :])
+            put(h[same] + np.uint64(n << 40), owner[:m][same])
     # Words: a polynomial over each stretch between spaces, from prefix sums.
-    space = SPACES[joined]
-    first = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
-    last = np.flatnonzero(~space & np.concatenate([space[1:], [True]]))
+    space = SPACES[low] | ~inside
+    begins = ~space & np.concatenate([[True], space[:-1]])
+    at = np.arange(len(x))
+    place = (at - np.maximum.accumulate(np.where(begins, at, 0))) % WORD_CHARS
+    first = np.flatnonzero(~space & (place == 0))
+    last = np.flatnonzero(~space & (np.concatenate([space[1:], [True]]) | (place == WORD_CHARS - 1)))
     if len(first):
-        place = np.arange(len(x)) - np.repeat(np.append(0, first), np.diff(np.concatenate([[0], first, [len(x)]])))
-        power = np.cumprod(np.concatenate([[1], np.full(min(int(place.max()), 1 << 16) + 1, 0x5851F42D4C957F2D)]).astype(np.uint64))
-        value = np.where(space, np.uint64(0), (x + np.uint64(7)) * power[np.minimum(place, len(power) - 1)])
-        total = np.concatenate([[np.uint64(0)], np.cumsum(value)])
-        word = total[last + 1] - total[first]
-        buckets.append((C.mix64(word) >> shift).astype(np.int32))
-        owners.append(owner[first])
+        total = np.concatenate([[np.uint64(0)], np.cumsum(np.where(space, np.uint64(0), (x + np.uint64(7)) * POWERS[place]))])
+        word, whose = total[last + 1] - total[first], owner[first]
+        put(word, whose)
         # A word's shape: whether it repeats the word before it, its length, its first and last character's class.
-        again = np.concatenate([[False], (word[1:] == word[:-1]) & (owner[first[1:]] == owner[first[:-1]])])
-        kind = CLASSES[joined[first]].astype(np.uint64) * np.uint64(8) + CLASSES[joined[last]]
-        shape = again.astype(np.uint64) * np.uint64(1 << 12) + np.minimum(last - first, 31).astype(np.uint64) * np.uint64(64) + kind
-        for seed, value in ((1, again.astype(np.uint64)), (2, shape)):
-            buckets.append((C.mix64(value + np.uint64(seed << 50)) >> shift).astype(np.int32))
-            owners.append(owner[first])
-    return buckets, owners
+        again = np.concatenate([[before == (int(whose[0]), int(word[0]))], (word[1:] == word[:-1]) & (whose[1:] == whose[:-1])]).astype(np.uint64)
+        kind = CLASSES[low[first]].astype(np.uint64) * np.uint64(8) + CLASSES[low[last]]
+        put(again + np.uint64(1 << 50), whose)
+        put(again * np.uint64(1 << 12) + np.minimum(last - first, 31).astype(np.uint64) * np.uint64(64) + kind + np.uint64(2 << 50), whose)
+        before = int(whose[-1]), int(word[-1])
+    return found, before
 
 
-def sparse(texts: list[str | None], bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Distinct buckets and their shares for each text."""
-    out = []
-    for t in texts:
-        buckets, _ = features([t], bits)
-        got, n = np.unique(np.concatenate(buckets), return_counts=True) if t and buckets else (np.zeros(0, np.int32), np.zeros(0))
-        out.append((got.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)))
-    return out
+def sparse(text: str | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of a text and their shares."""
+    counts, before = np.zeros(1 << bits, np.int64), (-1, 0)
+    for block in parts([text]):
+        found, before = features(block, bits, before)
+        for at, _ in found:
+            counts += np.bincount(at, minlength=1 << bits)
+    got = np.flatnonzero(counts)
+    return got.astype(np.int32), (counts[got] / max(1, counts.sum())).astype(np.float32)
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: int, width: int = 8, epochs: int = 6, rate: float = 0.5, seed: int = 1) -> QualityModel:
@@ -128,14 +163,13 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
     if not share:
         return train([], np.zeros(0), bits)
     picked = known.where(place < F.create_map(*[x for k, v in share.items() for x in (F.lit(k), F.lit(v))])[F.col("_l")])
-    sample = rows.join(F.broadcast(picked), "_k")  # at most about max_rows ids and labels
+    sample = rows.join(F.broadcast(picked), "_k").dropDuplicates(["_k", "_t"])  # at most about max_rows ids and labels
     size = sample.agg(F.sum(F.char_length("_t"))).first()[0] or 0
     if size > max_chars:
-        sample = sample.where(F.pmod(F.xxhash64("_k", F.lit("quality chars")), F.lit(1 << 20)) < int((1 << 20) * max_chars / size))
+        sample = sample.where(F.pmod(F.xxhash64("_k", "_t", F.lit("quality chars")), F.lit(1 << 20)) < int((1 << 20) * max_chars / size))
 
     def run(batch):
-        texts = batch.column(1).to_pylist()
-        got = sparse(texts, bits)
+        got = [sparse(t.as_py(), bits) for t in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.float32()))], ["k", "l", "at", "w"])
 
     kind = sample.schema["_k"].dataType.simpleString()
@@ -147,18 +181,17 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
     return QualityModel(model.weight, model.bias + odds, model.empty + odds)
 
 
-def score_texts(model: QualityModel, texts: list[str | None]) -> np.ndarray:
-    out = np.zeros(len(texts))
-    bits = len(model.weight).bit_length() - 1
-    for a, b in C.blocks(texts):
-        total, n = np.zeros(b - a), np.zeros(b - a)
-        for at, owner in zip(*features(texts[a:b], bits), strict=True):
-            total += np.bincount(owner, model.weight[at], b - a)
-            n += np.bincount(owner, minlength=b - a)
-        z = np.where(n > 0, total / np.maximum(n, 1) + model.bias, model.empty)
-        z = np.where([bool(t) for t in texts[a:b]], z, model.empty)
-        out[a:b] = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-    return out
+def score_texts(model: QualityModel, texts: Sequence) -> np.ndarray:
+    total, n = np.zeros(len(texts)), np.zeros(len(texts))
+    bits, before = len(model.weight).bit_length() - 1, (-1, 0)
+    for block in parts(texts):
+        found, before = features(block, bits, before)
+        base, upto = block[0][0], block[-1][0] + 1
+        for at, owner in found:
+            total[base:upto] += np.bincount(owner - base, model.weight[at], upto - base)
+            n[base:upto] += np.bincount(owner - base, minlength=upto - base)
+    z = np.where(n > 0, total / np.maximum(n, 1) + model.bias, model.empty)
+    return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
 def predict(df: DataFrame, model: QualityModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -169,7 +202,7 @@ def predict(df: DataFrame, model: QualityModel, text: str = "text", keep: list[s
     schema = inner.drop("_text").schema.add("score", "double").add("predicted", "integer")
 
     def run(batch):
-        scores = score_texts(sent.value, batch.column(len(keep)).to_pylist())
+        scores = score_texts(sent.value, batch.column(len(keep)))
         yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], [*keep, "score", "predicted"])
 
     return C.map_arrow(inner, run, schema)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -765,6 +766,69 @@ def test_quality(spark, edges, empty):
     assert quality.score_texts(model, texts) == pytest.approx([quality.score_texts(model, [t])[0] for t in texts], abs=1e-6)
 
 
+def brute_quality_features(text: str, bits: int) -> Counter:
+    """Buckets of a text, one character and one word after the other."""
+    wrap, found = (1 << 64) - 1, Counter()
+    bucket = lambda v: int(C.mix64(np.array([v & wrap], np.uint64))[0]) >> (64 - bits)
+    whole = text + " "
+    for n in quality.ORDERS:
+        for i in range(len(whole) - n + 1):
+            h = 0
+            for c in whole[i : i + n]:
+                h = h * 0x100000001B3 + ord(c) + 1
+            found[bucket(h + (n << 40))] += 1
+    before, kind = None, lambda c: 4 if ord(c) > 127 else 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
+    for run in re.findall(r"[^\t-\r ]+", text):
+        for word in (run[a : a + quality.WORD_CHARS] for a in range(0, len(run), quality.WORD_CHARS)):
+            again, before = int(word == before), word
+            found[bucket(sum((ord(c) + 7) * pow(0x5851F42D4C957F2D, k, 1 << 64) for k, c in enumerate(word)))] += 1
+            found[bucket(again + (1 << 50))] += 1
+            found[bucket((again << 12) + min(len(word) - 1, 31) * 64 + kind(word[0]) * 8 + kind(word[-1]) + (2 << 50))] += 1
+    return found
+
+
+@pytest.mark.parametrize("size", [1, 3000, 500_000])
+def test_quality_features_in_pieces(monkeypatch, size):
+    """Whatever the pieces, the features are those of the whole text, in characters."""
+    monkeypatch.setattr(C, "BLOCK_CHARS", size)
+    texts = ["a", "ab", " ", "one one  two", "Ωδή \U0001f600 naïve NAÏVE 42!", "x" * 5000 + " yy yy\n" + "z" * 1024 + " end", "\t\t" + "same " * 900, "é" * 2047 + " " + "é" * 2049]
+    for text in texts:
+        at, share = quality.sparse(text, 14)
+        want = brute_quality_features(text, 14)
+        assert dict(zip(at.tolist(), share.tolist(), strict=True)) == pytest.approx({k: v / want.total() for k, v in want.items()}, rel=1e-5)
+    model = quality.QualityModel(np.random.default_rng(3).normal(size=1 << 14).astype(np.float32), 0.1, 0.0)
+    for got, text in zip(quality.score_texts(model, [*texts, None, ""]), texts, strict=False):
+        want = brute_quality_features(text, 14)
+        z = sum(n * float(model.weight[b]) for b, n in want.items()) / want.total() + 0.1 if want else 0.0
+        assert got == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6)
+
+
+def test_quality_of_one_hot_id(spark):
+    """A labelled id on many rows is sampled by its texts, and its equal rows count once."""
+    frame = spark.range(3000).selectExpr("if(id % 3 = 0, 7, id) AS doc_id", "if(id % 6 = 0, 'same text', repeat(concat('w', id, ' '), 20)) AS text")
+    labels = spark.range(3000).selectExpr("id AS doc_id", "int(id % 2) AS quality")
+    model = quality.fit(frame, labels, max_chars=20_000)
+    assert np.isfinite(model.weight).all() and len({r.score for r in quality.predict(frame.where("text = 'same text'"), model).collect()}) == 1
+
+
+def test_quality_query(spark, sf, docs):
+    """Scores are those of the fitted model by the plain definition of its features; held-out labels are told apart."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.fit(docs.where(C.fold(F.col("doc_id"), 3) != 1), labels.where(C.fold(F.col("doc_id"), 3) != 1))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r for r in queries.op9_quality(spark, sf).collect()}
+    assert set(got) == set(texts)
+    for i, text in texts.items():
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1) and got[i].predicted == int(got[i].score >= 0.5)
+        if len(text or "") < 400:
+            want = brute_quality_features(text or "", 16)
+            z = sum(n * float(model.weight[b]) for b, n in want.items()) / want.total() + model.bias if want else model.empty
+            assert got[i].score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-5)
+    told = [(got[r.doc_id].score, r.quality) for r in labels.collect() if got[r.doc_id].held_out and r.quality is not None]
+    good, bad = [s for s, q in told if q], [s for s, q in told if not q]
+    assert np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad]) > 0.8
+
+
 def test_quality_keeps_the_shares_of_labels(spark):
     """A balanced sample of unbalanced labels scores empty texts by the true share."""
     frame = spark.createDataFrame([(i, f"text {i % 7} of {i % 11}") for i in range(2000)], "doc_id long, text string")
