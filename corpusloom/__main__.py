@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+from datetime import UTC, datetime
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -10,10 +11,12 @@ from pyspark.sql import functions as F
 from corpusloom.operators import models, stats
 from corpusloom.operators.postings import Index
 from corpusloom.plans import agent, chat, hybrid, ingest
-from corpusloom.sources import files, versions
+from corpusloom.session import written
+from corpusloom.sources import files, markdown_tree, sinks, versions
 
 
-def main(args: list[str] | None = None) -> None:
+def main(args: list[str] | None = None, **fetching) -> None:
+    """`fetching` goes to the crawler's fetches."""
     parser = argparse.ArgumentParser(prog="corpusloom")
     commands = parser.add_subparsers(dest="command", required=True)
     one = commands.add_parser("parse", help="raw HTML files to Markdown")
@@ -33,6 +36,15 @@ def main(args: list[str] | None = None) -> None:
     more = commands.add_parser("extend", help="add documents of a Markdown folder that the tables don't have")
     more.add_argument("corpus")
     more.add_argument("tables")
+    tree = commands.add_parser("tree", help="parsed Markdown as files at the paths of its documents; files that stand are passed over")
+    tree.add_argument("parsed")
+    tree.add_argument("out")
+    tree.add_argument("--court")
+    tree.add_argument("--overwrite", action="store_true")
+    crawl = commands.add_parser("crawl", help="index a court from its pages, as JSON")
+    crawl.add_argument("court")
+    crawl.add_argument("base_url")
+    crawl.add_argument("out")
     four = commands.add_parser("stats", help="documents by court level")
     four.add_argument("tables")
     a = parser.parse_args(args)
@@ -53,6 +65,14 @@ def main(args: list[str] | None = None) -> None:
             told["events"].orderBy("query_id", "seq").show(1000, False)
         else:
             hybrid.hybrid_search(queries, documents, chunks, a.scorer, a.level, index=index).orderBy("query_id", "rank").show(100, False)
+    elif a.command == "tree":
+        parsed = spark.read.parquet(a.parsed)
+        parsed = parsed.where(F.contains("doc_id", F.lit(a.court))) if a.court else parsed
+        markdown_tree.write(parsed, a.out, overwrite=a.overwrite).groupBy("status", "error").count().show(100, False)
+    elif a.command == "crawl":
+        entries = written(ingest.crawl(spark, a.court, a.base_url, **fetching), "crawled")
+        sinks.write_index(entries, a.out, datetime.now(UTC).isoformat(timespec="seconds"))
+        print(a.court, entries.count())
     elif a.command == "extend":
         print(ingest.extend(spark, files.markdown_corpus(spark, a.corpus), a.tables))
     else:

@@ -348,6 +348,16 @@ def copy_line(text: Column) -> Column:
     return F.replace(F.translate(text, "\t\r", " "), F.lit("\n"), F.lit("\\n"))
 
 
+def excerpt(text: Column, n: int, more: str = "") -> Column:
+    """The first n characters, and a mark behind them where there are more."""
+    return F.concat(F.left(text, F.lit(n)), F.when(F.char_length(text) > n, F.lit(more)).otherwise(F.lit("")))
+
+
+def findings_preview(engagement: Column, analysis: Column) -> Column:
+    """300 characters of a finding; empty where the matter wasn't addressed or nothing is said."""
+    return F.when(engagement == "NOT_ADDRESSED", F.lit("")).otherwise(F.coalesce(excerpt(analysis, 300, "..."), F.lit("")))
+
+
 def spoken_focus(query: Column) -> Column:
     """The question without times, courts, instructions and quantities; the question itself if fewer than 15 characters are left.
 

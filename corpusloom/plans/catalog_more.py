@@ -10,8 +10,8 @@ from corpusloom.operators import fusion, stats, vector
 from corpusloom.plans import api, embedding_jobs
 from corpusloom.plans.catalog_retrieval import TOP, vectors_asked
 from corpusloom.plans.catalog_text import DECISIONS, PATH, decisions, path_of
-from corpusloom.session import table
-from corpusloom.sources import sinks
+from corpusloom.session import table, work_path
+from corpusloom.sources import files, markdown_tree, sinks
 
 n = lambda c: F.col(c).cast("long").alias(c)
 
@@ -173,7 +173,48 @@ SELECT 'submit' AS step, count(*) AS n, sum(batch)::BIGINT AS total FROM j WHERE
 UNION ALL SELECT 'broken', count(*), sum(batch)::BIGINT FROM j WHERE status IN ('failed', 'expired') UNION ALL SELECT 'collect', count(*), sum(batch)::BIGINT FROM j WHERE status = 'completed' AND output AND NOT collected"""
 
 
+# ---- files that mirror paths, done sets, excerpts
+
+
+def markdown_tree_files(s, d):
+    """Every text as a file at its document's path, read back from the files."""
+    root = work_path(s, "markdown-files")
+    docs = table(s, d, "documents").select(F.coalesce(path_of(), F.concat(F.lit("unknown/"), F.col("doc_id").cast("string"), F.lit(".md"))).alias("doc_id"), "text")
+    told = markdown_tree.write(docs, root)
+    read = files.markdown_corpus(s, root).select(F.col("doc_id").alias("file"), F.md5("text").alias("md5"))
+    return told.join(read, "file", "left").select("file", "status", "n_chars", "n_words", "n_refs", "md5")
+
+
+STRIPPED = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
+WORDS = r"len(list_filter(regexp_split_to_array(regexp_replace(text, '[#*_\[\]()|>-]', ' ', 'g'), '\s+'), lambda w: w <> ''))"
+TREE = rf"""SELECT file, CASE WHEN short THEN 'fail' ELSE 'written' END AS status, n_chars, n_words, n_refs, CASE WHEN NOT short THEN md5(text) END AS md5
+FROM (SELECT coalesce({PATH}, 'unknown/' || doc_id || '.md') AS file, text, text IS NULL OR length({STRIPPED}) < 10 AS short, length(text)::BIGINT AS n_chars, {WORDS} AS n_words, len(regexp_extract_all(text, '\]\([^)]*\.md\)'))::BIGINT AS n_refs FROM documents)"""
+
+
+def done_union(s, d):
+    """Customers that neither urgent orders, nor finished ones, nor a negative balance have as done."""
+    orders, customers = table(s, d, "orders").withColumnRenamed("o_custkey", "c_custkey"), table(s, d, "customer")
+    done = sinks.done_set(orders.where("o_orderpriority = '1-URGENT'"), orders.where("o_orderstatus = 'F'"), customers.where("c_acctbal < 0"), keys=["c_custkey"])
+    return sinks.resume(customers.select("c_custkey"), done, ["c_custkey"])
+
+
+def excerpts(s, d):
+    t = F.col("text")
+    preview = X.findings_preview(cases(F.col("doc_id"), "RULED", "NOT_ADDRESSED", "DISCUSSED"), t)
+    return table(s, d, "documents").select("doc_id", X.excerpt(t, 400).alias("source"), F.md5(X.excerpt(t, 4000)).alias("stored"), X.excerpt(t, 120).alias("core"), preview.alias("findings"))
+
+
+EXCERPTS = """SELECT doc_id, left(text, 400) AS source, md5(left(text, 4000)) AS stored, left(text, 120) AS core,
+  CASE WHEN doc_id % 3 = 1 OR text IS NULL THEN '' WHEN length(text) > 300 THEN left(text, 300) || '...' ELSE text END AS findings FROM documents"""
+
+
 CATALOG = {
+    "markdown_tree": (markdown_tree_files, TREE),
+    "done_union": (
+        done_union,
+        "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' UNION SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' UNION SELECT c_custkey FROM customer WHERE c_acctbal < 0)",
+    ),
+    "excerpts": (excerpts, EXCERPTS),
     "legacy_filter": (legacy_filter, "SELECT o_orderkey, year(o_orderdate)::VARCHAR AS year FROM orders WHERE o_orderstatus = 'F' AND year(o_orderdate) BETWEEN 1996 AND 1997"),
     "court_variants": (court_variants, VARIANTS),
     "path_rules": (path_rules, PATH_RULES),

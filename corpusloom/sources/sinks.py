@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -105,6 +107,13 @@ def upsert(existing: DataFrame, new: DataFrame, keys: list[str], version: str) -
     return rows.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r", "_n")
 
 
+def done_set(*parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that any of the parts (stored tables, reports of batches) has done, each once."""
+    if not parts:
+        raise ValueError("no parts")
+    return reduce(DataFrame.union, [p.select(*keys) for p in parts]).distinct()
+
+
 def resume(todo: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """What isn't done yet."""
     return todo.join(done.select(*keys), keys, "left_anti")

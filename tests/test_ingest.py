@@ -1,5 +1,7 @@
 """Builds end to end on small trees, and model functions."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,6 +38,13 @@ def test_crawl(spark):
         ingest.crawl(spark, "x", BASE)
 
 
+def test_crawl_command(spark, tmp_path, capsys):
+    main(["crawl", "supreme", BASE, str(tmp_path / "index")], make=fetcher, partitions=2)
+    assert "supreme 2" in capsys.readouterr().out
+    (found,) = (json.loads(p.read_text()) for p in (tmp_path / "index").rglob("supreme.json"))
+    assert found["total_cases" if "total_cases" in found else "total"] == 2
+
+
 def test_parse_build_search(spark, tmp_path, capsys):
     raw = tmp_path / "raw" / "supreme" / "2023"
     raw.mkdir(parents=True)
@@ -56,6 +65,10 @@ def test_parse_build_search(spark, tmp_path, capsys):
     assert "supreme/2023/2.md" in capsys.readouterr().out
     main(["search", str(tmp_path / "t"), "--rounds", "2", "αμέλεια θέμα2"])
     assert "summaries" in capsys.readouterr().out
+    main(["tree", str(tmp_path / "md"), str(tmp_path / "files")])
+    assert (tmp_path / "files" / "supreme" / "2023" / "3.md").read_text().startswith("νέο κείμενο")
+    main(["tree", str(tmp_path / "md"), str(tmp_path / "files"), "--court", "supreme"])
+    assert "skip" in capsys.readouterr().out
     main(["stats", str(tmp_path / "t")])
     assert "supreme" in capsys.readouterr().out
     more = parsed.select("doc_id", "text").unionByName(spark.createDataFrame([("supreme/2024/9.md", "# Νέα\n" + "μοναδικό κείμενο " * 20)], "doc_id string, text string"))
