@@ -9,9 +9,11 @@ the word before, the one before that (skip) and both together.
 Training takes steps along the gradient, observed less expected counts of each feature and
 outcome, summed over all tasks, so the model doesn't depend on how rows are dealt. Each
 coordinate's step is scaled by the curvature: the gradient over the logarithmic mean of both
-sums is the logarithm of their ratio. Observed counts are those of all training documents; the
-expected ones of the first step follow from them, and those of later steps come from a fixed
-share of all documents each, chosen by hash. Scoring is sparse lookups and sums over numpy batches.
+sums is the logarithm of their ratio. Observed and expected counts are those of all training
+documents; the expected ones of the first step follow from the observed ones. What a model expects
+depends on a token's context alone, so equal contexts of all documents are counted once, as a table
+of distinct ones, over which each later step goes.
+Scoring is sparse lookups and sums over numpy batches.
 
 Frequencies, classes and biases come from the counts of all training documents, without a
 vocabulary on the driver, which takes the frequent tokens and the sums of slots. The counts of
@@ -25,8 +27,9 @@ than the training one score by the training counts.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -52,14 +55,18 @@ FREQUENT = 1 << 16
 BATCH = 2048
 #: Pseudo-counts of a feature's row, dealt by the unigram shares of classes, and of each of a row's slots.
 CLASS_PRIOR, SLOT_PRIOR = 5.0, 5.0
-#: Rates of the first step and of the later ones; one of SHARE documents gives a later step's expected counts.
-FIRST, RATE, ROUNDS, SHARE = 0.5, 0.3, 2, 32
+#: Rates of the first step and of the later ones.
+FIRST, RATE, ROUNDS = 0.5, 0.3, 2
 #: parameter rows in a block of the gradient exchange
 BLOCK_ROWS = 1024
 #: training tokens of a gradient task at least, beyond one task a core, of which there are at most two a core
 TASK_TOKENS = 1 << 21
 #: distinct tokens that a task counts before it passes them on
 HELD_TOKENS = 1 << 18
+#: tokens whose contexts a task counts at once, and distinct contexts that it holds
+COUNTED_CONTEXTS, HELD_CONTEXTS = 1 << 21, 1 << 22
+#: parts that contexts are dealt in by hash
+CONTEXT_PARTS = 64
 OUT_OF_USE = np.float32(-1e4)
 
 
@@ -111,6 +118,11 @@ class Model:
     def tail_slot(self, hashes: np.ndarray) -> np.ndarray:
         return self.own + ((hashes >> np.uint64(20)) % np.uint64(self.tail * SLOTS)).astype(np.int64)
 
+    def feature_rows(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Parameter rows of the word before, the one before that, and both."""
+        pair = C.mix64(one.astype(np.uint64) * np.uint64(CONTEXTS) + two.astype(np.uint64)) % np.uint64(self.pairs)
+        return np.stack([one, CONTEXTS + two, 2 * CONTEXTS + pair.astype(np.int64)])
+
     def with_class(self, rows: np.ndarray, which: np.ndarray) -> np.ndarray:
         """Parameter rows of features together with a class."""
         return (C.mix64(rows.astype(np.uint64) * np.uint64(1 << 20) + which.astype(np.uint64)) % np.uint64(self.rows)).astype(np.int64)
@@ -169,8 +181,7 @@ class Encoded:
         one[self.starts[:-1]] = start
         two = np.concatenate([[start], one[:-1]])
         two[self.starts[:-1]] = start
-        pair = C.mix64(one.astype(np.uint64) * np.uint64(CONTEXTS) + two.astype(np.uint64)) % np.uint64(model.pairs)
-        return np.stack([one, CONTEXTS + two, 2 * CONTEXTS + pair.astype(np.int64)])
+        return model.feature_rows(one, two)
 
 
 def encode(texts: list[str | None], index: dict[bytes, int]) -> Encoded:
@@ -189,12 +200,16 @@ def decisions(model: Model, data: Encoded):
         part, own = slice(a, a + BATCH), rows[:, a : a + BATCH]
         which, slot = np.divmod(slots[part], SLOTS)
         for m, at, bias, taken in ((0, own, model.class_bias, which), (1, model.with_class(own, which), model.slot_bias[which], slot)):
-            w = model.weights[m]
-            z = w[at[0]]
-            z += w[at[1]]
-            z += w[at[2]]
-            z += bias
-            yield m, part, at, z, taken
+            yield m, part, at, scored(model.weights[m], at, bias), taken
+
+
+def scored(w: np.ndarray, at: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Unnormalised log probabilities of the outcomes, given the parameter rows of three features."""
+    z = w[at[0]]
+    z += w[at[1]]
+    z += w[at[2]]
+    z += bias
+    return z
 
 
 def log_prob(model: Model, data: Encoded) -> np.ndarray:
@@ -217,17 +232,91 @@ def observe(model: Model, texts: list[str | None], sums: list[np.ndarray]) -> No
         np.add.at(sums[1].reshape(-1), model.with_class(r, which) * SLOTS + slot, np.float32(1))
 
 
+def text_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[list[str | None]]:
+    for batch in batches:
+        texts = batch.column(0).to_pylist()
+        for a, b in C.blocks(texts):
+            yield texts[a:b]
+
+
+def observe_all(model: Model, batches: Iterable[pa.RecordBatch], sums: list[np.ndarray]) -> None:
+    """Observed counts of batches of texts."""
+    for texts in text_blocks(batches):
+        observe(model, texts, sums)
+
+
+def contexts(model: Model, texts: list[str | None]) -> np.ndarray:
+    """The word before, the one before that and the class of each token, as one number below 2^31."""
+    data = encode(texts, model.index)
+    one, two, _ = data.features(model)
+    return ((one * CONTEXTS + two - CONTEXTS) * (HEAD + TAIL) + data.slots(model) // SLOTS).astype(np.uint32)
+
+
+def added_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = starts_of(keys)
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+def starts_of(ordered: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
+
+
 def expect(model: Model, texts: list[str | None], sums: list[np.ndarray]) -> None:
     """Adds the counts that the model expects given these texts' contexts."""
-    for m, _, at, z, _ in decisions(model, encode(texts, model.index)):
-        z -= z.max(1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(1, keepdims=True)
-        for r in at:
-            order = np.argsort(r.astype(np.uint16), kind="stable")  # by radix; rows are below 2^16
-            own = r[order]
-            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            sums[m][own[first]] += np.add.reduceat(z[order], first, axis=0)
+    for keys, counts in distinct_contexts(model, [texts]):
+        expect_at(model, keys, counts, sums)
+
+
+def expect_all(model: Model, batches: Iterable[pa.RecordBatch], sums: list[np.ndarray]) -> None:
+    """Expected counts at batches of distinct contexts."""
+    for batch in batches:
+        for keys, counts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            expect_at(model, np.frombuffer(keys, np.uint32), np.frombuffer(counts, np.int64), sums)
+
+
+def distinct_contexts(model: Model, blocks: Iterable[list[str | None]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Contexts of all tokens in blocks of texts, and how often they occur; contexts beyond HELD_CONTEXTS come in several lots."""
+    held, counts, new, n = np.zeros(0, np.uint32), np.zeros(0, np.int64), [], 0
+    for texts in blocks:
+        new.append(contexts(model, texts))
+        n += len(new[-1])
+        if n >= COUNTED_CONTEXTS:
+            held, counts = merged(held, counts, new)
+            new, n = [], 0
+            if len(held) >= HELD_CONTEXTS:
+                yield held, counts
+                held, counts = held[:0], counts[:0]
+    yield merged(held, counts, new)
+
+
+def merged(held: np.ndarray, counts: np.ndarray, keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    own, times = np.unique(np.concatenate([held[:0], *keys]), return_counts=True)
+    return added_up(np.concatenate([held, own]), np.concatenate([counts, times]))
+
+
+def expect_at(model: Model, keys: np.ndarray, counts: np.ndarray, sums: list[np.ndarray]) -> None:
+    """Adds what the model expects at distinct contexts (in order) that occur so many times."""
+    before, which = np.divmod(keys.astype(np.int64), HEAD + TAIL)
+    own = starts_of(before)
+    for m, places, classes, times in ((0, before[own], None, np.add.reduceat(counts, own) if len(own) else counts), (1, before, which, counts)):
+        for a in range(0, len(places), BATCH):
+            one, two = np.divmod(places[a : a + BATCH], CONTEXTS)
+            at, bias = model.feature_rows(one, two), model.class_bias
+            if m:
+                c = classes[a : a + BATCH]
+                at, bias = model.with_class(at, c), model.slot_bias[c]
+            z = scored(model.weights[m], at, bias)
+            z -= z.max(1, keepdims=True)
+            np.exp(z, out=z)
+            z *= (times[a : a + BATCH] / z.sum(1)).astype(np.float32)[:, None]
+            for r in at:
+                order = np.argsort(r.astype(np.uint16), kind="stable")  # by radix; rows are below 2^16
+                r = r[order]
+                first = starts_of(r)
+                sums[m][r[first]] += np.add.reduceat(z[order], first, axis=0)
 
 
 def step(model: Model, observed: list[np.ndarray], expected: list[np.ndarray], rate: float) -> None:
@@ -270,26 +359,24 @@ def summed(df: DataFrame) -> DataFrame:
     return df.repartition("block").mapInArrow(run, "block int, data binary")
 
 
-def gathered(rows: DataFrame, model: Model, n_tokens: int, add) -> list[np.ndarray]:
-    """Sums, over the texts of all rows, of what `add` (observe or expect) adds to tables shaped like the weights."""
+def gathered(rows: DataFrame, model: Model, add, n_tokens: int = 0) -> list[np.ndarray]:
+    """Sums, over all rows (texts or contexts), of what `add` (observe_all or expect_all) adds to tables shaped like the weights. Without n_tokens, one task a core."""
     spark = rows.sparkSession
     sent = spark.sparkContext.broadcast(model)
     height = model.rows
 
     def run(batches):
         own: Model = sent.value
-        sums, seen = [np.zeros(w.shape, np.float32) for w in own.weights], False
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in C.blocks(texts):
-                add(own, texts[a:b], sums)
-                seen = True
-        if not seen:
+        sums = [np.zeros(w.shape, np.float32) for w in own.weights]
+        full = (batch for batch in batches if batch.num_rows)
+        some = next(full, None)
+        if some is None:
             return
+        add(own, chain([some], full), sums)
         for m, table in enumerate(sums):
             starts = range(0, height, BLOCK_ROWS)
-            blocks = [(m * height + i) // BLOCK_ROWS for i in starts]
-            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([table[i : i + BLOCK_ROWS].tobytes() for i in starts], pa.binary())], ["block", "data"])
+            numbers = [(m * height + i) // BLOCK_ROWS for i in starts]
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array([table[i : i + BLOCK_ROWS].tobytes() for i in starts], pa.binary())], ["block", "data"])
 
     # Each task sends whole tables, so small partitions are joined.
     cores = spark.sparkContext.defaultParallelism
@@ -302,6 +389,40 @@ def gathered(rows: DataFrame, model: Model, n_tokens: int, add) -> list[np.ndarr
     return out
 
 
+def counted_contexts(rows: DataFrame, model: Model) -> DataFrame:
+    """part, keys, counts: the distinct contexts of all texts in order and how often each occurs, a row a part, written."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+    names = ["part", "keys", "counts"]
+
+    def batch_of(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        kinds = pa.int32(), pa.binary(), pa.binary()
+        return pa.RecordBatch.from_arrays([pa.array([p if k == 0 else p.tobytes() for p in column], kind) for k, (kind, column) in enumerate(zip(kinds, zip(*parts, strict=True), strict=True))], names)
+
+    def run(batches):
+        for keys, counts in distinct_contexts(sent.value, text_blocks(batches)):
+            part = (C.mix64((keys // (HEAD + TAIL)).astype(np.uint64)) % np.uint64(CONTEXT_PARTS)).astype(np.uint16)
+            order = np.argsort(part, kind="stable")
+            keys, counts, ends = keys[order], counts[order], np.cumsum(np.bincount(part, minlength=CONTEXT_PARTS))
+            some = [(p, keys[a:b], counts[a:b]) for p, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if b > a]
+            if some:
+                yield batch_of(some)
+
+    def merge(batches):
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for part, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                new = np.frombuffer(keys, np.uint32), np.frombuffer(counts, np.int64)
+                held[part] = added_up(*map(np.concatenate, zip(held[part], new, strict=True))) if part in held else new
+        for part in held:
+            yield batch_of([(part, *held[part])])
+
+    schema = "part int, keys binary, counts binary"
+    parts = rows.coalesce(rows.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, schema)
+    out = C.materialize(parts.repartition("part").mapInArrow(merge, schema), "lm-contexts")
+    sent.unpersist()
+    return out
+
+
 def count_tokens(rows: DataFrame, text: str) -> DataFrame:
     """w, n: every distinct token of all rows with its count, written."""
 
@@ -359,11 +480,11 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Model,
     n_tokens, types = sum(n * t for n, t in often), sum(t for _, t in often)
     model = fresh(top, n_tokens, types, slot_sums(counted, classes_for(types)[1] * SLOTS))
     rare = C.materialize(by_hash(counted.where(~frequent)), "lm-rare")
-    observed = gathered(rows.select("_t"), model, n_tokens, observe)
+    observed = gathered(rows.select("_t"), model, observe_all, n_tokens)
     step(model, observed, at_start(model, observed), FIRST)
-    for k in range(ROUNDS):
-        part = rows.where(F.pmod(F.xxhash64("_k", F.lit("lm round")), F.lit(SHARE)) == k).select("_t")
-        step(model, observed, gathered(part, model, n_tokens // SHARE, expect), RATE)
+    held = counted_contexts(rows.select("_t"), model)
+    for _ in range(ROUNDS):
+        step(model, observed, gathered(held, model, expect_all), RATE)
     return model, rare
 
 

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -695,6 +696,39 @@ def test_lm_gradient_is_the_derivative():
         assert (ends[1] - ends[0]) / 0.1 == pytest.approx(observed[m][row, choice] - expected[m][row, choice], abs=0.05)
 
 
+def test_lm_expects_over_every_training_document(spark, monkeypatch):
+    """Expected counts of each step are those of all training documents, token by token, however many contexts a task holds."""
+    rng, seen = random.Random(5), []
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(60)], range(1, 61), k=40)) for _ in range(50)]
+    plain = maxent_lm.gathered
+
+    def noted(rows, model, add, *rest):
+        weights = [w.copy() for w in model.weights]
+        out = plain(rows, model, add, *rest)
+        if add is maxent_lm.expect_all:
+            seen.append((replace(model, weights=weights), out))
+        return out
+
+    monkeypatch.setattr(maxent_lm, "gathered", noted)
+    maxent_lm.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    assert len(seen) == maxent_lm.ROUNDS
+    for model, got in seen:
+        want = [np.zeros(w.shape, np.float64) for w in model.weights]
+        for m, _, at, z, _ in maxent_lm.decisions(model, maxent_lm.encode(texts, model.index)):
+            p = np.exp(z - z.max(1, keepdims=True))
+            for r in at:
+                np.add.at(want[m], r, p / p.sum(1, keepdims=True))
+        assert all(np.allclose(g, w, rtol=1e-3, atol=1e-3) for g, w in zip(got, want, strict=True))
+    monkeypatch.setattr(maxent_lm, "COUNTED_CONTEXTS", 100)
+    monkeypatch.setattr(maxent_lm, "HELD_CONTEXTS", 50)
+    few = [np.zeros(w.shape, np.float32) for w in model.weights]
+    lots = list(maxent_lm.distinct_contexts(model, (texts[i : i + 3] for i in range(0, 50, 3))))
+    for keys, counts in lots:
+        maxent_lm.expect_at(model, keys, counts, few)
+    assert len(lots) > 2 and sum(c.sum() for _, c in lots) == 50 * 41
+    assert all(np.allclose(g, w, rtol=1e-3, atol=1e-3) for g, w in zip(few, want, strict=True))
+
+
 def test_lm_edges(edges, empty):
     fitted = maxent_lm.fit(edges.select("doc_id", "text"))
     rows = maxent_lm.score(edges.select("doc_id", "text"), *fitted).collect()
