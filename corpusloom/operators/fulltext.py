@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import dimensions as D
+from corpusloom.operators import scoring
 from corpusloom.session import small, written
 
 K1, B = 1.2, 0.75
@@ -78,20 +80,48 @@ def _ranked(scored: DataFrame, k: int, query_key: str) -> DataFrame:
 
 def tf_rank(docs: DataFrame, queries: DataFrame, k: int = 100, query: str = "text", query_key: str = "query_id") -> DataFrame:
     """Top k by the sum of 1 + ln(tf) over matched terms, over 1 + ln(document length)."""
-    rows = matches(docs, queries, query, query_key)
-    scored = rows.groupBy(query_key, "doc_id").agg((F.sum(1 + F.log("tf")) / (1 + F.log(F.max("doc_len")))).alias("score"))
-    return _ranked(scored, k, query_key)
+    asked = _asked(queries, query, query_key)
+    once, others = _by_id(docs)
+    found = scoring.best(once, asked.withColumn("weight", F.lit(1.0)), k, scoring.of_documents(lambda tf, _: 1 + np.log(tf), lambda n: 1 + np.log(n)))
+    if others is not None:
+        found = found.unionByName(tf_scores(others, queries, query, query_key).withColumnRenamed(query_key, "query_id"))
+    return _ranked(found.withColumnRenamed("query_id", query_key), k, query_key)
+
+
+def _asked(queries: DataFrame, query: str, query_key: str) -> DataFrame:
+    return written(queries.select(F.col(query_key).alias("query_id"), F.explode(query_terms(F.col(query))).alias("term")).distinct(), "asked")
+
+
+def _by_id(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows whose id no other has, which are scored alone, and the others, if any."""
+    twice = written(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL").select("doc_id"), "repeated-ids")
+    if twice.isEmpty():
+        return docs.select("doc_id", "terms"), None
+    ids = small(twice)
+    others = docs.join(ids, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    return docs.where("doc_id IS NOT NULL").join(ids, "doc_id", "left_anti").select("doc_id", "terms"), others
 
 
 def bm25_rank(docs: DataFrame, queries: DataFrame, k: int = 100, query: str = "text", query_key: str = "query_id") -> DataFrame:
     """Top k by Okapi BM25 (k1 1.2, b 0.75)."""
-    rows = written(matches(docs, queries, query, query_key), "matched")
+    asked = _asked(queries, query, query_key)
+    once, others = _by_id(docs)
     n, average = docs.agg(F.count(F.lit(1)), F.avg(F.size("terms"))).first()
-    df = rows.select("term", "doc_id").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    average = float(average or 1.0)
+    terms = small(asked.select("term").distinct())
+    held = once.select(F.explode(F.array_distinct("terms")).alias("term")).join(terms, "term", "left_semi")
+    if others is not None:
+        held = held.unionByName(others.select("doc_id", F.explode("terms").alias("term")).where("doc_id IS NOT NULL").join(terms, "term", "left_semi").distinct().select("term"))
+        held = held.unionByName(others.where("doc_id IS NULL").select(F.explode("terms").alias("term")).join(terms, "term", "left_semi").distinct())
+    df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.lit(float(average or 1.0))))
-    scored = rows.join(small(df), "term").groupBy(query_key, "doc_id").agg(F.sum(weight).alias("score"))
-    return _ranked(scored, k, query_key)
+    asked = written(asked.join(small(df), "term").select("query_id", "term", idf.alias("weight")), "weighted")
+    share = lambda tf, length: tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
+    found = scoring.best(once, asked, k, scoring.of_documents(share, np.ones_like))
+    if others is not None:
+        rows = matches(others, queries, query, query_key).withColumnRenamed(query_key, "query_id").join(small(asked), ["query_id", "term"])
+        found = found.unionByName(rows.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * share(F.col("tf"), F.col("doc_len"))).alias("score")))
+    return _ranked(found.withColumnRenamed("query_id", query_key), k, query_key)
 
 
 def phrase_match(docs: DataFrame, phrases: DataFrame, query: str = "text", query_key: str = "query_id") -> DataFrame:
@@ -119,12 +149,18 @@ def phrase_rank(docs: DataFrame, phrases: DataFrame, k: int = 20, query: str = "
     gated = phrases.where(phrase_gate(F.col(query)))
     found = written(phrase_match(docs, gated, query, query_key).select(query_key, "doc_id"), "phrases")
     some = docs.join(small(found.select("doc_id").distinct()), "doc_id", "left_semi")
-    scored = tf_scores(some, gated, query, query_key).join(found, [query_key, "doc_id"], "left_semi")
-    return _ranked(scored, k, query_key)
+    # Counts meet the questions that match their document, not all that ask for the term.
+    asked = gated.select(query_key, F.explode(query_terms(F.col(query))).alias("term")).distinct()
+    counted = postings(some).join(small(asked.select("term").distinct()), "term", "left_semi")
+    rows = counted.join(small(found.distinct()), "doc_id").join(small(asked), [query_key, "term"], "left_semi")
+    return _ranked(_tf_summed(rows, query_key), k, query_key)
 
 
 def tf_scores(docs: DataFrame, queries: DataFrame, query: str = "text", query_key: str = "query_id") -> DataFrame:
-    rows = matches(docs, queries, query, query_key)
+    return _tf_summed(matches(docs, queries, query, query_key), query_key)
+
+
+def _tf_summed(rows: DataFrame, query_key: str) -> DataFrame:
     return rows.groupBy(query_key, "doc_id").agg((F.sum(1 + F.log("tf")) / (1 + F.log(F.max("doc_len")))).alias("score"))
 
 
