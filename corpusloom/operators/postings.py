@@ -18,11 +18,14 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators import fulltext as T
-from corpusloom.session import small, written
+from corpusloom.operators import scoring
+from corpusloom.session import code_path, small, written
 from corpusloom.sources import versions
 
 #: Documents of a range, about.
@@ -31,14 +34,8 @@ RANGE = 128
 BUCKETS, SPREAD = 64, 4
 #: Scores are rounded to 9 digits, bounds allow for it.
 SLACK = 1e-6
-
-
-def _bm25(tf: Column, length: Column, average: float) -> Column:
-    return tf * (T.K1 + 1) / (tf + T.K1 * (1 - T.B + T.B * length / F.lit(average)))
-
-
-def _tf(tf: Column, length: Column) -> Column:
-    return (1 + F.log(tf)) / (1 + F.log(length))
+#: Terms of a task that writes blocks, and of the ranges of which it makes blocks at once, about.
+PART_TERMS, LOT_TERMS = 1 << 22, 1 << 20
 
 
 def _bucket(term: Column, buckets: int) -> Column:
@@ -68,25 +65,58 @@ def _write(docs: DataFrame, base: str, buckets: int, spread: int) -> dict:
     kind = F.floor(F.log2("len")).cast("int")  # documents whose lengths lie within a factor of two
     counted = sized.groupBy(F.when(F.col("len") > 0, kind).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("length")).collect()  # 32 rows at most
     total, length = sum(r["n"] for r in counted), sum(r["length"] or 0 for r in counted)
-    ranges = {r["kind"]: -(-r["n"] // RANGE) for r in counted if r["kind"] is not None}
+    # Long documents make smaller ranges, which tasks hold whole.
+    ranges = {r["kind"]: -(-r["n"] // max(1, min(RANGE, LOT_TERMS >> r["kind"]))) for r in counted if r["kind"] is not None}
     average = length / total if total and length else 1.0
     epoch = {"name": uuid.uuid4().hex, "docs": total, "length": length, "average": average}
     of_kind = F.element_at(F.array(*[F.lit(ranges.get(k, 1)) for k in range(32)]), F.col("kind") + 1)
     rows = sized.where("len > 0").withColumn("kind", kind).withColumn("range", F.shiftleft(F.col("kind").cast("long"), 40) + F.pmod(F.xxhash64("doc_id"), of_kind))
-    places = rows.select("doc_id", "len", "range", F.posexplode("terms").alias("pos", "term"))
-    places = places.withColumn("bucket", _bucket(F.col("term"), buckets)).withColumn("part", F.pmod("range", F.lit(spread)))
-    # One shuffle: both groupings and the files follow it. Hot terms are dealt by range.
-    key = ["bucket", "part", "term", "range"]
-    own = places.repartition("bucket", "part").groupBy(*key, "doc_id", "len").agg(F.sort_array(F.collect_list("pos")).alias("places"))
-    one = F.struct("doc_id", F.size("places").alias("tf"), "len", "places")
-    blocks = own.groupBy(*key).agg(
-        F.count(F.lit(1)).cast("int").alias("n"), F.max(_tf(F.size("places"), F.col("len"))).alias("peak_tf"), F.max(_bm25(F.size("places"), F.col("len"), average)).alias("peak_bm25"), F.sort_array(F.collect_list(one)).alias("docs")
-    )
-    blocks = blocks.select("bucket", "term", "range", "n", "peak_tf", "peak_bm25", *[F.col(f"docs.{c}").alias(c) for c in ("doc_id", "tf", "len", "places")])
+    # One shuffle, of documents: a range's postings are made in one task, from whole rows.
+    parts = max(spread, -(-length // PART_TERMS))
+    dealt = rows.select("doc_id", "len", "range", "terms").repartition(parts, "range").sortWithinPartitions("range", "doc_id", "len")
+    code_path(docs.sparkSession)
+    kind_of = docs.schema["doc_id"].dataType.simpleString()
+    columns = f"term string, range long, n int, peak_tf double, peak_bm25 double, doc_id array<{kind_of}>, tf array<int>, len array<int>, places array<array<int>>"
+    blocks = dealt.mapInArrow(lambda batches: (_blocks(t, average) for t in scoring.groups(batches, "range", LOT_TERMS)), columns)
+    names = [c.split()[0] for c in columns.split(", ")]
+    blocks = blocks.select(_bucket(F.col("term"), buckets).alias("bucket"), *names)
     blocks.sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(f"{base}/epoch={epoch['name']}")
     return epoch
 
 
+def _blocks(rows: pa.Table, average: float) -> pa.RecordBatch:
+    """The blocks of documents (doc_id, len, range, terms) in the order of ranges and ids. Rows equal in id and length are one document."""
+    ids, lists = rows["doc_id"].combine_chunks(), rows["terms"].combine_chunks()
+    length, ranges = (rows[c].to_numpy() for c in ("len", "range"))
+    code = ids.dictionary_encode(null_encoding="encode").indices.to_numpy()
+    new = np.concatenate([[True], (code[1:] != code[:-1]) | (length[1:] != length[:-1]) | (ranges[1:] != ranges[:-1])])
+    doc, first_row = np.cumsum(new) - 1, np.flatnonzero(new)
+    coded = lists.flatten().dictionary_encode()
+    term = coded.indices.to_numpy().astype(np.int64)
+    place = (np.arange(len(term)) - np.repeat(np.cumsum(length) - length, length)).astype(np.int32)
+    key = term * len(first_row) + np.repeat(doc, length)
+    order = np.argsort(key, kind="stable") if new.all() else np.lexsort((place, key))
+    key, place = key[order], place[order]
+    at = _starts(key)
+    tf = np.diff(np.append(at, len(key))).astype(np.int32)
+    word, which = np.divmod(key[at], len(first_row))
+    row = first_row[which]
+    n, span = length[row], ranges[row]
+    block = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (span[1:] != span[:-1])]))
+    ends = pa.array(np.append(block, len(at)).astype(np.int32))
+    of_block = lambda values: pa.ListArray.from_arrays(ends, values)
+    peaks = [np.maximum.reduceat(x, block) for x in ((1 + np.log(tf)) / (1 + np.log(n)), tf * (T.K1 + 1) / (tf + T.K1 * (1 - T.B + T.B * n / average)))]
+    places = pa.ListArray.from_arrays(pa.array(np.append(at, len(key)).astype(np.int32)), pa.array(place))
+    names = ["term", "range", "n", "peak_tf", "peak_bm25", "doc_id", "tf", "len", "places"]
+    columns = [coded.dictionary.take(pa.array(word[block])), pa.array(span[block]), pa.array(np.diff(np.append(block, len(at))).astype(np.int32)), *map(pa.array, peaks)]
+    columns += [of_block(x) for x in (ids.take(pa.array(row)), pa.array(tf), pa.array(n.astype(np.int32)), places)]
+    return pa.RecordBatch.from_arrays(columns, names)
+
+
+def _starts(ordered: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+
+
 class Index:
     """The index at a path as it was when opened."""
 
@@ -110,7 +140,7 @@ class Index:
         lists = self.lists(asked).select("term", "epoch", "range", "n", "peak_tf", "peak_bm25")
         held = written(lists, "block-bounds")
         if scorer == "tf":
-            asked, peak = asked.withColumn("weight", F.lit(1.0)), F.col("peak_tf")
+            asked, peak = written(asked.withColumn("weight", F.lit(1.0)), "asked"), F.col("peak_tf")
         else:
             df = held.groupBy("term").agg(F.sum("n").alias("df"))
             idf = F.log(1 + (F.lit(float(self.total)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -121,15 +151,18 @@ class Index:
         bound = held.join(small(asked), "term").groupBy("query_id", "epoch", "range").agg(F.sum(F.col("weight") * peak).alias("bound"))
         return asked, written(bound, "bounds")
 
-    def scores(self, asked: DataFrame, ranges: DataFrame, scorer: str) -> DataFrame:
-        """query_id, doc_id, score of all documents with an asked term in the ranges (query_id, epoch, range)."""
-        lists = self.lists(asked).select("term", "epoch", "range", F.arrays_zip("doc_id", "tf", "len").alias("d"))
-        rows = ranges.join(small(asked), "query_id").join(lists, ["term", "epoch", "range"]).select("query_id", "weight", F.inline("d"))
+    def scores(self, asked: DataFrame, ranges: DataFrame, scorer: str, k: int) -> DataFrame:
+        """query_id, doc_id, score of all questions in the ranges (epoch, range, written); tasks keep k documents of each question."""
+        lists = self.lists(asked).join(small(ranges), ["epoch", "range"], "left_semi")
+        lists = lists.select(F.xxhash64("epoch", "range").alias("range_id"), "term", F.col("doc_id").alias("docs"), "tf", "len")
+        lists = lists.repartition("range_id").sortWithinPartitions("range_id")
         if scorer == "tf":
-            score = F.sum(1 + F.log("tf")) / (1 + F.log(F.max("len")))
+            share, scale = (lambda tf, _: 1 + np.log(tf)), (lambda n: 1 + np.log(n))
         else:
-            score = F.sum(F.col("weight") * _bm25(F.col("tf"), F.col("len"), self.average))
-        return rows.groupBy("query_id", "doc_id").agg(score.alias("score"))
+            average = self.average
+            share, scale = (lambda tf, n: tf * (T.K1 + 1) / (tf + T.K1 * (1 - T.B + T.B * n / average))), np.ones_like
+        kind = self.blocks.schema["doc_id"].dataType.elementType.simpleString()
+        return scoring.best(lists, asked, k, scoring.of_blocks(share, scale), kind)
 
     def top(self, queries: DataFrame, k: int = 100, scorer: str = "tf", query: str = "text", query_key: str = "query_id") -> DataFrame:
         """query_id, doc_id, score, rank of the k best documents of each question; scorer: tf or bm25."""
@@ -138,13 +171,15 @@ class Index:
         asked = written(queries.select(F.col(query_key).alias("query_id"), F.explode(T.query_terms(F.col(query))).alias("term")), "asked")
         asked, bound = self.bounds(asked, scorer)
         order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "epoch", "range")
-        first = written(bound.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k), "first-ranges")
-        seen = written(T._ranked(self.scores(asked, first, scorer), k, "query_id"), "first-scores")
+        first = bound.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
+        first = written(first.select("epoch", "range").distinct(), "first-ranges")  # there, all questions are scored
+        seen = written(T._ranked(self.scores(asked, first, scorer, k), k, "query_id"), "first-scores")
         least = seen.where(F.col("rank") == k).select("query_id", F.col("score").alias("_least"))
-        rest = bound.join(first.select("query_id", "epoch", "range"), ["query_id", "epoch", "range"], "left_anti").join(small(least), "query_id", "left")
+        rest = bound.join(small(first), ["epoch", "range"], "left_anti").join(small(least), "query_id", "left")
         self.passed = rest  # what the threshold decides on, for measurements
         rest = rest.where(F.col("_least").isNull() | (F.col("bound") >= F.col("_least") - SLACK))
-        both = seen.drop("rank").unionByName(self.scores(asked, rest, scorer))
+        rest = written(rest.select("epoch", "range").distinct(), "other-ranges")
+        both = seen.drop("rank").unionByName(self.scores(asked, rest, scorer, k))
         return T._ranked(both, k, "query_id").withColumnRenamed("query_id", query_key)
 
     def phrases(self, phrases: DataFrame, query: str = "text", query_key: str = "query_id") -> DataFrame:

@@ -78,11 +78,11 @@ class Best:
             yield from pa.table({"query_id": self.queries.take(rows["q"].combine_chunks()), "doc_id": rows["doc_id"], "score": rows["score"]}).to_batches()
 
 
-def best(rows: DataFrame, asked: DataFrame, k: int, add: Callable[[Best, Iterable[pa.RecordBatch]], None]) -> DataFrame:
-    """query_id, doc_id, score: each task's k best of every question. asked (written): query_id, term, weight; add gives a task's postings to a Best."""
+def best(rows: DataFrame, asked: DataFrame, k: int, add: Callable[[Best, Iterable[pa.RecordBatch]], None], kind: str | None = None) -> DataFrame:
+    """query_id, doc_id, score: each task's k best of every question. asked (written): query_id, term, weight; add gives a task's postings to a Best; kind: the type of doc_id, if rows have no such column."""
     spark = rows.sparkSession
     code_path(spark)
-    kinds = [f"{c} {d.schema[c].dataType.simpleString()}" for d, c in ((asked, "query_id"), (rows, "doc_id"))]
+    kinds = [f"query_id {asked.schema['query_id'].dataType.simpleString()}", f"doc_id {kind or rows.schema['doc_id'].dataType.simpleString()}"]
 
     def pass_over(part: DataFrame) -> DataFrame:
         sent = spark.sparkContext.broadcast(part.select("query_id", "term", F.col("weight").cast("double").alias("weight")).toArrow())

@@ -265,3 +265,16 @@ def test_lookup_reads_the_files_that_hold_a_value(spark, tmp_path):
     assert file_index.lookup(spark, table, base, "doc_id", ["doc/x", "zzz"]).count() == 0
     hits = [len(file_index.files_with(spark, base, "doc_id", [f"doc/{k:05d}"])) for k in range(0, 4000, 400)]
     assert sum(hits) <= 4 * len(hits) and min(hits) >= 1
+
+
+def test_write_tasks_grow_with_the_terms(spark, tmp_path, monkeypatch):
+    """Blocks are written by as many tasks as the terms ask for, whatever the spread, and hold the rows of a scan."""
+    monkeypatch.setattr(postings, "PART_TERMS", 400)
+    texts = [(i, " ".join(f"t{i * j % 17}" for j in range(1, 3 + i % 9))) for i in range(300)]
+    docs = fulltext.documents_with_terms(spark.createDataFrame(texts, "doc_id long, text string"))
+    asked = spark.createDataFrame([(1, "t1 t5"), (2, "t3 t16 t0")], "query_id long, text string")
+    base = f"file://{tmp_path}/many"
+    postings.build(docs, base, buckets=1, spread=1)
+    assert len(list(tmp_path.glob("many/epoch=*/bucket=0/*.parquet"))) >= 3
+    key = lambda df: sorted(tuple(r) for r in df.select("query_id", "doc_id", "score", "rank").collect())
+    assert key(postings.Index(spark, base).top(asked, 20)) == key(fulltext.tf_rank(docs, asked, 20))
