@@ -269,7 +269,8 @@ def test_lookup_reads_the_files_that_hold_a_value(spark, tmp_path):
 
 def test_write_tasks_grow_with_the_terms(spark, tmp_path, monkeypatch):
     """Blocks are written by as many tasks as the terms ask for, whatever the spread, and hold the rows of a scan."""
-    monkeypatch.setattr(postings, "PART_TERMS", 400)
+    monkeypatch.setattr(postings, "PART_TERMS", 200)
+    monkeypatch.setattr(postings, "RANGE", 8)
     texts = [(i, " ".join(f"t{i * j % 17}" for j in range(1, 3 + i % 9))) for i in range(300)]
     docs = fulltext.documents_with_terms(spark.createDataFrame(texts, "doc_id long, text string"))
     asked = spark.createDataFrame([(1, "t1 t5"), (2, "t3 t16 t0")], "query_id long, text string")
