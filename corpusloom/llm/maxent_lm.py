@@ -52,7 +52,8 @@ CONTEXTS, PAIRS = 4096, 8192
 SCALE_TOKENS = (1 << 21, 1 << 26)
 #: Tokens that workers look up in a dictionary, which affects speed alone.
 FREQUENT = 1 << 16
-BATCH = 2048
+#: Outcomes' values in a batch of numpy's, so that it stays in a core's cache.
+BATCH_CELLS = 1 << 16
 #: Pseudo-counts of a feature's row, dealt by the unigram shares of classes, and of each of a row's slots.
 CLASS_PRIOR, SLOT_PRIOR = 5.0, 5.0
 #: Rates of the first step and of the later ones.
@@ -195,23 +196,49 @@ def encode(texts: list[str | None], index: dict[bytes, int]) -> Encoded:
 
 def decisions(model: Model, data: Encoded):
     """In batches of tokens, both choices: (0 or 1, tokens' places, parameter rows, unnormalised log probabilities, choice taken)."""
-    rows, slots = data.features(model), data.slots(model)
-    for a in range(0, len(slots), BATCH):
-        part, own = slice(a, a + BATCH), rows[:, a : a + BATCH]
-        which, slot = np.divmod(slots[part], SLOTS)
-        for m, at, bias, taken in ((0, own, model.class_bias, which), (1, model.with_class(own, which), model.slot_bias[which], slot)):
-            yield m, part, at, scored(model.weights[m], at, bias), taken
+    rows = data.features(model)
+    which, slot = np.divmod(data.slots(model), SLOTS)
+    for m, taken in enumerate((which, slot)):
+        for part in batches_of(len(which), model.weights[m]):
+            at, bias = rows[:, part], model.class_bias
+            if m:
+                at, bias = model.with_class(at, which[part]), model.slot_bias.take(which[part], 0)
+            yield m, part, at, scored(model.weights[m], at, bias), taken[part]
+
+
+def batches_of(n: int, w: np.ndarray) -> Iterator[slice]:
+    size = max(BATCH_CELLS // w.shape[1], 1)
+    return (slice(a, a + size) for a in range(0, n, size))
 
 
 def scored(w: np.ndarray, at: np.ndarray, bias: np.ndarray) -> np.ndarray:
     """Unnormalised log probabilities of the outcomes, given the parameter rows of three features."""
-    z = w[at[0]]
-    z += w[at[1]]
-    z += w[at[2]]
+    z = w.take(at[0], 0)
+    z += w.take(at[1], 0)
+    z += w.take(at[2], 0)
     z += bias
     return z
 
 
+def exponentials(z: np.ndarray) -> np.ndarray:
+    """Turns z into exponentials relative to each row's greatest, in place, and returns their sums."""
+    z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    return z @ np.ones(z.shape[1], z.dtype)
+
+
+def add_rows(table: np.ndarray, at: np.ndarray, z: np.ndarray) -> None:
+    """Adds rows of z to rows of a table, which may repeat."""
+    order = np.argsort(at.astype(np.uint16), kind="stable")  # by radix; rows are below 2^16
+    ordered = at[order]
+    first = starts_of(ordered)
+    if len(first) * 8 <= len(at):
+        table[ordered[first]] += np.add.reduceat(z.take(order, 0), first, axis=0)
+    else:  # runs are too short for reduceat
+        width = table.shape[1]
+        np.add.at(table.reshape(-1), ((at * width)[:, None] + np.arange(width)).reshape(-1), z.reshape(-1))
+
+
 def log_prob(model: Model, data: Encoded) -> np.ndarray:
     """Natural log of P(slot) of each token."""
     out = np.zeros(len(data.ids))
@@ -219,7 +246,7 @@ def log_prob(model: Model, data: Encoded) -> np.ndarray:
         z -= z.max(1, keepdims=True)
         chosen = z[np.arange(len(z)), taken].astype(np.float64)
         np.exp(z, out=z)
-        out[part] += np.maximum(chosen - np.log(z.sum(1)), np.log(1e-30))
+        out[part] += np.maximum(chosen - np.log(z @ np.ones(z.shape[1], z.dtype)), np.log(1e-30))
     return out
 
 
@@ -302,21 +329,16 @@ def expect_at(model: Model, keys: np.ndarray, counts: np.ndarray, sums: list[np.
     before, which = np.divmod(keys.astype(np.int64), HEAD + TAIL)
     own = starts_of(before)
     for m, places, classes, times in ((0, before[own], None, np.add.reduceat(counts, own) if len(own) else counts), (1, before, which, counts)):
-        for a in range(0, len(places), BATCH):
-            one, two = np.divmod(places[a : a + BATCH], CONTEXTS)
+        for part in batches_of(len(places), model.weights[m]):
+            one, two = np.divmod(places[part], CONTEXTS)
             at, bias = model.feature_rows(one, two), model.class_bias
             if m:
-                c = classes[a : a + BATCH]
-                at, bias = model.with_class(at, c), model.slot_bias[c]
+                at, bias = model.with_class(at, classes[part]), model.slot_bias.take(classes[part], 0)
             z = scored(model.weights[m], at, bias)
-            z -= z.max(1, keepdims=True)
-            np.exp(z, out=z)
-            z *= (times[a : a + BATCH] / z.sum(1)).astype(np.float32)[:, None]
+            total = exponentials(z)
+            z *= (times[part] / total).astype(np.float32)[:, None]
             for r in at:
-                order = np.argsort(r.astype(np.uint16), kind="stable")  # by radix; rows are below 2^16
-                r = r[order]
-                first = starts_of(r)
-                sums[m][r[first]] += np.add.reduceat(z[order], first, axis=0)
+                add_rows(sums[m], r, z)
 
 
 def step(model: Model, observed: list[np.ndarray], expected: list[np.ndarray], rate: float) -> None:
