@@ -2,7 +2,9 @@
 
 State lives in a keyed store, in event time: the announced number, the documents summarised
 so far (a map, so that one more document writes one more entry), and the session's last
-event. An event-time timer ends a session after a pause; with no events left, nothing runs.
+event. A micro-batch reads a session's state once and writes what is left of it once; calls to
+the store don't grow with the events of sessions that end within it. An event-time timer ends a
+session after a pause; with no events left, nothing runs.
 """
 
 from __future__ import annotations
@@ -41,44 +43,50 @@ class Gate(StatefulProcessor):
         began, _, expected, summarized, _ = about
         return {self.session: key[0], "began": pd.Timestamp(began, unit="us", tz="UTC"), "at": pd.Timestamp(at, unit="us", tz="UTC"), "expected": expected, "summarized": summarized, "complete": complete}
 
-    def ended(self, key: tuple, about: tuple) -> list[dict]:
-        """Forgets a session; one that announced summaries and never got them all is told as incomplete."""
-        self.docs.clear()
-        self.about.clear()
+    def unmet(self, key: tuple, about: tuple) -> list[dict]:
+        """A session that announced summaries and never got them all is told as incomplete."""
         return [self.row(key, about, about[1], False)] if about[2] > 0 and not about[4] else []
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        events = pd.concat(rows).sort_values(["ts", "event_id"], kind="stable")
-        about = self.about.get() if self.about.exists() else None
-        before = about[1] if about else None
+        events: list[tuple] = []
+        for part in rows:
+            ts = part["ts"].dt.tz_convert("UTC") if part["ts"].dt.tz is not None else part["ts"]
+            events += zip(ts.astype("datetime64[us]" if ts.dt.tz is None else "datetime64[us, UTC]").astype("int64").tolist(), part["event_id"].tolist(), part["kind"].tolist(), part["n"].tolist(), part["doc_id"].tolist(), strict=True)
+        events.sort(key=lambda e: e[:2])
+        stored = self.about.get() if self.about.exists() else None
+        about, kept, new = stored, stored is not None, {}
         out: list[dict] = []
-        for ts, kind, n, doc in zip(events["ts"], events["kind"], events["n"], events["doc_id"], strict=True):
-            at = int(ts.value // 1000)
+        for at, _, kind, n, doc in events:
             if about and at > about[1] + self.idle_ms * 1000:
-                out += self.ended(key, about)
-                about = None
+                out += self.unmet(key, about)
+                about, kept, new = None, False, {}
             began, last, expected, summarized, told = about or (at, at, -1, 0, False)
             if kind == "expected" and not pd.isna(n):
                 expected = int(n)
-            elif kind == "summary" and not pd.isna(doc) and not self.docs.containsKey((str(doc),)):
-                self.docs.updateValue((str(doc),), (True,))
+            elif kind == "summary" and not pd.isna(doc) and doc not in new and not (kept and self.docs.containsKey((doc,))):
+                new[doc] = True
                 summarized += 1
             about = (min(began, at), max(last, at), expected, summarized, told)
             if not told and 0 < expected <= summarized:
                 out.append(self.row(key, about, at, True))
                 about = (*about[:4], True)
-        if about:
-            self.about.update(about)
-        for old in list(self.handle.listTimers()) if before is not None else ():
-            self.handle.deleteTimer(old)
-        if about:
-            self.handle.registerTimer(about[1] // 1000 + self.idle_ms)
+        if stored and not kept:
+            self.docs.clear()
+        for doc in new:
+            self.docs.updateValue((doc,), (True,))
+        self.about.update(about)
+        if stored:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+        self.handle.registerTimer(about[1] // 1000 + self.idle_ms)
         if out:
             yield pd.DataFrame(out)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         about = self.about.get() if self.about.exists() else None
-        out = self.ended(key, about) if about else []
+        out = self.unmet(key, about) if about else []
+        self.docs.clear()
+        self.about.clear()
         if out:
             yield pd.DataFrame(out)
 
