@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from corpusloom.functions import text as X
 from corpusloom.session import code_path
+from corpusloom.sources import tree
 
 HTML_ENCODINGS = ("utf-8", "iso-8859-7", "windows-1253", "latin-1")
 CSV_ENCODINGS = ("iso-8859-7", "windows-1253", "latin-1", "utf-8")
@@ -29,9 +30,8 @@ def relative_path(path: Column, root: str) -> Column:
 
 
 def markdown_corpus(spark: SparkSession, root: str, court: str | None = None, limit: int | None = None) -> DataFrame:
-    """doc_id (path below root), text of all .md files; a limit takes the first ones by id."""
-    rows = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
-    rows = rows.select(relative_path(F.col("_metadata.file_path"), root).alias("doc_id"), F.col("value").alias("text"))
+    """doc_id (path below root), text of all .md files, found and read by tasks; a limit takes the first ones by id."""
+    rows = tree.texts(tree.listed(spark, root).where(F.col("file").endswith(".md")), root).withColumnRenamed("file", "doc_id")
     rows = rows.where(F.contains("doc_id", F.lit(court))) if court else rows
     return rows.orderBy("doc_id").limit(limit) if limit else rows
 

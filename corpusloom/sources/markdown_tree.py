@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
 from corpusloom.session import code_path, written
-from corpusloom.sources import files, line_index
+from corpusloom.sources import line_index, tree
 
 LEAST_CHARS = 10
 
@@ -36,12 +36,12 @@ def put(system: pafs.FileSystem, path: str, data: bytes) -> None:
 def standing(spark: SparkSession, root: str) -> DataFrame:
     """file: what isn't empty below the root."""
     try:
-        held = line_index.files(spark, root)
+        held = tree.listed(spark, root)
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], "file string")
-    return held.where("length > 0").select(files.relative_path(F.col("path"), root).alias("file"))
+    return held.where("length > 0").select("file")
 
 
 def write(docs: DataFrame, root: str, key: str = "doc_id", text: str = "text", overwrite: bool = False) -> DataFrame:
