@@ -1,7 +1,7 @@
 """A gate for the event stream: a session's results show once all summaries that were announced have arrived.
 
 State lives in a keyed store, in event time: the announced number, the documents summarised
-so far (a map, so that one more document writes one more entry), and the session's last
+so far (a list, so that one more document writes one more entry), and the session's last
 event. A micro-batch reads a session's state once and writes what is left of it once; calls to
 the store don't grow with the events of sessions that end within it. An event-time timer ends a
 session after a pause; with no events left, nothing runs.
@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,58 +38,62 @@ class Gate(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.about = handle.getValueState("about", "began long, last long, expected long, summarized long, told boolean")
-        self.docs = handle.getMapState("docs", "doc_id string", "known boolean")
+        self.docs = handle.getListState("docs", "doc_id string")
 
-    def row(self, key: tuple, about: tuple, at: int, complete: bool) -> dict:
-        began, _, expected, summarized, _ = about
-        return {self.session: key[0], "began": pd.Timestamp(began, unit="us", tz="UTC"), "at": pd.Timestamp(at, unit="us", tz="UTC"), "expected": expected, "summarized": summarized, "complete": complete}
+    def frame(self, key: tuple, told: list[tuple]) -> pd.DataFrame:
+        """Rows of (began, at, expected, summarized, complete), times in microseconds."""
+        began, at, expected, summarized, complete = zip(*told, strict=True)
+        time = lambda us: pd.DatetimeIndex(np.array(us, "datetime64[us]")).tz_localize("UTC")
+        return pd.DataFrame({self.session: [key[0]] * len(told), "began": time(began), "at": time(at), "expected": expected, "summarized": summarized, "complete": complete})
 
-    def unmet(self, key: tuple, about: tuple) -> list[dict]:
+    def unmet(self, about: tuple) -> list[tuple]:
         """A session that announced summaries and never got them all is told as incomplete."""
-        return [self.row(key, about, about[1], False)] if about[2] > 0 and not about[4] else []
+        return [(*about[:4], False)] if about[2] > 0 and not about[4] else []
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         events: list[tuple] = []
         for part in rows:
-            ts = part["ts"].dt.tz_convert("UTC") if part["ts"].dt.tz is not None else part["ts"]
-            events += zip(ts.astype("datetime64[us]" if ts.dt.tz is None else "datetime64[us, UTC]").astype("int64").tolist(), part["event_id"].tolist(), part["kind"].tolist(), part["n"].tolist(), part["doc_id"].tolist(), strict=True)
+            at = part["ts"].to_numpy("datetime64[us]").astype("int64").tolist()
+            events += zip(at, *(part[c].tolist() for c in ("event_id", "kind", "n", "doc_id")), strict=True)
         events.sort(key=lambda e: e[:2])
-        stored = self.about.get() if self.about.exists() else None
-        about, kept, new = stored, stored is not None, {}
-        out: list[dict] = []
+        stored = self.about.get()
+        about, kept = stored, stored is not None
+        known = {d for (d,) in self.docs.get()} if kept else set()
+        new: dict[str, None] = {}
+        out: list[tuple] = []
         for at, _, kind, n, doc in events:
             if about and at > about[1] + self.idle_ms * 1000:
-                out += self.unmet(key, about)
-                about, kept, new = None, False, {}
+                out += self.unmet(about)
+                about, kept, known, new = None, False, set(), {}
             began, last, expected, summarized, told = about or (at, at, -1, 0, False)
             if kind == "expected" and not pd.isna(n):
                 expected = int(n)
-            elif kind == "summary" and not pd.isna(doc) and doc not in new and not (kept and self.docs.containsKey((doc,))):
-                new[doc] = True
+            elif kind == "summary" and not pd.isna(doc) and doc not in new and doc not in known:
+                new[doc] = None
                 summarized += 1
             about = (min(began, at), max(last, at), expected, summarized, told)
             if not told and 0 < expected <= summarized:
-                out.append(self.row(key, about, at, True))
+                out.append((about[0], at, *about[2:4], True))
                 about = (*about[:4], True)
         if stored and not kept:
             self.docs.clear()
-        for doc in new:
-            self.docs.updateValue((doc,), (True,))
+        if new:
+            self.docs.appendList([(doc,) for doc in new])
         self.about.update(about)
         if stored:
             for old in list(self.handle.listTimers()):
                 self.handle.deleteTimer(old)
         self.handle.registerTimer(about[1] // 1000 + self.idle_ms)
         if out:
-            yield pd.DataFrame(out)
+            yield self.frame(key, out)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        about = self.about.get() if self.about.exists() else None
-        out = self.unmet(key, about) if about else []
+        about = self.about.get()
+        out = self.unmet(about) if about else []
         self.docs.clear()
         self.about.clear()
         if out:
-            yield pd.DataFrame(out)
+            yield self.frame(key, out)
 
     def close(self) -> None:
         pass
