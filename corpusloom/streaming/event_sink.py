@@ -1,7 +1,7 @@
 """A durable sink for event streams: every event once, each session's in order.
 
-Tasks write files of JSON lines, which nobody reads yet; when a micro-batch ends, one manifest
-for it is put into place in one step and names its files. A batch that is run again after a
+Spark sorts a micro-batch's partitions, and tasks write them row by row to files of JSON lines, which
+nobody reads yet; when a micro-batch ends, one manifest for it is put into place in one step and names its files. A batch that is run again after a
 restart finds its manifest and changes nothing; files of attempts that failed are in no manifest.
 """
 
@@ -11,10 +11,11 @@ import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceStreamWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from corpusloom.session import code_path
@@ -36,47 +37,46 @@ def _folder(path: str):
 
 
 class EventSink(DataSource):
-    """Options: path (a URI that all machines reach), session, order (columns by which a session's events of a batch are put in order, comma-separated)."""
+    """Options: path (a URI that all machines reach), epoch (the micro-batch's number). Rows come in order."""
 
     @classmethod
     def name(cls) -> str:
         return NAME
 
-    def streamWriter(self, schema: StructType, overwrite: bool) -> Writer:  # noqa: N802
-        return Writer(self.options["path"].rstrip("/"), self.options["session"], self.options["order"].split(","))
+    def writer(self, schema: StructType, overwrite: bool) -> Writer:
+        return Writer(self.options["path"].rstrip("/"), int(self.options["epoch"]))
 
 
-class Writer(DataSourceStreamWriter):
-    def __init__(self, path: str, session: str, order: list[str]):
-        self.path, self.session, self.order = path, session, order
+class Writer(DataSourceWriter):
+    def __init__(self, path: str, epoch: int):
+        self.path, self.epoch = path, epoch
 
     def write(self, iterator: Iterator[Row]) -> Staged:
-        """One file for a task's rows of a micro-batch; its size is what the source's limit a trigger allows."""
-        key = [self.session, *self.order]
-        rows = sorted((r.asDict(recursive=True) for r in iterator), key=lambda r: [(r[k] is None, r[k]) for k in key])
-        if not rows:
+        """One file for a task's rows of a micro-batch, of which it holds one at a time."""
+        first = next(iterator, None)
+        if first is None:
             return Staged(None, 0)
         files, base = _folder(self.path)
         files.create_dir(f"{base}/data", recursive=True)
         name = f"{uuid.uuid4().hex}.jsonl"
         with files.open_output_stream(f"{base}/data/{name}") as out:
-            for place, row in enumerate(rows):
-                out.write((json.dumps({"place": place, **row}, default=str, ensure_ascii=False) + "\n").encode())
-        return Staged(name, len(rows))
+            for n, row in enumerate(chain([first], iterator), 1):
+                out.write((json.dumps({"place": n - 1, **row.asDict(recursive=True)}, default=str, ensure_ascii=False) + "\n").encode())
+        return Staged(name, n)
 
-    def commit(self, messages: list[Staged | None], batchId: int) -> None:  # noqa: N803
+    def commit(self, messages: list[Staged | None]) -> None:
         files, base = _folder(self.path)
-        final = f"{base}/epochs/{batchId:012d}.json"
+        final = f"{base}/epochs/{self.epoch:012d}.json"
         if files.get_file_info(final).is_file:
-            return self.abort(messages, batchId)  # the batch was published before the restart
+            return self.abort(messages)  # the batch was published before the restart
         files.create_dir(f"{base}/epochs", recursive=True)
         draft = f"{base}/epochs/_{uuid.uuid4().hex}"
         told = [{"file": m.file, "rows": m.rows} for m in messages if m and m.file]
         with files.open_output_stream(draft) as out:
-            out.write(json.dumps({"epoch": batchId, "files": told}).encode())
+            out.write(json.dumps({"epoch": self.epoch, "files": told}).encode())
         files.move(draft, final)
 
-    def abort(self, messages: list[Staged | None], batchId: int) -> None:  # noqa: N803
+    def abort(self, messages: list[Staged | None]) -> None:
         files, base = _folder(self.path)
         for m in messages:
             if m and m.file:
@@ -88,9 +88,12 @@ def write_events(stream: DataFrame, path: str, checkpoint: str, session: str = "
     spark = stream.sparkSession
     code_path(spark)
     spark.dataSource.register(EventSink)
-    dealt = stream.repartition(session)
-    writer = dealt.writeStream.format(NAME).option("path", path).option("session", session).option("order", order).option("checkpointLocation", checkpoint)
-    return writer.outputMode("append").trigger(availableNow=True).start()
+    keys = [F.asc_nulls_last(c) for c in (session, *order.split(","))]
+
+    def publish(batch: DataFrame, epoch: int) -> None:
+        batch.repartition(session).sortWithinPartitions(*keys).write.format(NAME).option("path", path).option("epoch", epoch).mode("append").save()
+
+    return stream.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
 def read_events(spark: SparkSession, path: str, schema: str, since: int = -1) -> DataFrame:
