@@ -1,13 +1,26 @@
 """What must not grow with the input in the driver or in a task."""
 
+import json
+import weakref
 from datetime import timedelta
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.operators import chunker
 from corpusloom.sources import files, markdown_tree
-from corpusloom.streaming import gate
+from corpusloom.streaming import event_sink, gate
+
+
+class Row:
+    """A row that can be watched; tuples can't."""
+
+    def __init__(self, **values):
+        self.values = values
+
+    def asDict(self, recursive):  # noqa: N802
+        return self.values
 
 
 class Store:
@@ -16,10 +29,6 @@ class Store:
     def __init__(self):
         self.value, self.held, self.timers, self.calls = None, set(), [], 0
 
-    def exists(self):
-        self.calls += 1
-        return self.value is not None
-
     def get(self):
         self.calls += 1
         return self.value
@@ -28,13 +37,9 @@ class Store:
         self.calls += 1
         self.value = value
 
-    def containsKey(self, key):  # noqa: N802
-        self.calls += 1
-        return key in self.held
-
-    def updateValue(self, key, _):  # noqa: N802
+    def appendList(self, rows):  # noqa: N802
         self.calls += 1
-        self.held.add(key)
+        self.held |= set(rows)
 
     def clear(self):
         self.calls += 1
@@ -80,3 +85,30 @@ def test_tree_reads_are_not_listed_by_the_driver(spark, tmp_path):
     assert [r.doc_id for r in files.markdown_corpus(spark, str(root), court="1/", limit=2).collect()] == sorted(r.doc_id for r in docs.where(F.contains("doc_id", F.lit("1/"))).collect())[:2]
     with pytest.raises(FileNotFoundError):
         files.markdown_corpus(spark, str(tmp_path / "none"))
+
+
+def test_sink_holds_one_row_at_a_time(tmp_path):
+    """A task's rows go to its file as they come."""
+    seen, most = [], [0]
+
+    def rows():
+        for k in range(5000):
+            row = Row(user_id=1, event_id=k)
+            seen.append(weakref.ref(row, lambda r: seen.remove(r)))
+            most[0] = max(most[0], len(seen))
+            yield row
+            del row
+
+    told = event_sink.Writer(f"file://{tmp_path}", 0).write(rows())
+    lines = (tmp_path / "data" / told.file).read_text().splitlines()
+    assert told.rows == 5000 and json.loads(lines[-1]) == {"place": 4999, "user_id": 1, "event_id": 4999}
+    assert most[0] <= 3
+
+
+def test_records_clean_a_text_once(spark):
+    """The filter and the columns share one cleaned text: a pass for links stands in the plan as often as there are passes."""
+    docs = spark.createDataFrame([("a/1.md", "# T\nSubject: s\n" + "words " * 20), ("a/2.md", "*" * 60)], "doc_id string, text string")
+    got = chunker.document_records(docs)
+    assert [r.doc_id for r in got.collect()] == ["a/1.md"]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("-_]{3,}$") == 1
