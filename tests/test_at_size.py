@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text as X
 from corpusloom.operators import chunker
 from corpusloom.sources import files, markdown_tree
 from corpusloom.streaming import event_sink, gate
@@ -112,3 +113,15 @@ def test_records_clean_a_text_once(spark):
     assert [r.doc_id for r in got.collect()] == ["a/1.md"]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("-_]{3,}$") == 1
+
+
+def test_chunks_take_one_python_step(spark):
+    """Links, what follows them and the splitting are one function, which says what the column rules say."""
+    odd = ["a\x85b\x1c \x9f", " x\xa0y‑z­͘　", "---\n-_-\r\n___\n\n\n\nq  r\n---", "[a [b](c)](d) --- \x1c", "᠎﻿ \v\f ", "", "\n---"]
+    docs = spark.createDataFrame(list(enumerate(odd)), "i int, t string")
+    for r in docs.select("t", X.after_links(F.col("t")).alias("want")).collect():
+        assert chunker.after_links(r.t) == r.want
+    got = chunker.chunk_documents(spark.createDataFrame([("a/1.md", "# T\n" + "words [x [y](z)](w) " * 400)], "doc_id string, text string"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+    assert [r.chunk_index for r in got.collect()] == list(range(got.count())) and "[" not in got.first().text
