@@ -29,7 +29,8 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import chain, repeat
+from itertools import chain, groupby, repeat
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -52,8 +53,10 @@ CONTEXTS, PAIRS = 4096, 8192
 SCALE_TOKENS = (1 << 21, 1 << 26)
 #: Tokens that workers look up in a dictionary, which affects speed alone.
 FREQUENT = 1 << 16
-#: Outcomes' values in a batch of numpy's, so that it stays in a core's cache.
-BATCH_CELLS = 1 << 16
+#: Outcomes' values in a batch of numpy's, so that it stays in a core's cache, and in one whose rows are added to tables, which go by runs of equal rows.
+BATCH_CELLS, ADDED_CELLS = 1 << 16, 1 << 18
+#: Equal rows from which on they are added up at once.
+LONG_RUN = 24
 #: Pseudo-counts of a feature's row, dealt by the unigram shares of classes, and of each of a row's slots.
 CLASS_PRIOR, SLOT_PRIOR = 5.0, 5.0
 #: Rates of the first step and of the later ones.
@@ -65,9 +68,11 @@ TASK_TOKENS = 1 << 21
 #: distinct tokens that a task counts before it passes them on
 HELD_TOKENS = 1 << 18
 #: tokens whose contexts a task counts at once, and distinct contexts that it holds
-COUNTED_CONTEXTS, HELD_CONTEXTS = 1 << 21, 1 << 22
-#: parts that contexts are dealt in by hash
-CONTEXT_PARTS = 64
+COUNTED_CONTEXTS, HELD_CONTEXTS = 1 << 20, 1 << 21
+#: parts that contexts are dealt in by the row of their pair: at least, and at most, where a part can have about 2^20 contexts
+CONTEXT_PARTS, MOST_PARTS = 64, 2048
+#: training tokens for each part between these, and contexts in a row of their table
+PART_TOKENS, ROW_CONTEXTS = 1 << 20, 1 << 17
 OUT_OF_USE = np.float32(-1e4)
 
 
@@ -206,8 +211,8 @@ def decisions(model: Model, data: Encoded):
             yield m, part, at, scored(model.weights[m], at, bias), taken[part]
 
 
-def batches_of(n: int, w: np.ndarray) -> Iterator[slice]:
-    size = max(BATCH_CELLS // w.shape[1], 1)
+def batches_of(n: int, w: np.ndarray, cells: int = BATCH_CELLS) -> Iterator[slice]:
+    size = max(cells // w.shape[1], 1)
     return (slice(a, a + size) for a in range(0, n, size))
 
 
@@ -228,15 +233,19 @@ def exponentials(z: np.ndarray) -> np.ndarray:
 
 
 def add_rows(table: np.ndarray, at: np.ndarray, z: np.ndarray) -> None:
-    """Adds rows of z to rows of a table, which may repeat."""
+    """Adds rows of z to rows of a table, which may repeat: long runs of equal rows are summed, of others the first ones of all runs are added, then the second ones, and so on."""
     order = np.argsort(at.astype(np.uint16), kind="stable")  # by radix; rows are below 2^16
     ordered = at[order]
     first = starts_of(ordered)
-    if len(first) * 8 <= len(at):
-        table[ordered[first]] += np.add.reduceat(z.take(order, 0), first, axis=0)
-    else:  # runs are too short for reduceat
-        width = table.shape[1]
-        np.add.at(table.reshape(-1), ((at * width)[:, None] + np.arange(width)).reshape(-1), z.reshape(-1))
+    times = np.diff(first, append=len(at))
+    far = times > LONG_RUN
+    for a, n in zip(first[far].tolist(), times[far].tolist(), strict=True):
+        table[ordered[a]] += np.ones(n, z.dtype) @ z.take(order[a : a + n], 0)
+    first, times = first[~far], times[~far]
+    for k in range(times.max(initial=0)):
+        some = first[times > k] + k
+        rows = ordered[some]
+        table[rows] = table.take(rows, 0) + z.take(order[some], 0)
 
 
 def log_prob(model: Model, data: Encoded) -> np.ndarray:
@@ -300,12 +309,18 @@ def expect(model: Model, texts: list[str | None], sums: list[np.ndarray]) -> Non
 def expect_all(model: Model, batches: Iterable[pa.RecordBatch], sums: list[np.ndarray]) -> None:
     """Expected counts at batches of distinct contexts."""
     for batch in batches:
-        for keys, counts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            expect_at(model, np.frombuffer(keys, np.uint32), np.frombuffer(counts, np.int64), sums)
+        for _, keys, counts in context_rows(batch):
+            expect_at(model, keys, counts, sums)
+
+
+def context_rows(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """part, keys and counts of each row, which aren't copied."""
+    for part, keys, counts in zip(*batch.columns, strict=True):
+        yield part.as_py(), np.frombuffer(keys.as_buffer(), np.uint32), np.frombuffer(counts.as_buffer(), np.int64)
 
 
 def distinct_contexts(model: Model, blocks: Iterable[list[str | None]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Contexts of all tokens in blocks of texts, and how often they occur; contexts beyond HELD_CONTEXTS come in several lots."""
+    """Contexts of all tokens in blocks of texts in order, and how often they occur; contexts beyond HELD_CONTEXTS come in several lots."""
     held, counts, new, n = np.zeros(0, np.uint32), np.zeros(0, np.int64), [], 0
     for texts in blocks:
         new.append(contexts(model, texts))
@@ -325,20 +340,28 @@ def merged(held: np.ndarray, counts: np.ndarray, keys: list[np.ndarray]) -> tupl
 
 
 def expect_at(model: Model, keys: np.ndarray, counts: np.ndarray, sums: list[np.ndarray]) -> None:
-    """Adds what the model expects at distinct contexts (in order) that occur so many times."""
+    """Adds what the model expects at distinct contexts that occur so many times."""
     before, which = np.divmod(keys.astype(np.int64), HEAD + TAIL)
+    rows = model.feature_rows(*np.divmod(before, CONTEXTS))
+    order = np.lexsort((before, rows[2]))  # equal rows of pairs stand together
+    before, which, rows, counts = before[order], which[order], rows[:, order], counts[order]
     own = starts_of(before)
-    for m, places, classes, times in ((0, before[own], None, np.add.reduceat(counts, own) if len(own) else counts), (1, before, which, counts)):
-        for part in batches_of(len(places), model.weights[m]):
-            one, two = np.divmod(places[part], CONTEXTS)
-            at, bias = model.feature_rows(one, two), model.class_bias
-            if m:
-                at, bias = model.with_class(at, classes[part]), model.slot_bias.take(classes[part], 0)
-            z = scored(model.weights[m], at, bias)
-            total = exponentials(z)
-            z *= (times[part] / total).astype(np.float32)[:, None]
-            for r in at:
-                add_rows(sums[m], r, z)
+    add_expected(model, 0, rows[:, own], None, np.add.reduceat(counts, own) if len(own) else counts, sums[0])
+    order = np.argsort(which.astype(np.uint8), kind="stable")
+    which = which[order]
+    add_expected(model, 1, model.with_class(rows[:, order], which), which, counts[order], sums[1])
+
+
+def add_expected(model: Model, m: int, rows: np.ndarray, classes: np.ndarray | None, times: np.ndarray, table: np.ndarray) -> None:
+    """Adds what a choice of the model expects at parameter rows that occur so many times together."""
+    w = model.weights[m]
+    for part in batches_of(len(times), w, ADDED_CELLS):
+        at = rows[:, part]
+        z = scored(w, at, model.slot_bias.take(classes[part], 0) if m else model.class_bias)
+        total = exponentials(z)
+        z *= (times[part] / total).astype(np.float32)[:, None]
+        for r in at:
+            add_rows(table, r, z)
 
 
 def step(model: Model, observed: list[np.ndarray], expected: list[np.ndarray], rate: float) -> None:
@@ -396,9 +419,9 @@ def gathered(rows: DataFrame, model: Model, add, n_tokens: int = 0) -> list[np.n
             return
         add(own, chain([some], full), sums)
         for m, table in enumerate(sums):
-            starts = range(0, height, BLOCK_ROWS)
-            numbers = [(m * height + i) // BLOCK_ROWS for i in starts]
-            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array([table[i : i + BLOCK_ROWS].tobytes() for i in starts], pa.binary())], ["block", "data"])
+            for i in range(0, height, BLOCK_ROWS):
+                block = pa.array([(m * height + i) // BLOCK_ROWS], pa.int32())
+                yield pa.RecordBatch.from_arrays([block, pa.array([table[i : i + BLOCK_ROWS].tobytes()], pa.binary())], ["block", "data"])
 
     # Each task sends whole tables, so small partitions are joined.
     cores = spark.sparkContext.defaultParallelism
@@ -411,36 +434,46 @@ def gathered(rows: DataFrame, model: Model, add, n_tokens: int = 0) -> list[np.n
     return out
 
 
+def pair_rows(model: Model, keys: np.ndarray) -> np.ndarray:
+    """The rows of contexts' pairs, from 0."""
+    return model.feature_rows(*np.divmod(keys.astype(np.int64) // (HEAD + TAIL), CONTEXTS))[2] - 2 * CONTEXTS
+
+
 def counted_contexts(rows: DataFrame, model: Model) -> DataFrame:
-    """part, keys, counts: the distinct contexts of all texts in order and how often each occurs, a row a part, written."""
+    """part, keys, counts: the distinct contexts of all texts and how often each occurs, in rows of at most ROW_CONTEXTS of a part, written."""
     sent = rows.sparkSession.sparkContext.broadcast(model)
-    names = ["part", "keys", "counts"]
+    parts = min(max(CONTEXT_PARTS, model.n_tokens // PART_TOKENS), MOST_PARTS)
 
-    def batch_of(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        kinds = pa.int32(), pa.binary(), pa.binary()
-        return pa.RecordBatch.from_arrays([pa.array([p if k == 0 else p.tobytes() for p in column], kind) for k, (kind, column) in enumerate(zip(kinds, zip(*parts, strict=True), strict=True))], names)
+    def row_of(part: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([keys.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary())], ["part", "keys", "counts"])
 
     def run(batches):
         for keys, counts in distinct_contexts(sent.value, text_blocks(batches)):
-            part = (C.mix64((keys // (HEAD + TAIL)).astype(np.uint64)) % np.uint64(CONTEXT_PARTS)).astype(np.uint16)
+            part = (pair_rows(sent.value, keys) * parts // sent.value.pairs).astype(np.uint16)
             order = np.argsort(part, kind="stable")
-            keys, counts, ends = keys[order], counts[order], np.cumsum(np.bincount(part, minlength=CONTEXT_PARTS))
-            some = [(p, keys[a:b], counts[a:b]) for p, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if b > a]
-            if some:
-                yield batch_of(some)
+            keys, counts, ends = keys[order], counts[order], np.cumsum(np.bincount(part, minlength=parts))
+            for p, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+                if b > a:
+                    yield row_of(p, keys[a:b], counts[a:b])
 
     def merge(batches):
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
-            for part, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                new = np.frombuffer(keys, np.uint32), np.frombuffer(counts, np.int64)
-                held[part] = added_up(*map(np.concatenate, zip(held[part], new, strict=True))) if part in held else new
-        for part in held:
-            yield batch_of([(part, *held[part])])
+        for part, found in groupby(chain.from_iterable(map(context_rows, batches)), itemgetter(0)):
+            keys, counts, new, n = np.zeros(0, np.uint32), np.zeros(0, np.int64), [], 0
+            for _, *lot in found:
+                new.append(lot)
+                n += len(lot[0])
+                if n >= COUNTED_CONTEXTS:
+                    keys, counts = added_up(*map(np.concatenate, zip((keys, counts), *new, strict=True)))
+                    new, n = [], 0
+            keys, counts = added_up(*map(np.concatenate, zip((keys, counts), *new, strict=True)))
+            order = np.argsort(pair_rows(sent.value, keys).astype(np.uint16), kind="stable")
+            for a in range(0, len(keys), ROW_CONTEXTS):
+                some = order[a : a + ROW_CONTEXTS]
+                yield row_of(part, keys[some], counts[some])
 
     schema = "part int, keys binary, counts binary"
-    parts = rows.coalesce(rows.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, schema)
-    out = C.materialize(parts.repartition("part").mapInArrow(merge, schema), "lm-contexts")
+    lots = rows.coalesce(rows.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, schema)
+    out = C.materialize(lots.repartition("part").sortWithinPartitions("part").mapInArrow(merge, schema), "lm-contexts")
     sent.unpersist()
     return out
 
